@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import mixing, quality, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_substring_dedup": substring_dedup.op1_substring_dedup}
+    return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+        "op3_mixing": mixing.op3_mixing,
+        "op9_quality": quality.op9_quality,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substring_dedup.OP1_SQL}
+    return {"op1_substring_dedup": substring_dedup.OP1_SQL, "op10_sharding": sharding.OP10_SQL}

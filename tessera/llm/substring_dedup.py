@@ -205,7 +205,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
     least = seen.groupBy("fp", "w1", "w2").agg(F.min("_id").alias("least"))
     masks = seen.join(least, ["fp", "w1", "w2"]).where("least < _id").groupBy("fp", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("mask"))
     verdict = known.where("copies > 1").select("fp", "ctx", F.col("rep._id").alias("first"), F.lit(0).cast("long").alias("mask")).unionByName(masks.withColumn("first", F.lit(None).cast("long")), allowMissingColumns=True)
-    verdict = verdict.groupBy("fp", "ctx").agg(F.min("first").alias("first"), F.bit_or("mask").alias("mask"))
+    # written, so that the join below reads two plain exchanges and can split a hot block
+    verdict = materialize(verdict.groupBy("fp", "ctx").agg(F.min("first").alias("first"), F.bit_or("mask").alias("mask")), "verdict")
     removed = postings.join(verdict, ["fp", "ctx"]).select("_id", "_key", "start", F.expr("CASE WHEN _id > first THEN shiftleft(1L, n) - 1 ELSE mask END").alias("bits")).where("bits <> 0")
     return _cut(rows, removed, window)
 
