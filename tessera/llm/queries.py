@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets, sharding, substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprint, mixing, packing, quality, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
         "op3_mixing": mixing.op3_mixing,
+        "op4_fingerprint": fingerprint.op4_fingerprint,
+        "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_packing": packing.op6_packing,
         "op8_secrets": secrets.op8_secrets,
         "op9_quality": quality.op9_quality,
