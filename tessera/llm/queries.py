@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, mixing, packing, quality, secrets, sharding, substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
         "op6_packing": packing.op6_packing,
+        "op7_jaccard_join": jaccard_join.op7_jaccard_join,
         "op8_secrets": secrets.op8_secrets,
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
