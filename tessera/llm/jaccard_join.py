@@ -5,9 +5,9 @@
    those in the lowest quarter of the hash range come first, by their number of
    classes, the rest follow by hash.  A set that links must share a shingle of
    its first n - ceil(t n) + 1; sets whose shingles there occur nowhere else are
-   out.  Classes that share such a shingle are chained in order of size (a chain
-   is broken where sizes rule a link out), and the chains' connected components
-   hold every possible link.
+   out.  Classes that share such a shingle are joined to stars in order of size (a
+   new star begins where sizes rule a link out), and the connected components
+   of the stars hold every possible link.
 3. Within a component the sets are joined exactly.  Inverted lists are skipped
    block-wise by size and position; an answer is derived from a highly similar
    set's: what is connected already is not compared again, and what is too far
@@ -39,7 +39,7 @@ WORDS, PERCENT = 4, 85
 #: Shingles below this hash are counted over all classes.
 COUNTED = np.uint64(1 << 62)
 #: Shingle hashes that a task of the exact join holds, about.
-TASK = 2_000_000
+TASK = 400_000
 
 
 def least_common(n, percent: int):
@@ -99,10 +99,11 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     # counted shingles that occur once come first in the order; uncounted ones come last and take their place by hash
     met = met.withColumn("prefix", F.expr(f"n - (n * {percent} + 99) div 100 + 1")).withColumn("single", F.expr("counted - size(filter(shared, s -> s.df < 9223372036854775807))"))
     picked = met.where("prefix > single").select("rep", "n", F.explode(F.expr("slice(array_sort(shared), 1, cast(prefix - single as int))")).alias("s")).select("rep", "n", "s.token")
-    # consecutive sizes of a shingle's classes; a gap that rules links out breaks the chain
+    # a shingle's classes in order of size: a gap that rules links out begins a new star, around its first class
     by = Window.partitionBy("token").orderBy("n", "rep")
-    chained = picked.withColumn("last", F.lag(F.struct("n", "rep")).over(by)).where(f"last.n * 100 >= n * {percent}")
-    return chained.select(F.col("last.rep").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    gap = F.coalesce(F.lag("n").over(by) * 100 < F.col("n") * percent, F.lit(True))
+    starred = picked.withColumn("gap", gap).withColumn("first", F.last(F.when(F.col("gap"), F.col("rep")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    return starred.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 class Lists:
