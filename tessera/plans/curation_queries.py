@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,10 +164,6 @@ def session_search(t: Tables) -> DataFrame:
 @query("a22_swarm_consensus")
 def swarm_consensus(t: Tables) -> DataFrame:
     """Per conversation the answer that agrees most with the others, by sequence similarity."""
-    import difflib
-
-    import pandas as pd
-
     def agree(group: pd.DataFrame) -> pd.DataFrame:
         texts = [" ".join(str(x).lower().split()) for x in group["text"]]
         score = [sum(difflib.SequenceMatcher(None, a, b).ratio() for j, b in enumerate(texts) if j != i) / max(1, len(texts) - 1) for i, a in enumerate(texts)]

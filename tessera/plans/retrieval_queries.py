@@ -1 +1,152 @@
-"""Queries."""
+"""Retrieval queries over documents, parts and benchmark items."""
+
+from __future__ import annotations
+
+import difflib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as x
+from ..operators import retrieval as r
+from .registry import Tables, query
+from .text_queries import words_sql
+
+TERMS = ("tionnd", "rely", "thble", "license")
+_W = f"d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents)"
+_BM = f"{_W}, s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d), t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d), f AS (SELECT doc_id, dl, term, count(*) AS tf FROM t WHERE term IN ('tionnd', 'rely', 'thble', 'license') GROUP BY ALL), g AS (SELECT term, count(*) AS df FROM f GROUP BY term), b AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score FROM f JOIN g USING (term), s GROUP BY doc_id)"
+
+
+def asked(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame([(1, w) for w in TERMS], "query_id int, term string")
+
+
+@query("t3_bm25", f"WITH {_BM} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25(t: Tables) -> DataFrame:
+    return r.bm25(t.documents, "doc_id", "text", asked(t)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("l13_bm25_topk", f"WITH {_BM} SELECT doc_id, round(score / (SELECT max(score) FROM b), 6) AS score FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 15")
+def bm25_topk(t: Tables) -> DataFrame:
+    best = r.top(r.bm25(t.documents, "doc_id", "text", asked(t)).where("score > 0"), "query_id", 15, F.desc("score"), F.col("doc_id"))
+    return best.select("doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))
+
+
+_KW = f"k AS (SELECT doc_id, len(list_intersect(list_distinct(w), ['tionnd', 'rely', 'thble', 'license'])) / 4 AS o FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents))"
+
+
+@query("l9_keyword_topk", f"WITH {_KW} SELECT doc_id, o AS overlap FROM k WHERE o > 0 ORDER BY o DESC, doc_id LIMIT 20")
+def keyword_topk(t: Tables) -> DataFrame:
+    o = F.size(F.array_intersect(x.words(F.col("text")), x.literal(list(TERMS)))) / 4
+    return t.documents.select("doc_id", o.alias("overlap")).where("overlap > 0").orderBy(F.desc("overlap"), "doc_id").limit(20)
+
+
+@query("w1_rank_rrf", f"WITH {_BM}, {_KW}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 15), c AS (SELECT doc_id, row_number() OVER (ORDER BY o DESC, doc_id) AS rank FROM k WHERE o > 0 QUALIFY rank <= 15) SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY doc_id")
+def rank_rrf(t: Tables) -> DataFrame:
+    first = r.top(r.bm25(t.documents, "doc_id", "text", asked(t)), "query_id", 15, F.round("score", 9).desc(), F.col("doc_id"))
+    o = F.size(F.array_intersect(x.words(F.col("text")), x.literal(list(TERMS)))) / 4
+    second = r.top(t.documents.select(F.lit(1).alias("query_id"), "doc_id", o.alias("o")).where("o > 0"), "query_id", 15, F.desc("o"), F.col("doc_id"))
+    return r.fuse([first, second], "query_id", "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+@query("t4_rerank_boosts", "SELECT p_partkey, round(1 / (60 + p_size) * 61 + CASE WHEN contains(p_name, 'red') THEN 0.25 ELSE 0 END + CASE WHEN p_type = 'ECONOMY' THEN 0.2 ELSE 0 END + least(0.15, 0.05 * (contains(p_name, 'ring')::INT + contains(p_name, 'bolt')::INT)) - CASE WHEN p_brand = 'Brand#4' THEN 0.3 ELSE 0 END, 6) AS score FROM part")
+def rerank_boosts(t: Tables) -> DataFrame:
+    score = r.rerank(1 / (60 + F.col("p_size")), F.lit(1 / 61), F.contains("p_name", F.lit("red")), F.col("p_type") == "ECONOMY", x.hits(F.col("p_name"), ["ring", "bolt"]), F.lit(False), F.col("p_brand") == "Brand#4", F.lit(False))
+    return t.part.select("p_partkey", F.round(score, 6).alias("score"))
+
+
+@query("l19_lexical_rerank", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents), s AS (SELECT doc_id, len(list_intersect(w, ['the', 'rely', 'und'])) AS o, len(w) AS n FROM d) SELECT doc_id, round(o + o / (1 + sqrt(n)), 6) AS score FROM s ORDER BY 2 DESC, 1 LIMIT 5")
+def lexical_rerank(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.round(r.lexical_score(x.words(F.col("text")), ["the", "rely", "und"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(5)
+
+
+@query("w17_best_similar", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents WHERE n_chars < 3000), b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark), s AS (SELECT item_id, doc_id, len(list_intersect(d.w, b.w)) / len(list_distinct(list_concat(d.w, b.w))) AS j FROM d, b), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS n FROM s WHERE j >= 0.05) SELECT item_id, doc_id, round(j, 6) AS jaccard FROM k WHERE n = 1")
+def best_similar(t: Tables) -> DataFrame:
+    """The document nearest to each item by shared words.
+
+    Only pairs that share a word are formed, from postings; sizes give the union.
+    """
+    d = t.documents.where("n_chars < 3000").select("doc_id", F.array_distinct(x.words(F.col("text"))).alias("w")).withColumn("nd", F.size("w"))
+    b = t.benchmark.select("item_id", F.array_distinct(x.words(F.col("text"))).alias("w")).withColumn("nb", F.size("w"))
+    shared = d.select("doc_id", "nd", F.explode("w").alias("t")).join(b.select("item_id", "nb", F.explode("w").alias("t")), "t").groupBy("item_id", "doc_id", "nd", "nb").agg(F.count("*").alias("o"))
+    j = shared.withColumn("j", F.col("o") / (F.col("nd") + F.col("nb") - F.col("o"))).where("j >= 0.05")
+    return r.top(j, "item_id", 1, F.desc("j"), F.col("doc_id")).select("item_id", "doc_id", F.round("j", 6).alias("jaccard"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' ')))"
+
+
+@query("j22_ngram_lookup", f"WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), b AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 5), bg AS (SELECT item_id, unnest({_GRAMS}) AS g FROM b WHERE len(w) >= 5) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL HAVING count(*) >= 8")
+def ngram_lookup(t: Tables) -> DataFrame:
+    """Documents that share at least eight five-word runs with an item: an equi-join on the run's hash and words."""
+
+    def grams(df: DataFrame, key: str) -> DataFrame:
+        w = df.select(key, x.words(F.col("text")).alias("w")).where("size(w) >= 5")
+        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("g"))
+
+    met = grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "g")
+    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where("shared >= 8")
+
+
+@query("l15_completions", "SELECT DISTINCT p_name AS text, CASE WHEN starts_with(p_name, 're') THEN 0 ELSE 1 END AS place FROM part WHERE contains(p_name, 're') ORDER BY 2, 1 LIMIT 10")
+def completions(t: Tables) -> DataFrame:
+    return t.part.where(F.contains("p_name", F.lit("re"))).select(F.col("p_name").alias("text"), F.when(F.col("p_name").startswith("re"), 0).otherwise(1).alias("place")).distinct().orderBy("place", "text").limit(10)
+
+
+@query("l16_fuzzy_match")
+def fuzzy_match(t: Tables) -> DataFrame:
+    """The nearest known name of each misspelt one: candidates by length in Catalyst, the ratio in a pandas UDF."""
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)])
+
+    names = t.part.select(F.col("p_name").alias("name")).distinct()
+    wrong = names.select(F.col("name").alias("known"), F.concat(F.substring("name", 1, 3), F.lit("x"), F.expr("substring(name, 5)")).alias("typed"))
+    near = wrong.select("typed").join(names, F.substring("typed", 1, 1) == F.substring("name", 1, 1)).where(F.expr("length(name) / length(typed) BETWEEN 0.7 AND 1.4")).withColumn("r", ratio("typed", "name")).where("r >= 0.85")
+    return near.groupBy("typed").agg(F.max_by("name", F.struct("r", "name")).alias("match"), F.max("r").alias("ratio"))
+
+
+@query("t6_hash_embedding")
+def hash_embedding(t: Tables) -> DataFrame:
+    """Feature hashing of words to 384 places, of unit length; the same text gives the same vector anywhere."""
+    w = t.documents.select("doc_id", F.explode(x.words(F.col("text"))).alias("w"))
+    c = w.select("doc_id", F.pmod(F.xxhash64("w"), F.lit(384)).cast("int").alias("place")).groupBy("doc_id", "place").agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
+    return c.select("doc_id", "place", (F.col("n") / norm).alias("x"))
+
+
+@query("t7_hdc_encode")
+def hdc_encode(t: Tables) -> DataFrame:
+    """Binary hypervectors of texts: letters by a seeded codebook, rotated within words, words by rotated majority."""
+    dim = 1024
+    book = np.random.RandomState(42).randint(0, 2, (256, dim)).astype(np.uint8)
+
+    @F.pandas_udf("binary")
+    def encode(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            total, n = np.zeros(dim, np.int32), 0
+            for i, word in enumerate(str(text or "").lower().split()[:64]):
+                v = np.zeros(dim, np.uint8)
+                for j, c in enumerate(word.encode()):
+                    v ^= np.roll(book[c], j)
+                total += np.roll(v, i)
+                n += 1
+            out.append(np.packbits(total * 2 > n).tobytes())
+        return pd.Series(out)
+
+    return t.conversations.select("conv_id", "turn", encode("text").alias("bits"))
+
+
+@query("t11_seq_ratio")
+def seq_ratio(t: Tables) -> DataFrame:
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        flat = lambda s: " ".join(str(s or "").lower().split())
+        return pd.Series([1.0 if flat(p) == flat(q) else 0.0 if not flat(p) or not flat(q) else difflib.SequenceMatcher(None, flat(p), flat(q)).ratio() for p, q in zip(a, b, strict=True)])
+
+    a = t.conversations.select("conv_id", "turn", "text")
+    b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", ratio("text", "next").alias("ratio"))

@@ -1 +1,132 @@
-"""Queries."""
+"""Scan queries over documents and over a small code corpus that is made of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..operators import scan
+from ..operators.store import first_of
+from .registry import Tables, query
+
+#: Source lines that stand for files, one a row of part.
+_CODE = ("import os\nos.system(cmd)\n", "password = 'abcdefghijkl1234'\n", "# eval(x)\nprint('eval(x)')\n", "def f(q):\n    db.execute(f'select {q}')\n", "h = hashlib.md5(data)\n", "x = 1\n")
+
+
+def code(t: Tables) -> DataFrame:
+    """(path, text): a file of one of the snippets for every part."""
+    text = F.element_at(F.array(*[F.lit(c) for c in _CODE]), (F.col("p_partkey") % len(_CODE) + 1).cast("int"))
+    return t.part.select(F.concat("p_brand", F.lit("/f"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"), "p_partkey")
+
+
+_SQL_CODE = "c AS (SELECT p_partkey, [" + ", ".join("'" + c.replace("'", "''") + "'" for c in _CODE) + f"][p_partkey % {len(_CODE)} + 1] AS text FROM part)"
+
+
+@query("t38_sink_match", f"WITH {_SQL_CODE} SELECT p_partkey, list_filter([CASE WHEN regexp_matches(text, '\\.execute\\s*\\(\\s*[fF][\"'']') THEN 'sql_injection' END, CASE WHEN regexp_matches(text, '\\bos\\.system\\s*\\(|(^|[^\\w.])eval\\s*\\(') THEN 'command_injection' END, CASE WHEN regexp_matches(text, 'hashlib\\.md5\\b') THEN 'weak_crypto' END, CASE WHEN regexp_matches(text, '(?i)password\\s*=\\s*[\"''][a-zA-Z0-9_\\-+/=]{{12,}}[\"'']') THEN 'hardcoded_secret' END], lambda x: x IS NOT NULL) AS classes FROM c")
+def sink_match(t: Tables) -> DataFrame:
+    return code(t).select("p_partkey", scan.classes(F.col("text"), scan.SINKS).alias("classes"))
+
+
+@query("t38_source_match", "SELECT doc_id, regexp_matches(text, '\\bsys\\.argv\\b|\\bargparse\\b') AS cli FROM documents")
+def source_match(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.array_contains(scan.classes(F.col("text"), {"cli_arg": scan.SOURCES["cli_arg"][:2]}), "cli_arg").alias("cli"))
+
+
+@query("t39_finding_rows", "SELECT p_brand || '/f' || p_partkey || '.py' AS path, CASE p_partkey % 6 WHEN 0 THEN 'command_injection' WHEN 1 THEN 'hardcoded_secret' WHEN 3 THEN 'sql_injection' ELSE 'weak_crypto' END AS class, CASE p_partkey % 6 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 1 END AS line FROM part WHERE p_partkey % 6 IN (0, 1, 3, 4)")
+def finding_rows(t: Tables) -> DataFrame:
+    """Matches with their lines; what stands in comments and strings does not count."""
+    return scan.findings(code(t), "path", "text").select("path", "class", "line")
+
+
+@query("t37_strip_strings_comments")
+def strip_strings(t: Tables) -> DataFrame:
+    blank = F.udf(scan.blank_literals, "string")
+    return code(t).select("p_partkey", blank("text").alias("clean"))
+
+
+@query("t40_secret_scan", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n AS line FROM l WHERE regexp_matches(line, '(?i)(password|token|secret)\\s*=\\s*[\"''][a-zA-Z0-9_\\-+/=]{12,}[\"'']') AND NOT starts_with(ltrim(line), '#')")
+def secret_scan(t: Tables) -> DataFrame:
+    """Lines with a credential; whole texts are tested before they are cut into lines."""
+    rule = r"(?i)(password|token|secret)\s*=\s*[\"'][a-zA-Z0-9_\-+/=]{12,}[\"']"
+    lines = t.documents.where(F.col("text").rlike(rule)).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
+    return lines.where(F.col("s").rlike(rule) & ~F.ltrim("s").startswith("#")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"))
+
+
+@query("t41_taint_finding", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'CWE-89' WHEN 1 THEN 'CWE-79' ELSE 'CWE-918' END AS cwe, CASE p_partkey % 3 WHEN 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity, 0.85 AS confidence FROM part")
+def taint_finding(t: Tables) -> DataFrame:
+    c = F.element_at(F.array(*[F.lit(x) for x in ("sql_injection", "xss", "ssrf")]), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return t.part.select("p_partkey", scan.lookup(scan.CWE, c).alias("cwe"), scan.lookup(scan.SEVERITY, c).alias("severity"), F.lit(0.85).alias("confidence"))
+
+
+@query("t42_stage_classify", "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'error' THEN 10 WHEN 'purchase' THEN 9 WHEN 'signup' THEN 5 ELSE 0 END, event_type)) AS stage FROM events GROUP BY user_id")
+def stage_classify(t: Tables) -> DataFrame:
+    weight = F.coalesce(scan.lookup({"error": scan.STAGE_WEIGHT["rce"], "purchase": scan.STAGE_WEIGHT["destroy"], "signup": scan.STAGE_WEIGHT["exfil"]}, F.col("event_type")), F.lit(0))
+    return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct(weight.alias("w"), "event_type")).alias("stage"))
+
+
+@query("t43_chain_confidence", "SELECT event_id, round(greatest(0.2, least(0.98, greatest(0.25, 0.75 - 0.15 * (event_id % 5)) * (0.7 + 0.3 * least(value / 50, 1)) + 0.05)), 6)::DOUBLE AS confidence FROM events")
+def chain_confidence(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.round(scan.chain_confidence(F.col("event_id") % 5, F.least(F.col("value") / 50, F.lit(1.0)), F.lit(0.05)), 6).alias("confidence"))
+
+
+@query("f18_stale_filter", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents), f AS (SELECT doc_id, 1 + doc_id % 12 AS line FROM documents) SELECT f.doc_id, f.line, coalesce(bool_or(regexp_matches(l.line, 'token|secret|license|Licen')), FALSE) AS fresh FROM f LEFT JOIN l ON l.doc_id = f.doc_id AND l.n BETWEEN f.line - 4 AND f.line + 4 GROUP BY ALL")
+def stale_filter(t: Tables) -> DataFrame:
+    """A finding is fresh while its pattern still stands within four lines of its place."""
+    at = (F.col("doc_id") % 12 + 1).cast("int")
+    near = F.slice(F.split("text", "\n", -1), F.greatest(F.lit(1), at - 4), F.least(F.lit(9), at + 4))
+    return t.documents.select("doc_id", at.alias("line"), F.exists(near, lambda s: s.rlike("token|secret|license|Licen")).alias("fresh"))
+
+
+@query("k11_export_sarif")
+def export_sarif(t: Tables) -> DataFrame:
+    return scan.sarif(scan.findings(code(t).where("p_partkey < 100"), "path", "text"), "path")
+
+
+@query("k12_export_markdown", "SELECT '| ' || o_orderpriority || ' | ' || count(*) || ' |' AS line FROM orders GROUP BY o_orderpriority")
+def export_markdown(t: Tables) -> DataFrame:
+    n = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    return n.select(F.concat(F.lit("| "), "o_orderpriority", F.lit(" | "), "n", F.lit(" |")).alias("line"))
+
+
+@query("m11_reasoning_gate", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderpriority, o_orderkey LIMIT 30")
+def reasoning_gate(t: Tables) -> DataFrame:
+    return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).orderBy("o_orderpriority", "o_orderkey").limit(30).select("o_orderkey")
+
+
+@query("m12_chain_narrative", "SELECT o_orderkey, array_to_string(list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey), ' -> ') AS narrative FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def chain_narrative(t: Tables) -> DataFrame:
+    steps = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
+    return t.orders.select("o_orderkey").join(steps, "o_orderkey").select("o_orderkey", F.array_join(F.transform("s.l_partkey", lambda p: p.cast("string")), " -> ").alias("narrative"))
+
+
+@query("m13_load_entry_findings", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY o_orderpriority, o_orderkey LIMIT 100")
+def load_entry_findings(t: Tables) -> DataFrame:
+    return t.orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority").orderBy("o_orderpriority", "o_orderkey").limit(100)
+
+
+@query("u10_claims_dedup", "SELECT DISTINCT conv_id, claim FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '(?:^| )([a-z]{6,})', 1)) AS claim FROM conversations) QUALIFY dense_rank() OVER (PARTITION BY conv_id ORDER BY claim) <= 10")
+def claims_dedup(t: Tables) -> DataFrame:
+    c = t.conversations.select("conv_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?:^| )([a-z]{6,})"), F.lit(1))).alias("claim")).distinct()
+    return c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("claim"))).where("n <= 10").drop("n")
+
+
+@query("m36_lint", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n AS line FROM l WHERE length(line) > 1500 OR regexp_matches(line, '[ ]+$')")
+def lint(t: Tables) -> DataFrame:
+    lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))
+    return lines.where((F.length("s") > 1500) | F.col("s").rlike(" +$")).select("doc_id", (F.col("i") + 1).cast("long").alias("line"))
+
+
+@query("m16_claim_verifiers", "WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 1) SELECT l_partkey, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN p_size > 25 THEN 'wrong size' ELSE 'verified' END AS verdict FROM c LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 2 = 0")
+def claim_verifiers(t: Tables) -> DataFrame:
+    c = t.lineitem.where("l_linenumber = 1").select("l_partkey").distinct()
+    p = t.part.where("p_partkey % 2 = 0")
+    return c.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_partkey", F.when(F.col("p_partkey").isNull(), "missing").when(F.col("p_size") > 25, "wrong size").otherwise("verified").alias("verdict"))
+
+
+@query("m15_identifier_correction")
+def identifier_correction(t: Tables) -> DataFrame:
+    """Names that miss a known one by a letter, with the known one."""
+    known = first_of(t.part.select(F.col("p_name").alias("name"), "p_partkey"), ["name"], [F.col("p_partkey")]).select("name")
+    typed = known.select(F.regexp_replace("name", "r", "rr").alias("typed"))
+    near = typed.join(known, F.substring("typed", 1, 2) == F.substring("name", 1, 2)).withColumn("d", F.levenshtein("typed", "name")).where("d BETWEEN 1 AND 2")
+    return near.groupBy("typed").agg(F.min_by("name", F.struct("d", "name")).alias("name"))
