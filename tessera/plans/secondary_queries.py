@@ -1 +1,167 @@
-"""Queries."""
+"""Smaller operators, readers over made sources, and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as x
+from ..operators.store import upsert
+from ..sources import readers
+from .registry import Tables, query
+
+
+@query("s7_scan_diff")
+def scan_diff(t: Tables) -> DataFrame:
+    diff = F.concat(F.lit("--- a/f.py\n+++ b/f.py\n@@ -1,2 +"), F.col("p_size"), F.lit(",3 @@\n a\n-b\n+c\n+d\n"))
+    return readers.diff_hunks(t.part.select("p_partkey", diff.alias("diff")), "p_partkey", "diff")
+
+
+@query("s8_scan_source_ast")
+def scan_source_ast(t: Tables) -> DataFrame:
+    code = F.concat(F.lit("import os\nclass A:\n    def f"), F.col("p_partkey"), F.lit("(self, x):\n        if x and os:\n            return g(x)\n        return h()\n"))
+    return readers.python_symbols(t.part.select("p_partkey", code.alias("code")), "p_partkey", "code")
+
+
+@query("s9_scan_source_regex")
+def scan_source_regex(t: Tables) -> DataFrame:
+    body = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("package x\n\nfunc F"), "p_partkey", F.lit("(a int) {\n}\n"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("export class C"), "p_partkey", F.lit(" {\n}\nfunction f() {}\n"))).otherwise(F.concat(F.lit("create table t"), "p_partkey", F.lit(" (a int);\n")))
+    ext = F.element_at(F.array(F.lit("go"), F.lit("ts"), F.lit("sql")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return readers.regex_symbols(t.part.select(F.concat(F.lit("src/f"), "p_partkey", F.lit("."), ext).alias("path"), body.alias("code")), "path", "code")
+
+
+@query("s11_generate_pairs")
+def generate_pairs(t: Tables) -> DataFrame:
+    return readers.generated_pairs(t.spark, 1000)
+
+
+@query("s13_git_status", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'untracked' WHEN 1 THEN 'staged' ELSE 'modified' END AS state, count(*) AS n FROM part GROUP BY 1")
+def git_status(t: Tables) -> DataFrame:
+    code = F.element_at(F.array(F.lit("?? "), F.lit("M  "), F.lit(" M ")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return readers.git_status(t.part.select(F.concat(code, "p_name").alias("value"))).groupBy("state").agg(F.count("*").alias("n"))
+
+
+@query("s14_symbol_history", "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 100 = 3 AND l_returnflag = 'R' GROUP BY o_orderkey, o_orderdate ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+def symbol_history(t: Tables) -> DataFrame:
+    hit = t.lineitem.where("l_partkey % 100 = 3 AND l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return t.orders.join(hit, "o_orderkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
+
+
+@query("t54_edge_cases")
+def edge_cases(t: Tables) -> DataFrame:
+    return readers.edge_cases(t.spark)
+
+
+@query("f12_describe_file", "SELECT p_brand AS file, p_brand || ': ' || count(*) || ' functions, ' || sum(p_size) || ' lines' AS about FROM part GROUP BY p_brand")
+def describe_file(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.col("p_brand").alias("file")).agg(F.count("*").alias("n"), F.sum("p_size").alias("s")).select("file", F.concat("file", F.lit(": "), "n", F.lit(" functions, "), "s", F.lit(" lines")).alias("about"))
+
+
+@query("a23_brain_summary", "SELECT lang, count(*) AS files, sum(n_chars)::BIGINT AS chars, max(n_chars) AS longest FROM documents GROUP BY lang")
+def brain_summary(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.max("n_chars").alias("longest"))
+
+
+@query("a25_index_stats", "SELECT lang, count(*) AS total, count(*) FILTER (n_chars >= 500) AS indexed, count(*) FILTER (n_chars < 500) AS skipped FROM documents GROUP BY lang")
+def index_stats(t: Tables) -> DataFrame:
+    return t.documents.groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("n_chars") >= 500).alias("indexed"), F.count_if(F.col("n_chars") < 500).alias("skipped"))
+
+
+@query("a27_entity_type_counts", "SELECT kind, count(event_id) AS n FROM (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view'), ('never')) k(kind) LEFT JOIN events ON event_type = kind GROUP BY kind")
+def entity_type_counts(t: Tables) -> DataFrame:
+    kinds = t.spark.createDataFrame([(k,) for k in ("click", "error", "purchase", "signup", "view", "never")], "kind string")
+    n = t.events.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.join(n, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("a29_adapter_stats", "SELECT s_nationkey, count(*) FILTER (s_acctbal >= 0) AS active, count(*) FILTER (s_acctbal < 0) AS failed FROM supplier GROUP BY 1")
+def adapter_stats(t: Tables) -> DataFrame:
+    return t.supplier.groupBy("s_nationkey").agg(F.count_if(F.col("s_acctbal") >= 0).alias("active"), F.count_if(F.col("s_acctbal") < 0).alias("failed"))
+
+
+@query("a31_plan_progress", "SELECT l_orderkey AS plan, round(avg((l_returnflag <> 'N')::INT), 6) AS done, min(l_linenumber) FILTER (l_returnflag = 'N') AS next_step FROM lineitem GROUP BY 1")
+def plan_progress(t: Tables) -> DataFrame:
+    """Finished share of a plan's steps and its first unfinished one."""
+    done = F.col("l_returnflag") != "N"
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("plan")).agg(F.round(F.avg(done.cast("int")), 6).alias("done"), F.min(F.when(~done, F.col("l_linenumber"))).alias("next_step"))
+
+
+@query("k13_vector_upsert")
+def vector_upsert(t: Tables) -> DataFrame:
+    old, new = t.embeddings.where("vec_id % 3 <> 0").select("vec_id", "label"), t.embeddings.where("vec_id % 2 = 0").select("vec_id", F.lit(1).alias("label"))
+    return upsert(old, new, ["vec_id"])
+
+
+@query("m14_complete_keywords", "SELECT word FROM (VALUES ('def'), ('del'), ('class'), ('default')) v(word) WHERE starts_with(word, 'de') AND word <> 'de'")
+def complete_keywords(t: Tables) -> DataFrame:
+    words = t.spark.createDataFrame([(w,) for w in ("def", "del", "class", "default")], "word string")
+    return words.where(F.col("word").startswith("de") & (F.col("word") != "de"))
+
+
+@query("m9_update_signature", "SELECT p_partkey, regexp_replace(p_name, '\\bring\\b', 'ring(x)') AS name FROM part")
+def update_signature(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", F.regexp_replace("p_name", r"\bring\b", "ring(x)").alias("name"))
+
+
+@query("m20_store_solution", "SELECT substring(md5(lower(p_name)), 1, 12) AS key, count(*) AS tries, max(p_size) AS best FROM part GROUP BY 1")
+def store_solution(t: Tables) -> DataFrame:
+    return t.part.groupBy(F.substring(F.md5(F.lower("p_name").cast("binary")), 1, 12).alias("key")).agg(F.count("*").alias("tries"), F.max("p_size").alias("best"))
+
+
+@query("m33_evolution_narrative", "SELECT p_type, CASE p_type WHEN 'ECONOMY' THEN 'cheap' WHEN 'SMALL' THEN 'little' ELSE 'other' END || ' parts: ' || count(*) AS narrative FROM part GROUP BY p_type")
+def evolution_narrative(t: Tables) -> DataFrame:
+    word = F.coalesce(F.element_at(F.create_map(F.lit("ECONOMY"), F.lit("cheap"), F.lit("SMALL"), F.lit("little")), F.col("p_type")), F.lit("other"))
+    return t.part.groupBy("p_type").agg(F.count("*").alias("n")).select("p_type", F.concat(word, F.lit(" parts: "), "n").alias("narrative"))
+
+
+@query("m34_plan_parse", "SELECT event_id, (props->>'$.k')::INT AS k FROM events")
+def plan_parse(t: Tables) -> DataFrame:
+    """JSON inside free text."""
+    said = F.concat(F.lit("the plan is "), "props", F.lit(" so far"))
+    return t.events.select("event_id", F.from_json(F.regexp_extract(said, r"(\{.*\})", 1), "k int")["k"].alias("k"))
+
+
+@query("m37_echo_stats", "SELECT l_orderkey, round(sum(l_linenumber) / sum(l_quantity), 6) AS echoed, round(1 / (1 - least(0.99, sum(l_linenumber) / sum(l_quantity))), 6) AS speedup FROM lineitem GROUP BY 1")
+def echo_stats(t: Tables) -> DataFrame:
+    share = F.sum("l_linenumber") / F.sum("l_quantity")
+    return t.lineitem.groupBy("l_orderkey").agg(F.round(share, 6).alias("echoed"), F.round(1 / (1 - F.least(F.lit(0.99), share)), 6).alias("speedup"))
+
+
+@query("m38_adapter_registry", "SELECT s_nationkey, arg_max(s_suppkey, (s_acctbal, s_suppkey)) AS active FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def adapter_registry(t: Tables) -> DataFrame:
+    return t.supplier.where("s_acctbal > 0").groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("active"))
+
+
+@query("m43_few_shot_pick", "SELECT p_partkey, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT AS hits FROM part WHERE contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT >= 2 ORDER BY 2 DESC, 1 LIMIT 1")
+def few_shot_pick(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", x.hits(F.col("p_name"), ["red", "ring"]).alias("hits")).where("hits >= 2").orderBy(F.desc("hits"), "p_partkey").limit(1)
+
+
+@query("m44_code_fixups", "SELECT doc_id, length(regexp_replace(replace(text, chr(9), '    '), '[ ]+' || chr(10), chr(10), 'g')) AS n FROM documents")
+def code_fixups(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.length(F.regexp_replace(F.replace("text", F.lit("\t"), F.lit("    ")), " +\n", "\n")).cast("long").alias("n"))
+
+
+@query("t53_context_assemble", "WITH p AS (SELECT source, doc_id, sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT source, count(*) AS parts, max(used)::BIGINT AS used FROM p WHERE used <= 4000 GROUP BY source")
+def context_assemble(t: Tables) -> DataFrame:
+    """Parts of a source that fit a budget of tokens, in order."""
+    used = F.sum(F.floor(F.col("n_chars") / 4)).over(Window.partitionBy("source").orderBy("doc_id"))
+    return t.documents.select("source", used.alias("used")).where("used <= 4000").groupBy("source").agg(F.count("*").alias("parts"), F.max("used").alias("used"))
+
+
+@query("m21_memory_context", "SELECT conv_id, list(turn ORDER BY n DESC, turn)[1:3] AS turns FROM (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 20) GROUP BY conv_id")
+def memory_context(t: Tables) -> DataFrame:
+    rows = t.conversations.where("length(text) > 20").select("conv_id", F.struct((-F.length("text")).alias("n"), "turn").alias("r"))
+    return rows.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 3).alias("r")).select("conv_id", F.col("r.turn").alias("turns"))
+
+
+@query("m30_verify_text", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'refuted' ELSE 'verified' END AS verdict FROM orders")
+def verify_text(t: Tables) -> DataFrame:
+    s = t.orders.select("o_orderkey", F.concat("o_orderkey", F.lit(" + 2 = "), F.col("o_orderkey") + F.when(F.col("o_orderkey") % 7 == 0, 3).otherwise(2)).alias("text"))
+    return s.select("o_orderkey", F.when(F.exists(x.arithmetic_claims(F.col("text")), lambda c: ~c["holds"]), "refuted").otherwise("verified").alias("verdict"))
+
+
+@query("m41_mixed_context", "SELECT conv_id, count(*) AS parts FROM (SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'the') UNION ALL SELECT conv_id, turn FROM conversations WHERE length(text) > 200) GROUP BY conv_id")
+def mixed_context(t: Tables) -> DataFrame:
+    c = t.conversations.select("conv_id", "turn", "text")
+    return c.where(F.contains(F.lower("text"), F.lit("the"))).unionByName(c.where("length(text) > 200")).groupBy("conv_id").agg(F.count("*").alias("parts"))

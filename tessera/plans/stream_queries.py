@@ -1 +1,65 @@
-"""Queries."""
+"""Streaming operators over events, as batches (a stream gives the same, see the tests)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..streaming import watch
+from .registry import Tables, query
+
+
+def changes(t: Tables) -> DataFrame:
+    return t.events.select("ts", F.concat(F.lit("u"), "user_id").alias("path"), F.when(F.col("event_type") == "view", "move").otherwise(F.col("event_type")).alias("kind"), F.concat(F.lit("v"), "user_id").alias("target"), (F.col("event_id") % 4).alias("watcher"))
+
+
+_C = "c AS (SELECT ts, 'u' || user_id AS path, CASE event_type WHEN 'view' THEN 'move' ELSE event_type END AS kind, 'v' || user_id AS target, event_id % 4 AS watcher FROM events)"
+
+
+@query("x1_event_source", f"WITH {_C} SELECT ts, path, CASE kind WHEN 'move' THEN 'delete' ELSE kind END AS kind FROM c UNION ALL SELECT ts, target, 'modify' FROM c WHERE kind = 'move'")
+def event_source(t: Tables) -> DataFrame:
+    return watch.moves_apart(changes(t))
+
+
+@query("x2_enqueue_filter", f"WITH {_C} SELECT ts, path FROM c WHERE NOT ends_with(path, '7') AND kind <> 'click'")
+def enqueue_filter(t: Tables) -> DataFrame:
+    return changes(t).where(~F.col("path").endswith("7") & (F.col("kind") != "click")).select("ts", "path")
+
+
+@query("x3_debounce", "WITH RECURSIVE e AS (SELECT event_id % 4 AS watcher, epoch(ts) AS t, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM events WHERE event_id < 1200), r AS (SELECT watcher, k, t AS opened, 1 AS batch FROM e WHERE k = 1 UNION ALL SELECT e.watcher, e.k, CASE WHEN e.t - r.opened >= 599.8 THEN e.t ELSE r.opened END, CASE WHEN e.t - r.opened >= 599.8 THEN r.batch + 1 ELSE r.batch END FROM r JOIN e ON e.watcher = r.watcher AND e.k = r.k + 1) SELECT watcher, batch, count(*) AS n FROM r GROUP BY ALL")
+def debounce(t: Tables) -> DataFrame:
+    rows = t.events.where("event_id < 1200").select("ts", (F.col("event_id") % 4).alias("watcher"))
+    return watch.debounce(rows, 600.0, 0.2).groupBy("watcher", "batch").agg(F.count("*").alias("n"))
+
+
+@query("x4_dedup_by_path", f"WITH {_C} SELECT path, arg_max(kind, ts) AS kind, max(ts) AS ts FROM c GROUP BY path")
+def dedup_by_path(t: Tables) -> DataFrame:
+    return watch.latest(changes(t))
+
+
+@query("x8_polling_watcher", "SELECT doc_id FROM documents WHERE n_chars > 2000 OR doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 5 <> 0)")
+def polling_watcher(t: Tables) -> DataFrame:
+    """Files that are new or changed since they were seen."""
+    seen = t.documents.where("doc_id % 5 <> 0").select("doc_id", F.lit(2000).cast("long").alias("mtime"))
+    return t.documents.select("doc_id", F.col("n_chars").alias("now")).join(seen, "doc_id", "left").where("mtime IS NULL OR now > mtime").select("doc_id")
+
+
+@query("x9_incremental_rescan", "WITH b AS (SELECT DISTINCT substring(md5(source), 1, 10) AS f FROM documents WHERE doc_id % 7 = 1), n AS (SELECT DISTINCT substring(md5(source), 1, 10) AS f FROM documents WHERE doc_id % 7 = 2) SELECT coalesce(b.f, n.f) AS fingerprint, CASE WHEN b.f IS NULL THEN 'added' WHEN n.f IS NULL THEN 'resolved' ELSE 'unchanged' END AS state FROM b FULL JOIN n ON b.f = n.f")
+def incremental_rescan(t: Tables) -> DataFrame:
+    d = t.documents.select("doc_id", F.substring(F.md5(F.col("source").cast("binary")), 1, 10).alias("fingerprint"))
+    return watch.rescan(d.where("doc_id % 7 = 1"), d.where("doc_id % 7 = 2"))
+
+
+@query("x10_token_stats", "SELECT user_id, count(*) AS tokens, round(max(value), 6) AS most FROM events GROUP BY user_id")
+def token_stats(t: Tables) -> DataFrame:
+    return t.events.groupBy("user_id").agg(F.count("*").alias("tokens"), F.round(F.max("value"), 6).alias("most"))
+
+
+@query("x3_tumbling_activity", "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")
+def tumbling_activity(t: Tables) -> DataFrame:
+    return watch.activity(t.events.withColumnRenamed("event_type", "kind"))
+
+
+@query("m35_session_lifecycle", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def session_lifecycle(t: Tables) -> DataFrame:
+    return watch.sessions(t.events)
