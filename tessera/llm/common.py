@@ -156,7 +156,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
         self.data = _LOWER[data] if lower else data
-        solid = ~_SPACE[data]
+        solid = self.solid = ~_SPACE[data]
         edge = np.empty(len(data) + 1, bool)
         edge[0], edge[1:] = True, ~solid
         edge[offsets] = True  # a document's end also ends a word
