@@ -79,12 +79,13 @@ def entity_context(t: Tables) -> DataFrame:
     return hit.unionByName(t.nation.agg(F.count("*").alias("known")).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(-1).cast("long").alias("turn"), "known"))
 
 
-@query("t34_extract_claims")
+@query("t34_extract_claims", "SELECT o_orderkey, w.name, p.name IS NOT NULL AS known FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'ring' ELSE 'nothing' || (o_orderkey % 3) END AS name FROM orders) w LEFT JOIN (SELECT DISTINCT split_part(p_name, ' ', 2) AS name FROM part) p ON p.name = w.name")
 def extract_claims(t: Tables) -> DataFrame:
     """Functions that answers claim, with whether the symbols have them."""
-    claims = t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"`?(\w+)\(\)`?"), F.lit(1))).alias("name"))
-    known = t.part.select(F.substring_index("p_name", " ", -1).alias("name"), F.lit(True).alias("known")).distinct()
-    return claims.join(known, "name", "left").select("conv_id", "turn", "name", F.coalesce("known", F.lit(False)).alias("known"))
+    said = t.orders.select("o_orderkey", F.concat(F.lit("it calls `"), F.when(F.col("o_orderkey") % 3 == 0, "ring").otherwise(F.concat(F.lit("nothing"), F.col("o_orderkey") % 3)), F.lit("()` first")).alias("text"))
+    claims = said.select("o_orderkey", F.explode(F.regexp_extract_all("text", F.lit(r"`(\w+)\(\)`"), F.lit(1))).alias("name"))
+    known = t.part.select(F.element_at(F.split("p_name", " "), 2).alias("name"), F.lit(True).alias("known")).distinct()
+    return claims.join(known, "name", "left").select("o_orderkey", "name", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 @query("t35_arith_claims")
