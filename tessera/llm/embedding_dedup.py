@@ -109,7 +109,6 @@ def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, cells: np.nd
         np.add.at(links, b, copies[a])
         pairs.append((a, b))
     a, b = (np.concatenate(z) for z in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    label = np.arange(len(ids))
     label = _local_labels(len(ids), a, b)
     least = np.full(len(ids), NULL_ID)
     np.minimum.at(least, label, ids)
@@ -153,3 +152,14 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+#: The same by plain SQL over all pairs.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT a AS node, b AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT node, min(reach) AS least FROM r GROUP BY node)
+SELECT vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN m ON m.node = vec_id
+"""
