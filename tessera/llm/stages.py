@@ -9,6 +9,8 @@ from . import jaccard_join, mixing, packing, quality, secrets
 from .common import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near-duplicates in the pipeline: words of a shingle and percent of shared shingles.
+SHINGLE, NEAR = 5, 80
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +21,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least id of each group of near-duplicates; of rows equal in id and text, one."""
-    found = jaccard_join.jaccard_join(docs)
+    found = jaccard_join.jaccard_join(docs, words=SHINGLE, percent=NEAR)
     kept = found.where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(jaccard_join.NULL_ID)).alias("_id")).distinct()
     rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NULL_ID)).alias("_id"), F.xxhash64("text").alias("_key"))
     first = rows.groupBy("_id", "_key").agg(F.count("*").alias("times")).join(kept, "_id", "left_semi")

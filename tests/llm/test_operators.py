@@ -148,18 +148,19 @@ def test_op6(odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
-@pytest.mark.parametrize("kw", [{}, {"task": 900}])
+@pytest.mark.parametrize("kw", [{}, {"task": 900}, {"words": 5, "percent": 80}])
 def test_op7(odd, empty, kw):
+    k, percent = kw.get("words", 4), kw.get("percent", 85)
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
     for _, t in ROWS:
         w = WORD.findall(t.translate(low))
-        sets.append(set(zip(w, w[1:], w[2:], w[3:], strict=False)) if len(w) >= 4 else {tuple(w)} if w else set())
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
     node = [INF if i is None else i for i, _ in ROWS]
     label = {n: n for n in node}
     for i, a in enumerate(sets):
         for j, b in enumerate(sets[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 x, y = label[node[i]], label[node[j]]
                 label = {n: min(x, y) if v in (x, y) else v for n, v in label.items()}
     got = jaccard_join.jaccard_join(odd, **kw).collect()
@@ -227,7 +228,7 @@ def test_pipeline_stages(spark, odd, labels, tmp_path):
     for stage in (stages.good_documents, stages.one_of_each_group, stages.without_secrets, stages.mixed):
         assert stage(spark, docs, str(tmp_path)).columns == list(stages.COLUMNS)
     one = stages.one_of_each_group(spark, odd, str(tmp_path))
-    ids = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(odd).collect()}
+    ids = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(odd, words=stages.SHINGLE, percent=stages.NEAR).collect()}
     kept = Counter((r.doc_id, r.text) for r in one.collect())
     assert max(kept.values()) == 1 and {i for i, _ in kept} == {i for i, c in ids.items() if i == c}
     words = {r.source: 0 for r in mixing.mix(odd).collect()}
