@@ -23,6 +23,8 @@ PIECE = 2 << 20
 NULL_ID = (1 << 63) - 1
 
 _written: list[tuple[SparkSession, str]] = []
+#: Folders of applications without a shared one.
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        app = spark.sparkContext.applicationId
+        at = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
     return at.rstrip("/")
 
 
