@@ -1,14 +1,16 @@
 """Operator 5: near-duplicate vectors by spherical k-means cells.
 
 Equal vectors are one class.  Centroids are fitted on a sample of classes of at
-most `sample` rows; every class is then put into its `near` nearest cells, and a
-pair is counted in the first cell that both share.  A cell is split into blocks
-of about `block` vectors, and each pair of blocks is a task of its own: blocked
-products in double precision, links counted per vector, connections kept as
-one edge per vector to its least local relative.  No pair of vectors is emitted.
+most `sample` rows.  Classes are laid in order of their nearest centroid and of
+their angle to it, and cut into tiles of about `WIDE` blocks; each pair of tiles
+is a task of its own, so every pair of vectors is met once: blocked products in
+double precision, links counted per vector, connections kept as one edge per
+vector to its least local relative.  No pair of vectors is emitted.
 
-Pairs that share none of their nearest cells are missed; on the test tables the
-recall against brute force is 1 (see tests/llm).
+No pair is missed.  The order only saves work: a strip of vectors is multiplied
+with those whose angle to the strip's mean lies within the strip's own angles,
+widened by arccos(cosine); by the triangle inequality the others link with none
+of it.  Vectors without clusters are compared all with all.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; rows
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, materialize, table
 from .components import connected_components
 
-COSINE, CELL, NEAR, BLOCK, SAMPLE, MOST_CELLS = 0.9, 1000, 4, 1024, 50_000, 8192
+COSINE, CELL, BLOCK, SAMPLE, MOST_CELLS = 0.9, 1000, 1024, 50_000, 8192
+#: Blocks of a tile, and shells that the angles to a centroid are cut into.
+WIDE, SHELLS = 8, 16
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -53,7 +57,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(classes: DataFrame, centroids: dict[int, np.ndarray], near: int) -> DataFrame:
+def _angles(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ c, -1, 1))
+
+
+def _assign(classes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
+    """dim, cell (nearest centroid) and shell (of the angle to it) of every class."""
     shared = classes.sparkSession.sparkContext.broadcast(centroids)  # MOST_CELLS centroids at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,16 +71,29 @@ def _assign(classes: DataFrame, centroids: dict[int, np.ndarray], near: int) ->
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 c = shared.value.get(int(dim))
-                x = _matrix(part.column(2))
-                if c is None:
-                    cells = np.zeros((len(x), 1), np.int64)
-                else:
-                    n = min(near, len(c))
-                    cells = np.sort(np.argpartition(-(x @ c.T), n - 1, axis=1)[:, :n], axis=1)
-                flat = pa.array((cells + (int(dim) << 32)).ravel())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * cells.shape[1]), flat)], names=["_id", "copies", "vec", "cells"])
-
-    return classes.mapInArrow(run, "_id long, copies long, vec array<double>, cells array<long>")
+                cell = shell = np.zeros(len(part), np.int64)
+                if c is not None:
+                    near = _matrix(part.column(2)) @ c.T
+                    cell = near.argmax(1)
+                    shell = (np.arccos(np.clip(near.max(1), -1, 1)) * (SHELLS / np.pi)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), dim, np.int64)), pa.array(cell), pa.array(shell)], names=["_id", "copies", "vec", "dim", "cell", "shell"])
+
+    return classes.mapInArrow(run, "_id long, copies long, vec array<double>, dim long, cell long, shell long")
+
+
+def _tiles(placed: DataFrame, size: int) -> DataFrame:
+    """placed with `own`, the tile of each class among the `tiles` of its dimension."""
+    counts = placed.groupBy("dim", "cell", "shell").count().orderBy("dim", "cell", "shell").collect()  # SHELLS a cell at most
+    total: dict[int, int] = {}
+    before = []
+    for r in counts:
+        before.append(total.get(r.dim, 0))
+        total[r.dim] = before[-1] + r["count"]
+    groups = [(r.dim, r.cell, r.shell, at, r["count"], -(-total[r.dim] // size)) for r, at in zip(counts, before, strict=True)]
+    groups = placed.sparkSession.createDataFrame(groups, "dim long, cell long, shell long, before long, n long, tiles long")
+    place = F.col("before") + F.col("n") * F.pmod(F.xxhash64("_id", "vec"), F.lit(1 << 20)) / F.lit(1 << 20)
+    own = F.least(F.floor(place / F.lit(size)), F.col("tiles") - 1).cast("int")
+    return placed.join(F.broadcast(groups), ["dim", "cell", "shell"]).withColumn("own", own).drop("before", "n")
 
 
 def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,15 +112,22 @@ def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, cells: np.ndarray, cell: int, side: np.ndarray, diagonal: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(id, least local relative, links) of the vectors that link within a pair of blocks."""
-    order = np.lexsort((ids, side))
+    order = np.argsort(side, kind="stable")
     ids, copies, x, cells, side = ids[order], copies[order], x[order], cells[order], side[order]
     split = 0 if diagonal else int(np.searchsorted(side, side[-1]))
     links = np.zeros(len(ids), np.int64)
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    label = np.arange(len(ids))
+    reach = np.arccos(min(max(cosine, -1.0), 1.0)) + 1e-6
     for lo in range(0, len(ids) if diagonal else split, 256):
         hi = min(lo + 256, len(ids) if diagonal else split)
-        a, b = np.nonzero(x[lo:hi] @ x[split:].T >= cosine)
-        a, b = a + lo, b + split
+        rest = np.arange(lo if diagonal else split, len(ids))
+        mean = x[lo:hi].mean(axis=0)
+        if (norm := np.linalg.norm(mean)) > 0:
+            # what lies farther from the strip's angles links with none of it
+            strip, far = _angles(x[lo:hi], mean / norm), _angles(x[rest[0] :] if len(rest) else x[:0], mean / norm)
+            rest = rest[(far >= strip.min() - reach) & (far <= strip.max() + reach)]
+        a, b = np.nonzero(x[lo:hi] @ x[rest].T >= cosine)
+        a, b = a + lo, rest[b]
         if diagonal:
             a, b = a[a < b], b[a < b]
         # the first cell that both share is the one that counts the pair
@@ -107,16 +136,15 @@ def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, cells: np.nd
         a, b = a[mine], b[mine]
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
-        pairs.append((a, b))
-    a, b = (np.concatenate(z) for z in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
-    label = _local_labels(len(ids), a, b)
+        if len(a):
+            label = _local_labels(len(ids), np.concatenate([a, np.arange(len(ids))]), np.concatenate([b, label]))
     least = np.full(len(ids), NULL_ID)
     np.minimum.at(least, label, ids)
     hit = np.flatnonzero(links)
     return ids[hit], least[label[hit]], links[hit]
 
 
-def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, near: int = NEAR, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -130,18 +158,18 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
         if k > 1:
             got = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(min(sample, max(2000, 32 * k))).select("vec").toArrow()
             centroids[dim] = spherical_kmeans(_matrix(got.column("vec")), k)
-    placed = materialize(_assign(classes, centroids, near).select("*", F.explode("cells").alias("cell")), "placed")
-    blocks = placed.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = placed.join(blocks, "cell").withColumn("own", F.pmod(F.xxhash64("_id", "cell"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "copies", "vec", "cells")
+    placed = materialize(_assign(classes, centroids), "placed")
+    dealt = _tiles(placed, WIDE * block)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "copies", "vec", "cell", "shell")
 
     def run(group: pa.Table) -> pa.Table:
-        i, j, c = (group.column(k)[0].as_py() for k in ("i", "j", "cell"))
-        lists = group.column("cells").combine_chunks()
-        found = block_links(group.column("_id").to_numpy(), group.column("copies").to_numpy(), _matrix(group.column("vec")), lists.flatten().to_numpy().reshape(len(lists), -1), c, group.column("own").to_numpy(), i == j, cosine)
+        i, j, dim = (group.column(k)[0].as_py() for k in ("i", "j", "dim"))
+        group = group.take(pa.array(np.lexsort((group.column("shell").to_numpy(), group.column("cell").to_numpy()))))
+        one = np.full((len(group), 1), dim)
+        found = block_links(group.column("_id").to_numpy(), group.column("copies").to_numpy(), _matrix(group.column("vec")), one, dim, group.column("own").to_numpy(), i == j, cosine)
         return pa.Table.from_arrays([pa.array(x) for x in found], names=["a", "b", "links"])
 
-    linked = materialize(dealt.groupBy("cell", "i", "j").applyInArrow(run, "a long, b long, links long"), "linked")
+    linked = materialize(dealt.groupBy("dim", "i", "j").applyInArrow(run, "a long, b long, links long"), "linked")
     total = linked.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     component = connected_components(linked.select("a", "b")).withColumnRenamed("node", "rep")
     known = classes.select(F.col("vec").alias("own_vec"), F.col("_id").alias("rep"), "copies").join(total, "rep", "left").join(component, "rep", "left")

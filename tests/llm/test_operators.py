@@ -125,6 +125,19 @@ def test_op5(spark):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_op5_compares_all_of_a_hot_group(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 64))
+    x[:500] = rng.normal(size=64) + 0.28 * rng.normal(size=(500, 64))
+    m = x.astype(np.float32).astype(float)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    hit = (m @ m.T >= 0.9) & ~np.eye(900, dtype=bool)
+    label = embedding_dedup._local_labels(900, *np.nonzero(hit))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_dedup(df, cell=5, block=16).collect()}
+    assert hit.sum() > 100_000 and got == {i: (int(hit[i].sum()), int(label[i])) for i in range(900)}
+
+
 def test_op6(odd, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = packing.default_tokenizer()
