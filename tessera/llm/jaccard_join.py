@@ -91,11 +91,11 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) whose components hold every pair of classes that can link."""
-    tokens = classes.select("rep", "n", F.explode("low").alias("token"))
+    tokens = classes.select("rep", "_key", "n", F.explode("low").alias("token"))
     counted = f"token >= 0 AND token < {int(COUNTED)}"  # as signed numbers, hashes of the upper half are negative
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = tokens.select("rep", "token").join(often, "token").groupBy("rep").agg(F.collect_list(F.struct(F.expr(f"CASE WHEN {counted} THEN df ELSE 9223372036854775807 END").alias("df"), F.expr("shiftrightunsigned(token, 1)").alias("place"), "token")).alias("shared"))
-    met = classes.select("rep", "n", F.size("low").alias("all"), F.expr(f"size(filter(low, token -> {counted}))").alias("counted")).join(shared, "rep")
+    shared = tokens.select("rep", "_key", "token").join(often, "token").groupBy("rep", "_key").agg(F.collect_list(F.struct(F.expr(f"CASE WHEN {counted} THEN df ELSE 9223372036854775807 END").alias("df"), F.expr("shiftrightunsigned(token, 1)").alias("place"), "token")).alias("shared"))
+    met = classes.select("rep", "_key", "n", F.size("low").alias("all"), F.expr(f"size(filter(low, token -> {counted}))").alias("counted")).join(shared, ["rep", "_key"])
     # counted shingles that occur once come first in the order; uncounted ones come last and take their place by hash
     met = met.withColumn("prefix", F.expr(f"n - (n * {percent} + 99) div 100 + 1")).withColumn("single", F.expr("counted - size(filter(shared, s -> s.df < 9223372036854775807))"))
     picked = met.where("prefix > single").select("rep", "n", F.explode(F.expr("slice(array_sort(shared), 1, cast(prefix - single as int))")).alias("s")).select("rep", "n", "s.token")
@@ -199,7 +199,7 @@ def _exact(docs: DataFrame, placed: DataFrame, words: int, percent: int, task: i
     sizes = sizes.select("component", F.ceil(F.col("total") / F.lit(task // 2)).cast("int").alias("tasks"))
     where = placed.join(sizes, "component").withColumn("task", F.when(F.col("tasks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tasks"))).cast("int"))
     where = where.select("rep", "component", "task", "tasks", F.col("rep_key").alias("_key")).hint("shuffle_hash")
-    texts = docs.select(F.col("_id").alias("rep"), "_key", "text").join(where, ["rep", "_key"]).dropDuplicates(["rep"])
+    texts = docs.select(F.col("_id").alias("rep"), "_key", "text").join(where, ["rep", "_key"]).dropDuplicates(["rep", "_key"])
     bodies = texts.select("rep", "text", "component", "task", "tasks").mapInArrow(read, "rep long, component long, task int, tasks int, body binary")
     pairs = F.when(F.col("tasks") == 1, F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.col("task").alias("i"), F.col("task").alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("tasks") - 1), lambda o: o != F.col("task")), lambda o: F.struct(F.col("component").alias("c"), F.least("task", o).alias("i"), F.greatest("task", o).alias("j"))))
     dealt = bodies.withColumn("to", F.explode(pairs)).select("to.*", "rep", "component", "body")

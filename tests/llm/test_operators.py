@@ -235,6 +235,16 @@ def test_op10(odd, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_op7_compares_every_text_of_an_id(spark):
+    rng = np.random.default_rng(3)
+    texts = [[f"t{k}w{n}" for n in rng.integers(0, 10**6, 200)] for k in range(6)]
+    near = lambda k: " ".join([*texts[k][:-1], "other"])
+    full = [" ".join(t) for t in texts]
+    rows = [(5, full[0]), (5, full[1]), (3, near(0)), (2, near(1)), (None, full[2]), (None, full[3]), (None, full[4]), (7, near(2)), (8, near(3)), (9, near(4)), (11, full[5])]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 2, 3: 2, 2: 2, None: 7, 7: 7, 8: 7, 9: 7, 11: 11}
+
+
 def test_pipeline_stages(spark, odd, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     docs = odd.select(*stages.COLUMNS)
