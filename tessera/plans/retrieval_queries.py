@@ -128,7 +128,7 @@ def hdc_encode(t: Tables) -> DataFrame:
         out = []
         for text in texts:
             total, n = np.zeros(dim, np.int32), 0
-            for i, word in enumerate(str(text or "").lower().split()[:64]):
+            for i, word in enumerate(str(text or "").lower().split()):
                 v = np.zeros(dim, np.uint8)
                 for j, c in enumerate(word.encode()):
                     v ^= np.roll(book[c], j)

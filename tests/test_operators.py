@@ -1,9 +1,13 @@
 """Small cases of the store, graph, history, vector, scan and source operators."""
 
+from types import SimpleNamespace
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
 from tessera.operators import curate, graph, history, scan, store, vectors
+from tessera.plans import retrieval_queries
 from tessera.sources import readers
 from tessera.streaming import watch
 
@@ -129,3 +133,19 @@ def test_watcher(spark, tmp_path):
     assert w.status()["added"] == 1 and w.status()["updated"] == 1 and w.status()["errors"] == 0
     w.apply(snap.select("k"), 9)
     assert w.errors == 1 and w.snapshot.count() == 2
+
+
+def test_hdc_encode_takes_all_words(spark):
+    book = np.random.RandomState(42).randint(0, 2, (256, 1024))
+    long = [f"w{k % 37}x{k}" for k in range(300)]
+    texts = [" ".join(long), " ".join([*long[:100], *long[:200]]), " ".join(long[:64]), "one", ""]
+    want = []
+    for text in texts:
+        votes = np.zeros(1024, int)
+        for i, word in enumerate(text.split()):
+            bits = sum(np.roll(book[c], j) for j, c in enumerate(word.encode())) % 2
+            votes += np.roll(2 * bits - 1, i)
+        want.append(np.packbits(votes > 0).tobytes())
+    df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
+    got = {r.turn: bytes(r.bits) for r in retrieval_queries.hdc_encode(SimpleNamespace(conversations=df)).collect()}
+    assert got == dict(enumerate(want))
