@@ -11,6 +11,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch between the JVM and Python; Spark's own bound counts rows, however long.
+BATCH = 8 << 20
+_BOUND, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def session(app: str = "tessera", **conf: str) -> SparkSession:
@@ -22,7 +25,9 @@ def session(app: str = "tessera", **conf: str) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application, by Spark's own file server."""
+    """Send this package to the executors, once for each application, by Spark's own file server; bound Arrow batches."""
+    if spark.conf.get(_BOUND, None) in (None, _DEFAULT):
+        spark.conf.set(_BOUND, f"{BATCH}b")
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
