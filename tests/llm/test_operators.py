@@ -221,8 +221,8 @@ def test_op9(odd, empty, labels, spark):
 
 
 def test_op10(odd, empty):
-    for limit, bits in ((5000, 3), (1 << 20, None), (700, 60)):
-        got = sharding.shard(odd, limit=limit, bits=bits).collect()
+    for limit, kw in ((5000, {"width": 3}), (1 << 20, {}), (700, {"width": 30, "step": 9})):
+        got = sharding.shard(odd, limit=limit, **kw).collect()
         same([(r.doc_id, r.n_bytes) for r in got], [(i, len(t.encode())) for i, t in ROWS])
         total, docs = Counter(), Counter()
         for r in got:
