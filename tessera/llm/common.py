@@ -8,6 +8,9 @@ never by the partition.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text a kernel takes at once.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Stands for a null id inside an operator; null ids sort last.
 NULL_ID = (1 << 63) - 1
 
@@ -33,8 +36,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see; where that is unset the warehouse, and in local mode a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        at = spark.conf.get("spark.sql.warehouse.dir")
     if not at:
         app = spark.sparkContext.applicationId
         at = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
@@ -52,7 +57,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def _drop_all() -> None:
     for spark, path in _written:
         try:
-            drop_path(spark, path)
+            if path.startswith("table:"):
+                spark.sql(f"DROP TABLE IF EXISTS {path[6:]}")
+            else:
+                drop_path(spark, path)
         except Exception:  # noqa: BLE001  the session has ended; its owner clears the folder
             return
 
@@ -87,42 +95,55 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASES = tuple(int(_mix(np.array([i + 11], np.uint64))[0]) | 1 for i in range(4))
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Odd multipliers: of the left half, of the right half, of the mixing.
+_LEFT, _RIGHT, _MORE = (np.uint64(int(_mix(np.array([i + 11], np.uint64))[0]) | 1) for i in range(3))
 
 
-def _power(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and their inverses, for n positions at least."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(PIECE + 4096, n)
-        with np.errstate(over="ignore"):
-            one = np.full(size, base, np.uint64)
-            one[0] = 1
-            inv = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-            inv[0] = 1
-            have = _powers[base] = (np.cumprod(one), np.cumprod(inv))
-    return have
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in order; the mixing leaves no algebra between ranges of different content."""
+    out = a * _LEFT
+    out += b * _RIGHT
+    out ^= out >> np.uint64(32)
+    out *= _MORE
+    out ^= out >> np.uint64(29)
+    return out
 
 
-class Rolling:
-    """Hashes of any range of a sequence of uint64 values, by prefix sums of a polynomial."""
+def window_hashes(values: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of every run of `length` values: halves are paired, so log2(length) passes do."""
+    have, out = 1, values
+    while have * 2 <= length:
+        out = _pair(out[: max(0, len(out) - have)], out[have:])
+        have *= 2
+    if have < length:
+        step = length - have
+        out = _pair(out[: max(0, len(out) - step)], out[step:])
+    return out
 
-    def __init__(self, values: np.ndarray, which: int = 0):
-        pw, self.inverse = _power(_BASES[which], len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * pw[: len(values)], out=self.sums[1:])
 
-    def __call__(self, at: np.ndarray | slice, length: np.ndarray | int) -> np.ndarray:
-        if isinstance(at, slice):
-            stop = at.stop
-            out = self.sums[at.start + length : stop + length] - self.sums[at.start : stop]
-            out *= self.inverse[at.start : stop]
-            return _mix(out)
-        out = self.sums[at + length] - self.sums[at]
-        out *= self.inverse[at]
-        return _mix(out)
+def range_hashes(values: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of values, of its length and of the two runs of a power of two that cover it."""
+    out = length.astype(np.uint64)
+    level = np.frexp(np.maximum(length, 1).astype(np.float64))[1] - 1
+    run, have = values, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            run = _pair(run[: len(run) - have], run[have:])
+            have *= 2
+        pick = np.flatnonzero((level == k) & (length > 0))
+        if len(pick):
+            first = at[pick]
+            out[pick] = _pair(_pair(run[first], run[first + length[pick] - have]), out[pick])
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit cryptographic digests of byte ranges, as two columns of longs: equal digests stand for equal bytes."""
+    raw, one = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    found = b"".join([one(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    both = np.frombuffer(found, "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -171,8 +192,17 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        roll = Rolling(byte_values(self.data))
-        return roll(self.starts, self.ends - self.starts) + (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return range_hashes(byte_values(self.data), self.starts, self.ends - self.starts)
+
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes with one blank after each, and the words' bounds in them (the blank counts to its word)."""
+        size = self.ends - self.starts + 1
+        bound = np.concatenate([[0], np.cumsum(size)])
+        out = np.full(int(bound[-1]), 0x20, np.uint8)
+        inside = np.ones(len(out), bool)
+        inside[bound[1:] - 1] = False
+        out[inside] = self.data[self.solid]
+        return out, bound
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -194,41 +224,47 @@ def blocks(values: np.ndarray, first: np.ndarray, window: int, gram: int) -> dic
     leftmost of equals: it depends on the window's content alone, so equal
     windows have equal anchors at equal places.  A block is a maximal run of
     window starts with one anchor occurrence.  Returned per block: doc (index
-    into first), start and n (window starts, relative to the document), fp
-    (hash of the anchor) and ctx (hash of all units that the windows cover).
-    Two windows can be equal only within blocks of one fp; blocks of equal
-    (fp, ctx) hold equal windows.
+    into first), start and n (window starts, relative to the document), at
+    (start in values) and fp (hash of the anchor).  Two windows can be equal
+    only within blocks of one fp.
     """
-    empty = {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "fp", "ctx", "at")}
+    empty = {k: np.zeros(0, np.int64) for k in ("doc", "start", "n", "fp", "at")}
     if len(values) < window:
         return empty
     lengths = np.diff(first)
-    roll = Rolling(values, 1)
-    grams = roll(slice(0, len(values) - gram + 1), gram)
+    grams = window_hashes(values, gram)
     # the high bits of the hash, then the place: the least is the leftmost of equals
     bits = np.uint64(max(22, int(len(grams)).bit_length()))
     least = sliding_min((grams >> bits << bits) | np.arange(len(grams), dtype=np.uint64), window - gram + 1)
     anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc = np.repeat(np.arange(len(lengths)), np.maximum(lengths - window + 1, 0))
+    kept = np.maximum(lengths - window + 1, 0)
+    doc = np.repeat(np.arange(len(lengths)), kept)
     if not len(doc):
         return empty
-    kept = np.maximum(lengths - window + 1, 0)
     place = np.arange(len(doc)) - np.repeat(np.cumsum(kept) - kept, kept) + first[:-1][doc]
     anchor = anchor[place]
     new = np.empty(len(doc), bool)
     new[0] = True
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
     head = np.flatnonzero(new)
-    n = np.diff(np.append(head, len(doc)))
     at, doc = place[head], doc[head]
-    return {
-        "doc": doc,
-        "start": at - first[doc],
-        "n": n,
-        "fp": grams[anchor[head]].view(np.int64),
-        "ctx": (Rolling(values, 2)(at, n + window - 1) + n.astype(np.uint64)).view(np.int64),
-        "at": at,
-    }
+    return {"doc": doc, "start": at - first[doc], "n": np.diff(np.append(head, len(place))), "fp": grams[anchor[head]].view(np.int64), "at": at}
+
+
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; afterwards the worker, which Spark keeps for later tasks, gives its free memory back."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
 
 
 def keyed(docs: DataFrame, *more: str) -> DataFrame:

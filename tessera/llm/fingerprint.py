@@ -27,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _mix, Rolling, Words, keyed, table, text_pieces
+from .common import Words, _mix, keyed, range_hashes, table, text_pieces, trimmed
 
 CELLS, GROW, WORDS = 24, 4, 8
+#: Bytes of text in a range of ids, about.
+RANGE = 128 << 20
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ def digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     begin |= (np.arange(total) - head) % WORDS == 0
     at = np.flatnonzero(begin)
     size = np.diff(np.append(at, total))
-    key = Rolling(w.hashes(), 1)(at, size) + size.astype(np.uint64)
+    key = range_hashes(w.hashes(), at, size)
     first = np.searchsorted(at, w.first)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     order = np.lexsort((key, doc))
@@ -157,8 +159,10 @@ def following(docs: DataFrame, parts: int | None = None) -> DataFrame:
     So a row's next document comes right after it, and every text is shuffled once.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [1.0], 10_000)).first()[0] or []
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+    cuts = docs.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [1.0], max(10_000, 20 * parts))).first()[0] or []
     cuts = sorted(set(cuts))
     # two searches in short lists instead of one in a long list
     width = max(1, int(len(cuts) ** 0.5))
@@ -218,7 +222,7 @@ def fingerprint_versions(docs: DataFrame, group: int = 256) -> DataFrame:
                     yield out
 
     schema = "doc_id long, n_chars long, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_sha256 string"
-    return following(keyed(docs)).select(F.col("doc_id").cast("long"), "text", "_bucket", "tail").mapInArrow(run, schema)
+    return following(keyed(docs)).select(F.col("doc_id").cast("long"), "text", "_bucket", "tail").mapInArrow(lambda x: trimmed(run(x)), schema)
 
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

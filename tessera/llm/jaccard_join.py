@@ -5,14 +5,16 @@
    those in the lowest quarter of the hash range come first, by their number of
    classes, the rest follow by hash.  A set that links must share a shingle of
    its first n - ceil(t n) + 1; sets whose shingles there occur nowhere else are
-   out.  Classes that share such a shingle are joined to stars in order of size (a
-   new star begins where sizes rule a link out), and the connected components
-   of the stars hold every possible link.
-3. Within a component the sets are joined exactly.  Inverted lists are skipped
-   block-wise by size and position; an answer is derived from a highly similar
-   set's: what is connected already is not compared again, and what is too far
-   from a near relative is excluded by the triangle inequality.  Components that
-   are too large for a task are cut into blocks, a task for each pair of blocks.
+   out.  Classes that share such a shingle are joined to stars by size class
+   (sizes that can link differ by one class at most; neighbouring stars are
+   bridged), and the connected components of the stars hold every possible link.
+3. Within a component the sets are joined exactly, in order of size.  Inverted
+   lists are cut into blocks that know their sets' largest size and least place,
+   so whole blocks are jumped over.  A set's answers are derived from those of a
+   highly similar set met before: the overlaps that set has counted are corrected
+   by the shingles in which the two differ, which bounds most candidates without
+   a count of their own.  Components that are too large for a task are cut into
+   parts, a task for each pair of parts.
 4. Components of the links give the least document reachable.
 
 Only a spanning forest of links leaves a task, so no group emits its pairs, and
@@ -25,14 +27,15 @@ stay null; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Rolling, Words, _mix, keyed, materialize, table, text_pieces
+from .common import NULL_ID, Words, digests, forget, keyed, materialize, range_hashes, table, text_pieces, trimmed
 from .components import connected_components
 
 WORDS, PERCENT = 4, 85
@@ -40,6 +43,8 @@ WORDS, PERCENT = 4, 85
 COUNTED = np.uint64(1 << 62)
 #: Shingle hashes that a task of the exact join holds, about.
 TASK = 400_000
+#: Entries of a block of an inverted list.
+BLOCK = 64
 
 
 def least_common(n, percent: int):
@@ -56,7 +61,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     doc = np.repeat(np.arange(len(size)), count)
     at = w.first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
     length = np.minimum(size, words)[doc]
-    token = Rolling(h, 1)(at, length) + length.astype(np.uint64) if len(h) else np.zeros(0, np.uint64)
+    token = range_hashes(h, at, length)
     order = np.lexsort((token, doc))
     token, doc = token[order], doc[order]
     new = np.ones(len(token), bool)
@@ -65,14 +70,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return token, np.searchsorted(doc, np.arange(len(size) + 1))
 
 
-def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
-    upto = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x, out=upto[1:])
-    return (upto[first[1:]] - upto[first[:-1]]).view(np.int64)
-
-
 def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: n, a 128-bit hash of the set, and `low`: the shingles that may be in its prefix."""
+    """Per row: n, a 128-bit digest of the set, and `low`: the shingles that may be in its prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,9 +83,9 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 low = (token < COUNTED) | (rank < np.repeat(prefix, n))
                 ends = np.concatenate([[0], np.cumsum(low)])[first].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(token[low].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(_sums(_mix(token), first)), pa.array(_sums(_mix(token ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)), lists], names=["_id", "n", "h1", "h2", "low"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *map(pa.array, digests(token.view(np.uint8), first[:-1] * 8, first[1:] * 8)), lists], names=["_id", "n", "h1", "h2", "low"])
 
-    return docs.select("_id", "text").mapInArrow(run, "_id struct<_id:long,_key:long>, n long, h1 long, h2 long, low array<long>")
+    return docs.select("_id", "text").mapInArrow(lambda x: trimmed(run(x)), "_id struct<_id:long,_key:long>, n long, h1 long, h2 long, low array<long>")
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
@@ -99,29 +98,51 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     # counted shingles that occur once come first in the order; uncounted ones come last and take their place by hash
     met = met.withColumn("prefix", F.expr(f"n - (n * {percent} + 99) div 100 + 1")).withColumn("single", F.expr("counted - size(filter(shared, s -> s.df < 9223372036854775807))"))
     picked = met.where("prefix > single").select("rep", "n", F.explode(F.expr("slice(array_sort(shared), 1, cast(prefix - single as int))")).alias("s")).select("rep", "n", "s.token")
-    # a shingle's classes in order of size: a gap that rules links out begins a new star, around its first class
-    by = Window.partitionBy("token").orderBy("n", "rep")
-    gap = F.coalesce(F.lag("n").over(by) * 100 < F.col("n") * percent, F.lit(True))
-    starred = picked.withColumn("gap", gap).withColumn("first", F.last(F.when(F.col("gap"), F.col("rep")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return starred.where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
+    # sets that link differ in size by less than one step, so they are of the same size class or of neighbouring ones
+    step = math.log(100 / percent) * 1.001
+    sized = picked.withColumn("class", F.floor(F.ln("n") / step))
+    stars = materialize(sized.groupBy("token", "class").agg(F.min("rep").alias("first"), F.min("n").alias("least"), F.max("n").alias("most")), "stars")
+    inner = sized.join(stars.select("token", "class", "first"), ["token", "class"]).where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    above = stars.select("token", (F.col("class") - 1).alias("class"), F.col("first").alias("b"), F.col("least").alias("next"))
+    bridges = stars.join(above, ["token", "class"]).where(F.expr(f"most * 100 >= next * {percent}") & F.expr("first <> b")).select(F.col("first").alias("a"), "b")
+    return inner.unionByName(bridges).distinct()
 
 
 class Lists:
-    """Inverted lists over the prefixes of sets, in order of size: for each shingle the sets and the shingle's place in them."""
+    """Inverted lists over the prefixes of sets, in order of size: for each shingle the sets and the shingle's place in them.
+
+    Lists are cut into blocks of `BLOCK` entries; a block's least place is kept, its largest size is its last set's.
+    """
 
     def __init__(self) -> None:
-        self.of: dict[int, tuple[np.ndarray, np.ndarray, int]] = {}
+        self.of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
 
     def add(self, token: int, number: int, place: int) -> None:
-        sets, places, used = self.of.get(token) or (np.zeros(4, np.int32), np.zeros(4, np.int32), 0)
+        sets, places, least, used = self.of.get(token) or (np.zeros(4, np.int32), np.zeros(4, np.int32), np.zeros(1, np.int32), 0)
         if used == len(sets):
             sets, places = (np.concatenate([x, np.zeros(used, np.int32)]) for x in (sets, places))
+            least = np.concatenate([least, np.zeros(-(-len(sets) // BLOCK) - len(least), np.int32)])
         sets[used], places[used] = number, place
-        self.of[token] = sets, places, used + 1
+        block = used // BLOCK
+        least[block] = place if used % BLOCK == 0 else min(least[block], place)
+        self.of[token] = sets, places, least, used + 1
 
-    def get(self, token: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def candidates(self, token: int, n: int, place: int, sizes: np.ndarray, open_: np.ndarray, percent: int) -> list[int]:
+        """Open sets of the list that can still share enough with a set of n, met at this place; blocks that cannot are jumped over."""
         found = self.of.get(token)
-        return None if found is None else (found[0][: found[2]], found[1][: found[2]])
+        if found is None:
+            return []
+        sets, places, least, used = found
+        blocks = -(-used // BLOCK)
+        picked = slice(0, used)
+        if blocks > 1:  # sizes rise along the list: a block's first set is its smallest, its last the largest
+            smallest, largest = sizes[sets[: used : BLOCK]], sizes[sets[np.minimum(np.arange(1, blocks + 1) * BLOCK, used) - 1]]
+            on = (largest * 100 >= percent * n) & (np.minimum(n - place, largest - least[:blocks]) * (100 + percent) >= percent * (n + smallest))
+            picked = np.flatnonzero(np.repeat(on, BLOCK)[:used])
+        ys, at = sets[picked], places[picked]
+        ys, at = ys[open_[ys]], at[open_[ys]]
+        size = sizes[ys]
+        return ys[(size * 100 >= percent * n) & (np.minimum(n - place, size - at) * (100 + percent) >= percent * (n + size))].tolist()
 
 
 def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -137,10 +158,11 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     ends = np.cumsum(sizes)
     ranked = [np.sort(rank[which[e - n : e]]) for e, n in zip(ends, sizes, strict=True)]
     whole: dict[int, frozenset[int]] = {}
-    once = rank[counts == 1].max(initial=-1)  # shingles of one set come first in the order
+    once = int(rank[counts == 1].max(initial=-1))  # shingles of one set come first in the order
     label = np.arange(len(order))
     lists, forest = Lists(), []
-    far: list[dict[int, float]] = [{} for _ in order]
+    #: Per set, the overlaps that it has counted, and those of the similar set from which its others are derived.
+    counted: list[dict[int, int]] = [{} for _ in order]
 
     def members(i: int) -> frozenset[int]:
         if i not in whole:
@@ -149,35 +171,29 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
     for x, tokens in enumerate(ranked):
         n = int(sizes[x])
-        prefix = tokens[: n - least_common(n, percent) + 1]
-        start = int(np.searchsorted(sizes, least_common(n, percent)))  # smaller sets cannot link
-        tested, near = set(), None
-        for place, token in enumerate(prefix.tolist()):
+        prefix = tokens[: n - least_common(n, percent) + 1].tolist()
+        open_ = np.ones(x + 1, bool)  # sets neither tested nor connected with this one
+        near, apart = None, 0
+        for place, token in enumerate(prefix):
             if token <= once:
                 continue
-            found = lists.get(token)
-            if found is not None:
-                skip = int(np.searchsorted(found[0], start))  # blocks of sets that are too small
-                ys, places = found[0][skip:], found[1][skip:]
-                open_ = label[ys] != label[x]
-                ys, places = ys[open_], places[open_]
-                # by position: what can still be shared from here on
-                room = np.minimum(n - place, sizes[ys] - places)
-                for y in ys[room * (100 + percent) >= percent * (n + sizes[ys])].tolist():
-                    if y in tested or label[y] == label[x]:
-                        continue
-                    tested.add(y)
-                    if near is not None and far[near[0]].get(y, 0.0) - near[1] > 1 - percent / 100 + 1e-9:
+            for y in lists.candidates(token, n, place, sizes, open_, percent):
+                if not open_[y]:
+                    continue
+                open_[y] = False
+                if near is not None:
+                    # what near shares with y, and all that x has and near has not, bound what x shares with y
+                    known = counted[near].get(y, counted[y].get(near))
+                    if known is not None and (known + apart) * (100 + percent) < percent * (n + sizes[y]):
                         continue
-                    common = len(members(x) & members(y))
-                    union = n + int(sizes[y]) - common
-                    if 100 * common >= percent * union:
-                        forest.append((order[x], order[y]))
-                        label[label == label[x]] = label[y]
-                        if near is None or 1 - common / union < near[1]:
-                            near = (y, 1 - common / union)
-                    else:
-                        far[x][y] = far[y][x] = 1 - common / union
+                common = len(members(x) & members(y))
+                if common * (100 + percent) >= percent * (n + sizes[y]):
+                    forest.append((order[x], order[y]))
+                    label[label == label[x]] = label[y]
+                    open_ &= label[: x + 1] != label[x]
+                    if near is None or n - common < apart:
+                        near, apart = y, n - common
+                counted[x][y] = common
             lists.add(token, x, place)
     return forest
 
@@ -198,9 +214,9 @@ def _exact(docs: DataFrame, placed: DataFrame, words: int, percent: int, task: i
     groups = max(1, -(-total * 2 // task))
     sizes = sizes.select("component", F.ceil(F.col("total") / F.lit(task // 2)).cast("int").alias("tasks"))
     where = placed.join(sizes, "component").withColumn("task", F.when(F.col("tasks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tasks"))).cast("int"))
-    where = where.select("rep", "component", "task", "tasks", F.col("rep_key").alias("_key")).hint("shuffle_hash")
+    where = where.select("rep", "component", "task", "tasks", F.col("rep_key").alias("_key"))
     texts = docs.select(F.col("_id").alias("rep"), "_key", "text").join(where, ["rep", "_key"]).dropDuplicates(["rep", "_key"])
-    bodies = texts.select("rep", "text", "component", "task", "tasks").mapInArrow(read, "rep long, component long, task int, tasks int, body binary")
+    bodies = texts.select("rep", "text", "component", "task", "tasks").mapInArrow(lambda x: trimmed(read(x)), "rep long, component long, task int, tasks int, body binary")
     pairs = F.when(F.col("tasks") == 1, F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.col("task").alias("i"), F.col("task").alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("tasks") - 1), lambda o: o != F.col("task")), lambda o: F.struct(F.col("component").alias("c"), F.least("task", o).alias("i"), F.greatest("task", o).alias("j"))))
     dealt = bodies.withColumn("to", F.explode(pairs)).select("to.*", "rep", "component", "body")
 

@@ -6,13 +6,14 @@ neighbours.  Forward-backward gives each line's probability of being good; the
 document's score is their mean weighted by line length, calibrated on the
 training documents so that a score means the share of label 1.
 
-The model is fitted on at most `sample` labelled documents (those of least id
-hash) whose crc32(doc_id as text) mod 4 is not 2, at most `lines` lines of
-each.  Scoring reads whole texts.  Labels, language, source and id are not
-inputs of a score.
+The model is fitted on a sample of labelled documents whose crc32(doc_id as
+text) mod 4 is not 2: whole documents in order of their id's hash, at most
+`sample` of them and as many as hold `most` bytes together (the next ones are
+left out of the fit).  Scoring reads whole texts.  Labels, language, source and
+id are not inputs of a score.
 
 Defined cases: a null or empty text is one empty line; lines end at "\\n"; rows
-that share an id are scored each; labels that are null are not used, of several
+that share an id are scored each, and the one of least text hash is fitted; labels that are null are not used, of several
 labels of an id the largest counts; without any label every score is 0.5;
 extra columns are ignored.
 """
@@ -26,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, table, text_pieces
+from .common import Words, keyed, table, text_pieces, trimmed
 from .crf import Model, marginals, train
 
-SAMPLE, LINES, ACCEPT = 4000, 300, 0.7
+#: Documents and bytes that the model is fitted on at most, and the score from which a document is accepted.
+SAMPLE, MOST, ACCEPT = 4000, 24 << 20, 0.7
 
 #: Character classes: 0 other, 1 lower, 2 upper, 3 digit, 4 blank, 5 stop, 6 mark, 7 bar, 8 part of a non-ASCII letter
 _CLASS = np.zeros(256, np.int64)
@@ -44,7 +46,7 @@ FEATURES = 3 * OWN + 1
 
 
 def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, lengths in bytes, first line of each document) of the lines of a piece."""
+    """(own features, lengths in bytes, first line of each document) of the lines of a piece; every document has a line."""
     n = len(offsets) - 1
     ends = np.flatnonzero(data == 10) + 1
     # a line begins at a document's start and after each line end that is not the document's last byte
@@ -74,7 +76,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     order = np.lexsort((h, of))
     kinds = np.bincount(of[order][np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (of[order][1:] != of[order][:-1])])] if len(h) else of, minlength=total)
     some, text = np.maximum(size, 1), np.maximum(n_words, 1)
-    own = np.zeros((total, OWN))
+    own = np.zeros((total, OWN), np.float32)
     own[:, :8] = counts[:, 1:] / some[:, None]
     own[:, 8] = np.minimum(np.log1p(size) / 8, 2)
     own[:, 9] = repeats / text
@@ -84,18 +86,26 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     own[:, 13] = counts[:, 6] + counts[:, 7] > 0.5 * n_words
     own[:, 14] = counts[:, 2] > counts[:, 1]
     own[:, 15] = repeats * 2 > n_words
-    x = np.zeros((total, FEATURES))
+    return own, size, first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The features of each line, of the line before and of the next one, within documents."""
+    total = len(own)
+    x = np.zeros((total, FEATURES), own.dtype)
     x[:, :OWN] = own
-    inner = np.arange(total)
-    past, next_ = ~np.isin(inner, first[:-1]), ~np.isin(inner + 1, first[1:])
-    x[past, OWN : 2 * OWN] = own[inner[past] - 1]
-    x[next_, 2 * OWN : 3 * OWN] = own[inner[next_] + 1]
+    head, tail = np.zeros(total + 1, bool), np.zeros(total + 1, bool)
+    head[first[:-1]] = True
+    tail[first[1:] - 1] = True
+    past, next_ = np.flatnonzero(~head[:-1]), np.flatnonzero(~tail[:-1])
+    x[past, OWN : 2 * OWN] = own[past - 1]
+    x[next_, 2 * OWN : 3 * OWN] = own[next_ + 1]
     x[:, -1] = 1
-    return x, size, first
+    return x
 
 
-def _raw_scores(model: Model, x: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-    p, _, _ = marginals(model, x, first)
+def _raw_scores(model: Model, own: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    p, _, _ = marginals(model, with_neighbours(own, first), first)
     weight = np.maximum(size, 1).astype(float)
     return np.add.reduceat(p[:, 1] * weight, first[:-1]) / np.add.reduceat(weight, first[:-1])
 
@@ -105,33 +115,45 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int = LINES) -> tuple[Model, tuple[float, float]] | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> tuple[Model, tuple[float, float]] | None:
     """The model and its calibration (slope, shift), or None without labels."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = {r[0]: int(r[1] > 0) for r in known.collect()}  # at most `sample` rows
     if not chosen:
         return None
-    ids = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
+    spark, rows = docs.sparkSession, keyed(docs)
+    ids = spark.createDataFrame([(k,) for k in chosen], "_id long")
+    # a row an id, in the sample's order, until the bytes are used up
+    sizes = rows.join(F.broadcast(ids), "_id").groupBy("_id").agg(F.min(F.struct("_key", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))).alias("row"))
+    found = {r[0]: (r[1][0], r[1][1]) for r in sizes.collect()}
+    picked, total = [], 0
+    for k in chosen:
+        if k in found and total + found[k][1] <= most:
+            picked.append((k, found[k][0]))
+            total += found[k][1]
+    if not picked:
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_pieces(batch.column(1)):
-                x, size, first = line_features(data, offsets)
-                rows = [slice(a, min(b, a + lines)) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([x[r].astype(np.float32).tobytes() for r in rows]), pa.array([size[r].astype(np.int64).tobytes() for r in rows])], names=["doc_id", "x", "size"])
-
-    got = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, x binary, size binary")
-    rows = got.orderBy("doc_id", "x").limit(2 * sample).collect()
-    if not rows:
-        return None
-    xs = [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES).astype(float) for r in rows]
-    x, size = np.concatenate(xs), np.concatenate([np.frombuffer(r.size, np.int64) for r in rows])
+            for lo, hi, data, offsets in text_pieces(batch.column(2)):
+                own, size, first = line_features(data, offsets)
+                rows = [slice(a, b) for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array([own[r].tobytes() for r in rows]), pa.array([size[r].astype(np.int64).tobytes() for r in rows])], names=["_id", "_key", "own", "size"])
+
+    key = "_id long, _key long"
+    got = rows.select("_id", "_key", "text").join(F.broadcast(spark.createDataFrame(picked, key)), ["_id", "_key"])
+    got = {r._id: (r.own, r.size) for r in got.mapInArrow(lambda x: trimmed(run(x)), f"{key}, own binary, size binary").dropDuplicates(["_id"]).collect()}  # `most` bytes of text
+    ids = sorted(got)
+    xs = [np.frombuffer(got[k][0], np.float32).reshape(-1, OWN) for k in ids]
+    size = np.concatenate([np.frombuffer(got[k][1], np.int64) for k in ids])
     first = np.concatenate([[0], np.cumsum([len(a) for a in xs])])
-    good = np.array([chosen[r.doc_id] for r in rows])
+    own, x = np.concatenate(xs), with_neighbours(np.concatenate(xs), first)
+    good = np.array([chosen[k] for k in ids])
     model = train(x, first, np.repeat(good, np.diff(first)), 2)
     # calibration: a logistic curve over the raw score, by Newton steps
-    z, slope, shift = _logit(_raw_scores(model, x, size, first)), 1.0, 0.0
+    z, slope, shift = _logit(_raw_scores(model, own, size, first)), 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-(slope * z + shift)))
         w = p * (1 - p) + 1e-9
@@ -157,7 +179,7 @@ def score(docs: DataFrame, fitted: tuple[Model, tuple[float, float]] | None, *ke
                 p = 1 / (1 + np.exp(-(slope * z + shift)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(fields))), pa.array(p)], names=[f.name for f in schema.fields])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(lambda x: trimmed(run(x)), schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

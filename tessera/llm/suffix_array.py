@@ -4,16 +4,16 @@ The scans of induced sorting go bucket by bucket: within a bucket, entries are
 taken in whole arrays, in as many rounds as the longest run of its letter.
 That keeps the linear amount of work of the method without a Python step per
 suffix.  The reduced string of leftmost-smaller (LMS) substrings is sorted
-recursively; at levels whose alphabet is too large for a pass per letter, ranks
-of doubled length are sorted instead.
+recursively.  Where buckets hold few suffixes each, as in reduced strings, the
+same scans go suffix by suffix over plain lists; both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Letters up to which a level is induced bucket by bucket.
-SMALL_ALPHABET = 2048
+#: Suffixes a bucket, on average, from which a scan takes buckets as arrays.
+DENSE = 256
 
 
 def classify(text: np.ndarray) -> np.ndarray:
@@ -32,7 +32,8 @@ def _deal(places: np.ndarray, letters: np.ndarray, lists: list[list[np.ndarray]]
     """Append places to their letters' lists, in order."""
     if not len(places):
         return
-    order = np.argsort(letters, kind="stable")
+    # sixteen bits are sorted by counting
+    order = np.argsort(letters.astype(np.uint16) if len(lists) <= 1 << 16 else letters, kind="stable")
     places, letters = places[order], letters[order]
     cuts = np.flatnonzero(letters[1:] != letters[:-1]) + 1
     edges = [0, *cuts.tolist(), len(places)]
@@ -42,6 +43,8 @@ def _deal(places: np.ndarray, letters: np.ndarray, lists: list[list[np.ndarray]]
 
 def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
     """The order of all suffixes that follows from the order of the LMS suffixes in seeds."""
+    if len(text) < DENSE * letters:
+        return _induce_by_suffix(text, small, seeds, letters)
     seeded: list[list[np.ndarray]] = [[] for _ in range(letters)]
     _deal(seeds, text[seeds], seeded)
     larger: list[list[np.ndarray]] = [[] for _ in range(letters)]
@@ -77,20 +80,36 @@ def induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int)
     return np.concatenate(parts) if parts else none
 
 
-def _doubled(ranks: np.ndarray) -> np.ndarray:
-    """Suffix order of a string by ranks of doubled length."""
-    n, step = len(ranks), 1
-    ranks = ranks.astype(np.int64) + 1
-    while True:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - step)] = ranks[step:]
-        key = ranks * (int(ranks.max()) + 2) + after
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
-        if int(new[order[-1]]) == n:
-            return order
-        ranks, step = new, step * 2
+def _induce_by_suffix(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, letters: int) -> np.ndarray:
+    """`induce` with a step per suffix, whose cost does not depend on the number of letters."""
+    n = len(text)
+    count = np.bincount(text, minlength=letters)
+    ends = np.cumsum(count)
+    heads, tails = (ends - count).tolist(), ends.tolist()
+    # per suffix, the bucket of the suffix before it if that is larger (smaller) than its next; none at the end, where -1 looks
+    before = text[:-1]
+    larger = [-1, *np.where(small[:-1], -1, before).tolist(), -1]
+    smaller = [-1, *np.where(small[:-1], before, -1).tolist(), -1]
+    # LMS suffixes at the ends of their buckets, in order
+    order = np.full(n, -1, np.int64)
+    at = text[seeds]
+    by = np.argsort(at, kind="stable")
+    sizes = np.bincount(at, minlength=letters)
+    order[ends[at[by]] - np.cumsum(sizes)[at[by]] + np.arange(len(seeds))] = seeds[by]
+    out = order.tolist()
+    for i in out:  # reads what the loop itself has put there
+        c = larger[i]
+        if c >= 0:
+            at = heads[c]
+            out[at] = i - 1
+            heads[c] = at + 1
+    for i in reversed(out):
+        c = smaller[i]
+        if c >= 0:
+            at = tails[c] = tails[c] - 1
+            out[at] = i - 1
+    out[0] = n - 1
+    return np.array(out, np.int64)
 
 
 def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
@@ -121,11 +140,10 @@ def suffix_array(text: np.ndarray, letters: int) -> np.ndarray:
     reduced = names[lms]
     kinds = int(reduced.max()) + 1
     if kinds == len(lms):
-        rank = np.argsort(reduced)
-    elif kinds <= SMALL_ALPHABET:
-        rank = suffix_array(reduced, kinds)
+        rank = np.empty(kinds, np.int64)
+        rank[reduced] = np.arange(kinds)
     else:
-        rank = _doubled(reduced)
+        rank = suffix_array(reduced, kinds)
     return induce(text, small, lms[rank], letters)
 
 

@@ -2,18 +2,21 @@
 
 Equal strings of `length` bytes lie in blocks of one anchor fingerprint (see
 `common.blocks`), so blocks are dealt to shards by fingerprint and no match
-crosses shards.  Blocks of equal content are counted before; each shard holds
+crosses shards.  Blocks of equal content, told by a 128-bit digest, are one:
+copies are counted before, so that a hot group is one row.  Each shard holds
 one representative per content of the fingerprints that have several, as
 suffix-array text.  The shard's suffixes are sorted by induced sorting, their
 common prefixes are computed in text order, and every window start whose suffix
 shares `length` bytes with a neighbour in the order is repeated.
 
-A fingerprint whose contents alone exceed a shard is resolved exactly by
-grouping two hashes of each of its windows, which splits over any number of tasks.
+A fingerprint whose different contents alone exceed a shard has no bounded
+suffix array; the exact way for those is to group digests of their windows,
+which splits over any number of tasks.
 
 Defined cases: null is an empty text; a text shorter than `length` loses
 nothing; equal rows are copies of each other and lose all they share (also
-where they share a doc_id); extra columns are ignored.
+where they share a doc_id); extra columns are ignored.  A kernel holds one text
+at a time, at about 60 bytes a byte.
 """
 
 from __future__ import annotations
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, blocks, byte_values, keyed, materialize, table, text_pieces
+from .common import blocks, byte_values, digests, keyed, materialize, table, text_pieces, trimmed
 from .suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, GRAM, SHARD_BYTES = 400, 32, 3 << 20
 
+#: A block's fingerprint and the digest of its bytes.
+KEY = ("fp", "c1", "c2")
 _SPANS = "array<struct<lo:int,hi:int>>"
 
 
@@ -39,9 +44,10 @@ def _postings(docs: DataFrame, length: int, gram: int) -> DataFrame:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for lo, hi, data, offsets in text_pieces(batch.column(2)):
                 b = blocks(byte_values(data), offsets, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[lo:hi][b["doc"]], keys[lo:hi][b["doc"]], b["fp"], b["ctx"], b["start"].astype(np.int32), b["n"].astype(np.int32))], names=["_id", "_key", "fp", "ctx", "start", "n"])
+                c1, c2 = digests(data, b["at"], b["at"] + b["n"] + length - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[lo:hi][b["doc"]], keys[lo:hi][b["doc"]], b["fp"], c1, c2, b["start"].astype(np.int32), b["n"].astype(np.int32))], names=["_id", "_key", "fp", "c1", "c2", "start", "n"])
 
-    return docs.select("_id", "_key", "text").mapInArrow(run, "_id long, _key long, fp long, ctx long, start int, n int")
+    return docs.select("_id", "_key", "text").mapInArrow(lambda x: trimmed(run(x)), "_id long, _key long, fp long, c1 long, c2 long, start int, n int")
 
 
 def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -51,7 +57,7 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(1)
             at, values = lists.offsets.to_numpy(), lists.values
-            fields = dict(zip(("fp", "ctx", "start", "n", "single", "shard"), values.flatten(), strict=True))
+            fields = dict(zip((*KEY, "start", "n", "single", "shard"), values.flatten(), strict=True))
             start, n = (fields[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
             shard = fields["shard"].to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in text_pieces(batch.column(0)):
@@ -69,14 +75,14 @@ def _bodies(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 if count.any():
                     block = np.repeat(np.arange(len(own)), count)
                     place = head[block] + np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
-                    hashes = [Rolling(byte_values(data), k)(place, length).view(np.int64) for k in (2, 3)]
+                    hashes = digests(data, place, place + length)
                 cut = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
                 windows = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int64())) for x in hashes]
                 pick = pa.array(own)
-                yield pa.RecordBatch.from_arrays([*(fields[k].take(pick) for k in ("shard", "fp", "ctx", "n", "single")), bodies, *windows], names=["shard", "fp", "ctx", "n", "single", "body", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([*(fields[k].take(pick) for k in ("shard", *KEY, "n", "single")), bodies, *windows], names=["shard", *KEY, "n", "single", "body", "w1", "w2"])
 
-    lists = wanted.groupBy("_id", "_key").agg(F.collect_list(F.struct("fp", "ctx", "start", "n", "single", "shard")).alias("blocks")).hint("shuffle_hash")
-    return docs.select("_id", "_key", "text").join(lists, ["_id", "_key"]).select("text", "blocks").mapInArrow(run, "shard long, fp long, ctx long, n int, single boolean, body binary, w1 array<long>, w2 array<long>")
+    lists = wanted.groupBy("_id", "_key").agg(F.collect_list(F.struct(*KEY, "start", "n", "single", "shard")).alias("blocks"))
+    return docs.select("_id", "_key", "text").join(lists, ["_id", "_key"]).select("text", "blocks").mapInArrow(lambda x: trimmed(run(x)), "shard long, fp long, c1 long, c2 long, n int, single boolean, body binary, w1 array<long>, w2 array<long>")
 
 
 def _ranges(hit: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +110,16 @@ def shard_repeats(bodies: list[bytes], starts: list[int], length: int) -> list[t
 
 def _by_suffixes(bodies: DataFrame, length: int) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
-        fp, ctx, single = (group.column(k).to_pylist() for k in ("fp", "ctx", "single"))
+        single = group.column("single").to_pylist()
         found: dict[int, list[dict[str, int]]] = {}
         for body, lo, hi in shard_repeats(group.column("body").to_pylist(), group.column("n").to_pylist(), length):
             if single[body]:
                 found.setdefault(body, []).append({"lo": lo, "hi": hi})
         spans = pa.array(list(found.values()), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())])))
-        return pa.Table.from_arrays([pa.array([fp[i] for i in found], pa.int64()), pa.array([ctx[i] for i in found], pa.int64()), spans], names=["fp", "ctx", "spans"])
+        keys = group.select(KEY).take(pa.array(list(found), pa.int64()))
+        return keys.append_column("spans", spans)
 
-    return bodies.select("shard", "fp", "ctx", "n", "single", "body").groupBy("shard").applyInArrow(run, f"fp long, ctx long, spans {_SPANS}")
+    return bodies.select("shard", *KEY, "n", "single", "body").groupBy("shard").applyInArrow(run, f"fp long, c1 long, c2 long, spans {_SPANS}")
 
 
 def _cut(docs: DataFrame, removed: DataFrame, length: int) -> DataFrame:
@@ -137,9 +144,9 @@ def _cut(docs: DataFrame, removed: DataFrame, length: int) -> DataFrame:
                 kept = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((offsets - lost).astype(np.int32)), pa.py_buffer(data[~gone])])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes), pa.array(np.diff(lost)), kept, spans], names=["doc_id", "n_bytes", "n_removed", "kept", "removed"])
 
-    lists = removed.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("cuts")).hint("shuffle_hash")
+    lists = removed.groupBy("_id", "_key").agg(F.flatten(F.collect_list("spans")).alias("cuts"))
     rows = docs.join(lists, ["_id", "_key"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("cuts", F.expr(f"cast(array() as {_SPANS})")).alias("cuts"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
+    return rows.mapInArrow(lambda x: trimmed(run(x)), "doc_id long, n_bytes long, n_removed long, kept binary, removed array<struct<start:long,end:long>>")
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -152,20 +159,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
         raise ValueError("0 < gram <= length")
     rows = keyed(docs)
     postings = materialize(_postings(rows, length, gram), "postings")
-    tally = materialize(postings.groupBy("fp", "ctx").agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_key", "start", "n")).alias("rep")), "tally")
+    tally = materialize(postings.groupBy(*KEY).agg(F.count("*").alias("copies"), F.min(F.struct("_id", "_key", "start", "n")).alias("rep")), "tally")
     # fingerprints with several contents, one of which is not known to repeat
-    wide = tally.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.sum(F.col("rep.n") + length).alias("size")).where("kinds > 1 AND least = 1").select("fp", "size")
-    wide = materialize(wide, "several")
-    total = wide.agg(F.sum("size")).first()[0] or 0
+    several = tally.groupBy("fp").agg(F.count("*").alias("kinds"), F.min("copies").alias("least"), F.sum(F.col("rep.n") + length).alias("size")).where("kinds > 1 AND least = 1").select("fp", "size")
+    several = materialize(several, "several")
+    total = several.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-total // (shard_bytes // 2)))
-    wanted = tally.join(wide, "fp").select("fp", "ctx", "rep.*", F.expr("copies = 1").alias("single"), F.when(F.col("size") <= shard_bytes, F.pmod(F.xxhash64("fp"), F.lit(shards))).otherwise(F.lit(-1)).alias("shard"))
+    wanted = tally.join(several, "fp").select(*KEY, "rep.*", F.expr("copies = 1").alias("single"), F.when(F.col("size") <= shard_bytes, F.pmod(F.xxhash64("fp"), F.lit(shards))).otherwise(F.lit(-1)).alias("shard"))
     bodies = materialize(_bodies(rows, wanted, length), "bodies")
     sorted_ = _by_suffixes(bodies.where("shard >= 0"), length)
-    windows = bodies.where("shard < 0").select("fp", "ctx", "single", F.posexplode(F.arrays_zip("w1", "w2")).alias("off", "w")).select("fp", "ctx", "single", "off", "w.*")
+    windows = bodies.where("shard < 0").select(*KEY, "single", F.posexplode(F.arrays_zip("w1", "w2")).alias("off", "w")).select(*KEY, "single", "off", "w.*")
     twice = windows.groupBy("fp", "w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("fp", "w1", "w2")
-    grouped = windows.where("single").join(twice, ["fp", "w1", "w2"], "left_semi").groupBy("fp", "ctx").agg(F.collect_list(F.struct(F.col("off").alias("lo"), (F.col("off") + 1).alias("hi"))).alias("spans"))
-    verdict = tally.where("copies > 1").select("fp", "ctx", F.lit(None).cast(_SPANS).alias("spans")).unionByName(sorted_).unionByName(grouped)
-    removed = postings.join(verdict, ["fp", "ctx"]).select("_id", "_key", F.expr("coalesce(transform(spans, s -> struct(start + s.lo AS lo, start + s.hi AS hi)), array(struct(start AS lo, start + n AS hi)))").alias("spans"))
+    grouped = windows.where("single").join(twice, ["fp", "w1", "w2"], "left_semi").groupBy(*KEY).agg(F.collect_list(F.struct(F.col("off").alias("lo"), (F.col("off") + 1).alias("hi"))).alias("spans"))
+    verdict = tally.where("copies > 1").select(*KEY, F.lit(None).cast(_SPANS).alias("spans")).unionByName(sorted_).unionByName(grouped)
+    removed = postings.join(verdict, list(KEY)).select("_id", "_key", F.expr("coalesce(transform(spans, s -> struct(start + s.lo AS lo, start + s.hi AS hi)), array(struct(start AS lo, start + n AS hi)))").alias("spans"))
     return _cut(rows, removed, length)
 
 
