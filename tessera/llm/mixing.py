@@ -5,9 +5,11 @@ and the weight from its quality, so reruns agree.  A source's target is met by
 complete epochs of all its documents, then by the documents of least key up to
 the rest of the budget; the document at the border gives the words that are left.
 
-No source is sorted as a whole: keys fall into `buckets` per source by a
-monotone map, the buckets' sizes are prefix-summed, and only the bucket in
-which the budget ends is sorted.
+No source is sorted as a whole: keys are whole numbers of 52 bits.  Per source
+the words of keys that share their first bits are summed, the sums of at most
+4,096 such cells are prefix-summed, and the cell in which the budget ends is cut
+by the next bits, for its rows alone.  What shares the last cell, some 2**-28 of
+a source, is sorted.  Tables of sources hold a row a source.
 
 Defined cases: a null or empty text has size 0 and gives nothing; null is a
 source of its own and comes last; equal rows draw equal keys and share their
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-BUCKETS = 4096
+#: Bits of a key after the point and in all, and bits of a key that are left after each round.
+POINT, BITS, ROUNDS = 42, 52, (40, 28, 14)
 SHARE, CYCLE, MOST = 1.5, (3, 1, 2), 2
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,22 +51,32 @@ def targets(sizes: DataFrame, share: float = SHARE, cycle: tuple[int, ...] = CYC
     return w.withColumn("target", F.least("cap", F.coalesce(level * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
 
 
-def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, cycle: tuple[int, ...] = CYCLE, most: int = MOST, buckets: int = BUCKETS, seed: int = 17) -> DataFrame:
+def _border(rows: DataFrame, plan: DataFrame, rounds: tuple[int, ...]) -> DataFrame:
+    """Per source (s): the cell (first bits of keys) in which `rest` ends, and the words of the cells before."""
+    state, had = plan.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("before")), BITS + 10
+    for left in rounds:
+        met = rows.join(state, F.expr(f"source <=> s AND shiftright(_order, {had}) = cut"))
+        cells = met.groupBy("s", F.shiftright("_order", left).alias("cell")).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        ends = cells.withColumn("upto", upto).where("upto > rest").groupBy("s").agg(F.min(F.struct("cell", (F.col("upto") - F.col("words")).alias("before"), "rest")).alias("at"))
+        state, had = materialize(ends.select("s", "at.rest", F.col("at.cell").alias("cut"), "at.before"), "border"), left
+    return state
+
+
+def mix(docs: DataFrame, weight: Column | None = None, share: float = SHARE, cycle: tuple[int, ...] = CYCLE, most: int = MOST, rounds: tuple[int, ...] = ROUNDS, seed: int = 17) -> DataFrame:
     """doc_id, _key (hash of the text), size, source, source_size, target, epochs (whole passes), part (words of the last pass), taken."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_key"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_hash"), (letter_share() if weight is None else weight).cast("double").alias("_weight"))
     u = (F.pmod("_hash", F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = materialize(rows.withColumn("_draw", -F.ln(u) / F.col("_weight")).withColumn("_bucket", F.floor((F.lit(1.0) - F.exp(-F.col("_draw"))) * buckets).cast("int")), "draws")
-    cells = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("words"))
-    plan = targets(materialize(cells.groupBy("source").agg(F.sum("words").alias("source_size")), "sources"), share, cycle, most)
-    plan = plan.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0)) + 1e-12), F.lit(0)).cast("long"))
+    draw = -F.ln(u) / F.greatest(F.col("_weight"), F.lit(1e-12))
+    rows = materialize(rows.withColumn("_order", F.least(F.floor(draw * float(1 << POINT)), F.lit((1 << BITS) - 1)).cast("long")).drop("_weight"), "draws")
+    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    plan = targets(sizes, share, cycle, most).withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0)) + 1e-12), F.lit(0)).cast("long"))
     plan = materialize(plan.withColumn("rest", F.greatest(F.lit(0), F.floor(F.col("target") - F.col("epochs") * F.col("source_size") + 1e-6)).cast("long")), "targets")
-    running = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    border = cells.withColumn("upto", F.sum("words").over(running)).join(plan.select(F.col("source").alias("s"), "rest"), F.expr("source <=> s")).where("upto > rest").groupBy("source").agg(F.min(F.struct("_bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("at"))
-    plan = materialize(plan.join(border.select(F.col("source").alias("s"), "at._bucket", "at.before").withColumnRenamed("_bucket", "cut"), F.expr("source <=> s"), "left").drop("s", "weight"), "plan")
-    met = rows.join(plan.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s")
-    sure = met.where("cut IS NULL OR _bucket <> cut").withColumn("part", F.expr("CASE WHEN cut IS NULL OR _bucket < cut THEN least(size, rest) ELSE 0 END"))
-    inner = Window.partitionBy("source").orderBy("_draw", "_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = met.where("_bucket = cut").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
+    plan = materialize(plan.join(_border(rows, plan, rounds).drop("rest"), F.expr("source <=> s"), "left").drop("s", "weight"), "plan")
+    met = rows.join(plan.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s").withColumn("_cell", F.shiftright("_order", rounds[-1]))
+    sure = met.where("cut IS NULL OR _cell <> cut").withColumn("part", F.expr("CASE WHEN cut IS NULL OR _cell < cut THEN least(size, rest) ELSE 0 END"))
+    inner = Window.partitionBy("source").orderBy("_order", "_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
+    last = met.where("_cell = cut").withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inner), F.lit(0)))))
     return sure.unionByName(last).select("doc_id", "_key", "size", "source", "source_size", "target", "epochs", F.col("part").cast("long").alias("part"), (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
