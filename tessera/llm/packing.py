@@ -6,8 +6,9 @@ nearly full are final.  The underfull ones move up a tree of partitions as
 items, `fan` children to a node, and each node packs them best-fit again.  A
 piece's place follows by adding up the offsets on its way.
 
-A node takes at most `most` bins from below, the emptiest; the others are final
-as they are.  That bounds a node's memory; no piece is lost or cut by it.
+A node that has more than `most` bins is dealt into several of that size, each
+packed best-fit on its own; their underfull bins go on up as those of one node.
+That bounds a task's memory and leaves no bin out of a round.
 
 Words (runs without ASCII white space) are tokenized apart and looked up in a
 table of words seen before: the tokenizer drops white space and never joins
@@ -34,11 +35,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, materialize, table, text_pieces
+from .common import Words, materialize, table, text_pieces, trimmed
 
-CAPACITY, END, FAN, MOST, NEARLY = 4096, 1, 8, 50_000, 0.999
-#: Pieces that a partition packs at once, and words whose ids are remembered.
-BLOCK, REMEMBER = 100_000, 600_000
+CAPACITY, END, FAN, MOST, NEARLY = 4096, 1, 8, 100_000, 0.999
+#: Pieces that a partition packs at once (their underfull bins meet in the tree), and words whose ids are remembered.
+BLOCK, REMEMBER = 100_000, 150_000
 
 #: The pattern by which the tokenizer at hand cuts words; a fixed value.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -168,7 +169,7 @@ class WordIds:
         return ids, upto[first + np.arange(len(first))]
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _word_ids(spec: str) -> WordIds:
     return WordIds(spec)
 
@@ -193,7 +194,7 @@ def _local(docs: DataFrame, spec: str, capacity: int) -> DataFrame:
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, _, data, offsets in text_pieces(batch.column(1), 4 << 20):
+            for lo, _, data, offsets in text_pieces(batch.column(1)):
                 ids, bounds = ids_of.piece(data, offsets)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
@@ -205,7 +206,7 @@ def _local(docs: DataFrame, spec: str, capacity: int) -> DataFrame:
         if rows:
             yield pack()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECE)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lambda x: trimmed(run(x)), _PIECE)
 
 
 def _merge(items: DataFrame, capacity: int, most: int) -> DataFrame:
@@ -213,15 +214,18 @@ def _merge(items: DataFrame, capacity: int, most: int) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         names, load = group.column("bin").to_numpy(), group.column("load").to_numpy()
-        order = np.lexsort((names, load))[:most]
+        order = np.lexsort((names, load))
         names, load = names[order], load[order]
         bins, offsets, loads = best_fit(load, capacity)
         # a parent is named after its first item
         head = np.zeros(len(loads), np.int64)
         head[bins[offsets == 0]] = names[offsets == 0]
-        return pa.Table.from_arrays([pa.array(names), pa.array(head[bins]), pa.array(offsets), group.column("node").slice(0, 1).combine_chunks().take(pa.array(np.zeros(len(names), np.int64))), pa.array(loads[bins])], names=["bin", "parent", "shift", "node", "load"])
+        node = np.full(len(names), group.column("node")[0].as_py())
+        return pa.Table.from_arrays([pa.array(x) for x in (names, head[bins], offsets, node, loads[bins])], names=["bin", "parent", "shift", "node", "load"])
 
-    return items.groupBy("node").applyInArrow(run, "bin long, parent long, shift long, node long, load long")
+    parts = items.groupBy("node").agg(F.ceil(F.count("*") / F.lit(most)).alias("parts"))
+    dealt = items.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("bin"), F.col("parts")))
+    return dealt.groupBy("node", "part").applyInArrow(run, "bin long, parent long, shift long, node long, load long")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, fan: int = FAN, most: int = MOST, nearly: float = NEARLY) -> DataFrame:
