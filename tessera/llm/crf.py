@@ -56,11 +56,15 @@ def marginals(model: Model, x: np.ndarray, first: np.ndarray, pairs: bool = Fals
 
 def viterbi(model: Model, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The most likely state of every row."""
-    score = x @ model.weights
+    return best_states(x @ model.weights, model.moves, first)
+
+
+def best_states(score: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Viterbi's states from the scores of states (rows x states)."""
     steps = _steps(first)
     best, back = score.copy(), np.zeros(score.shape, np.int8)
     for rows in steps[1:]:
-        options = best[rows - 1][:, :, None] + model.moves[None]
+        options = best[rows - 1][:, :, None] + moves[None]
         back[rows] = options.argmax(axis=1)
         best[rows] = score[rows] + options.max(axis=1)
     out = np.zeros(len(score), np.int8)
@@ -71,6 +75,16 @@ def viterbi(model: Model, x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def settled(score: np.ndarray, moves: np.ndarray, state: int) -> np.ndarray:
+    """Rows that have `state` in every most likely path, whatever their neighbours: no move gained or lost makes up for their scores."""
+    sure = np.ones(len(score), bool)
+    for x in range(score.shape[1]):
+        if x != state:
+            gain = (moves[:, x] - moves[:, state]).max() + (moves[x] - moves[state]).max()
+            sure &= score[:, state] - score[:, x] > max(gain, 0)
+    return sure
+
+
 def train(x: np.ndarray, first: np.ndarray, y: np.ndarray, states: int, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-4) -> Model:
     """Maximum likelihood with a ridge, by full-batch Adam from zero: the same rows give the same model."""
     model = Model(np.zeros((x.shape[1], states)), np.zeros((states, states)))
