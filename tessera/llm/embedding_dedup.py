@@ -2,15 +2,18 @@
 
 Equal vectors are one class.  Centroids are fitted on a sample of classes of at
 most `sample` rows.  Classes are laid in order of their nearest centroid and of
-their angle to it, and cut into tiles of about `WIDE` blocks; each pair of tiles
-is a task of its own, so every pair of vectors is met once: blocked products in
+their angle to it, and cut into tiles of about `WIDE` blocks.  Two cells can hold
+a link only if their centroids lie within the cells' radii and arccos(cosine); a
+vector is sent to the tiles of such cells alone.  Each pair of tiles that is left
+is a task of its own, so a hot cell spreads over many: blocked products in
 double precision, links counted per vector, connections kept as one edge per
 vector to its least local relative.  No pair of vectors is emitted.
 
-No pair is missed.  The order only saves work: a strip of vectors is multiplied
-with those whose angle to the strip's mean lies within the strip's own angles,
-widened by arccos(cosine); by the triangle inequality the others link with none
-of it.  Vectors without clusters are compared all with all.
+No pair is missed: cells and order only save work.  Within a task a strip of
+vectors is multiplied with those whose angle to the strip's mean lies within the
+strip's own angles, widened by arccos(cosine); by the triangle inequality the
+others link with none of it.  Vectors without clusters have wide cells and are
+compared all with all, which costs the square of their number.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
 components link with nothing; vectors of different lengths never link; rows
@@ -20,6 +23,7 @@ and are returned as null; an empty table gives no rows; extra columns are ignore
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, materialize, table
+from .common import NULL_ID, materialize, table, trimmed
 from .components import connected_components
 
 COSINE, CELL, BLOCK, SAMPLE, MOST_CELLS = 0.9, 1000, 1024, 50_000, 8192
-#: Blocks of a tile, and shells that the angles to a centroid are cut into.
-WIDE, SHELLS = 8, 16
+#: Blocks of a tile, shells that the angles to a centroid are cut into, and ranges of tiles that a cell is sent to at most (near ones are joined).
+WIDE, SHELLS, RANGES = 8, 16, 64
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 5) -> np.ndarray:
@@ -71,29 +75,60 @@ def _assign(classes: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
             for dim in np.unique(dims):
                 part = batch.take(pa.array(np.flatnonzero(dims == dim)))
                 c = shared.value.get(int(dim))
-                cell = shell = np.zeros(len(part), np.int64)
+                cell, angle = np.zeros(len(part), np.int64), np.zeros(len(part))
                 if c is not None:
                     near = _matrix(part.column(2)) @ c.T
-                    cell = near.argmax(1)
-                    shell = (np.arccos(np.clip(near.max(1), -1, 1)) * (SHELLS / np.pi)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), dim, np.int64)), pa.array(cell), pa.array(shell)], names=["_id", "copies", "vec", "dim", "cell", "shell"])
-
-    return classes.mapInArrow(run, "_id long, copies long, vec array<double>, dim long, cell long, shell long")
-
-
-def _tiles(placed: DataFrame, size: int) -> DataFrame:
-    """placed with `own`, the tile of each class among the `tiles` of its dimension."""
-    counts = placed.groupBy("dim", "cell", "shell").count().orderBy("dim", "cell", "shell").collect()  # SHELLS a cell at most
-    total: dict[int, int] = {}
-    before = []
-    for r in counts:
-        before.append(total.get(r.dim, 0))
-        total[r.dim] = before[-1] + r["count"]
-    groups = [(r.dim, r.cell, r.shell, at, r["count"], -(-total[r.dim] // size)) for r, at in zip(counts, before, strict=True)]
-    groups = placed.sparkSession.createDataFrame(groups, "dim long, cell long, shell long, before long, n long, tiles long")
+                    cell, angle = near.argmax(1), np.arccos(np.clip(near.max(1), -1, 1))
+                shell = (angle * (SHELLS / np.pi)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x) for x in (np.full(len(part), dim, np.int64), cell, shell, angle))], names=["_id", "copies", "vec", "dim", "cell", "shell", "angle"])
+
+    return classes.mapInArrow(lambda x: trimmed(run(x)), "_id long, copies long, vec array<double>, dim long, cell long, shell long, angle double")
+
+
+def reachable(centroids: np.ndarray, radii: np.ndarray, first: np.ndarray, last: np.ndarray, cosine: float, ranges: int = RANGES) -> list[list[tuple[int, int]]]:
+    """Per cell, the ranges of tiles (first to last of each cell) that can hold a link of the cell's vectors."""
+    reach = np.arccos(min(max(cosine, -1.0), 1.0)) + 1e-6
+    out = []
+    for lo in range(0, len(centroids), 256):
+        angle = np.arccos(np.clip(centroids[lo : lo + 256] @ centroids.T, -1, 1))
+        for k, near in enumerate(angle <= radii[lo : lo + 256, None] + radii[None] + reach):
+            near[lo + k] = True
+            a, b = first[near], last[near]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], np.maximum.accumulate(b[order])
+            gap = a[1:] - b[:-1] - 1
+            least = max(1, int(np.sort(gap)[-ranges])) if len(gap) >= ranges else 1
+            cut = np.flatnonzero(gap >= least)[: ranges - 1] if least > 1 else np.flatnonzero(gap >= 1)
+            out.append(list(zip(a[np.append(0, cut + 1)].tolist(), b[np.append(cut, len(b) - 1)].tolist(), strict=True)))
+    return out
+
+
+def _tiles(placed: DataFrame, centroids: dict[int, np.ndarray], size: int, cosine: float) -> DataFrame:
+    """placed with `own`, the tile of each class among those of its dimension, and `others`, the ranges of tiles to meet."""
+    spark = placed.sparkSession
+    counts = placed.groupBy("dim", "cell", "shell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).orderBy("dim", "cell", "shell").collect()  # SHELLS a cell at most
+    groups, cells = [], []
+    for dim, rows in itertools.groupby(counts, lambda r: r.dim):
+        rows = list(rows)
+        before = np.cumsum([0] + [r.n for r in rows])
+        tiles = -(-int(before[-1]) // size)
+        tile = lambda at: min(int(at) // size, tiles - 1)  # noqa: B023, E731
+        groups += [(dim, r.cell, r.shell, int(at), r.n, tiles) for r, at in zip(rows, before[:-1], strict=True)]
+        of: dict[int, list[float]] = {}
+        for r, a, b in zip(rows, before[:-1], before[1:], strict=True):
+            first, _, radius = of.get(r.cell, (tile(a), 0, 0.0))
+            of[r.cell] = [first, tile(b), max(radius, r.angle)]
+        names = sorted(of)
+        first, last, radii = (np.array([of[c][k] for c in names]) for k in range(3))
+        if dim in centroids:
+            cells += [(dim, c, x) for c, x in zip(names, reachable(centroids[dim][names], radii, first.astype(int), last.astype(int), cosine), strict=True)]
+        else:
+            cells += [(dim, c, [(0, tiles - 1)]) for c in names]
+    groups = spark.createDataFrame(groups, "dim long, cell long, shell long, before long, n long, tiles long")
+    cells = spark.createDataFrame(cells, "dim long, cell long, others array<struct<a:int,b:int>>")  # MOST_CELLS rows of RANGES ranges at most
     place = F.col("before") + F.col("n") * F.pmod(F.xxhash64("_id", "vec"), F.lit(1 << 20)) / F.lit(1 << 20)
     own = F.least(F.floor(place / F.lit(size)), F.col("tiles") - 1).cast("int")
-    return placed.join(F.broadcast(groups), ["dim", "cell", "shell"]).withColumn("own", own).drop("before", "n")
+    return placed.join(F.broadcast(groups), ["dim", "cell", "shell"]).withColumn("own", own).join(F.broadcast(cells), ["dim", "cell"]).drop("before", "n", "angle")
 
 
 def _local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,14 +188,14 @@ def embedding_dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL
     rows = rows.withColumn("vec", F.when(sound, F.col("vec")))
     classes = materialize(rows.where("vec IS NOT NULL").groupBy("vec").agg(F.min("_id").alias("_id"), F.count("*").alias("copies")).select("_id", "copies", "vec"), "classes")
     centroids: dict[int, np.ndarray] = {}
-    for dim, n in classes.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(16).collect():
+    for dim, n in classes.groupBy(F.size("vec").alias("dim")).count().where(F.col("count") > cell).orderBy("dim").collect():  # a row a length
         k = min(MOST_CELLS, -(-n // cell))
         if k > 1:
             got = classes.where(F.size("vec") == dim).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(min(sample, max(2000, 32 * k))).select("vec").toArrow()
             centroids[dim] = spherical_kmeans(_matrix(got.column("vec")), k)
     placed = materialize(_assign(classes, centroids), "placed")
-    dealt = _tiles(placed, WIDE * block)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int")))).select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "copies", "vec", "cell", "shell")
+    dealt = _tiles(placed, centroids, WIDE * block, cosine)
+    dealt = dealt.withColumn("other", F.explode(F.expr("flatten(transform(others, r -> sequence(r.a, r.b)))"))).select("dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "_id", "copies", "vec", "cell", "shell")
 
     def run(group: pa.Table) -> pa.Table:
         i, j, dim = (group.column(k)[0].as_py() for k in ("i", "j", "dim"))
