@@ -100,12 +100,14 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     picked = met.where("prefix > single").select("rep", "n", F.explode(F.expr("slice(array_sort(shared), 1, cast(prefix - single as int))")).alias("s")).select("rep", "n", "s.token")
     # sets that link differ in size by less than one step, so they are of the same size class or of neighbouring ones
     step = math.log(100 / percent) * 1.001
-    sized = picked.withColumn("class", F.floor(F.ln("n") / step))
+    sized = materialize(picked.withColumn("class", F.floor(F.ln("n") / step)), "prefixes")
     stars = materialize(sized.groupBy("token", "class").agg(F.min("rep").alias("first"), F.min("n").alias("least"), F.max("n").alias("most")), "stars")
     inner = sized.join(stars.select("token", "class", "first"), ["token", "class"]).where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     above = stars.select("token", (F.col("class") - 1).alias("class"), F.col("first").alias("b"), F.col("least").alias("next"))
     bridges = stars.join(above, ["token", "class"]).where(F.expr(f"most * 100 >= next * {percent}") & F.expr("first <> b")).select(F.col("first").alias("a"), "b")
-    return inner.unionByName(bridges).distinct()
+    edges = materialize(inner.unionByName(bridges).distinct(), "candidates")
+    forget(sized, stars)
+    return edges
 
 
 class Lists:
@@ -240,10 +242,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ta
     classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("_id", "_key")).alias("r"))
     classes = materialize(classes.select("h1", "h2", "n", F.col("r._id").alias("rep"), F.col("r._key").alias("rep_key")), "classes")
     unique = sketches.select("_id", "_key", "low").join(classes.select(F.col("rep").alias("_id"), F.col("rep_key").alias("_key"), "n"), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).withColumnRenamed("_id", "rep")
-    edges = materialize(_candidates(unique, percent), "candidates")
-    candidate = connected_components(edges).withColumnRenamed("node", "rep")
+    candidate = connected_components(_candidates(unique, percent)).withColumnRenamed("node", "rep")
     placed = materialize(classes.select("rep", "rep_key", "n").join(candidate, "rep"), "placed")
     links = materialize(_exact(rows, placed, words, percent, task), "links")
+    forget(placed)
     # rows that share an id are one vertex
     component = connected_components(links.unionByName(sketches.where("n > 0").join(classes, ["h1", "h2", "n"]).select(F.col("_id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
     out = sketches.select("_id", "n").join(component.withColumnRenamed("node", "_id"), "_id", "left")

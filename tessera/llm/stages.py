@@ -19,6 +19,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, NEAR = 5, 80
 #: Row numbers from here on are of rows without an id of their own.
 SPARE = 1 << 62
+#: Rows that are broadcast at most.
+FEW = 100_000
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     rows = keyed(docs, "lang", "source", "n_chars")
     several = rows.groupBy("_id").agg(F.min("_key").alias("least"), F.max("_key").alias("most")).where("least <> most").select("_id", "least")
+    several = materialize(several, "several")
+    if several.count() <= FEW:  # so that the documents need no shuffle for it
+        several = F.broadcast(several)
     number = F.when((F.col("_id") < SPARE) & (F.col("least").isNull() | (F.col("least") == F.col("_key"))), F.col("_id")).otherwise(SPARE + F.pmod(F.xxhash64("_id", "_key"), F.lit(SPARE - 1)))
-    rows = materialize(rows.join(several, "_id", "left").withColumn("_row", number).drop("least"), "numbered")
+    rows = rows.join(several, "_id", "left").withColumn("_row", number).drop("least")
     found = jaccard_join.jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), words=SHINGLE, percent=NEAR)
     kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_row")).agg(F.count("*").alias("times"))
     met = rows.join(kept, "_row")
