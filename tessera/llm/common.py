@@ -25,6 +25,9 @@ PIECE = 1 << 20
 #: Stands for a null id inside an operator; null ids sort last.
 NULL_ID = (1 << 63) - 1
 
+#: How intermediates are written.  Folders of the file scheme get no checksum files beside the data; other stores take no notice.
+PLAIN = {"compression": "zstd", "fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 _written: list[tuple[SparkSession, str]] = []
 #: Folders of applications without a shared one.
 _local: dict[str, str] = {}
@@ -69,7 +72,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**PLAIN).parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
