@@ -5,15 +5,16 @@
    those in the lowest quarter of the hash range come first, by their number of
    classes, the rest follow by hash.  A set that links must share a shingle of
    its first n - ceil(t n) + 1; sets whose shingles there occur nowhere else are
-   out.  Classes that share such a shingle are joined to stars by size class
-   (sizes that can link differ by one class at most; neighbouring stars are
-   bridged), and the connected components of the stars hold every possible link.
-3. Within a component the sets are joined exactly, in order of size.  Inverted
+   out.  Classes that share such a shingle and are of one size class make a star;
+   sizes that can link differ by one class at most, so a set also stands in the
+   star above.  Stars of one first class are a group, and two sets that can link
+   meet in some group.
+3. Within a group the sets are joined exactly, in order of size.  Inverted
    lists are cut into blocks that know their sets' largest size and least place,
    so whole blocks are jumped over.  A set's answers are derived from those of a
    highly similar set met before: the overlaps that set has counted are corrected
    by the shingles in which the two differ, which bounds most candidates without
-   a count of their own.  Components that are too large for a task are cut into
+   a count of their own.  Groups that are too large for a task are cut into
    parts, a task for each pair of parts.
 4. Components of the links give the least document reachable.
 
@@ -89,7 +90,7 @@ def _sketches(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose components hold every pair of classes that can link."""
+    """(first, rep): groups, named by their first class, in one of which every two classes that can link are together."""
     tokens = classes.select("rep", "_key", "n", F.explode("low").alias("token"))
     counted = f"token >= 0 AND token < {int(COUNTED)}"  # as signed numbers, hashes of the upper half are negative
     often = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -102,12 +103,12 @@ def _candidates(classes: DataFrame, percent: int) -> DataFrame:
     step = math.log(100 / percent) * 1.001
     sized = materialize(picked.withColumn("class", F.floor(F.ln("n") / step)), "prefixes")
     stars = materialize(sized.groupBy("token", "class").agg(F.min("rep").alias("first"), F.min("n").alias("least"), F.max("n").alias("most")), "stars")
-    inner = sized.join(stars.select("token", "class", "first"), ["token", "class"]).where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))
-    above = stars.select("token", (F.col("class") - 1).alias("class"), F.col("first").alias("b"), F.col("least").alias("next"))
-    bridges = stars.join(above, ["token", "class"]).where(F.expr(f"most * 100 >= next * {percent}") & F.expr("first <> b")).select(F.col("first").alias("a"), "b")
-    edges = materialize(inner.unionByName(bridges).distinct(), "candidates")
+    own = sized.join(stars.select("token", "class", "first"), ["token", "class"]).select("first", "rep")
+    above = stars.select("token", (F.col("class") - 1).alias("class"), "first", "least")
+    upper = sized.join(above, ["token", "class"]).where(f"n * 100 >= least * {percent}").select("first", "rep")
+    members = materialize(own.unionByName(upper).distinct(), "members")
     forget(sized, stars)
-    return edges
+    return members
 
 
 class Lists:
@@ -201,32 +202,33 @@ def join_sets(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def _exact(docs: DataFrame, placed: DataFrame, words: int, percent: int, task: int) -> DataFrame:
-    """Links (a, b) within candidate components."""
+    """Links (a, b) within groups of candidates."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in text_pieces(batch.column(1)):
                 token, first = shingles(data, offsets, words)
                 body = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((first * 8).astype(np.int32)), pa.py_buffer(token)])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2, 3, 4)), body], names=["rep", "component", "task", "tasks", "body"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in (0, 2)), body], names=["rep", "at", "body"])
 
-    sizes = placed.groupBy("component").agg(F.sum("n").alias("total"))
-    # small components share tasks; a large one is cut into blocks
+    sizes = materialize(placed.groupBy("first").agg(F.sum("n").alias("total"), F.count("*").alias("sets")).where("sets > 1"), "sizes")
+    # small groups share tasks; a large one is cut into parts
     total = sizes.agg(F.sum("total")).first()[0] or 0
-    groups = max(1, -(-total * 2 // task))
-    sizes = sizes.select("component", F.ceil(F.col("total") / F.lit(task // 2)).cast("int").alias("tasks"))
-    where = placed.join(sizes, "component").withColumn("task", F.when(F.col("tasks") == 1, F.pmod(F.xxhash64("component"), F.lit(groups))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("tasks"))).cast("int"))
-    where = where.select("rep", "component", "task", "tasks", F.col("rep_key").alias("_key"))
+    tasks = max(1, -(-total * 2 // task))
+    sizes = sizes.select("first", F.ceil(F.col("total") / F.lit(task // 2)).cast("int").alias("parts"))
+    where = placed.join(sizes, "first").withColumn("part", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("first"), F.lit(tasks))).otherwise(F.pmod(F.xxhash64("rep", F.lit(7)), F.col("parts"))).cast("int"))
+    at = "array<struct<first:long,part:int,parts:int>>"
+    where = where.groupBy("rep", F.col("rep_key").alias("_key")).agg(F.collect_list(F.struct("first", "part", "parts")).alias("at"))  # as many as a prefix has shingles
     texts = docs.select(F.col("_id").alias("rep"), "_key", "text").join(where, ["rep", "_key"]).dropDuplicates(["rep", "_key"])
-    bodies = texts.select("rep", "text", "component", "task", "tasks").mapInArrow(lambda x: trimmed(read(x)), "rep long, component long, task int, tasks int, body binary")
-    pairs = F.when(F.col("tasks") == 1, F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.col("task").alias("i"), F.col("task").alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("tasks") - 1), lambda o: o != F.col("task")), lambda o: F.struct(F.col("component").alias("c"), F.least("task", o).alias("i"), F.greatest("task", o).alias("j"))))
-    dealt = bodies.withColumn("to", F.explode(pairs)).select("to.*", "rep", "component", "body")
+    bodies = texts.select("rep", "text", "at").mapInArrow(lambda x: trimmed(read(x)), f"rep long, at {at}, body binary")
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(-1).cast("long").alias("c"), F.col("part").alias("i"), F.col("part").alias("j")))).otherwise(F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != F.col("part")), lambda o: F.struct(F.col("first").alias("c"), F.least("part", o).alias("i"), F.greatest("part", o).alias("j"))))
+    dealt = bodies.select("rep", "body", F.inline("at")).withColumn("to", F.explode(pairs)).select("to.*", "rep", "first", "body")
 
     def run(group: pa.Table) -> pa.Table:
-        rep, component = group.column("rep").to_numpy(), group.column("component").to_numpy()
+        rep, first = group.column("rep").to_numpy(), group.column("first").to_numpy()
         body = group.column("body").to_pylist()
-        order = np.lexsort((rep, component))
-        cuts = np.flatnonzero(np.diff(component[order])) + 1
+        order = np.lexsort((rep, first))
+        cuts = np.flatnonzero(np.diff(first[order])) + 1
         out: list[tuple[int, int]] = []
         for part in np.split(order, cuts):
             out += [(rep[part[a]], rep[part[b]]) for a, b in join_sets([np.frombuffer(body[k], np.uint64) for k in part], percent)]
@@ -242,10 +244,10 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ta
     classes = sketches.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("_id", "_key")).alias("r"))
     classes = materialize(classes.select("h1", "h2", "n", F.col("r._id").alias("rep"), F.col("r._key").alias("rep_key")), "classes")
     unique = sketches.select("_id", "_key", "low").join(classes.select(F.col("rep").alias("_id"), F.col("rep_key").alias("_key"), "n"), ["_id", "_key"]).dropDuplicates(["_id", "_key"]).withColumnRenamed("_id", "rep")
-    candidate = connected_components(_candidates(unique, percent)).withColumnRenamed("node", "rep")
-    placed = materialize(classes.select("rep", "rep_key", "n").join(candidate, "rep"), "placed")
-    links = materialize(_exact(rows, placed, words, percent, task), "links")
-    forget(placed)
+    members = _candidates(unique, percent)
+    placed = members.join(classes.select("rep", "rep_key", "n"), "rep")
+    links = materialize(_exact(rows, placed, words, percent, task).distinct(), "links")
+    forget(members)
     # rows that share an id are one vertex
     component = connected_components(links.unionByName(sketches.where("n > 0").join(classes, ["h1", "h2", "n"]).select(F.col("_id").alias("a"), F.col("rep").alias("b")).where("a <> b")))
     out = sketches.select("_id", "n").join(component.withColumnRenamed("node", "_id"), "_id", "left")
