@@ -5,14 +5,15 @@ from __future__ import annotations
 import io
 import re
 import tokenize
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 #: Where untrusted data enters.  Fixed values.
 SOURCES = {
-    "http_input": (r"\brequest\.(?:args|form|json|values|data|files|cookies|headers|body|params|query_params|path_params)\b", r"\brequest\.(?:GET|POST|FILES|META|COOKIES)\b", r"\.get_json\s*\("),
+    "http_input": (r"\brequest\.(?:args|form|json|values|data|files|cookies|headers|body|params|query_params|path_params)\b", r"\brequest\.(?:GET|POST|FILES|META|COOKIES)\b", r"\bawait\s+request\.(?:json|form|body)\(\)", r"\bbody\s*[:=]\s*await", r"\.get_json\s*\(", r"\bself\.get_(?:query_|body_)?argument\s*\("),
     "cli_arg": (r"\bargparse\b", r"\bsys\.argv\b", r"(?<![\w.])input\s*\("),
     "env_var": (r"\bos\.environ\[", r"\bos\.getenv\s*\("),
     "file_read": (r"\.read\s*\(", r"(?<![\w.])open\s*\("),
@@ -21,14 +22,15 @@ SOURCES = {
 #: Dangerous operations by class.  Fixed values.
 SINKS = {
     "sql_injection": (r"\.execute\s*\(\s*[fF][\"']", r"\.execute\s*\(\s*[\"'][^\"']*[\"']\s*[%+]", r"\.executemany\s*\(\s*[fF][\"']", r"\.raw\s*\(\s*[fF][\"']"),
-    "command_injection": (r"\bos\.system\s*\(", r"\bsubprocess\.(?:call|run|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True", r"(?<![\w.])eval\s*\(", r"(?<![\w.])exec\s*\("),
-    "path_traversal": (r"open\s*\(\s*[^)]*\+\s*[^)]*\)", r"open\s*\(\s*[fF][\"']", r"os\.path\.join\s*\([^)]*request\."),
-    "unsafe_deserialization": (r"\bpickle\.loads?\s*\(", r"\bshelve\.open\s*\(", r"\bmarshal\.loads?\s*\("),
+    "command_injection": (r"\bos\.system\s*\(", r"\bsubprocess\.(?:call|run|Popen|check_output|check_call)\s*\([^)]*shell\s*=\s*True", r"(?<![\w.])eval\s*\(", r"(?<![\w.])exec\s*\(", r"\bcommands\.(?:getoutput|getstatusoutput)\s*\("),
+    "path_traversal": (r"open\s*\(\s*[^)]*\+\s*[^)]*\)", r"open\s*\(\s*[fF][\"']", r"os\.path\.join\s*\([^)]*request\.", r"os\.path\.join\s*\([^)]*\bargv\b", r"Path\s*\([^)]*\+\s*[^)]*\)"),
+    "unsafe_deserialization": (r"\bpickle\.loads?\s*\(", r"\byaml\.load\s*\(\s*[^,)]+\s*\)(?!\s*,\s*Loader)", r"\bshelve\.open\s*\(", r"\bmarshal\.loads?\s*\("),
     "xss": (r"render_template_string\s*\([^)]*\+", r"\bMarkup\s*\([^)]*\+", r"\.innerHTML\s*="),
-    "ssrf": (r"requests\.(?:get|post|put|delete|patch|head)\s*\([^)]*\+", r"urllib\.request\.urlopen\s*\([^)]*\+"),
+    "ssrf": (r"requests\.(?:get|post|put|delete|patch|head)\s*\([^)]*\+", r"urllib\.request\.urlopen\s*\([^)]*\+", r"httpx\.\w+\s*\([^)]*\+"),
     "open_redirect": (r"redirect\s*\([^)]*request\.",),
-    "weak_crypto": (r"\bhashlib\.md5\b", r"\bhashlib\.sha1\b", r"\bDES\.new\b", r"\bRC4\.new\b"),
-    "hardcoded_secret": (r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?token|client[_-]?secret)\s*=\s*[\"'][a-zA-Z0-9_\-+/=]{12,}[\"']", r"AKIA[0-9A-Z]{16}", r"ghp_[a-zA-Z0-9]{36}", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----"),
+    "weak_crypto": (r"\bhashlib\.md5\b", r"\bhashlib\.sha1\b", r"\bDES\.new\b", r"\bRC4\.new\b", r"(?<![\w.])random\.(?:random|randint|choice)\s*\([^)]*\)\s*#?\s*(?:token|secret|key|password|salt|nonce|iv)"),
+    "hardcoded_secret": (r"(?i)(?:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|private[_-]?key|auth[_-]?token|client[_-]?secret)\s*=\s*[\"'][a-zA-Z0-9_\-+/=]{12,}[\"']", r"AKIA[0-9A-Z]{16}", r"sk-[a-zA-Z0-9_\-]{20,}", r"ghp_[a-zA-Z0-9]{36}", r"xox[baprs]-[0-9a-zA-Z\-]{10,}", r"-----BEGIN (?:RSA |EC |DSA )?PRIVATE KEY-----"),
+    "race_condition": (r"os\.path\.exists\([^)]+\)[^\n]*\n[^\n]*open\s*\(", r"os\.access\([^)]+\)[^\n]*\n[^\n]*open\s*\("),
     "insecure_temp": (r"\btempfile\.mktemp\s*\(",),
 }
 SEVERITY = {"sql_injection": "CRITICAL", "command_injection": "CRITICAL", "unsafe_deserialization": "CRITICAL", "path_traversal": "HIGH", "ssrf": "HIGH", "xss": "HIGH", "hardcoded_secret": "HIGH", "open_redirect": "MEDIUM", "weak_crypto": "MEDIUM", "race_condition": "MEDIUM", "insecure_temp": "LOW", "missing_auth": "HIGH"}
@@ -66,9 +68,6 @@ def blank_literals(source: str) -> str:
     return "".join("".join(x) for x in cells)
 
 
-_FINDING = ArrayType(StructType([StructField("class", StringType()), StructField("line", IntegerType()), StructField("snippet", StringType())]))
-
-
 def _find(source: str | None) -> list[tuple[str, int, str]]:
     if not source:
         return []
@@ -91,17 +90,22 @@ def findings(files: DataFrame, path: str, text: str) -> DataFrame:
     Only files that some pattern can match reach the Python function.
     """
     maybe = F.size(classes(F.col(text), SINKS)) > 0
-    found = F.udf(_find, _FINDING)
-    rows = files.where(maybe).select(path, F.explode(found(text)).alias("f")).select(path, "f.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(p, *f) for p, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for f in _find(x)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32(), pa.string()))], names=[path, "class", "line", "snippet"])
+
+    rows = files.where(maybe).select(F.col(path).cast("string").alias(path), text).mapInArrow(run, f"`{path}` string, class string, line int, snippet string")
     mark = F.substring(F.md5(F.concat_ws("|", path, "class", F.trim("snippet")).cast("binary")), 1, 10)
     return rows.withColumns({"severity": lookup(SEVERITY, F.col("class")), "cwe": lookup(CWE, F.col("class")), "confidence": F.when(F.col("class") == "hardcoded_secret", 0.8).otherwise(0.7), "fingerprint": mark})
 
 
 def sarif(rows: DataFrame, path: str) -> DataFrame:
-    """One SARIF-shaped document of findings: rules and results."""
+    """A SARIF-shaped document of rules and results for each path, so that no task holds all findings."""
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")
     result = F.struct(F.col("class").alias("ruleId"), level.alias("level"), F.struct(F.col(path).alias("uri"), F.col("line").alias("startLine")).alias("location"))
-    return rows.agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array_sort(F.collect_set(F.struct(F.col("class").alias("id"), F.col("cwe").alias("cwe")))).alias("rules"), F.array_sort(F.collect_list(result)).alias("results"))).alias("sarif"))
+    return rows.groupBy(path).agg(F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array_sort(F.collect_set(F.struct(F.col("class").alias("id"), F.col("cwe").alias("cwe")))).alias("rules"), F.array_sort(F.collect_list(result)).alias("results"))).alias("sarif"))
 
 
 def chain_confidence(hops: Column, entry: Column, bonus: Column) -> Column:

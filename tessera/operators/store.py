@@ -6,6 +6,9 @@ natural, so applying a change twice changes nothing more.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,11 +60,35 @@ def fingerprint(*columns: str) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary")), 1, 10)
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in the order, from 1, without a task that holds them all.
+
+    One sort deals the rows to ranges; written out, so that it is not dealt anew,
+    each row carries its range and its place there, and the sizes of the ranges
+    before (a row a range) are added.
+    """
+    placed = settled(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    split = placed.withColumn("_range", F.shiftright("_at", 33))
+    sizes = split.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a range
+    place = F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_before") + 1
+    return split.join(sizes.select("_range", before.alias("_before")), "_range").withColumn(name, place).drop("_at", "_range", "_before")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again; a temporary one in local mode where none is set."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
+    path = f"{at.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stable_ids(found: DataFrame, known: DataFrame, prefix: str, year: int, order: list[Column]) -> DataFrame:
     """found (fingerprint, ...) with `id`: the known one of its fingerprint, else numbers after the largest known, in the order given."""
     joined = found.join(known.select("fingerprint", F.col("id").alias("known_id")), "fingerprint", "left")
-    top = known.agg(F.coalesce(F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("int")), F.lit(0)).alias("top"))
+    top = known.agg(F.coalesce(F.max(F.regexp_extract("id", r"(\d+)$", 1).cast("long")), F.lit(0)).alias("top"))
     fresh = joined.where("known_id IS NULL").crossJoin(F.broadcast(top))  # one row
-    number = F.col("top") + F.row_number().over(Window.orderBy(*order))
-    fresh = fresh.withColumn("id", F.concat(F.lit(f"{prefix}-{year}-"), F.lpad(number.cast("string"), 4, "0"))).drop("top", "known_id")
+    fresh = numbered(fresh, order, "_place")
+    fresh = fresh.withColumn("id", F.format_string(f"{prefix}-{year}-%04d", F.col("top") + F.col("_place"))).drop("top", "known_id", "_place")
     return joined.where("known_id IS NOT NULL").withColumnRenamed("known_id", "id").unionByName(fresh)

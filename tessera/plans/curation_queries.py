@@ -57,10 +57,10 @@ def export_quality(t: Tables) -> DataFrame:
     return scored(t).where("score >= 0.65").select("conv_id", "turn", F.round("score", 2).alias("quality"), "tier")
 
 
-@query("k10_export_security_trainset", "SELECT doc_id, 'Review this ' || coalesce(nullif(source, ''), 'code') || ' (' || coalesce(nullif(lang, ''), 'unknown') || ')' AS instruction, substring(text, 1, 80) AS input, CASE WHEN quality = 0 THEN 'finding' ELSE 'clean' END AS output FROM documents JOIN labels USING (doc_id)")
+@query("k10_export_security_trainset", "SELECT doc_id, 'Review this ' || coalesce(nullif(source, ''), 'code') || ' (' || coalesce(nullif(lang, ''), 'unknown') || ')' AS instruction, text AS input, CASE WHEN quality = 0 THEN 'finding' ELSE 'clean' END AS output FROM documents JOIN labels USING (doc_id)")
 def export_security(t: Tables) -> DataFrame:
     pick = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
-    return t.documents.join(t.labels, "doc_id").select("doc_id", F.concat(F.lit("Review this "), pick("source", "code"), F.lit(" ("), pick("lang", "unknown"), F.lit(")")).alias("instruction"), F.substring("text", 1, 80).alias("input"), F.when(F.col("quality") == 0, "finding").otherwise("clean").alias("output"))
+    return t.documents.join(t.labels, "doc_id").select("doc_id", F.concat(F.lit("Review this "), pick("source", "code"), F.lit(" ("), pick("lang", "unknown"), F.lit(")")).alias("instruction"), F.col("text").alias("input"), F.when(F.col("quality") == 0, "finding").otherwise("clean").alias("output"))
 
 
 @query("t13_quality_points", f"WITH {_Q} SELECT conv_id, turn, score FROM z")

@@ -70,10 +70,10 @@ def neighbor_scope(t: Tables) -> DataFrame:
     return graph.distances(both, nodes(t, 60), 2).orderBy("depth", "node").limit(25).select("node")
 
 
-@query("j6_resolve_references", "WITH f AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file FROM part), c AS (SELECT p_partkey AS caller, p_brand AS file, 'red ring' AS name FROM part WHERE p_partkey < 200), m AS (SELECT caller, c.name, id, c.file = f.file AS here, count(*) OVER (PARTITION BY caller, c.name) AS several FROM c JOIN f ON f.name = c.name), r AS (SELECT *, row_number() OVER (PARTITION BY caller, name ORDER BY here DESC, id) AS n FROM m) SELECT caller, name, id FROM r WHERE n = 1 AND (here OR several <= 5)")
+@query("j6_resolve_references", "WITH f AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file FROM part), c AS (SELECT p_partkey AS caller, p_brand AS file, 'red ring' AS name FROM part), m AS (SELECT caller, c.name, id, c.file = f.file AS here, count(*) OVER (PARTITION BY caller, c.name) AS several FROM c JOIN f ON f.name = c.name), r AS (SELECT *, row_number() OVER (PARTITION BY caller, name ORDER BY here DESC, id) AS n FROM m) SELECT caller, name, id FROM r WHERE n = 1 AND (here OR several <= 5)")
 def resolve_references(t: Tables) -> DataFrame:
     f = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))
-    c = t.part.where("p_partkey < 200").select(F.col("p_partkey").alias("caller"), F.col("p_brand").alias("file"), F.lit("red ring").alias("name"))
+    c = t.part.select(F.col("p_partkey").alias("caller"), F.col("p_brand").alias("file"), F.lit("red ring").alias("name"))
     return graph.resolve(c, f)
 
 
@@ -98,9 +98,9 @@ def dead_code_order(t: Tables) -> DataFrame:
     return t.part.orderBy(F.desc("p_size"), F.desc("p_retailprice"), "p_brand", "p_partkey").limit(30).select("p_partkey")
 
 
-@query("m17_function_context", "SELECT l_suppkey AS f, list(DISTINCT l_partkey ORDER BY l_partkey) AS callees FROM lineitem WHERE l_suppkey < 10 GROUP BY 1")
+@query("m17_function_context", "SELECT l_suppkey AS f, list(DISTINCT l_partkey ORDER BY l_partkey) AS callees FROM lineitem GROUP BY 1")
 def function_context(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_suppkey < 10").groupBy(F.col("l_suppkey").alias("f")).agg(F.array_sort(F.collect_set("l_partkey")).alias("callees"))
+    return t.lineitem.groupBy(F.col("l_suppkey").alias("f")).agg(F.array_sort(F.collect_set("l_partkey")).alias("callees"))
 
 
 @query("m42_callers_and_callees", f"WITH {_EDGES} SELECT 'callee' AS side, dst AS node FROM e WHERE src = 120 UNION ALL SELECT 'caller', src FROM e WHERE dst = 120")

@@ -27,11 +27,11 @@ def scan_git_log(t: Tables) -> DataFrame:
     return lines.select(part[0].alias("commit"), part[1].alias("author"), part[2].alias("message"))
 
 
-@query("s6_scan_line_history", "SELECT DISTINCT l_orderkey AS commit FROM lineitem WHERE l_partkey % 50 = 7 AND l_linenumber <= 3 AND l_linenumber + greatest(l_quantity::INT, 1) - 1 >= 2")
+@query("s6_scan_line_history", "SELECT DISTINCT l_partkey AS file, l_orderkey AS commit FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linenumber <= 3 AND l_linenumber + greatest(l_quantity::INT, 1) - 1 >= 2")
 def scan_line_history(t: Tables) -> DataFrame:
-    hunks = t.lineitem.where("l_partkey % 50 = 7").select(F.col("l_orderkey").alias("commit"), F.lit(1).alias("file"), F.col("l_linenumber").alias("start"), F.col("l_quantity").cast("int").alias("count"))
-    ranges = t.spark.createDataFrame([(1, 2, 3)], "file int, first int, last int")
-    return history.overlaps(hunks, ranges, "file").select("commit").distinct()
+    hunks = t.lineitem.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("file"), F.col("l_linenumber").alias("start"), F.col("l_quantity").cast("int").alias("count"))
+    ranges = t.part.select(F.col("p_partkey").alias("file"), F.lit(2).alias("first"), F.lit(3).alias("last"))
+    return history.overlaps(hunks, ranges, "file").select("file", "commit").distinct()
 
 
 @query("j16_interval_overlap", "SELECT a.l_orderkey AS file, a.l_linenumber AS hunk, b.l_linenumber AS range FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE b.l_linenumber % 2 = 0 AND a.l_linenumber % 2 = 1 AND a.l_quantity::INT <= b.l_quantity::INT + 10 AND a.l_quantity::INT + greatest(a.l_linenumber, 1) - 1 >= b.l_quantity::INT")
@@ -71,9 +71,9 @@ def genesis(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.col("o_custkey").alias("file")).agg(F.min_by("o_orderkey", at).alias("first_commit"), F.max_by("o_orderkey", at).alias("last_commit"), F.count("*").alias("commits"), F.floor((F.unix_timestamp(F.max("o_orderdate")) - F.unix_timestamp(F.min("o_orderdate"))) / 86400).alias("age_days"))
 
 
-@query("a13_co_evolution", "WITH f AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 400 AS f FROM lineitem), n AS (SELECT f, count(*) AS n FROM f GROUP BY f HAVING count(*) >= 2), p AS (SELECT a.f AS a, b.f AS b, count(*) AS shared FROM f a JOIN f b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, shared, x.n - shared AS only_a, y.n - shared AS only_b, round(shared / (x.n + y.n - shared), 3) AS jaccard, CASE WHEN round(shared / (x.n + y.n - shared), 3) >= 0.7 THEN 'strong' WHEN round(shared / (x.n + y.n - shared), 3) >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM p JOIN n x ON a = x.f JOIN n y ON b = y.f")
+@query("a13_co_evolution", "WITH f AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS f FROM lineitem), n AS (SELECT f, count(*) AS n FROM f GROUP BY f HAVING count(*) >= 2), p AS (SELECT a.f AS a, b.f AS b, count(*) AS shared FROM f a JOIN f b ON a.c = b.c AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 2) SELECT a, b, shared, x.n - shared AS only_a, y.n - shared AS only_b, round(shared / (x.n + y.n - shared), 3) AS jaccard, CASE WHEN round(shared / (x.n + y.n - shared), 3) >= 0.7 THEN 'strong' WHEN round(shared / (x.n + y.n - shared), 3) >= 0.35 THEN 'moderate' ELSE 'weak' END AS strength FROM p JOIN n x ON a = x.f JOIN n y ON b = y.f")
 def co_evolution(t: Tables) -> DataFrame:
-    return history.co_evolution(files(t).select("commit", (F.col("file") % 400).alias("file")))
+    return history.co_evolution(files(t).select("commit", "file"))
 
 
 _STABLE = f"WITH g AS (SELECT o_custkey AS file, count(*) AS changes, greatest(1, floor(({NOW} - min(epoch(o_orderdate))) / 86400))::BIGINT AS age_days, greatest(0, floor(({NOW} - max(epoch(o_orderdate))) / 86400))::BIGINT AS quiet_days FROM orders WHERE o_orderdate < TIMESTAMP '2001-09-09' GROUP BY 1), s AS (SELECT *, greatest(0, least(100, round_even(100 - least(100, changes / age_days * 30 * 10) + least(30, quiet_days / 30 * 5), 0)::INT)) AS score FROM g)"

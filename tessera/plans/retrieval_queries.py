@@ -62,13 +62,13 @@ def lexical_rerank(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.round(r.lexical_score(x.words(F.col("text")), ["the", "rely", "und"]), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(5)
 
 
-@query("w17_best_similar", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents WHERE n_chars < 3000), b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark), s AS (SELECT item_id, doc_id, len(list_intersect(d.w, b.w)) / len(list_distinct(list_concat(d.w, b.w))) AS j FROM d, b), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS n FROM s WHERE j >= 0.05) SELECT item_id, doc_id, round(j, 6) AS jaccard FROM k WHERE n = 1")
+@query("w17_best_similar", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents), b AS (SELECT item_id, list_distinct({words_sql('text')}) AS w FROM benchmark), s AS (SELECT item_id, doc_id, len(list_intersect(d.w, b.w)) / len(list_distinct(list_concat(d.w, b.w))) AS j FROM d, b), k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY j DESC, doc_id) AS n FROM s WHERE j >= 0.05) SELECT item_id, doc_id, round(j, 6) AS jaccard FROM k WHERE n = 1")
 def best_similar(t: Tables) -> DataFrame:
     """The document nearest to each item by shared words.
 
     Only pairs that share a word are formed, from postings; sizes give the union.
     """
-    d = t.documents.where("n_chars < 3000").select("doc_id", F.array_distinct(x.words(F.col("text"))).alias("w")).withColumn("nd", F.size("w"))
+    d = t.documents.select("doc_id", F.array_distinct(x.words(F.col("text"))).alias("w")).withColumn("nd", F.size("w"))
     b = t.benchmark.select("item_id", F.array_distinct(x.words(F.col("text"))).alias("w")).withColumn("nb", F.size("w"))
     shared = d.select("doc_id", "nd", F.explode("w").alias("t")).join(b.select("item_id", "nb", F.explode("w").alias("t")), "t").groupBy("item_id", "doc_id", "nd", "nb").agg(F.count("*").alias("o"))
     j = shared.withColumn("j", F.col("o") / (F.col("nd") + F.col("nb") - F.col("o"))).where("j >= 0.05")

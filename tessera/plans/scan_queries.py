@@ -79,7 +79,7 @@ def stale_filter(t: Tables) -> DataFrame:
 
 @query("k11_export_sarif")
 def export_sarif(t: Tables) -> DataFrame:
-    return scan.sarif(scan.findings(code(t).where("p_partkey < 100"), "path", "text"), "path")
+    return scan.sarif(scan.findings(code(t), "path", "text"), "path")
 
 
 @query("k12_export_markdown", "SELECT '| ' || o_orderpriority || ' | ' || count(*) || ' |' AS line FROM orders GROUP BY o_orderpriority")

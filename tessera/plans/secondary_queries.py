@@ -41,9 +41,9 @@ def git_status(t: Tables) -> DataFrame:
     return readers.git_status(t.part.select(F.concat(code, "p_name").alias("value"))).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query("s14_symbol_history", "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey % 100 = 3 AND l_returnflag = 'R' GROUP BY o_orderkey, o_orderdate ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
+@query("s14_symbol_history", "SELECT o_orderkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 42 AND l_returnflag = 'R' GROUP BY o_orderkey, o_orderdate ORDER BY o_orderdate DESC, o_orderkey LIMIT 5")
 def symbol_history(t: Tables) -> DataFrame:
-    hit = t.lineitem.where("l_partkey % 100 = 3 AND l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    hit = t.lineitem.where("l_partkey = 42 AND l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
     return t.orders.join(hit, "o_orderkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
 
 

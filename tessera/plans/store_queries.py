@@ -120,10 +120,10 @@ def confusion_per_class(t: Tables) -> DataFrame:
     return expected.join(found, "class", "full_outer").select("class", F.least(e, f).alias("tp"), F.greatest(e - f, F.lit(0)).alias("fn"), F.when(F.col("expected").isNull(), f).otherwise(0).alias("fp"))
 
 
-@query("w10_stable_ids", "WITH f AS (SELECT DISTINCT substring(md5(text), 1, 10) AS fingerprint FROM documents), k AS (SELECT fingerprint, 'VULN-2024-' || lpad(row_number() OVER (ORDER BY fingerprint)::VARCHAR, 4, '0') AS id FROM f WHERE fingerprint < '4') SELECT f.fingerprint, coalesce(k.id, 'VULN-2025-' || lpad(((SELECT count(*) FROM k) + row_number() OVER (PARTITION BY k.id IS NULL ORDER BY f.fingerprint))::VARCHAR, 4, '0')) AS id FROM f LEFT JOIN k USING (fingerprint)")
+@query("w10_stable_ids", "WITH f AS (SELECT DISTINCT substring(md5(text), 1, 10) AS fingerprint FROM documents), k AS (SELECT fingerprint, format('VULN-2024-{:04d}', row_number() OVER (ORDER BY fingerprint)) AS id FROM f WHERE fingerprint < '4') SELECT f.fingerprint, coalesce(k.id, format('VULN-2025-{:04d}', (SELECT count(*) FROM k) + row_number() OVER (PARTITION BY k.id IS NULL ORDER BY f.fingerprint))) AS id FROM f LEFT JOIN k USING (fingerprint)")
 def stable_ids(t: Tables) -> DataFrame:
     f = t.documents.select(F.substring(F.md5(F.col("text").cast("binary")), 1, 10).alias("fingerprint")).distinct()
-    known = f.where("fingerprint < '4'").withColumn("id", F.concat(F.lit("VULN-2024-"), F.lpad(F.row_number().over(Window.orderBy("fingerprint")).cast("string"), 4, "0")))
+    known = store.numbered(f.where("fingerprint < '4'"), [F.col("fingerprint")], "_place").withColumn("id", F.format_string("VULN-2024-%04d", "_place")).drop("_place")
     return store.stable_ids(f, known, "VULN", 2025, [F.col("fingerprint")])
 
 

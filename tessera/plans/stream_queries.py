@@ -26,9 +26,9 @@ def enqueue_filter(t: Tables) -> DataFrame:
     return changes(t).where(~F.col("path").endswith("7") & (F.col("kind") != "click")).select("ts", "path")
 
 
-@query("x3_debounce", "WITH RECURSIVE e AS (SELECT event_id % 4 AS watcher, epoch(ts) AS t, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM events WHERE event_id < 1200), r AS (SELECT watcher, k, t AS opened, 1 AS batch FROM e WHERE k = 1 UNION ALL SELECT e.watcher, e.k, CASE WHEN e.t - r.opened >= 599.8 THEN e.t ELSE r.opened END, CASE WHEN e.t - r.opened >= 599.8 THEN r.batch + 1 ELSE r.batch END FROM r JOIN e ON e.watcher = r.watcher AND e.k = r.k + 1) SELECT watcher, batch, count(*) AS n FROM r GROUP BY ALL")
+@query("x3_debounce", "WITH RECURSIVE e AS (SELECT event_id % 4 AS watcher, epoch(ts) AS t, row_number() OVER (PARTITION BY event_id % 4 ORDER BY ts, event_id) AS k FROM events), r AS (SELECT watcher, k, t AS opened, 1 AS batch FROM e WHERE k = 1 UNION ALL SELECT e.watcher, e.k, CASE WHEN e.t - r.opened >= 599.8 THEN e.t ELSE r.opened END, CASE WHEN e.t - r.opened >= 599.8 THEN r.batch + 1 ELSE r.batch END FROM r JOIN e ON e.watcher = r.watcher AND e.k = r.k + 1) SELECT watcher, batch, count(*) AS n FROM r GROUP BY ALL")
 def debounce(t: Tables) -> DataFrame:
-    rows = t.events.where("event_id < 1200").select("ts", (F.col("event_id") % 4).alias("watcher"))
+    rows = t.events.select("ts", (F.col("event_id") % 4).alias("watcher"))
     return watch.debounce(rows, 600.0, 0.2).groupBy("watcher", "batch").agg(F.count("*").alias("n"))
 
 
@@ -44,10 +44,11 @@ def polling_watcher(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.col("n_chars").alias("now")).join(seen, "doc_id", "left").where("mtime IS NULL OR now > mtime").select("doc_id")
 
 
-@query("x9_incremental_rescan", "WITH b AS (SELECT DISTINCT substring(md5(source), 1, 10) AS f FROM documents WHERE doc_id % 7 = 1), n AS (SELECT DISTINCT substring(md5(source), 1, 10) AS f FROM documents WHERE doc_id % 7 = 2) SELECT coalesce(b.f, n.f) AS fingerprint, CASE WHEN b.f IS NULL THEN 'added' WHEN n.f IS NULL THEN 'resolved' ELSE 'unchanged' END AS state FROM b FULL JOIN n ON b.f = n.f")
+@query("x9_incremental_rescan", "WITH b AS (SELECT DISTINCT substring(md5(text), 1, 10) AS f FROM documents WHERE doc_id % 7 <> 2), n AS (SELECT DISTINCT substring(md5(text), 1, 10) AS f FROM documents WHERE doc_id % 7 <> 1) SELECT coalesce(b.f, n.f) AS fingerprint, CASE WHEN b.f IS NULL THEN 'added' WHEN n.f IS NULL THEN 'resolved' ELSE 'unchanged' END AS state FROM b FULL JOIN n ON b.f = n.f")
 def incremental_rescan(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.substring(F.md5(F.col("source").cast("binary")), 1, 10).alias("fingerprint"))
-    return watch.rescan(d.where("doc_id % 7 = 1"), d.where("doc_id % 7 = 2"))
+    # what a file held before and after a change: two snapshots, each without a seventh
+    d = t.documents.select("doc_id", F.substring(F.md5(F.col("text").cast("binary")), 1, 10).alias("fingerprint"))
+    return watch.rescan(d.where("doc_id % 7 <> 2"), d.where("doc_id % 7 <> 1"))
 
 
 @query("x10_token_stats", "SELECT user_id, count(*) AS tokens, round(max(value), 6) AS most FROM events GROUP BY user_id")

@@ -27,9 +27,9 @@ def query_terms(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.size(x.query_terms(F.col("text"))).alias("terms"))
 
 
-@query("t9_jaccard_words", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents WHERE n_chars < 2000) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
+@query("t9_jaccard_words", f"WITH d AS (SELECT doc_id, list_distinct({words_sql('text')}) AS w FROM documents) SELECT a.doc_id, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) END, 6) AS jaccard FROM d a JOIN d b ON b.doc_id = a.doc_id + 1")
 def jaccard_words(t: Tables) -> DataFrame:
-    d = t.documents.where("n_chars < 2000").select("doc_id", F.array_distinct(x.words(F.col("text"))).alias("a"))
+    d = t.documents.select("doc_id", F.array_distinct(x.words(F.col("text"))).alias("a"))
     nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b"))
     return d.join(nxt, "doc_id").select("doc_id", F.round(x.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
 
@@ -208,10 +208,12 @@ def uncovered_ranges(t: Tables) -> DataFrame:
     return r.withColumn("upto", upto).where("upto < lo").select("f", F.col("upto").alias("gap_from"), F.col("lo").alias("gap_to"))
 
 
-@query("m6_get_file", "SELECT source, count(*) AS chunks, md5(string_agg(substring(text, 1, 50), chr(10) ORDER BY doc_id)) AS content FROM documents GROUP BY source")
+@query("m6_get_file", "SELECT coalesce(source, '') || '/' || (doc_id // 50) AS path, count(*) AS chunks, md5(string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id)) AS content FROM documents GROUP BY 1")
 def get_file(t: Tables) -> DataFrame:
-    g = t.documents.groupBy("source").agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 50).alias("s")))).alias("p"))
-    return g.select("source", "chunks", F.md5(F.array_join("p.s", "\n").cast("binary")).alias("content"))
+    """A file's chunks, whole and in order; a file has fifty at most here."""
+    path = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), F.floor(F.col("doc_id") / 50).cast("string"))
+    g = t.documents.groupBy(path.alias("path")).agg(F.count("*").alias("chunks"), F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("s")))).alias("p"))
+    return g.select("path", "chunks", F.md5(F.array_join("p.s", "\n").cast("binary")).alias("content"))
 
 
 @query("m8_chunk_dispatch", "SELECT doc_id, CASE WHEN lang = 'en' THEN 'ast' WHEN lang IN ('de', 'fr') THEN 'regex' ELSE 'generic' END AS chunker, least(n_chars, 1500) AS size FROM documents WHERE n_chars >= 20")

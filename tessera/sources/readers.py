@@ -6,6 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,10 +25,35 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def source_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, most: int = 2 << 20) -> DataFrame:
-    """(path, length, text) of a tree's source files, without large ones and skipped folders."""
+def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The plain patterns of a tree's ignore file: no comments, no negations; `*.x` is the suffix `.x`.  Without a file, none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return []
+    lines = [r[0].strip() for r in spark.read.text(f"{root}/.gitignore").collect()]  # a file that people write
+    return [x for x in (ignore_pattern(line) for line in lines) if x]
+
+
+def ignore_pattern(line: str) -> str | None:
+    line = line.strip()
+    if not line or line[0] in "#!":
+        return None
+    line = line.strip("/")
+    return line[1:] if line.startswith("*.") else line or None
+
+
+def ignored(path: Column, patterns: list[str]) -> Column:
+    """Whether a path holds a pattern, or ends with one that is a suffix."""
+    out = F.lit(False)
+    for p in patterns:
+        out = out | (path.endswith(p) if p.startswith(".") else F.contains(path, F.lit(p)))
+    return out
+
+
+def source_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS, most: int = 2 << 20, ignore: list[str] | None = None) -> DataFrame:
+    """(path, length, text) of a tree's source files, without large ones, skipped folders and what `ignore` (see `ignore_patterns`) names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    wanted = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*extensions) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in SKIPPED]))
+    wanted = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*extensions) & ~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(s) for s in SKIPPED])) & ~ignored(F.col("path"), ignore or [])
     return files.where((F.col("length") <= most) & wanted).select("path", "length", F.decode("content", "UTF-8").alias("text")).orderBy("path")
 
 
@@ -51,16 +77,19 @@ _HUNK = re.compile(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 def parse_diff(text: str | None) -> list[tuple[str, int, int, int, int, int, int]]:
     """(file, old_start, old_count, new_start, new_count, added, removed) of each hunk of a unified diff."""
     out: list[list] = []
-    file = ""
+    file, old, new = "", 0, 0  # lines that the hunk still has on either side
     for line in (text or "").splitlines():
-        if line.startswith("+++ "):
+        if old > 0 or new > 0:
+            sign = line[:1]
+            out[-1][5] += sign == "+"
+            out[-1][6] += sign == "-"
+            old -= sign not in ("+", "\\")
+            new -= sign not in ("-", "\\")
+        elif line.startswith("+++ "):
             file = re.sub(r"^b/", "", line[4:].split("\t")[0])
         elif m := _HUNK.match(line):
-            out.append([file, int(m[1]), int(m[2] or 1), int(m[3]), int(m[4] or 1), 0, 0])
-        elif out and line.startswith("+"):
-            out[-1][5] += 1
-        elif out and line.startswith("-") and not line.startswith("--- "):
-            out[-1][6] += 1
+            old, new = int(m[2] or 1), int(m[4] or 1)
+            out.append([file, int(m[1]), old, int(m[3]), new, 0, 0])
     return [tuple(x) for x in out]
 
 
@@ -108,6 +137,36 @@ def parse_python(source: str | None) -> list[tuple[str, str, int, int, int, list
     return out
 
 
+def function_range(source: str | None, name: str) -> tuple[int, int] | None:
+    """(first, last) line of a function by its qualified name, such as `f`, `A.f` or `A.B.f`."""
+    try:
+        scope: list[tuple[ast.AST, str]] = [(ast.parse(source or ""), "")]
+    except (SyntaxError, ValueError):
+        return None
+    while scope:
+        node, at = scope.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                full = f"{at}.{child.name}" if at else child.name
+                if full == name and not isinstance(child, ast.ClassDef):
+                    return child.lineno, child.end_lineno or child.lineno
+                scope.append((child, full))
+    return None
+
+
+def function_ranges(files: DataFrame, path: str, text: str, name: str) -> DataFrame:
+    """path, name, first and last line of the function that each row names; rows without it are left out."""
+    names = [path, text, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths, texts, wanted = (batch.column(i).to_pylist() for i in range(3))
+            found = [(p, n, r) for p, x, n in zip(paths, texts, wanted, strict=True) if n and (r := function_range(x, n))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), *(pa.array([f[2][k] for f in found], pa.int32()) for k in (0, 1))], names=["path", "name", "first", "last"])
+
+    return files.select(F.col(names[0]).cast("string"), names[1], names[2]).mapInArrow(run, "path string, name string, first int, last int")
+
+
 SYMBOLS = "array<struct<kind:string,name:string,line:int,last:int,complexity:int,calls:array<string>>>"
 
 
