@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,12 +76,18 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again; a temporary one in local mode where none is set."""
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or (tempfile.mkdtemp() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir"))
-    path = f"{at.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    """df written to the shared folder and read again."""
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset the warehouse, and in local mode a temporary folder."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/tessera"
 
 
 def stable_ids(found: DataFrame, known: DataFrame, prefix: str, year: int, order: list[Column]) -> DataFrame:

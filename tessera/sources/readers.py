@@ -27,10 +27,16 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
 
 def ignore_patterns(spark: SparkSession, root: str) -> list[str]:
     """The plain patterns of a tree's ignore file: no comments, no negations; `*.x` is the suffix `.x`.  Without a file, none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
         return []
-    lines = [r[0].strip() for r in spark.read.text(f"{root}/.gitignore").collect()]  # a file that people write
+    stream = fs.open(at)  # Spark's readers skip hidden files
+    try:
+        lines = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+    finally:
+        stream.close()
     return [x for x in (ignore_pattern(line) for line in lines) if x]
 
 

@@ -3,12 +3,13 @@
 from types import SimpleNamespace
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
-from tessera.operators import curate, graph, history, scan, store, vectors
+from tessera.operators import assist, curate, graph, history, scan, store, vectors
 from tessera.plans import retrieval_queries
-from tessera.sources import readers
+from tessera.sources import readers, sinks
 from tessera.streaming import watch
 
 
@@ -126,13 +127,75 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_watcher(spark, tmp_path):
-    snap = spark.createDataFrame([(1, "a")], "k int, v string")
-    spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string").write.parquet(str(tmp_path / "in"))
-    w = watch.Watcher(snap, "k")
-    w.start(spark.readStream.schema(snap.schema).parquet(str(tmp_path / "in")), str(tmp_path / "cp"), once=True).awaitTermination()
-    assert w.status()["added"] == 1 and w.status()["updated"] == 1 and w.status()["errors"] == 0
-    w.apply(snap.select("k"), 9)
-    assert w.errors == 1 and w.snapshot.count() == 2
+    at, seen = str(tmp_path / "snap"), str(tmp_path / "in")
+    sinks.save_snapshot(spark.createDataFrame([(1, "a")], "k int, v string"), at)
+    spark.createDataFrame([(1, "b"), (2, "c"), (3, None)], "k int, v string").write.parquet(seen)
+    w = watch.Watcher(at, "k", sound=F.col("v").isNotNull())
+    w.start(spark.readStream.schema("k int, v string").parquet(seen), str(tmp_path / "cp"), once=True).awaitTermination()
+    assert [w.status()[k] for k in ("added", "updated", "errors", "batches")] == [1, 1, 1, 1]
+    w.pause()
+    assert w.status()["paused"] and not w.status()["running"]
+    spark.createDataFrame([(4, "d")], "k int, v string").write.mode("append").parquet(seen)
+    w.resume().awaitTermination()
+    assert {tuple(r) for r in w.snapshot(spark).collect()} == {(1, "b"), (2, "c"), (4, "d")}
+    w.stop()
+    with pytest.raises(RuntimeError):
+        w.resume()
+    with pytest.raises(Exception):  # a failure of another kind is not swallowed: the batch stays to be applied
+        w.apply(spark.createDataFrame([(1,)], "k int"), 9)
+
+
+def test_debounce_matches_a_fold(spark):
+    rng = np.random.default_rng(5)
+    rows = [(w, float(x)) for w in range(3) for x in np.round(np.cumsum(rng.exponential(0.7 if w else 0.05, 400)), 2)]
+    df = spark.createDataFrame(rows, "watcher int, t double").select("watcher", F.timestamp_seconds(F.col("t")).alias("ts"))
+    got = sorted((r.watcher, r.ts.timestamp(), r.batch) for r in watch.debounce(df, 2.0, 0.2).collect())
+    want = []
+    for w in range(3):
+        opened, n = None, 0
+        for r in sorted(r.ts.timestamp() for r in df.where(F.col("watcher") == w).collect()):
+            if opened is None or r - opened >= 1.8:
+                opened, n = r, n + 1
+            want.append((w, r, n))
+    assert [g[::2] for g in got] == [g[::2] for g in sorted(want)]
+    assert watch.debounce(df.limit(0)).count() == 0
+
+
+def test_stable_ids_beyond_four_digits(spark):
+    found = spark.range(12_000).select(F.md5(F.col("id").cast("string").cast("binary")).alias("fingerprint"))
+    known = spark.createDataFrame([("k", "VULN-2024-0003")], "fingerprint string, id string")
+    ids = [r.id for r in store.stable_ids(found.repartition(5), known, "VULN", 2025, [F.col("fingerprint")]).orderBy("fingerprint").collect()]
+    assert ids == [f"VULN-2025-{n:04d}" for n in range(4, 12_004)]
+
+
+def test_diff_lines_that_look_like_headers():
+    text = "--- a/x.sql\n+++ b/x.sql\n@@ -1,3 +1,3 @@\n keep\n--- old comment\n-- two\n+++ new comment\n++ two\n@@ -9 +9,2 @@\n-a\n+b\n+c\n\\ No newline at end of file\n--- a/y\n+++ b/y\n@@ -1 +1 @@\n-q\n+r\n"
+    assert readers.parse_diff(text) == [("x.sql", 1, 3, 1, 3, 2, 2), ("x.sql", 9, 1, 9, 2, 2, 1), ("y", 1, 1, 1, 1, 1, 1)]
+    assert readers.parse_diff(None) == []
+
+
+def test_function_range_and_ignore_patterns(spark, tmp_path):
+    source = "class A:\n    class B:\n        def f(self):\n            def g():\n                pass\n            return g\n\nasync def f():\n    pass\n"
+    assert readers.function_range(source, "A.B.f") == (3, 6) and readers.function_range(source, "f") == (8, 9)
+    assert readers.function_range(source, "A") is None and readers.function_range("def (", "f") is None
+    (tmp_path / ".gitignore").write_text("# c\n\n/build/\n!keep\n*.log\nout\n")
+    assert readers.ignore_patterns(spark, str(tmp_path)) == ["build", ".log", "out"]
+    assert readers.ignore_patterns(spark, str(tmp_path / "none")) == []
+
+
+def test_new_scan_rules(spark):
+    code = ["if os.path.exists(p):\n    f = open(p)\n", "yaml.load(x)\n", "yaml.load(x, Loader=yaml.SafeLoader)\n", "k = 'sk-abcdefghijklmnopqrstuv'\n", "commands.getoutput(c)\n", "httpx.get(base + path)\n"]
+    df = spark.createDataFrame([(str(i), c) for i, c in enumerate(code)], "path string, text string")
+    got = {(r.path, r["class"]) for r in scan.findings(df, "path", "text").collect()}
+    assert {("0", "race_condition"), ("1", "unsafe_deserialization"), ("3", "hardcoded_secret"), ("4", "command_injection"), ("5", "ssrf")} <= got
+    assert ("2", "unsafe_deserialization") not in got
+
+
+def test_stale_index(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "vec array<float>, language string, text string")
+    check = lambda df: assist.stale(df, 2, "# chunk:").first().stale
+    assert check(rows(([1.0], "python", "# chunk: a"))) and check(rows(([1.0, 2.0], "python", "b")))
+    assert not check(rows(([1.0, 2.0], "python", "# chunk: a"), ([1.0, 2.0], "go", "b"))) and not check(rows(([1.0, 2.0], "go", "b"))) and not check(rows().limit(0))
 
 
 def test_hdc_encode_takes_all_words(spark):
