@@ -182,11 +182,52 @@ def test_op7(odd, empty, kw):
         assert jaccard_join.jaccard_join(empty).count() == 0
 
 
+def plain_spans(text):
+    """The base spans, letter by letter instead of by patterns."""
+    found = []
+    fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    word = set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        j = next((i + len(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key") if fold.startswith(w, i)), None)
+        if j is not None:
+            j += text[j : j + 1] in ('"', "'") and j < len(text)
+            while text[j : j + 1] == " ":
+                j += 1
+            if text[j : j + 1] in (":", "="):
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                k = j
+                while k < len(text) and text[k] in word:
+                    k += 1
+                if k > j:
+                    if k - j >= 8:
+                        found.append(("assign", j, k))
+                    i = k
+                    continue
+        i += 1
+    for kind, lead, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            k = i + len(lead)
+            while text.startswith(lead, i) and k < len(text) and text[k] in chars:
+                k += 1
+            if k > i + len(lead):
+                if k - i >= least:
+                    found.append((kind, i, k))
+                i = k
+            else:
+                i += 1
+    return sorted(found, key=lambda f: (f[1], ("assign", "access", "hex").index(f[0])))
+
+
 def test_op8(spark, odd, empty):
     texts = [None, "", "é password = \"abc.defgh\" x", "Token:short1 TOKEN: longenough9", "AKIA" + "B" * 12 + " " + "AKIA" + "B" * 11, "f" * 32 + "g" + "0" * 31, "ſecret = abcdefgh1 password=a\npasswd: zzzzzzzz", "export DEPLOY_KEY=Zx81kLmN90pQrStUvWxYz12345678 end"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     for r in secrets.scan(df, "doc_id").collect():
-        want = [(k, a, b) for a, n, b in secrets.base_spans(texts[r.doc_id] or "") for k in [secrets.KINDS[n]]]
+        want = plain_spans(texts[r.doc_id] or "")
         assert [tuple(s) for s in r.spans if s.kind != "chain"] == want
         got = {r.doc_id: [(s.kind, (texts[r.doc_id] or "")[s.start : s.end]) for s in r.spans]}
         if r.doc_id == 2:
@@ -245,19 +286,198 @@ def test_op7_compares_every_text_of_an_id(spark):
     assert got == {5: 2, 3: 2, 2: 2, None: 7, 7: 7, 8: 7, 9: 7, 11: 11}
 
 
-def test_pipeline_stages(spark, odd, labels, tmp_path):
-    labels.write.parquet(str(tmp_path / "labels.parquet"))
-    docs = odd.select(*stages.COLUMNS)
+def same_component(sets, percent):
+    """The least number reachable by links, for sets in order."""
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = label[i], label[j]
+                label = [min(x, y) if v in (x, y) else v for v in label]
+    return label
+
+
+def shingle_set(text, k):
+    w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def test_pipeline_stages(spark, odd, empty, labels, tmp_path):
+    at = str(tmp_path)
+    labels.write.parquet(f"{at}/labels.parquet")
     for stage in (stages.good_documents, stages.one_of_each_group, stages.without_secrets, stages.mixed):
-        assert stage(spark, docs, str(tmp_path)).columns == list(stages.COLUMNS)
-    one = stages.one_of_each_group(spark, odd, str(tmp_path))
-    ids = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(odd, words=stages.SHINGLE, percent=stages.NEAR).collect()}
-    kept = Counter((r.doc_id, r.text) for r in one.collect())
-    assert max(kept.values()) == 1 and {i for i, _ in kept} == {i for i, c in ids.items() if i == c}
-    words = {r.source: 0 for r in mixing.mix(odd).collect()}
+        assert stage(spark, odd, at).columns == list(stages.COLUMNS)
+        assert stage(spark, empty, at).count() == 0
+    assert stages.packed(spark, empty, at).count() == 0
+    # one row of each group of near copies among the different rows, whatever their ids; an id's own text counts as it
+    kept = Counter((r.doc_id, r.text) for r in stages.one_of_each_group(spark, odd, at).collect())
+    assert max(kept.values()) == 1
+    rows = sorted({(i, t) for i, t, *_ in odd_rows()}, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    label = same_component([shingle_set(t, stages.SHINGLE) for _, t in rows], stages.NEAR)
+    of = dict(zip(rows, label, strict=True))
+    assert sorted(of[k] for k in kept) == sorted(set(label))
+    for c in set(label):
+        own = [r[0] for r in rows if of[r] == c]
+        unique = [i for i in own if i is not None and [r[0] for r in rows].count(i) == 1]
+        if unique and min(unique) == min(i for i in own if i is not None):
+            assert min(unique) in [k[0] for k in kept if of[k] == c]
+    words = Counter()
     for r in mixing.mix(odd).collect():
         words[r.source] += r.taken
     out = Counter()
-    for r in stages.mixed(spark, odd.dropDuplicates(["doc_id", "text"]), str(tmp_path)).collect():
+    for r in stages.mixed(spark, odd.dropDuplicates(["doc_id", "text"]), at).collect():
         out[r.source] += len(WORD.findall(r.text or ""))
     assert set(out) <= set(words)
+
+
+def test_pipeline_run(spark, tmp_path, monkeypatch):
+    """All stages from end to end: good documents stay, copies go, secrets are masked, the sequences hold what is left."""
+    import corpus_pipeline
+
+    good = [(i, f"The quiet river {i} ran past the old mill number {i}.\nPeople of town {i * 7} spoke of it, and the day {i * 3} was calm.", "en", f"s{i % 2}", 0) for i in range(40)]
+    junk = [(100 + i, f"win### cash$$$ {i}%%% now### " * 5, "en", "s0", 0) for i in range(40)]
+    extra = [(200, good[3][1], "en", "s1", 0), (201, None, "en", None, None), (202, good[5][1] + "\npassword = abcdefgh1234", "en", "s1", 0)]
+    spark.createDataFrame(good + junk + extra, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 100), 0) for i in (*range(40), *range(100, 140))], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert not ids & set(range(100, 140)) and 200 not in ids and len(ids & set(range(40))) >= 38
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    assert all("abcdefgh1234" not in (r.text or "") for r in docs.collect())
+    bins = {}
+    for r in out:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+
+
+def thue_morse(n, a, b):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def twisted(spark):
+    """Words and passages that polynomial hashes modulo a power of two take for equal."""
+    x, y = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    same_words = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{same_words} {x}"), (2, f"{same_words} {y}"), (3, x), (4, y)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_op1_and_op2_tell_twisted_texts_apart(twisted):
+    rows, df = twisted
+    assert [r.n_removed for r in substring_dedup.substring_dedup(df).collect()] == [0] * 4
+    seen = Counter(t[s : s + 400] for _, t in rows for s in range(len(t) - 399))
+    want = {i: sum(covered(len(t), [s for s in range(len(t) - 399) if seen[t[s : s + 400]] > 1], 400)) for i, t in rows}
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df).collect()} == want
+
+
+def test_op4_and_op7_tell_twisted_texts_apart(twisted, spark):
+    _, df = twisted
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df.where("doc_id > 2")).collect()} == {3: 3, 4: 4}
+    got = {r.doc_id: r for r in fingerprint.fingerprint_versions(df.where("doc_id > 2")).collect()}
+    assert got[3].fingerprint != got[4].fingerprint and got[3].near_next == 0
+
+
+def test_op1_index_goes_on_after_a_restart(spark, tmp_path):
+    """Five batches, two compactions and an index that is opened again: the same as all at once."""
+    rng = np.random.default_rng(6)
+    passages = [" ".join(f"p{k}x{n}" for n in rng.integers(0, 999, 80)) for k in range(4)]
+    rows = [(i, " ".join(f"w{n}" for n in rng.integers(0, 10**6, 40)) + " " + passages[i % 4][: None if i % 3 else 400] + f" tail{i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", fanout=2, buckets=4)
+    got, compactions = {}, 0
+    for k in range(5):
+        part, earlier = df.where(f"doc_id >= {8 * k} AND doc_id < {8 * k + 8}"), df.where(f"doc_id < {8 * k}")
+        for r in index.append(part, earlier).collect():
+            got[r.doc_id] = (r.n_removed, r.kept_text)
+        if k in (1, 3):
+            index.compact(force=True)
+            compactions += len(index.runs) == 1
+        if k == 2:
+            for name in index.runs:
+                spark.sql(f"DROP TABLE {name}")  # as in a new session's catalog
+            index = substring_dedup.FingerprintIndex.open(spark, f"file://{tmp_path}/index")
+    assert compactions == 2 and len(index.runs) == 2
+    assert got == {r.doc_id: (r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(df).collect()}
+    assert sum(n for n, _ in got.values()) > 1000
+    fps = index.rows().select("fp").distinct().limit(3)
+    assert index.lookup(fps).select("fp").distinct().count() == 3
+
+
+def test_long_texts_and_hot_keys(spark):
+    """A text beyond a kernel's piece, and groups of copies that are most of the rows."""
+    rng = np.random.default_rng(8)
+    words = [f"v{n}" for n in rng.integers(0, 10**7, 330_000)]
+    long = " ".join(words)
+    assert len(long) > 2 << 20
+    copy, near = " ".join(f"c{n}" for n in range(120)), " ".join(f"n{n}" for n in range(200))
+    rows = [(0, long), (1, " ".join(words[1000:1200]))] + [(10 + i, copy) for i in range(150)] + [(200 + i, f"{near} x{i}") for i in range(150)]
+    df = spark.createDataFrame([(i, t, "s", "en") for i, t in rows], "doc_id long, text string, source string, lang string").repartition(4)
+    one = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(df).collect()}
+    assert one[1] == 200 and one[0] == 0 and one[10] == 0 and {one[i] for i in range(11, 160)} == {120} and {one[i] for i in range(201, 350)} == {200}
+    two = {r.doc_id: r.n_removed for r in suffix_dedup.suffix_dedup(df).collect()}
+    assert two[1] == len(rows[1][1]) and two[0] >= two[1] and {two[i] for i in range(10, 160)} == {len(copy)} and min(two[i] for i in range(200, 350)) >= len(near)
+    seven = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df, task=20_000).collect()}
+    assert {seven[i] for i in range(10, 160)} == {10} and {seven[i] for i in range(200, 350)} == {200} and seven[0] == 0 and seven[1] == 1
+    mixed = mixing.mix(df).collect()
+    assert abs(sum(r.taken for r in mixed) - 1.5 * sum(r.size for r in mixed)) <= 1
+    four = {r.doc_id: r for r in fingerprint.fingerprint_versions(df).collect()}
+    assert four[0].n_chars == len(long) and len({four[i].fingerprint for i in range(10, 160)}) == 1
+    shards = sharding.shard(df, limit=1500).collect()
+    assert len(shards) == len(rows) and all(r.shard_bytes <= 1500 or r.doc_id < 2 for r in shards)
+    assert all(not r.spans for r in secrets.scan(df, "doc_id").collect())
+    same_rows = spark.createDataFrame([(None, "abc " * 50)] * 90, "doc_id long, text string").repartition(5)
+    paged = sharding.shard(same_rows, limit=1000).collect()
+    assert len(paged) == 90 and max(r.shard_bytes for r in paged) <= 1000
+
+
+def test_op3_takes_the_least_keys_first(spark):
+    """The order of the draws against a plain sort, by other keys than the operator's own."""
+    rows = [(i, "w " * (1 + i % 7), "a" if i % 3 else "b") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weight = F.lit(1.0) + F.col("doc_id") % 5
+    got = mixing.mix(df, weight=weight, share=0.5, cycle=(1,)).collect()
+    draws = df.select("doc_id", F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 52)).alias("h")).collect()
+    key = {r.doc_id: -np.log((r.h + 0.5) / 2.0**52) / (1 + r.doc_id % 5) for r in draws}
+    for source in "ab":
+        mine = sorted((r for r in got if r.source == source), key=lambda r: key[r.doc_id])
+        left = int(mine[0].target)
+        for r in mine:
+            assert r.taken == min(r.size, max(0, left))
+            left -= r.size
+
+
+def plain_paragraphs(text):
+    """Runs of words up to a line's or sentence's end, eight at most, as a multiset."""
+    out, run = [], []
+    for m in WORD.finditer(text):
+        run.append(m[0])
+        if text[m.end() : m.end() + 1] == "\n" or m[0][-1] in ".!?" or len(run) == 8:
+            out.append(tuple(run))
+            run = []
+    return Counter(out + ([tuple(run)] if run else []))
+
+
+def test_op4_likeness(spark):
+    rng = np.random.default_rng(9)
+    base = [f"word{n}" + (".", "")[int(n % 5 > 0)] for n in rng.integers(0, 500, 400)]
+    rows = []
+    for i in range(12):
+        w = list(base)
+        for k in rng.integers(0, 400, 3 * i):
+            w[k] = f"new{k}x{i}"
+        rows.append((i, ("\n" if i % 2 else " ").join(w[: 400 - 20 * i])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for r in fingerprint.fingerprint_versions(df).collect():
+        text, after = rows[r.doc_id][1], rows[(r.doc_id + 1) % 12][1]
+        half = len(text) // 2
+        for other, got in ((text[: len(text) - half] + after[:half], r.near_edited), (after, r.near_next)):
+            a, b = plain_paragraphs(text), plain_paragraphs(other)
+            assert got == pytest.approx(1 - sum(((a - b) + (b - a)).values()) / (a.total() + b.total()))
