@@ -39,7 +39,7 @@ from .common import Words, materialize, table, text_pieces, trimmed
 
 CAPACITY, END, FAN, MOST, NEARLY = 4096, 1, 8, 100_000, 0.999
 #: Pieces that a partition packs at once (their underfull bins meet in the tree), and words whose ids are remembered.
-BLOCK, REMEMBER = 100_000, 150_000
+BLOCK, REMEMBER = 100_000, 300_000
 
 #: The pattern by which the tokenizer at hand cuts words; a fixed value.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -194,7 +194,7 @@ def _local(docs: DataFrame, spec: str, capacity: int) -> DataFrame:
 
         for batch in batches:
             names = batch.column(0).to_pylist()
-            for lo, _, data, offsets in text_pieces(batch.column(1)):
+            for lo, _, data, offsets in text_pieces(batch.column(1), 4 << 20):
                 ids, bounds = ids_of.piece(data, offsets)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
