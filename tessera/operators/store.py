@@ -6,6 +6,7 @@ natural, so applying a change twice changes nothing more.
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -79,9 +80,23 @@ def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _settled.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_settled: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _drop_settled() -> None:
+    for spark, path in _settled:
+        try:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001  the session has ended; its owner clears the folder
+            return
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset the warehouse, and in local mode a temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

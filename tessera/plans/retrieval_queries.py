@@ -80,14 +80,8 @@ _GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda
 
 @query("j22_ngram_lookup", f"WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), b AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 5), bg AS (SELECT item_id, unnest({_GRAMS}) AS g FROM b WHERE len(w) >= 5) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL HAVING count(*) >= 8")
 def ngram_lookup(t: Tables) -> DataFrame:
-    """Documents that share at least eight five-word runs with an item: an equi-join on the run's hash and words."""
-
-    def grams(df: DataFrame, key: str) -> DataFrame:
-        w = df.select(key, x.words(F.col("text")).alias("w")).where("size(w) >= 5")
-        return w.select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: F.array_join(F.slice("w", i, 5), " ")))).alias("g"))
-
-    met = grams(t.documents, "doc_id").join(grams(t.benchmark, "item_id"), "g")
-    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared")).where("shared >= 8")
+    """Documents that share at least eight five-word runs with an item."""
+    return r.shared_runs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
 
 
 @query("l15_completions", "SELECT DISTINCT p_name AS text, CASE WHEN starts_with(p_name, 're') THEN 0 ELSE 1 END AS place FROM part WHERE contains(p_name, 're') ORDER BY 2, 1 LIMIT 10")
