@@ -42,7 +42,7 @@ def round_robin(rows: DataFrame, group: str, score: str, key: str, most: int) ->
     by = Window.partitionBy(group).orderBy(F.desc(score), key)
     ranked = rows.withColumn("turn_no", F.row_number().over(by)).where(F.col("turn_no") <= most)
     first = rows.groupBy(group).agg(F.max(F.struct(F.col(score), -F.col(key))).alias("best"))
-    return ranked.join(F.broadcast(first), group).orderBy("turn_no", F.desc("best"), key).limit(most).drop("best")  # a row a group
+    return ranked.join(first, group).orderBy("turn_no", F.desc("best"), key).limit(most).drop("best")
 
 
 def curate(rows: DataFrame, score: str, verified: str, key: str, least: float, want: int) -> DataFrame:

@@ -1,7 +1,8 @@
 """Graph operators over edge lists (src, dst): breadth-first distances, paths, chains and references.
 
 Each hop is a join of the frontier with the edges; visited vertices leave by an
-anti-join, and depths are bounded by parameters, so plans stay short.
+anti-join.  Every frontier is written to the shared folder, so the plan of a hop
+does not hold those before it; depths are bounded by parameters.
 """
 
 from __future__ import annotations
@@ -9,20 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _step(df: DataFrame) -> DataFrame:
-    """Cut the plan between hops where a shared checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) and df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+from .store import settled
 
 
 def distances(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(node, depth) of the first visit from the starts (node), at most `depth` hops away."""
     e = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")) if reverse else edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
-    e = e.distinct()
+    e = settled(e.distinct())
     seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
     for d in range(1, depth + 1):
-        frontier = _step(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        frontier = settled(frontier.join(e, "node").select(F.col("next").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 
@@ -36,7 +36,7 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int) -> Da
         step = frontier.join(e, "last").where(~F.array_contains("path", F.col("next")))
         step = step.select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
         # one path to a vertex is enough: the least of the shortest
-        frontier = _step(step.groupBy("start", "last").agg(F.min("path").alias("path")))
+        frontier = settled(step.groupBy("start", "last").agg(F.min("path").alias("path")))
         found = frontier if found is None else found.unionByName(frontier)
     hit = found.join(ends.select(F.col("node").alias("last")).distinct(), "last")
     by = Window.partitionBy("start", "last").orderBy(F.size("path"), "path")
