@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": substring_dedup.OP1_SQL,
+        "op2_suffix_dedup": suffix_dedup.OP2_SQL,
         "op5_embedding_dedup": embedding_dedup.OP5_SQL,
         "op7_jaccard_join": jaccard_join.OP7_SQL,
         "op10_sharding": sharding.OP10_SQL,

@@ -179,3 +179,18 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same by plain SQL: a digest of every string of 400 bytes, as hexadecimal text.
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, unnest(range(0, n - 399)) AS i, unnest(list_transform(range(0, n - 399), lambda i: md5(substring(h, 2 * i + 1, 800)))) AS k FROM d WHERE n >= 400),
+m AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS (SELECT doc_id, i FROM w WHERE k IN (SELECT k FROM m)),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM s),
+p AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, g),
+q AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM p),
+x AS (SELECT doc_id, string_agg(substring(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept, sum(b - a)::BIGINT AS gone, count(*) AS spans, max(b) AS z FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substring(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
