@@ -68,6 +68,16 @@ def blank_literals(source: str) -> str:
     return "".join("".join(x) for x in cells)
 
 
+def blanked(files: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """(key, name): each text without what its literals and comments say."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else blank_literals(x) for x in batch.column(1).to_pylist()], pa.string())], names=[key, name])
+
+    return files.select(key, text).mapInArrow(run, f"`{key}` {files.schema[key].dataType.simpleString()}, `{name}` string")
+
+
 def _find(source: str | None) -> list[tuple[str, int, str]]:
     if not source:
         return []

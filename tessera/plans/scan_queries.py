@@ -38,10 +38,9 @@ def finding_rows(t: Tables) -> DataFrame:
     return scan.findings(code(t), "path", "text").select("path", "class", "line")
 
 
-@query("t37_strip_strings_comments")
+@query("t37_strip_strings_comments", r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'import os' || chr(10) || 'os.system(cmd)' WHEN 1 THEN 'password = ' || chr(39) || repeat(' ', 16) || chr(39) WHEN 2 THEN repeat(' ', 9) || chr(10) || 'print(' || chr(39) || repeat(' ', 7) || chr(39) || ')' WHEN 3 THEN 'def f(q):' || chr(10) || '    db.execute(f' || chr(39) || 'select {q}' || chr(39) || ')' WHEN 4 THEN 'h = hashlib.md5(data)' ELSE 'x = 1' END || chr(10) AS clean FROM part""")
 def strip_strings(t: Tables) -> DataFrame:
-    blank = F.udf(scan.blank_literals, "string")
-    return code(t).select("p_partkey", blank("text").alias("clean"))
+    return scan.blanked(code(t), "p_partkey", "text", "clean")
 
 
 @query("t40_secret_scan", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n AS line FROM l WHERE regexp_matches(line, '(?i)(password|token|secret)\\s*=\\s*[\"''][a-zA-Z0-9_\\-+/=]{12,}[\"'']') AND NOT starts_with(ltrim(line), '#')")
@@ -123,7 +122,7 @@ def claim_verifiers(t: Tables) -> DataFrame:
     return c.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_partkey", F.when(F.col("p_partkey").isNull(), "missing").when(F.col("p_size") > 25, "wrong size").otherwise("verified").alias("verdict"))
 
 
-@query("m15_identifier_correction")
+@query("m15_identifier_correction", "WITH k AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT replace(name, 'r', 'rr') AS typed FROM k), d AS (SELECT typed, name, levenshtein(typed, name) AS d FROM t JOIN k ON substring(typed, 1, 2) = substring(name, 1, 2)) SELECT typed, arg_min(name, (d, name)) AS name FROM d WHERE d BETWEEN 1 AND 2 GROUP BY typed")
 def identifier_correction(t: Tables) -> DataFrame:
     """Names that miss a known one by a letter, with the known one."""
     known = first_of(t.part.select(F.col("p_name").alias("name"), "p_partkey"), ["name"], [F.col("p_partkey")]).select("name")

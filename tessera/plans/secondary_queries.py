@@ -11,19 +11,19 @@ from ..sources import readers
 from .registry import Tables, query
 
 
-@query("s7_scan_diff")
+@query("s7_scan_diff", "SELECT p_partkey, 'f.py' AS file, 1::INT AS old_start, 2::INT AS old_count, p_size::INT AS new_start, 3::INT AS new_count, 2::INT AS added, 1::INT AS removed FROM part")
 def scan_diff(t: Tables) -> DataFrame:
     diff = F.concat(F.lit("--- a/f.py\n+++ b/f.py\n@@ -1,2 +"), F.col("p_size"), F.lit(",3 @@\n a\n-b\n+c\n+d\n"))
     return readers.diff_hunks(t.part.select("p_partkey", diff.alias("diff")), "p_partkey", "diff")
 
 
-@query("s8_scan_source_ast")
+@query("s8_scan_source_ast", "SELECT p_partkey, 'import' AS kind, 'os' AS name, 1::INT AS line, 1::INT AS last, 1::INT AS complexity, []::VARCHAR[] AS calls FROM part UNION ALL SELECT p_partkey, 'class', 'A', 2, 6, 1, [] FROM part UNION ALL SELECT p_partkey, 'method', 'A.f' || p_partkey, 3, 6, 3, ['g', 'h'] FROM part")
 def scan_source_ast(t: Tables) -> DataFrame:
     code = F.concat(F.lit("import os\nclass A:\n    def f"), F.col("p_partkey"), F.lit("(self, x):\n        if x and os:\n            return g(x)\n        return h()\n"))
     return readers.python_symbols(t.part.select("p_partkey", code.alias("code")), "p_partkey", "code")
 
 
-@query("s9_scan_source_regex")
+@query("s9_scan_source_regex", "SELECT 'src/f' || p_partkey || '.go' AS path, 'function' AS kind, 'F' || p_partkey AS name, 3::INT AS line, 13::INT AS last FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'src/f' || p_partkey || '.ts', 'function', 'f', 3, 8 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'src/f' || p_partkey || '.ts', 'class', 'C' || p_partkey, 1, 11 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'src/f' || p_partkey || '.sql', 'class', 't' || p_partkey, 1, 11 FROM part WHERE p_partkey % 3 = 2")
 def scan_source_regex(t: Tables) -> DataFrame:
     body = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("package x\n\nfunc F"), "p_partkey", F.lit("(a int) {\n}\n"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("export class C"), "p_partkey", F.lit(" {\n}\nfunction f() {}\n"))).otherwise(F.concat(F.lit("create table t"), "p_partkey", F.lit(" (a int);\n")))
     ext = F.element_at(F.array(F.lit("go"), F.lit("ts"), F.lit("sql")), (F.col("p_partkey") % 3 + 1).cast("int"))
@@ -47,7 +47,7 @@ def symbol_history(t: Tables) -> DataFrame:
     return t.orders.join(hit, "o_orderkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
 
 
-@query("t54_edge_cases")
+@query("t54_edge_cases", r"""SELECT * FROM (VALUES ('number', '0'), ('number', '-1'), ('number', '1'), ('number', 'float(''nan'')'), ('number', 'float(''inf'')'), ('number', '2**63'), ('string', ''''''), ('string', ''' '''), ('string', '''\x00'''), ('string', '''é'''), ('string', '''a'' * 10000'), ('list', '[]'), ('list', '[None]'), ('list', '[[]]'), ('dict', '{}'), ('dict', '{'''': None}')) AS v(kind, value)""")
 def edge_cases(t: Tables) -> DataFrame:
     return readers.edge_cases(t.spark)
 
@@ -86,7 +86,7 @@ def plan_progress(t: Tables) -> DataFrame:
     return t.lineitem.groupBy(F.col("l_orderkey").alias("plan")).agg(F.round(F.avg(done.cast("int")), 6).alias("done"), F.min(F.when(~done, F.col("l_linenumber"))).alias("next_step"))
 
 
-@query("k13_vector_upsert")
+@query("k13_vector_upsert", "WITH o AS (SELECT vec_id, label FROM embeddings WHERE vec_id % 3 <> 0), n AS (SELECT vec_id, 1::INT AS label FROM embeddings WHERE vec_id % 2 = 0) SELECT coalesce(o.vec_id, n.vec_id) AS vec_id, coalesce(n.label, o.label) AS label, CASE WHEN n.vec_id IS NULL THEN 'kept' WHEN o.vec_id IS NULL THEN 'added' WHEN o.label IS NOT DISTINCT FROM n.label THEN 'unchanged' ELSE 'updated' END AS change FROM o FULL JOIN n ON o.vec_id = n.vec_id")
 def vector_upsert(t: Tables) -> DataFrame:
     old, new = t.embeddings.where("vec_id % 3 <> 0").select("vec_id", "label"), t.embeddings.where("vec_id % 2 = 0").select("vec_id", F.lit(1).alias("label"))
     return upsert(old, new, ["vec_id"])

@@ -66,7 +66,7 @@ def extract_entities(t: Tables) -> DataFrame:
     return w.where((F.col("i") > 0) & F.col("entity").rlike("^[A-Z][a-z]{2,}$")).groupBy("entity").agg(F.count("*").alias("mentions")).orderBy(F.desc("mentions"), "entity").limit(50)
 
 
-@query("t31_extract_user_facts")
+@query("t31_extract_user_facts", r"SELECT conv_id, turn, coalesce(nullif(regexp_extract(text, '(?i)my name is (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)call me (\w+)', 1), '')) AS name, coalesce(nullif(regexp_extract(text, '(?i)i work as an? (\w+)', 1), ''), nullif(regexp_extract(text, '(?i)i am an? (\w+)', 1), '')) AS job, nullif(regexp_extract(text, '(?i)i live in (\w+)', 1), '') AS place FROM conversations WHERE role = 'user'")
 def extract_user_facts(t: Tables) -> DataFrame:
     first = lambda *patterns: F.coalesce(*[F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in patterns])
     return t.conversations.where("role = 'user'").select("conv_id", "turn", first(r"(?i)my name is (\w+)", r"(?i)call me (\w+)").alias("name"), first(r"(?i)i work as an? (\w+)", r"(?i)i am an? (\w+)").alias("job"), first(r"(?i)i live in (\w+)").alias("place"))
@@ -88,7 +88,7 @@ def extract_claims(t: Tables) -> DataFrame:
     return claims.join(known, "name", "left").select("o_orderkey", "name", F.coalesce("known", F.lit(False)).alias("known"))
 
 
-@query("t35_arith_claims")
+@query("t35_arith_claims", "SELECT o_orderkey, o_orderkey || ' + 2 = ' || (o_orderkey + CASE WHEN o_orderkey % 7 = 0 THEN 3 ELSE 2 END) AS claim, (o_orderkey + 2)::DOUBLE AS value, o_orderkey % 7 <> 0 AS holds FROM orders")
 def arith_claims(t: Tables) -> DataFrame:
     s = t.orders.select("o_orderkey", F.concat("o_orderkey", F.lit(" + 2 = "), F.col("o_orderkey") + F.when(F.col("o_orderkey") % 7 == 0, 3).otherwise(2)).alias("text"))
     return s.select("o_orderkey", F.explode(x.arithmetic_claims(F.col("text"))).alias("c")).select("o_orderkey", "c.*")

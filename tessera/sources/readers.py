@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 SKIPPED = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build")
@@ -104,8 +105,22 @@ HUNKS = "array<struct<file:string,old_start:int,old_count:int,new_start:int,new_
 
 def diff_hunks(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A row a hunk of each diff."""
-    hunks = F.udf(parse_diff, HUNKS)
-    return rows.select(key, F.explode(hunks(text)).alias("h")).select(key, "h.*")
+    return _parsed(rows, key, text, parse_diff, HUNKS)
+
+
+def _parsed(rows: DataFrame, key: str, text: str, parse: Callable[[str | None], list[tuple]], kind: str) -> DataFrame:
+    """The key with a row for each tuple that `parse` finds in the text, over Arrow batches."""
+    one = rows.select(key, F.lit(None).cast(kind).alias("h")).select(key, F.inline("h")).schema
+    arrow = to_arrow_schema(one)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parse(x) for x in batch.column(1).to_pylist()]
+            owner = pa.array([i for i, f in enumerate(found) for _ in f], pa.int64())
+            flat = [r for f in found for r in f]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *(pa.array([r[k] for r in flat], arrow.field(k + 1).type) for k in range(len(arrow) - 1))], names=arrow.names)
+
+    return rows.select(key, text).mapInArrow(run, one)
 
 
 _BRANCHES = (ast.If, ast.For, ast.While, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension, ast.IfExp)
@@ -177,8 +192,7 @@ SYMBOLS = "array<struct<kind:string,name:string,line:int,last:int,complexity:int
 
 
 def python_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
-    found = F.udf(parse_python, SYMBOLS)
-    return files.select(path, F.explode(found(text)).alias("s")).select(path, "s.*")
+    return _parsed(files, path, text, parse_python, SYMBOLS)
 
 
 #: One rule a kind of definition: language, kind, pattern, group of the name, lines that it is taken to span.
