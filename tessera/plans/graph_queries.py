@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..operators import report
 from .registry import Tables, query
 
 _EDGES = "e AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 2)"
@@ -90,7 +91,7 @@ def graph_retriever(t: Tables) -> DataFrame:
 @query("j20_dead_code", "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity = 50) AND NOT regexp_matches(p_name, 'test|main') ORDER BY p_size DESC, p_partkey LIMIT 200")
 def dead_code(t: Tables) -> DataFrame:
     used = t.lineitem.where("l_quantity = 50").select(F.col("l_partkey").alias("p_partkey"))
-    return t.part.where(~F.col("p_name").rlike("test|main")).join(used, "p_partkey", "left_anti").select("p_partkey", "p_name", "p_size").orderBy(F.desc("p_size"), "p_partkey").limit(200)
+    return report.dead(t.part, "p_partkey", "p_name", used, "test|main", [F.desc("p_size"), F.col("p_partkey")], 200).select("p_partkey", "p_name", "p_size")
 
 
 @query("l7_dead_code_order", "SELECT p_partkey FROM part ORDER BY p_size DESC, p_retailprice DESC, p_brand, p_partkey LIMIT 30")

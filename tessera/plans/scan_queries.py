@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import scan
 from ..operators.store import first_of
+from ..operators import report
 from .registry import Tables, query
 
 #: Source lines that stand for files, one a row of part.
@@ -59,8 +60,7 @@ def taint_finding(t: Tables) -> DataFrame:
 
 @query("t42_stage_classify", "SELECT user_id, arg_max(event_type, (CASE event_type WHEN 'error' THEN 10 WHEN 'purchase' THEN 9 WHEN 'signup' THEN 5 ELSE 0 END, event_type)) AS stage FROM events GROUP BY user_id")
 def stage_classify(t: Tables) -> DataFrame:
-    weight = F.coalesce(scan.lookup({"error": scan.STAGE_WEIGHT["rce"], "purchase": scan.STAGE_WEIGHT["destroy"], "signup": scan.STAGE_WEIGHT["exfil"]}, F.col("event_type")), F.lit(0))
-    return t.events.groupBy("user_id").agg(F.max_by("event_type", F.struct(weight.alias("w"), "event_type")).alias("stage"))
+    return report.strongest(t.events, "user_id", "event_type", {"error": scan.STAGE_WEIGHT["rce"], "purchase": scan.STAGE_WEIGHT["destroy"], "signup": scan.STAGE_WEIGHT["exfil"]})
 
 
 @query("t43_chain_confidence", "SELECT event_id, round(greatest(0.2, least(0.98, greatest(0.25, 0.75 - 0.15 * (event_id % 5)) * (0.7 + 0.3 * least(value / 50, 1)) + 0.05)), 6)::DOUBLE AS confidence FROM events")
@@ -83,13 +83,12 @@ def export_sarif(t: Tables) -> DataFrame:
 
 @query("k12_export_markdown", "SELECT '| ' || o_orderpriority || ' | ' || count(*) || ' |' AS line FROM orders GROUP BY o_orderpriority")
 def export_markdown(t: Tables) -> DataFrame:
-    n = t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
-    return n.select(F.concat(F.lit("| "), "o_orderpriority", F.lit(" | "), "n", F.lit(" |")).alias("line"))
+    return report.markdown_counts(t.orders, "o_orderpriority")
 
 
 @query("m11_reasoning_gate", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') ORDER BY o_orderpriority, o_orderkey LIMIT 30")
 def reasoning_gate(t: Tables) -> DataFrame:
-    return t.orders.where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).orderBy("o_orderpriority", "o_orderkey").limit(30).select("o_orderkey")
+    return report.worst_first(t.orders, F.lit(5) - F.substring("o_orderpriority", 1, 1).cast("int"), 3, "o_orderkey", 30).select("o_orderkey")
 
 
 @query("m12_chain_narrative", "SELECT o_orderkey, array_to_string(list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey), ' -> ') AS narrative FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -100,7 +99,7 @@ def chain_narrative(t: Tables) -> DataFrame:
 
 @query("m13_load_entry_findings", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority <> '5-LOW' ORDER BY o_orderpriority, o_orderkey LIMIT 100")
 def load_entry_findings(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderpriority <> '5-LOW'").select("o_orderkey", "o_orderpriority").orderBy("o_orderpriority", "o_orderkey").limit(100)
+    return report.worst_first(t.orders, F.lit(5) - F.substring("o_orderpriority", 1, 1).cast("int"), 1, "o_orderkey", 100).select("o_orderkey", "o_orderpriority")
 
 
 @query("u10_claims_dedup", "SELECT DISTINCT conv_id, claim FROM (SELECT conv_id, unnest(regexp_extract_all(lower(text), '(?:^| )([a-z]{6,})', 1)) AS claim FROM conversations) QUALIFY dense_rank() OVER (PARTITION BY conv_id ORDER BY claim) <= 10")
@@ -117,9 +116,7 @@ def lint(t: Tables) -> DataFrame:
 
 @query("m16_claim_verifiers", "WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 1) SELECT l_partkey, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN p_size > 25 THEN 'wrong size' ELSE 'verified' END AS verdict FROM c LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 2 = 0")
 def claim_verifiers(t: Tables) -> DataFrame:
-    c = t.lineitem.where("l_linenumber = 1").select("l_partkey").distinct()
-    p = t.part.where("p_partkey % 2 = 0")
-    return c.join(p, F.col("l_partkey") == F.col("p_partkey"), "left").select("l_partkey", F.when(F.col("p_partkey").isNull(), "missing").when(F.col("p_size") > 25, "wrong size").otherwise("verified").alias("verdict"))
+    return report.verdicts(t.lineitem.where("l_linenumber = 1"), "l_partkey", t.part.where("p_partkey % 2 = 0"), "p_partkey", F.col("p_size") > 25)
 
 
 @query("m15_identifier_correction", "WITH k AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT replace(name, 'r', 'rr') AS typed FROM k), d AS (SELECT typed, name, levenshtein(typed, name) AS d FROM t JOIN k ON substring(typed, 1, 2) = substring(name, 1, 2)) SELECT typed, arg_min(name, (d, name)) AS name FROM d WHERE d BETWEEN 1 AND 2 GROUP BY typed")

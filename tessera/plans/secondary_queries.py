@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators.store import upsert
 from ..sources import readers
+from ..operators import report
 from .registry import Tables, query
 
 
@@ -105,13 +106,12 @@ def update_signature(t: Tables) -> DataFrame:
 
 @query("m20_store_solution", "SELECT substring(md5(lower(p_name)), 1, 12) AS key, count(*) AS tries, max(p_size) AS best FROM part GROUP BY 1")
 def store_solution(t: Tables) -> DataFrame:
-    return t.part.groupBy(F.substring(F.md5(F.lower("p_name").cast("binary")), 1, 12).alias("key")).agg(F.count("*").alias("tries"), F.max("p_size").alias("best"))
+    return report.solutions(t.part, "p_name", "p_size")
 
 
 @query("m33_evolution_narrative", "SELECT p_type, CASE p_type WHEN 'ECONOMY' THEN 'cheap' WHEN 'SMALL' THEN 'little' ELSE 'other' END || ' parts: ' || count(*) AS narrative FROM part GROUP BY p_type")
 def evolution_narrative(t: Tables) -> DataFrame:
-    word = F.coalesce(F.element_at(F.create_map(F.lit("ECONOMY"), F.lit("cheap"), F.lit("SMALL"), F.lit("little")), F.col("p_type")), F.lit("other"))
-    return t.part.groupBy("p_type").agg(F.count("*").alias("n")).select("p_type", F.concat(word, F.lit(" parts: "), "n").alias("narrative"))
+    return report.narrative(t.part, "p_type", {"ECONOMY": "cheap", "SMALL": "little"}, "other", "parts")
 
 
 @query("m34_plan_parse", "SELECT event_id, (props->>'$.k')::INT AS k FROM events")
@@ -123,18 +123,17 @@ def plan_parse(t: Tables) -> DataFrame:
 
 @query("m37_echo_stats", "SELECT l_orderkey, round(sum(l_linenumber) / sum(l_quantity), 6) AS echoed, round(1 / (1 - least(0.99, sum(l_linenumber) / sum(l_quantity))), 6) AS speedup FROM lineitem GROUP BY 1")
 def echo_stats(t: Tables) -> DataFrame:
-    share = F.sum("l_linenumber") / F.sum("l_quantity")
-    return t.lineitem.groupBy("l_orderkey").agg(F.round(share, 6).alias("echoed"), F.round(1 / (1 - F.least(F.lit(0.99), share)), 6).alias("speedup"))
+    return report.echo(t.lineitem, "l_orderkey", "l_linenumber", "l_quantity")
 
 
 @query("m38_adapter_registry", "SELECT s_nationkey, arg_max(s_suppkey, (s_acctbal, s_suppkey)) AS active FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
 def adapter_registry(t: Tables) -> DataFrame:
-    return t.supplier.where("s_acctbal > 0").groupBy("s_nationkey").agg(F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("active"))
+    return report.active(t.supplier, "s_nationkey", "s_suppkey", "s_acctbal", F.col("s_acctbal") > 0)
 
 
 @query("m43_few_shot_pick", "SELECT p_partkey, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT AS hits FROM part WHERE contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT >= 2 ORDER BY 2 DESC, 1 LIMIT 1")
 def few_shot_pick(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", x.hits(F.col("p_name"), ["red", "ring"]).alias("hits")).where("hits >= 2").orderBy(F.desc("hits"), "p_partkey").limit(1)
+    return report.best_named(t.part, "p_partkey", "p_name", ["red", "ring"], 2)
 
 
 @query("m44_code_fixups", "SELECT doc_id, length(regexp_replace(replace(text, chr(9), '    '), '[ ]+' || chr(10), chr(10), 'g')) AS n FROM documents")

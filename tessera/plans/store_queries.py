@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import store
+from ..operators import report
 from .registry import Tables, query
 
 _OLD = "SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 <> 0"
@@ -129,8 +130,8 @@ def stable_ids(t: Tables) -> DataFrame:
 
 @query("l4_facts_caps", "(SELECT 'symbol' AS kind, p_partkey AS id FROM part ORDER BY p_partkey LIMIT 20) UNION ALL (SELECT 'event', event_id FROM events ORDER BY ts DESC, event_id LIMIT 30) UNION ALL (SELECT 'relation', l_orderkey FROM (SELECT DISTINCT l_orderkey FROM lineitem) ORDER BY l_orderkey LIMIT 100)")
 def facts_caps(t: Tables) -> DataFrame:
-    top = lambda df, kind, col, n, *order: df.orderBy(*order).limit(n).select(F.lit(kind).alias("kind"), F.col(col).alias("id"))
-    return top(t.part, "symbol", "p_partkey", 20, "p_partkey").unionByName(top(t.events, "event", "event_id", 30, F.desc("ts"), "event_id")).unionByName(top(t.lineitem.select("l_orderkey").distinct(), "relation", "l_orderkey", 100, "l_orderkey"))
+    one = lambda c: [F.col(c)]
+    return report.capped([("symbol", t.part, "p_partkey", 20, one("p_partkey")), ("event", t.events, "event_id", 30, [F.desc("ts"), F.col("event_id")]), ("relation", t.lineitem.select("l_orderkey").distinct(), "l_orderkey", 100, one("l_orderkey"))])
 
 
 @query("l5_findings_order", "SELECT l_returnflag, l_partkey, l_linenumber, l_orderkey FROM lineitem ORDER BY l_returnflag DESC, l_partkey, l_linenumber, l_orderkey LIMIT 50")
