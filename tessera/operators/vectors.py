@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,3 +91,37 @@ def sign_bits(a: Column, words: int) -> Column:
 
 def hamming(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+#: Bits of a hypervector, and the seed of its codebook.
+DIMENSIONS, CODEBOOK = 10_000, 42
+
+
+def hypervectors(rows: DataFrame, keys: list[str], text: str, dim: int = DIMENSIONS, seed: int = CODEBOOK) -> DataFrame:
+    """keys and `bits`: binary hypervectors of whole texts, packed.
+
+    Letters come from a seeded codebook and are rotated by their place in the
+    word; words are rotated by their place in the text; the majority of the
+    words sets a bit.  A batch builds the vector of each different word once.
+    """
+    book = np.random.RandomState(seed).randint(0, 2, (256, dim)).astype(np.uint8)
+    schema = rows.select(*keys, F.lit(b"").alias("bits")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.concatenate([book, book], axis=1)
+        for batch in batches:
+            known: dict[str, np.ndarray] = {}
+            out = []
+            for value in batch.column(len(keys)).to_pylist():
+                total, words = np.zeros(dim, np.int32), (value or "").lower().split()
+                for i, word in enumerate(words):
+                    if word not in known:
+                        v = np.zeros(dim, np.uint8)
+                        for j, c in enumerate(word.encode()):
+                            v ^= twice[c, dim - j % dim : 2 * dim - j % dim]
+                        known[word] = np.concatenate([v, v])
+                    total += known[word][dim - i % dim : 2 * dim - i % dim]
+                out.append(np.packbits(total * 2 > len(words)).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(out, pa.binary())], names=[*keys, "bits"])
+
+    return rows.select(*keys, F.col(text).alias("_text")).mapInArrow(run, schema)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators import retrieval as r
+from ..operators import vectors
 from .registry import Tables, query
 from .text_queries import words_sql
 
@@ -113,25 +114,7 @@ def hash_embedding(t: Tables) -> DataFrame:
 
 @query("t7_hdc_encode")
 def hdc_encode(t: Tables) -> DataFrame:
-    """Binary hypervectors of texts: letters by a seeded codebook, rotated within words, words by rotated majority."""
-    dim = 1024
-    book = np.random.RandomState(42).randint(0, 2, (256, dim)).astype(np.uint8)
-
-    @F.pandas_udf("binary")
-    def encode(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            total, n = np.zeros(dim, np.int32), 0
-            for i, word in enumerate(str(text or "").lower().split()):
-                v = np.zeros(dim, np.uint8)
-                for j, c in enumerate(word.encode()):
-                    v ^= np.roll(book[c], j)
-                total += np.roll(v, i)
-                n += 1
-            out.append(np.packbits(total * 2 > n).tobytes())
-        return pd.Series(out)
-
-    return t.conversations.select("conv_id", "turn", encode("text").alias("bits"))
+    return vectors.hypervectors(t.conversations, ["conv_id", "turn"], "text")
 
 
 @query("t11_seq_ratio")

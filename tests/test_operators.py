@@ -1,14 +1,11 @@
 """Small cases of the store, graph, history, vector, scan and source operators."""
 
-from types import SimpleNamespace
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scoring, text
 from tessera.operators import assist, curate, graph, history, scan, store, vectors
-from tessera.plans import retrieval_queries
 from tessera.sources import readers, sinks
 from tessera.streaming import watch
 
@@ -210,5 +207,5 @@ def test_hdc_encode_takes_all_words(spark):
             votes += np.roll(2 * bits - 1, i)
         want.append(np.packbits(votes > 0).tobytes())
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(texts)], "conv_id long, turn int, text string")
-    got = {r.turn: bytes(r.bits) for r in retrieval_queries.hdc_encode(SimpleNamespace(conversations=df)).collect()}
+    got = {r.turn: bytes(r.bits) for r in vectors.hypervectors(df, ["conv_id", "turn"], "text", dim=1024).collect()}
     assert got == dict(enumerate(want))
