@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, jaccard_join, mixing, packing, quality, secrets, sharding, substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprint, jaccard_join, mixing, packing, point_in_time, quality, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": secrets.op8_secrets,
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
+        "op11_point_in_time": point_in_time.op11_point_in_time,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_embedding_dedup": embedding_dedup.OP5_SQL,
         "op7_jaccard_join": jaccard_join.OP7_SQL,
         "op10_sharding": sharding.OP10_SQL,
+        "op11_point_in_time": point_in_time.OP11_SQL,
     }
