@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import forget, materialize, table
+from .sql import CRC32_STEPS, crc32
 
 DAY = 86_400_000_000
 #: Days looked back, days looked ahead, minutes until an arrived row can be used, seconds over which the probes' times are spread.
@@ -215,11 +216,11 @@ def op11_point_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(table(spark, sf_dir, "sales"), table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sale_lines"))
 
 
-OP11_SQL = """
+OP11_SQL = f"""
 WITH steps AS (
-  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab
+  {CRC32_STEPS}
 ), probes AS (
-  SELECT sale_id, client_id, sold_at, epoch_us(sold_at) + 1000000 * (xor(list_reduce(list_concat([4294967295], list_transform(string_split(sale_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 259200) AS t
+  SELECT sale_id, client_id, sold_at, epoch_us(sold_at) + 1000000 * ({crc32('sale_id::VARCHAR')} % 259200) AS t
   FROM sales, steps WHERE client_id IS NOT NULL AND sold_at IS NOT NULL AND sale_id IS NOT NULL
 ), asked AS (
   SELECT *, 86400000000::BIGINT * d AS w FROM probes, (VALUES (2), (14)) AS v(d)

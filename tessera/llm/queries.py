@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, jaccard_join, mixing, packing, point_in_time, quality, secrets, sharding, substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprint, jaccard_join, merkle, mixing, packing, point_in_time, quality, secrets, sharding, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality": quality.op9_quality,
         "op10_sharding": sharding.op10_sharding,
         "op11_point_in_time": point_in_time.op11_point_in_time,
+        "op12_merkle": merkle.op12_merkle,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_jaccard_join": jaccard_join.OP7_SQL,
         "op10_sharding": sharding.OP10_SQL,
         "op11_point_in_time": point_in_time.OP11_SQL,
+        "op12_merkle": merkle.OP12_SQL,
     }
