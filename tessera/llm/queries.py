@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embedding_dedup, fingerprint, jaccard_join, merkle, mixing, packing, point_in_time, quality, secrets, sharding, substring_dedup, suffix_dedup
+from . import embedding_dedup, fingerprint, jaccard_join, merkle, mixing, packing, point_in_time, quality, secrets, sharding, substring_dedup, suffix_dedup, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": sharding.op10_sharding,
         "op11_point_in_time": point_in_time.op11_point_in_time,
         "op12_merkle": merkle.op12_merkle,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 
