@@ -62,10 +62,15 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a row for each whole pass that takes a document, and one for its part of the last pass, cut to its words.
 
     Documents without words add nothing to a mix and are left out; null is a source of its own.
+    Rows equal in id, text and source are taken together, each with its own share.
     """
-    plan = mixing.mix(docs).groupBy(F.coalesce("doc_id", F.lit(jaccard_join.NULL_ID)).alias("_id"), "_key").agg(F.max("epochs").alias("epochs"), F.max("part").alias("part"), F.max("size").alias("size")).where("epochs > 0 OR part > 0")
-    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NULL_ID)).alias("_id"), F.xxhash64("text").alias("_key")).join(plan, ["_id", "_key"])
-    takes = F.expr("concat(array_repeat(size, cast(epochs as int)), CASE WHEN part > 0 THEN array(part) ELSE cast(array() as array<bigint>) END)")
+    keys = ["_id", "_key", "_source"]
+    plan = mixing.mix(docs).groupBy(F.coalesce("doc_id", F.lit(jaccard_join.NULL_ID)).alias("_id"), "_key", F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "size", "epochs", "part").agg(F.count("*").alias("m"))
+    # equal rows differ at most in their parts: all, nothing, and what is left at the border
+    plan = plan.groupBy(*keys, "_none", "size").agg(F.sum("m").alias("times"), F.collect_list(F.struct("epochs", "part", "m")).alias("shares")).where("exists(shares, s -> s.epochs > 0 OR s.part > 0)")
+    rows = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard_join.NULL_ID)).alias("_id"), F.xxhash64("text").alias("_key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"), F.col("source").isNull().alias("_none")).join(plan, [*keys, "_none"])
+    rows = rows.where("times = 1").unionByName(rows.where("times > 1").dropDuplicates([*keys, "_none"]))
+    takes = F.expr("flatten(transform(shares, s -> concat(array_repeat(size, cast(s.epochs * s.m as int)), CASE WHEN s.part > 0 THEN array_repeat(s.part, cast(s.m as int)) ELSE cast(array() as array<bigint>) END)))")
     out = rows.withColumn("take", F.explode(takes))
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(mixing.WORD), F.lit(0)), 1, F.col("take").cast("int")), " ")
     out = out.withColumn("text", F.when(F.col("take") >= F.col("size"), F.col("text")).otherwise(cut))
