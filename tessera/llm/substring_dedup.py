@@ -26,6 +26,8 @@ at a time, at about 60 bytes a byte.
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import json
 import uuid
 from collections.abc import Iterator
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, _written, blocks, digests, drop_path, forget, keyed, materialize, shared_dir, table, text_pieces, trimmed
 
-WINDOW, GRAM, BATCHES, FANOUT = 50, 16, 2, 2
+WINDOW, GRAM, BATCHES, FANOUT = 50, 16, 4, 2
 
 #: A block's fingerprint and the digest of its words.
 KEY = ("fp", "c1", "c2")
@@ -59,6 +61,18 @@ def _postings(docs: DataFrame, window: int, gram: int) -> DataFrame:
     return docs.select("_id", "_key", "text").mapInArrow(lambda x: trimmed(run(x)), "_id long, _key long, fp long, c1 long, c2 long, start int, n int")
 
 
+@contextlib.contextmanager
+def _stored_order(spark: SparkSession) -> Iterator[None]:
+    """Lets plans rely on the order in which buckets of one file are stored, so that runs are merged without a sort."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def _reps(rows: DataFrame) -> DataFrame:
     """Per distinct block: its first document's place, and how often it occurs."""
     return rows.groupBy(*KEY).agg(F.min("rep").alias("rep"), F.sum("copies").alias("copies"))
@@ -135,10 +149,8 @@ class FingerprintIndex:
         new = self.spark.table(name)
         # to verify: fingerprints that the run has with several contents, or that a merge join finds in an earlier run with another one
         doubt = new.groupBy("fp").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fp")
-        for run in self.runs:
-            past = self.spark.table(run).select(F.col("fp").alias("past_fp"), F.col("c1").alias("p1"), F.col("c2").alias("p2"))
-            doubt = doubt.union(new.hint("merge").join(past, F.expr("fp = past_fp AND (c1 <> p1 OR c2 <> p2)"), "left_semi").select("fp"))
-        doubt = materialize(doubt.distinct(), "doubt")
+        with _stored_order(self.spark):
+            doubt = materialize(functools.reduce(DataFrame.union, (self._merged(new, run) for run in self.runs), doubt).distinct(), "doubt")
         met = new.select(*KEY, "rep", "copies")
         if self.runs:
             met = met.unionByName(self.rows().join(new.select(*KEY), list(KEY), "left_semi").select(*KEY, "rep", "copies"))
@@ -156,6 +168,11 @@ class FingerprintIndex:
         forget(postings, doubt, seen, verdict)
         return _cut(docs, removed, self.window)
 
+    def _merged(self, new: DataFrame, run: str) -> DataFrame:
+        """The fingerprints of a run that an earlier one has with another content: both are read in their stored order and merged."""
+        past = self.spark.table(run).select(F.col("fp").alias("past_fp"), F.col("c1").alias("p1"), F.col("c2").alias("p2"))
+        return new.select(*KEY).hint("merge").join(past, F.expr("fp = past_fp AND (c1 <> p1 OR c2 <> p2)"), "left_semi").select("fp")
+
     def compact(self, force: bool = False) -> None:
         """Merge the runs into one if `fanout` have gathered."""
         if len(self.runs) < 2 or not (force or len(self.runs) >= self.fanout):
@@ -257,8 +274,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bat
         part = part if high is None else part.where(F.col("_at") <= high)
         found = index.append(part, earlier)
         out = found if out is None else out.unionByName(found)
-        if high is not None:
-            index.compact()
+        index.compact()
     return out
 
 

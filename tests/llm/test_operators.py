@@ -47,6 +47,27 @@ def test_op1(odd, empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
 
 
+def test_op1_merges_and_compacts(spark, odd, tmp_path, monkeypatch):
+    """Runs are merged in their stored order, without a sort, and compacted within the query."""
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index")
+    index.append(odd.where("doc_id < 15"))
+    index.append(odd.where("doc_id >= 15"), odd.where("doc_id < 15"))
+    with substring_dedup._stored_order(spark):
+        plan = index._merged(spark.table(index.runs[1]), index.runs[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Sort [" not in plan and "Exchange" not in plan
+    merged = []
+    compact = substring_dedup.FingerprintIndex.compact
+
+    def counted(self, force=False):
+        before = len(self.runs)
+        compact(self, force)
+        merged.append((before, len(self.runs)))
+
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", counted)
+    substring_dedup.substring_dedup(odd).count()
+    assert len(merged) >= 4 and sum(b > a for b, a in merged) >= 3
+
+
 @pytest.mark.parametrize("kw", [{}, {"shard_bytes": 3000}])
 def test_op2(odd, empty, kw):
     texts = [t.encode() for _, t in ROWS]
@@ -325,9 +346,22 @@ def test_pipeline_stages(spark, odd, empty, labels, tmp_path):
     for r in mixing.mix(odd).collect():
         words[r.source] += r.taken
     out = Counter()
-    for r in stages.mixed(spark, odd.dropDuplicates(["doc_id", "text"]), at).collect():
+    for r in stages.mixed(spark, odd, at).collect():
         out[r.source] += len(WORD.findall(r.text or ""))
-    assert set(out) <= set(words)
+    assert out == +words
+
+
+def test_mixed_stage_equal_rows(spark):
+    """Rows equal in all columns take together what the mix gives them, no more."""
+    rows = [(1, "a b c d e f g h i j " * 10, "en", "s0", 200)] * 6 + [(10 + i, f"w{i} " * 100, "en", "s0", 300) for i in range(4)] + [(20, "x y", "en", None, 3)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.taken
+    got = Counter()
+    for r in stages.mixed(spark, docs, "").collect():
+        got[r.source] += len(WORD.findall(r.text))
+    assert got == want and want["s0"] > 1000
 
 
 def test_pipeline_run(spark, tmp_path, monkeypatch):
