@@ -1,4 +1,4 @@
-"""Graph operators over edge lists (src, dst): breadth-first distances, paths, chains and references.
+"""Graph operators over edge lists (src, dst): breadth-first distances, paths and chains.
 
 Each hop is a join of the frontier with the edges; visited vertices leave by an
 anti-join.  Every frontier is written to the shared folder, so the plan of a hop
@@ -41,12 +41,3 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int) -> Da
     hit = found.join(ends.select(F.col("node").alias("last")).distinct(), "last")
     by = Window.partitionBy("start", "last").orderBy(F.size("path"), "path")
     return hit.withColumn("n", F.row_number().over(by)).where("n = 1").select("start", F.col("last").alias("end"), "path")
-
-
-def resolve(calls: DataFrame, functions: DataFrame, most: int = 5) -> DataFrame:
-    """The function each call (caller, file, name) means: of the same file first, else of the project if at most `most` have the name."""
-    c = calls.join(functions.select(F.col("name"), F.col("id"), F.col("file").alias("at")), "name")
-    by = Window.partitionBy("caller", "name")
-    c = c.withColumn("here", F.col("file") == F.col("at")).withColumn("several", F.count("*").over(by))
-    c = c.withColumn("n", F.row_number().over(by.orderBy(F.desc("here"), "id")))
-    return c.where((F.col("n") == 1) & (F.col("here") | (F.col("several") <= most))).select("caller", "name", "id")

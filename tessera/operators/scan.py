@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import io
+import bisect
 import re
-import tokenize
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,25 +46,42 @@ def classes(text: Column, rules: dict[str, tuple[str, ...]]) -> Column:
     return F.filter(F.array(*[F.when(F.coalesce(text.rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)), name) for name, patterns in rules.items()]), lambda x: x.isNotNull())
 
 
+#: A comment, or a literal up to its end: three quotes, or one quote on a line; a backslash takes the next sign with it.
+_QUOTED = re.compile(r"#[^\n]*|\"{3}[\s\S]*?(?:(\"{3})|\Z)|'{3}[\s\S]*?(?:('{3})|\Z)|\"(?:\\[\s\S]|[^\"\n])*+(?:(\")|\n|\Z)|'(?:\\[\s\S]|[^'\n])*+(?:(')|\n|\Z)")
+_SEEN = re.compile(r"[^\n]")
+
+
 def blank_literals(source: str) -> str:
-    """Python source with the insides of strings and comments turned to blanks; lengths and line ends stay."""
-    lines = source.splitlines(keepends=True)
-    cells = [list(x) for x in lines]
-    try:
-        for tok in tokenize.generate_tokens(io.StringIO(source).readline):
-            if tok.type not in (tokenize.STRING, tokenize.COMMENT):
-                continue
-            quote = 1 if tok.type == tokenize.STRING else 0
-            (r0, c0), (r1, c1) = tok.start, tok.end
-            for r in range(r0 - 1, r1):
-                a = c0 + quote if r == r0 - 1 else 0
-                b = c1 - quote if r == r1 - 1 else len(cells[r])
-                for c in range(a, b):
-                    if cells[r][c] not in "\r\n":
-                        cells[r][c] = " "
-    except (tokenize.TokenError, IndentationError, SyntaxError):
-        return re.sub(r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*", lambda m: m[0][0] + " " * (len(m[0]) - 2) + m[0][-1] if m[0][0] != "#" else " " * len(m[0]), source)
-    return "".join("".join(x) for x in cells)
+    """Source with the insides of strings and comments turned to blanks; lengths, line ends and quotes stay.
+
+    The signs alone decide, so broken sources are blanked too, and so are the
+    insides of formatted strings.  A line ends at a line feed, nowhere else.
+    """
+
+    def blank(m: re.Match) -> str:
+        said = m[0]
+        if said[0] == "#":
+            return " " * len(said)
+        quote = said[:3] if said[:3] in ("\"\"\"", "'''") else said[0]
+        end = m[m.lastindex] if m.lastindex else ""
+        return quote + _SEEN.sub(" ", said[len(quote) : len(said) - len(end)]) + end
+
+    return _QUOTED.sub(blank, source)
+
+
+class Lines:
+    """The lines of a text, and the line (from 0) of a place in it; a line ends at a line feed, nowhere else."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.ends = [m.start() for m in re.finditer("\n", text)]
+
+    def of(self, place: int) -> int:
+        return bisect.bisect_left(self.ends, place)
+
+    def __getitem__(self, n: int) -> str:
+        begin = self.ends[n - 1] + 1 if n else 0
+        return self.text[begin : self.ends[n] if n < len(self.ends) else len(self.text)]
 
 
 def blanked(files: DataFrame, key: str, text: str, name: str) -> DataFrame:
@@ -81,14 +97,14 @@ def blanked(files: DataFrame, key: str, text: str, name: str) -> DataFrame:
 def _find(source: str | None) -> list[tuple[str, int, str]]:
     if not source:
         return []
-    clean, lines = blank_literals(source), source.splitlines()
+    clean, lines = blank_literals(source), Lines(source)
     out = []
     for name, patterns in SINKS.items():
         where = source if name == "hardcoded_secret" else clean
         for p in patterns:
             for m in re.finditer(p, where):
-                n = where.count("\n", 0, m.start())
-                text = lines[n].strip() if n < len(lines) else ""
+                n = lines.of(m.start())
+                text = lines[n].strip()
                 if not text.startswith(("#", "//", "/*", "*")):
                     out.append((name, n + 1, text[:140]))
     return sorted(set(out), key=lambda f: (f[1], f[0]))

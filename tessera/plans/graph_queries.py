@@ -22,12 +22,6 @@ def nodes(t: Tables, *ids: int) -> DataFrame:
     return t.spark.createDataFrame([(i,) for i in ids], "node long")
 
 
-@query("j7_graph_ingest", "SELECT 'file' AS kind, p_brand AS id FROM part GROUP BY p_brand UNION ALL SELECT 'function', p_brand || '::' || p_name || p_partkey FROM part")
-def graph_ingest(t: Tables) -> DataFrame:
-    f = t.part.select(F.lit("file").alias("kind"), F.col("p_brand").alias("id")).distinct()
-    return f.unionByName(t.part.select(F.lit("function").alias("kind"), F.concat("p_brand", F.lit("::"), "p_name", "p_partkey").alias("id")))
-
-
 @query("j8_neighbors", "SELECT l_suppkey AS node, 'out' AS side, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 UNION ALL SELECT l_partkey, 'in', count(DISTINCT l_suppkey) FROM lineitem GROUP BY 1")
 def neighbors(t: Tables) -> DataFrame:
     e = t.lineitem.select("l_suppkey", "l_partkey").distinct()
@@ -71,13 +65,6 @@ def neighbor_scope(t: Tables) -> DataFrame:
     return graph.distances(both, nodes(t, 60), 2).orderBy("depth", "node").limit(25).select("node")
 
 
-@query("j6_resolve_references", "WITH f AS (SELECT p_partkey AS id, p_name AS name, p_brand AS file FROM part), c AS (SELECT p_partkey AS caller, p_brand AS file, 'red ring' AS name FROM part), m AS (SELECT caller, c.name, id, c.file = f.file AS here, count(*) OVER (PARTITION BY caller, c.name) AS several FROM c JOIN f ON f.name = c.name), r AS (SELECT *, row_number() OVER (PARTITION BY caller, name ORDER BY here DESC, id) AS n FROM m) SELECT caller, name, id FROM r WHERE n = 1 AND (here OR several <= 5)")
-def resolve_references(t: Tables) -> DataFrame:
-    f = t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"))
-    c = t.part.select(F.col("p_partkey").alias("caller"), F.col("p_brand").alias("file"), F.lit("red ring").alias("name"))
-    return graph.resolve(c, f)
-
-
 @query("j17_graph_retriever", f"WITH {_EDGES}, d AS (SELECT p_partkey AS node, CASE WHEN p_name = 'red ring' THEN 1.0 WHEN p_name LIKE '% ring' THEN 0.9 END AS score FROM part WHERE p_name LIKE '% ring'), n AS (SELECT e.dst AS node, 0.5 AS score FROM e JOIN d ON e.src = d.node UNION ALL SELECT e.src, 0.5 FROM e JOIN d ON e.dst = d.node) SELECT node, max(score)::DOUBLE AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM n) GROUP BY node ORDER BY 2 DESC, 1 LIMIT 15")
 def graph_retriever(t: Tables) -> DataFrame:
     """Names score 1, suffixes 0.9, one-hop neighbours 0.5; the best score of a node counts."""

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules that register queries when they are imported.
-MODULES = ("query_language", "store_queries", "text_queries", "history_queries", "graph_queries", "curation_queries", "retrieval_queries", "routing_queries", "vector_queries", "scan_queries", "stream_queries", "secondary_queries", "surface_queries")
+MODULES = ("query_language", "store_queries", "text_queries", "history_queries", "graph_queries", "code_queries", "curation_queries", "retrieval_queries", "routing_queries", "vector_queries", "scan_queries", "stream_queries", "secondary_queries", "surface_queries")
 
 
 class Tables:

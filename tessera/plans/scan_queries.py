@@ -39,7 +39,7 @@ def finding_rows(t: Tables) -> DataFrame:
     return scan.findings(code(t), "path", "text").select("path", "class", "line")
 
 
-@query("t37_strip_strings_comments", r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'import os' || chr(10) || 'os.system(cmd)' WHEN 1 THEN 'password = ' || chr(39) || repeat(' ', 16) || chr(39) WHEN 2 THEN repeat(' ', 9) || chr(10) || 'print(' || chr(39) || repeat(' ', 7) || chr(39) || ')' WHEN 3 THEN 'def f(q):' || chr(10) || '    db.execute(f' || chr(39) || 'select {q}' || chr(39) || ')' WHEN 4 THEN 'h = hashlib.md5(data)' ELSE 'x = 1' END || chr(10) AS clean FROM part""")
+@query("t37_strip_strings_comments", r"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'import os' || chr(10) || 'os.system(cmd)' WHEN 1 THEN 'password = ' || chr(39) || repeat(' ', 16) || chr(39) WHEN 2 THEN repeat(' ', 9) || chr(10) || 'print(' || chr(39) || repeat(' ', 7) || chr(39) || ')' WHEN 3 THEN 'def f(q):' || chr(10) || '    db.execute(f' || chr(39) || repeat(' ', 10) || chr(39) || ')' WHEN 4 THEN 'h = hashlib.md5(data)' ELSE 'x = 1' END || chr(10) AS clean FROM part""")
 def strip_strings(t: Tables) -> DataFrame:
     return scan.blanked(code(t), "p_partkey", "text", "clean")
 

@@ -18,19 +18,6 @@ def scan_diff(t: Tables) -> DataFrame:
     return readers.diff_hunks(t.part.select("p_partkey", diff.alias("diff")), "p_partkey", "diff")
 
 
-@query("s8_scan_source_ast", "SELECT p_partkey, 'import' AS kind, 'os' AS name, 1::INT AS line, 1::INT AS last, 1::INT AS complexity, []::VARCHAR[] AS calls FROM part UNION ALL SELECT p_partkey, 'class', 'A', 2, 6, 1, [] FROM part UNION ALL SELECT p_partkey, 'method', 'A.f' || p_partkey, 3, 6, 3, ['g', 'h'] FROM part")
-def scan_source_ast(t: Tables) -> DataFrame:
-    code = F.concat(F.lit("import os\nclass A:\n    def f"), F.col("p_partkey"), F.lit("(self, x):\n        if x and os:\n            return g(x)\n        return h()\n"))
-    return readers.python_symbols(t.part.select("p_partkey", code.alias("code")), "p_partkey", "code")
-
-
-@query("s9_scan_source_regex", "SELECT 'src/f' || p_partkey || '.go' AS path, 'function' AS kind, 'F' || p_partkey AS name, 3::INT AS line, 13::INT AS last FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT 'src/f' || p_partkey || '.ts', 'function', 'f', 3, 8 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'src/f' || p_partkey || '.ts', 'class', 'C' || p_partkey, 1, 11 FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT 'src/f' || p_partkey || '.sql', 'class', 't' || p_partkey, 1, 11 FROM part WHERE p_partkey % 3 = 2")
-def scan_source_regex(t: Tables) -> DataFrame:
-    body = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("package x\n\nfunc F"), "p_partkey", F.lit("(a int) {\n}\n"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("export class C"), "p_partkey", F.lit(" {\n}\nfunction f() {}\n"))).otherwise(F.concat(F.lit("create table t"), "p_partkey", F.lit(" (a int);\n")))
-    ext = F.element_at(F.array(F.lit("go"), F.lit("ts"), F.lit("sql")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return readers.regex_symbols(t.part.select(F.concat(F.lit("src/f"), "p_partkey", F.lit("."), ext).alias("path"), body.alias("code")), "path", "code")
-
-
 @query("s11_generate_pairs")
 def generate_pairs(t: Tables) -> DataFrame:
     return readers.generated_pairs(t.spark, 1000)

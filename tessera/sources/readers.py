@@ -85,7 +85,7 @@ def parse_diff(text: str | None) -> list[tuple[str, int, int, int, int, int, int
     """(file, old_start, old_count, new_start, new_count, added, removed) of each hunk of a unified diff."""
     out: list[list] = []
     file, old, new = "", 0, 0  # lines that the hunk still has on either side
-    for line in (text or "").splitlines():
+    for line in (text or "").split("\n"):
         if old > 0 or new > 0:
             sign = line[:1]
             out[-1][5] += sign == "+"
@@ -93,7 +93,7 @@ def parse_diff(text: str | None) -> list[tuple[str, int, int, int, int, int, int
             old -= sign not in ("+", "\\")
             new -= sign not in ("-", "\\")
         elif line.startswith("+++ "):
-            file = re.sub(r"^b/", "", line[4:].split("\t")[0])
+            file = re.sub(r"^b/", "", line[4:].rstrip("\r").split("\t")[0])
         elif m := _HUNK.match(line):
             old, new = int(m[2] or 1), int(m[4] or 1)
             out.append([file, int(m[1]), old, int(m[3]), new, 0, 0])
@@ -131,33 +131,6 @@ def complexity(node: ast.AST) -> int:
     return 1 + sum(isinstance(n, _BRANCHES) + (len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0) for n in ast.walk(node))
 
 
-def parse_python(source: str | None) -> list[tuple[str, str, int, int, int, list[str]]]:
-    """(kind, name, first line, last line, complexity, calls) of a module's functions, methods, classes and imports."""
-    try:
-        tree = ast.parse(source or "")
-    except (SyntaxError, ValueError):
-        return []
-    out: list[tuple] = []
-
-    def visit(node: ast.AST, inside: str) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                calls = sorted({c.func.id if isinstance(c.func, ast.Name) else c.func.attr for c in ast.walk(child) if isinstance(c, ast.Call) and isinstance(c.func, (ast.Name, ast.Attribute))})
-                out.append(("method" if inside else "function", f"{inside}.{child.name}" if inside else child.name, child.lineno, child.end_lineno or child.lineno, complexity(child), calls))
-                visit(child, inside)
-            elif isinstance(child, ast.ClassDef):
-                out.append(("class", child.name, child.lineno, child.end_lineno or child.lineno, 1, [ast.unparse(b) for b in child.bases]))
-                visit(child, child.name)
-            elif isinstance(child, (ast.Import, ast.ImportFrom)):
-                for a in child.names:
-                    out.append(("import", f"{child.module}.{a.name}" if isinstance(child, ast.ImportFrom) and child.module else a.name, child.lineno, child.lineno, 1, []))
-            else:
-                visit(child, inside)
-
-    visit(tree, "")
-    return out
-
-
 def function_range(source: str | None, name: str) -> tuple[int, int] | None:
     """(first, last) line of a function by its qualified name, such as `f`, `A.f` or `A.B.f`."""
     try:
@@ -188,66 +161,6 @@ def function_ranges(files: DataFrame, path: str, text: str, name: str) -> DataFr
     return files.select(F.col(names[0]).cast("string"), names[1], names[2]).mapInArrow(run, "path string, name string, first int, last int")
 
 
-SYMBOLS = "array<struct<kind:string,name:string,line:int,last:int,complexity:int,calls:array<string>>>"
-
-
-def python_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
-    return _parsed(files, path, text, parse_python, SYMBOLS)
-
-
-#: One rule a kind of definition: language, kind, pattern, group of the name, lines that it is taken to span.
-RULES = (
-    ("js", "function", r"(?m)^\s*(?:export\s+)?(?:async\s+)?function\s+(\w+)", 5),
-    ("js", "function", r"(?m)^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>", 5),
-    ("js", "class", r"(?m)^\s*(?:export\s+)?class\s+(\w+)", 10),
-    ("go", "function", r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", 10),
-    ("go", "class", r"(?m)^type\s+(\w+)\s+(?:struct|interface)", 10),
-    ("rs", "function", r"(?m)^\s*(?:pub\s+)?(?:async\s+)?fn\s+(\w+)", 10),
-    ("rs", "class", r"(?m)^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)", 10),
-    ("java", "class", r"(?m)^\s*(?:public\s+|private\s+|abstract\s+|final\s+)*(?:class|interface)\s+(\w+)", 20),
-    ("java", "function", r"(?m)^\s+(?:public|private|protected)\s+(?:static\s+)?[\w<>\[\]]+\s+(\w+)\s*\(", 10),
-    ("c", "function", r"(?m)^[A-Za-z_][\w\s*]*\s+\**(\w+)\s*\([^;]*\)\s*\{", 10),
-    ("c", "class", r"(?m)^\s*(?:class|struct)\s+(\w+)", 10),
-    ("sql", "function", r"(?i)create\s+(?:or\s+replace\s+)?(?:procedure|function)\s+(\w+)", 10),
-    ("sql", "class", r"(?i)create\s+table\s+(?:if\s+not\s+exists\s+)?(\w+)", 10),
-    ("rb", "function", r"(?m)^\s*def\s+(\w+)", 5),
-    ("rb", "class", r"(?m)^\s*(?:class|module)\s+(\w+)", 10),
-    ("php", "function", r"(?m)\bfunction\s+(\w+)\s*\(", 10),
-    ("php", "class", r"(?m)^\s*class\s+(\w+)", 10),
-    ("swift", "function", r"(?m)^\s*func\s+(\w+)", 10),
-    ("swift", "class", r"(?m)^\s*(?:class|struct|protocol|enum)\s+(\w+)", 10),
-    ("dart", "class", r"(?m)^\s*(?:class|mixin)\s+(\w+)", 10),
-    ("ex", "function", r"(?m)^\s*defp?\s+(\w+)", 5),
-    ("ex", "class", r"(?m)^\s*defmodule\s+([\w.]+)", 10),
-    ("sh", "function", r"(?m)^\s*(\w+)\s*\(\)\s*\{", 5),
-    ("lua", "function", r"(?m)^\s*(?:local\s+)?function\s+([\w.:]+)", 5),
-    ("r", "function", r"(?m)^\s*(\w+)\s*<-\s*function", 5),
-    ("jl", "function", r"(?m)^\s*function\s+(\w+)", 5),
-    ("jl", "class", r"(?m)^\s*(?:mutable\s+)?struct\s+(\w+)", 10),
-    ("zig", "function", r"(?m)^\s*(?:pub\s+)?fn\s+(\w+)", 5),
-    ("zig", "class", r"(?m)^\s*(?:pub\s+)?const\s+(\w+)\s*=\s*struct", 10),
-    ("nim", "function", r"(?m)^\s*(?:proc|func|method)\s+(\w+)", 5),
-    ("nim", "class", r"(?m)^\s*(\w+)\*?\s*=\s*object", 10),
-)
-#: Extensions that share a language's rules.
-ALIASES = {"jsx": "js", "ts": "js", "tsx": "js", "mjs": "js", "cjs": "js", "vue": "js", "svelte": "js", "kt": "java", "kts": "java", "scala": "java", "groovy": "java", "cpp": "c", "h": "c", "hpp": "c", "cc": "c", "cxx": "c", "hh": "c", "cs": "c", "m": "c", "mm": "c", "bash": "sh", "zsh": "sh", "fish": "sh", "exs": "ex"}
-
-
-def regex_symbols(files: DataFrame, path: str, text: str) -> DataFrame:
-    """(path, kind, name, line, last) by the rules of each file's language; lines follow from the text before the name."""
-    lang = F.lower(F.regexp_extract(path, r"\.(\w+)$", 1))
-    lang = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in ALIASES.items() for x in (k, v)]), lang), lang)
-    rows = files.select(path, text, lang.alias("_lang"))
-
-    def of(language: str, kind: str, pattern: str, span: int) -> Column:
-        names = F.when(F.col("_lang") == language, F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
-        before = lambda n: F.substring_index(F.regexp_replace(F.col(text), F.concat(F.lit(r"(?s)\b"), n, F.lit(r"\b.*$")), ""), "\u0000", 1)
-        line = lambda n: F.length(before(n)) - F.length(F.translate(before(n), "\n", "")) + 1
-        return F.transform(names, lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"), line(n).alias("line"), (line(n) + span).alias("last")))
-
-    return rows.select(path, F.explode(F.concat(*[of(*r) for r in RULES])).alias("s")).select(path, "s.*")
-
-
 def generated_pairs(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """Problems with solutions that can be checked again: arithmetic, percentages, areas and means."""
     a = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(90)) + 10

@@ -79,9 +79,9 @@ def test_blanking_keeps_lengths():
 def test_sources():
     hunks = readers.parse_diff("--- a/x\n+++ b/x\n@@ -1,2 +3 @@\n-a\n+b\n+c\n")
     assert hunks == [("x", 1, 2, 3, 1, 2, 1)]
-    found = readers.parse_python("import os\nclass A(B):\n    def f(self):\n        return g() if a and b else 1\n")
-    assert ("method", "A.f", 3, 4, 3, ["g"]) in found and ("class", "A", 2, 4, 1, ["B"]) in found
-    assert readers.parse_python("def (") == []
+    # only a line feed ends a line
+    assert readers.parse_diff("--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\x0cb\n-c\u2028\n+d\n") == [("x", 1, 2, 1, 2, 1, 1)]
+    assert readers.parse_diff("+++ b/x\r\n@@ -1 +1 @@\r\n-a\r\n+b\r\n") == [("x", 1, 1, 1, 1, 1, 1)]
 
 
 def test_readers(spark, tmp_path):
