@@ -63,7 +63,7 @@ def _numbered(rows: DataFrame, group: str, order: list[Column], name: str) -> Da
 
 
 class _Supersteps:
-    """Levels of nodes ((tree, place), (nodes of the level, digest, what a leaf carries))."""
+    """Levels of nodes ((tree, place), (nodes of the level, digest, what a leaf carries)); each level takes a third of the tasks of the one below."""
 
     def __init__(self, spark: SparkSession, leaves: RDD, most: int, name: str):
         self.spark, self.name = spark, name
@@ -78,31 +78,38 @@ class _Supersteps:
             if most <= 1:
                 break
             sent = nodes.filter(lambda x: x[1][0] > 1).map(lambda x: ((x[0][0], x[0][1] // FAN), (x[0][1] % FAN, *x[1])))
-            done = self._written(sent.groupByKey(self._width(level)).mapValues(sorted_run))
+            done = self._written(self._sent(sent, level).mapPartitions(complete_runs), level)
             self.runs.append(done)
             nodes = done.map(lambda x: (x[0], (-(-x[1][0][1] // FAN), above(c[2] for c in x[1]), None)))
             most = -(-most // FAN)
         #: (tree, (level, digest, what a lone leaf carries)) of each tree's top.
-        self.tops = self._written(spark.sparkContext.union(tops))
+        self.tops = self._written(spark.sparkContext.union(tops), 1)
 
     def _width(self, level: int) -> int:
         return max(2, -(-self.parts // FAN**level))
 
-    def _written(self, rdd: RDD) -> RDD:
+    def _sent(self, messages: RDD, level: int) -> RDD:
+        """The messages, those to one node in one partition."""
+        n = self._width(level)
+        return messages.partitionBy(n).coalesce(n)
+
+    def _written(self, rdd: RDD, level: int) -> RDD:
         path = f"{shared_dir(self.spark)}/tessera/{self.name}-{uuid.uuid4().hex}"
         self.paths.append(path)
-        rdd.saveAsPickleFile(path)
-        return self.spark.sparkContext.pickleFile(path)
+        rdd.coalesce(self._width(level)).saveAsPickleFile(path)
+        return self.spark.sparkContext.pickleFile(path).coalesce(self._width(level))
 
     def leaves(self, starts: RDD) -> RDD:
         """(tree, what the leaf carries, digest, the top's start, ((place, siblings), ...) upward) of each leaf; starts: (tree, start) of each tree."""
-        tops = self._written(self.tops.join(starts, self._width(0)))
+        tops = self._written(self._sent(tagged(self.tops, starts), 1).mapPartitions(matched), 1)
+        levels = set(tops.map(lambda x: x[1][0][0]).distinct().collect())  # at most as many as there are levels
         nodes = None
         for level in range(len(self.runs), -1, -1):
-            here = tops.filter(lambda x, at=level: x[1][0][0] == at).map(lambda x: ((x[0], 0), (x[1][0][1], x[1][0][2], x[1][1], ())))
-            nodes = here if nodes is None else nodes.union(here)
+            if level in levels:
+                here = tops.filter(lambda x, at=level: x[1][0][0] == at).map(lambda x: ((x[0], 0), (x[1][0][1], x[1][0][2], x[1][1], ())))
+                nodes = here if nodes is None else nodes.union(here)
             if level:
-                nodes = nodes.join(self.runs[level - 1], self._width(level - 1)).flatMap(to_children)
+                nodes = self._sent(tagged(nodes, self.runs[level - 1]), level - 1).mapPartitions(matched).flatMap(to_children)
         return nodes.map(lambda x: (x[0][0], x[1][1], x[1][0], x[1][2], x[1][3]))
 
     def drop(self) -> None:
@@ -110,8 +117,27 @@ class _Supersteps:
             drop_path(self.spark, path)
 
 
-def sorted_run(messages: Iterable[tuple]) -> list[tuple]:
-    return sorted(messages, key=lambda m: m[0])
+def complete_runs(messages: Iterable[tuple]) -> Iterable[tuple]:
+    """The parents that a partition's messages go to, each with its children in order."""
+    found: dict[tuple, list[tuple]] = {}
+    for key, child in messages:
+        found.setdefault(key, []).append(child)
+    return ((key, sorted(run, key=lambda m: m[0])) for key, run in found.items())
+
+
+def tagged(left: RDD, right: RDD) -> RDD:
+    return left.map(lambda x: (x[0], (0, x[1]))).union(right.map(lambda x: (x[0], (1, x[1]))))
+
+
+def matched(messages: Iterable[tuple]) -> Iterable[tuple]:
+    """key, (left, right) of the tagged messages of a partition; a key has one of each, or one that finds none."""
+    waiting: dict[tuple, tuple] = {}
+    for key, (side, value) in messages:
+        if key not in waiting:
+            waiting[key] = (side, value)
+            continue
+        other, first = waiting.pop(key)
+        yield key, ((first, value) if other < side else (value, first))
 
 
 def to_children(node: tuple) -> list[tuple]:
