@@ -125,3 +125,34 @@ def edges(symbols: DataFrame, path: str, most: int = MOST, external: tuple[str,
 
     calls = resolved_calls(symbols, path, most, external).groupBy("source", "target").agg(F.sum("sites").alias("sites")).select("source", F.lit("calls").alias("kind"), "target", "sites")
     return counted(defined, "defines").unionByName(calls).unionByName(counted(inherits, "inherits")).unionByName(counted(imports, "imports"))
+
+
+#: Names that are called from outside, and decorators that register functions.  Fixed values.
+ENTRIES = ("main", "__main__", "run", "serve", "handle", "setup", "teardown", "dispatch", "wsgi_app", "asgi_app")
+REGISTERED = ("route", "get", "post", "put", "delete", "patch", "endpoint", "app.", "router.", "click.", "cli.", "fixture", "mark.", "app.task", "celery", "on_event", "on_message", "handler")
+TESTS = r"(^|/)(tests?|examples?)(/|$)"
+
+
+def dead_functions(files: DataFrame, symbols: DataFrame, path: str, text: str, most: int = MOST, private_too: bool = True, external: tuple[str, ...] = EXTERNAL) -> DataFrame:
+    """(path, function, line, complexity, lines) of functions that nothing calls and no other file names.
+
+    Left out are names between double underscores, entry points, tests and what a
+    decorator registers; without `private_too`, names with one underscore.  A
+    name's files are counted once for all functions that have it, so a name that
+    stands in every file is one row: the function's own file is taken off the
+    count, and what is left says whether another file has it.
+    """
+    whole = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
+    f = symbols.where("kind = 'function'").select(_id(path, whole).alias("id"), F.col(path).alias("path"), whole.alias("function"), F.element_at(F.split("name", r"\."), -1).alias("short"), "line", "last", "complexity", "decorators", "place")
+    f = f.groupBy("id", "path", "function", "short").agg(F.min_by(F.struct("line", "last", "complexity", "decorators"), "place").alias("s")).select("id", "path", "function", "short", "s.*")
+    registered = F.exists("decorators", lambda d: F.exists(F.array(*[F.lit(x) for x in REGISTERED]), lambda x: F.contains(d, x)))
+    f = f.where(~(F.col("short").startswith("__") & F.col("short").endswith("__")) & ~F.col("short").isin(*ENTRIES) & ~registered & ~F.lower(F.translate("path", "\\", "/")).rlike(TESTS))
+    if not private_too:
+        f = f.where(~F.col("short").startswith("_") | F.col("short").startswith("__"))
+    called = resolved_calls(symbols, path, most, external).select(F.col("target").alias("id")).distinct()
+    f = f.join(called, "id", "left_anti")
+    tokens = files.select(F.col(path).alias("path"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0)))).alias("short")).join(f.select("short").distinct(), "short", "left_semi")
+    counts = tokens.groupBy("short").agg(F.count("*").alias("_files"))
+    met = f.join(tokens.withColumn("_own", F.lit(1)), ["path", "short"], "left").join(counts, "short", "left")
+    alone = F.coalesce("_files", F.lit(0)) - F.coalesce("_own", F.lit(0)) == 0
+    return met.where(alone).select("path", "function", "line", "complexity", F.greatest(F.lit(1), F.col("last") - F.col("line") + 1).alias("lines"))

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import words
 from .store import settled
 
 K1, B, RRF_K = 1.5, 0.75, 60
-#: Terms that are looked for in place, and runs of words that are sent to all tasks, at most.
-FEW, RUNS = 200, 1_000_000
-_SPACE = re.compile("[ \t\n\x0b\f\r]+")
+#: Terms that are looked for in place, at most.
+FEW = 200
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -53,59 +45,6 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", key).agg(F.sum(part).alias("score"))
 
 
-def runs_of_words(rows: DataFrame, key: str, text: str, width: int = 5) -> DataFrame:
-    """(key, run): the distinct runs of `width` words of each text, as text."""
-    kind = rows.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sorted(_runs(x, width)) for x in batch.column(1).to_pylist()]
-            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array([g for f in found for g in f], pa.string())], names=[key, "run"])
-
-    return rows.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(cut, f"{key} {kind}, run string")
-
-
-def _runs(text: str, width: int) -> set[str]:
-    w = [x for x in _SPACE.split(text) if x]
-    return {" ".join(w[i : i + width]) for i in range(len(w) - width + 1)}
-
-
-def shared_runs(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_text: str, least: int = 8, width: int = 5, most: int = RUNS) -> DataFrame:
-    """(key, item, shared): documents and items that share at least `least` distinct runs of words.
-
-    While the items have no more than `most` runs, those are sent to all tasks
-    and documents are looked up where they are, without a shuffle; beyond that
-    both sides are joined on the runs.
-    """
-    of_items = settled(runs_of_words(items, item, item_text, width))
-    if of_items.count() > most:
-        met = runs_of_words(docs, key, text, width).join(of_items, "run")
-        return met.groupBy(key, item).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
-    held: dict[str, list[int]] = {}
-    names: dict[object, int] = {}
-    for r in of_items.collect():  # `most` rows at most
-        held.setdefault(r["run"], []).append(names.setdefault(r[item], len(names)))
-    shared = docs.sparkSession.sparkContext.broadcast((held, list(names)))
-    kinds = [docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()]
-    arrow = to_arrow_type(items.schema[item].dataType)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, known = shared.value
-        for batch in batches:
-            owner, found, times = [], [], []
-            for i, x in enumerate(batch.column(1).to_pylist()):
-                hits = Counter(n for g in _runs(x, width) if g in at for n in at[g])
-                for n, k in hits.items():
-                    if k >= least:
-                        owner.append(i)
-                        found.append(known[n])
-                        times.append(k)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(found, arrow), pa.array(times, pa.int64())], names=[key, item, "shared"])
-
-    return docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).mapInArrow(look, f"{key} {kinds[0]}, {item} {kinds[1]}, shared long")
-
-
 def top(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     """The first k rows of each group, with their rank."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)

@@ -127,6 +127,101 @@ def findings(files: DataFrame, path: str, text: str) -> DataFrame:
     return rows.withColumns({"severity": lookup(SEVERITY, F.col("class")), "cwe": lookup(CWE, F.col("class")), "confidence": F.when(F.col("class") == "hardcoded_secret", 0.8).otherwise(0.7), "fingerprint": mark})
 
 
+#: Marks of a restricted call, of names that hash without a secret, of routes and of what guards them.  Fixed values.
+SANDBOXES = (
+    (r"__builtins__\s*[\":]\s*\{\s*\}", "empty __builtins__"),
+    (r"__builtins__\s*[\":]\s*None", "None __builtins__"),
+    (r"\bsafe_globals\b", "safe_globals"),
+    (r"\brestricted_globals\b", "restricted_globals"),
+    (r",\s*\{[^}]*\"__builtins__\"", "restricted globals dict"),
+)
+PLAIN_HASHES = ("_hash", "make_id", "_make_id", "_id", "cache", "fingerprint", "content_hash", "generate_id", "_generate_id", "dedupe", "dedup", "_make_pair", "_keyword_hash", "store")
+ROUTES = ("route", ".get", ".post", ".put", ".delete", ".patch")
+GUARDS = ("auth", "login_required", "requires_auth", "permission", "token_required", "jwt_required")
+#: Folders whose secrets and hashes are of no interest.
+TESTS = r"(^|/)(tests?|examples?)(/|$)"
+#: Characters in which a call's bracket has to open, and its arguments to end.
+OPENS, ENDS = 80, 600
+_SANDBOXES = [(re.compile(p), name) for p, name in SANDBOXES]
+_COMPILED = [(name, re.compile(p)) for name, patterns in SINKS.items() for p in patterns]
+_BRACKETS = re.compile(r"[()]|\"(?:\\[\s\S]|[^\"\\])*+(?:\"|\Z)|'(?:\\[\s\S]|[^'\\])*+(?:'|\Z)")
+
+
+def call_arguments(source: str, place: int) -> str:
+    """The arguments of the call that begins at a place, up to the bracket that closes it; brackets in literals do not count."""
+    opening = source.find("(", place, min(len(source), place + OPENS))
+    if opening < 0:
+        return ""
+    end, depth = min(len(source), place + ENDS), 0
+    for m in _BRACKETS.finditer(source, opening, end):
+        depth += {"(": 1, ")": -1}.get(m[0], 0)
+        if depth == 0:
+            return source[opening + 1 : m.start()]
+    return source[opening + 1 : end]
+
+
+def _match(name: str, m: re.Match, source: str) -> tuple[str | None, str | None]:
+    """What is called, where that matters (eval, exec, md5, sha1), and what makes it harmless."""
+    said = re.search(r"eval|exec", m[0]) if name == "command_injection" else re.search(r"md5|sha1", m[0]) if name == "weak_crypto" else None
+    if said is None or m[0].startswith(("os.", "subprocess", "commands")):
+        return None, None
+    args = call_arguments(source, m.start())
+    if name == "weak_crypto":
+        return said[0], "usedforsecurity=False" if re.search(r"usedforsecurity\s*=\s*False", args) else None
+    return said[0], next((label for p, label in _SANDBOXES if p.search(args)), None)
+
+
+_MATCHES = "class string, what string, mitigated string, line int, snippet string, whole boolean"
+
+
+def matches(files: DataFrame, path: str, text: str) -> DataFrame:
+    """(path, class, what, mitigated, line, snippet, whole) of every match; whole: in the text as it stands, literals included, which is how secrets are sought."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for p, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                clean, lines = blank_literals(source), Lines(source)
+                for name, pattern in _COMPILED:
+                    for whole, where in ((False, clean), (True, source)) if name == "hardcoded_secret" else ((False, clean),):
+                        for m in pattern.finditer(where):
+                            n = lines.of(m.start())
+                            found.append((p, name, *_match(name, m, source), n + 1, lines[n].strip()[:140], whole))
+            names = [path, *(c.split()[0] for c in _MATCHES.split(", "))]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_()))], names=names)
+
+    maybe = F.size(classes(F.col(text), SINKS)) > 0
+    return files.where(maybe).select(F.col(path).cast("string").alias(path), text).mapInArrow(run, f"`{path}` string, {_MATCHES}")
+
+
+def graded(files: DataFrame, path: str, text: str, symbols: DataFrame) -> DataFrame:
+    """(path, function, class, line, severity, confidence, mitigated, snippet): findings in the light of where they stand.
+
+    symbols: `sources.symbols.source_symbols` of the same files.  A match counts
+    for every function around it, by a join of lines with ranges: run in a
+    sandbox, or hashing for a name that needs no secret, it is low; hashing that
+    says it is no security is none.  Secrets and weak hashes also count for the
+    file (`<module>`), but for comments and tests.  A route without a guard among
+    its decorators lacks authentication.
+    """
+    found = matches(files, path, text)
+    whole = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
+    functions = symbols.where("kind = 'function'").select(F.col(path).alias("_path"), whole.alias("function"), F.col("line").alias("_first"), F.col("last").alias("_last"), "decorators")
+    inside = found.where("NOT whole").join(functions, (F.col(path) == F.col("_path")) & F.col("line").between(F.col("_first"), F.col("_last")))
+    inside = inside.where((F.coalesce(F.col("what"), F.lit("")) != "md5") | F.col("mitigated").isNull())
+    plain = F.col("what").isin("md5", "sha1") & F.exists(F.array(*[F.lit(x) for x in PLAIN_HASHES]), lambda x: F.contains(F.lower("function"), x))
+    low = (F.col("what").isin("eval", "exec") & F.col("mitigated").isNotNull()) | F.coalesce(plain, F.lit(False))
+    of_functions = inside.select(path, "function", "class", "line", F.when(low, "LOW").otherwise(lookup(SEVERITY, F.col("class"))).alias("severity"), F.when(low, 0.4).otherwise(0.6).alias("confidence"), F.when(F.col("what").isin("eval", "exec"), F.col("mitigated")).alias("mitigated"), "snippet")
+
+    of_file = found.where(((F.col("class") == "hardcoded_secret") & F.col("whole")) | ((F.col("class") == "weak_crypto") & F.col("mitigated").isNull()))
+    of_file = of_file.where(~F.lower(F.translate(path, "\\", "/")).rlike(TESTS) & ~F.col("snippet").rlike(r"^(#|//|/\*|\*)"))
+    of_file = of_file.select(path, F.lit("<module>").alias("function"), "class", "line", lookup(SEVERITY, F.col("class")).alias("severity"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("mitigated"), "snippet")
+
+    has = lambda marks: F.exists("decorators", lambda d: F.exists(F.array(*[F.lit(x) for x in marks]), lambda x: F.contains(F.lower(d), x)))
+    routes = functions.where(has(ROUTES) & ~has(GUARDS)).select(F.col("_path").alias(path), "function", F.lit("missing_auth").alias("class"), F.col("_first").alias("line"), F.lit(SEVERITY["missing_auth"]).alias("severity"), F.lit(0.6).alias("confidence"), F.lit(None).cast("string").alias("mitigated"), F.lit(None).cast("string").alias("snippet"))
+    return of_functions.unionByName(of_file).unionByName(routes)
+
+
 def sarif(rows: DataFrame, path: str) -> DataFrame:
     """A SARIF-shaped document of rules and results for each path, so that no task holds all findings."""
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")

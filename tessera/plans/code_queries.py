@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import code_graph, graph
+from ..operators import code_graph, graph, scan
 from ..sources import symbols
 from .registry import Tables, query
 
@@ -131,3 +131,40 @@ def code_impact(t: Tables) -> DataFrame:
     calls = code_graph.resolved_calls(found, "path").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     start = code_graph.nodes(project(t), found, "path").where("kind = 'function' AND name = 'f5'").select(F.col("id").alias("node"))
     return graph.distances(calls, start, 4, reverse=True)
+
+
+@query("j20_dead_functions", f"WITH {_PROJECT} SELECT path, 'f' || k AS function, (n + 11)::INT AS line, 1::INT AS complexity, 5::INT AS lines FROM p WHERE NOT EXISTS (SELECT 1 FROM p AS c WHERE c.k // 2 = p.k) ORDER BY path")
+def dead_functions(t: Tables) -> DataFrame:
+    """Functions of the project that nothing calls and no other file names: those of the later parts."""
+    return code_graph.dead_functions(project(t), symbols.source_symbols(project(t), "path", "text"), "path", "text").orderBy(F.desc("complexity"), F.desc("lines"), "path")
+
+
+#: Files to judge, and what is found: function, class, line, severity, confidence, mitigation.
+GRADED = (
+    ("@app.route('/x')\ndef page(q):\n    return eval(q, {\"__builtins__\": {}})\n",
+     (("page", "missing_auth", 2, "HIGH", 0.6, None), ("page", "command_injection", 3, "LOW", 0.4, "restricted globals dict"))),
+    ("@login_required\n@bp.route('/y')\ndef safe(q):\n    exec(q, safe_globals)\ndef raw(q):\n    eval(q + ')', (1))\n",
+     (("safe", "command_injection", 4, "LOW", 0.4, "safe_globals"), ("raw", "command_injection", 6, "CRITICAL", 0.6, None))),
+    ("class Box:\n    def make_id(self, x):\n        return hashlib.md5(x).hexdigest()\n    def sign(self, x):\n        a = hashlib.md5(x, usedforsecurity=False)\n        return hashlib.sha1(x)\n",
+     (("Box.make_id", "weak_crypto", 3, "LOW", 0.4, None), ("Box.sign", "weak_crypto", 6, "MEDIUM", 0.6, None), ("<module>", "weak_crypto", 3, "MEDIUM", 0.8, None), ("<module>", "weak_crypto", 6, "MEDIUM", 0.8, None))),
+    ("def outer(c):\n    def inner(d):\n        os.system(d)\n    s = \"os.system(x)\"  # eval(x)\n    return inner, f'{eval(x)}'\n",
+     (("outer", "command_injection", 3, "CRITICAL", 0.6, None), ("inner", "command_injection", 3, "CRITICAL", 0.6, None))),
+    ("password = \"abcdefghijkl1234\"\n# password = \"abcdefghijkl1234\"\ndef load(p):\n    return yaml.load(p)\n",
+     (("<module>", "hardcoded_secret", 1, "HIGH", 0.8, None), ("load", "unsafe_deserialization", 4, "CRITICAL", 0.6, None))),
+    ("token = 1\nsecret = \"abcdefghijkl1234\"\nhashlib.md5(x)\n", ()),
+)
+
+
+def _t39_sql() -> str:
+    text = lambda v: "NULL" if v is None else "'" + v + "'"
+    rows = ", ".join(f"({i}, {text(function)}, {text(kind)}, {line}, {text(severity)}, {confidence}, {text(mitigated)})" for i, (_, found) in enumerate(GRADED) for function, kind, line, severity, confidence, mitigated in found)
+    return f"SELECT 'src/g' || p_partkey || '.py' AS path, function, class, (p_size % 4 + 1 + line)::INT AS line, severity, confidence::DOUBLE AS confidence, mitigated FROM part JOIN (VALUES {rows}) v(i, function, class, line, severity, confidence, mitigated) ON p_partkey % {len(GRADED)} = i"
+
+
+@query("t39_graded_findings", _t39_sql())
+def graded_findings(t: Tables) -> DataFrame:
+    """Findings with the function they stand in, judged by their arguments, names and decorators; the last kind of file is a test."""
+    head = F.repeat(F.concat(F.lit("# it's "), "p_name", F.lit("\f eval(x)\n")), (F.col("p_size") % 4 + 1).cast("int"))
+    path = F.concat(_picked([F.lit("src/g")] * 5 + [F.lit("tests/g")]), "p_partkey", F.lit(".py"))
+    files = t.part.select(path.alias("path"), F.concat(head, _picked([F.lit(body) for body, _ in GRADED])).alias("text"))
+    return scan.graded(files, "path", "text", symbols.source_symbols(files, "path", "text")).drop("snippet")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..operators import grams
 from ..operators import retrieval as r
 from ..operators import vectors
 from .registry import Tables, query
@@ -78,10 +79,21 @@ def best_similar(t: Tables) -> DataFrame:
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i:i+4], ' ')))"
 
 
-@query("j22_ngram_lookup", f"WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), b AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 5), bg AS (SELECT item_id, unnest({_GRAMS}) AS g FROM b WHERE len(w) >= 5) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL HAVING count(*) >= 8")
-def ngram_lookup(t: Tables) -> DataFrame:
+@query("j22_shared_runs", f"WITH d AS (SELECT doc_id, {words_sql('text')} AS w FROM documents), b AS (SELECT item_id, {words_sql('text')} AS w FROM benchmark), dg AS (SELECT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 5), bg AS (SELECT item_id, unnest({_GRAMS}) AS g FROM b WHERE len(w) >= 5) SELECT doc_id, item_id, count(*) AS shared FROM dg JOIN bg USING (g) GROUP BY ALL HAVING count(*) >= 8")
+def shared_runs(t: Tables) -> DataFrame:
     """Documents that share at least eight five-word runs with an item."""
-    return r.shared_runs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+    return grams.shared_runs(t.documents, "doc_id", "text", t.benchmark, "item_id", "text")
+
+
+_CUT = "regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+')"
+
+
+@query("j22_ngram_lookup", f"WITH d AS (SELECT doc_id, {_CUT} AS w FROM documents), b AS (SELECT item_id, {_CUT} AS w FROM benchmark), g AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d), q AS (SELECT item_id, j - 1 AS place, array_to_string(w[j:j+4], ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS j FROM b)), f AS (SELECT array_to_string(w[i:i+4], ' ') AS run, min({{'d': doc_id, 'i': i}}) AS spot FROM g WHERE array_to_string(w[i:i+4], ' ') IN (SELECT run FROM q) GROUP BY 1), h AS (SELECT run, spot.d AS source, spot.i AS i FROM f) SELECT item_id, place::INT AS place, source, (i + 4)::INT AS position, len(w[i+5:i+104])::INT AS n, md5(array_to_string(w[i+5:i+104], ' ')) AS next FROM q JOIN h USING (run) JOIN d ON doc_id = source")
+def ngram_lookup(t: Tables) -> DataFrame:
+    """Where each run of five words of an item first stands in a document with eight words left, and how that goes on."""
+    asked = grams.windows(t.benchmark, "item_id", "text").withColumn("asked", F.struct("item_id", "place"))
+    found = grams.echo(t.documents, "doc_id", "text", asked, "asked", "said")
+    return found.select("asked.item_id", "asked.place", "source", "position", F.size("next").alias("n"), F.md5(F.array_join("next", " ").cast("binary")).alias("next"))
 
 
 @query("l15_completions", "SELECT DISTINCT p_name AS text, CASE WHEN starts_with(p_name, 're') THEN 0 ELSE 1 END AS place FROM part WHERE contains(p_name, 're') ORDER BY 2, 1 LIMIT 10")

@@ -192,3 +192,41 @@ def test_top_package(spark):
     paths = {"a/b/c.py": "a", "c.py": "c", "/x/y.py": "x", "./p/q.py": "p", "C:\\w\\v.py": "w", "": "", "noext": "noext"}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     assert {r.p: r.t for r in df.select("p", code_graph.top_package(F.col("p")).alias("t")).collect()} == paths
+
+
+def test_call_arguments():
+    assert scan.call_arguments("eval(a, (b), ')', \"(\\\"\")", 0) == "a, (b), ')', \"(\\\"\""
+    assert scan.call_arguments("eval", 0) == scan.call_arguments("x" * 90 + "(a)", 0) == ""
+    assert scan.call_arguments("f(" + "a" * 700 + ")", 0) == "a" * 598
+
+
+def test_graded(spark):
+    files = [
+        ("a.py", "class C:\n    @r.get('/x')\n    def f(self): pass\n    @r.route('/y')\n    @jwt_required()\n    def g(self): pass\n    @app.route('/z')\n    def h(self):\n        return subprocess.run(x, shell=True), eval('x', {'__builtins__' : None})\n"),
+        ("test/b.py", "key = 'AKIA" + "A" * 16 + "'\ndef f(): return hashlib.md5(1)\n"),
+        ("c.py", None),
+        ("d.js", "function run(a) {\n  x.innerHTML = a\n}\n"),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {(r.path, r.function, r["class"], r.line, r.severity, r.mitigated) for r in scan.graded(df, "path", "text", symbols.source_symbols(df, "path", "text")).collect()}
+    assert got == {
+        ("a.py", "C.h", "missing_auth", 8, "HIGH", None),
+        ("a.py", "C.h", "command_injection", 9, "CRITICAL", None),
+        ("test/b.py", "f", "weak_crypto", 2, "MEDIUM", None),
+        ("d.js", "run", "xss", 2, "HIGH", None),
+    }
+
+
+def test_dead_functions(spark):
+    files = [
+        ("a.py", "def used(): pass\ndef dead(): pass\ndef named(): pass\ndef _own(): pass\ndef __x__(): pass\ndef main(): used()\n@app.route('/')\ndef page(): pass\nTABLE = {'own2': own2}\ndef own2(): pass\n"),
+        ("b.py", "HANDLERS = ['named']\ndef twice(): pass\n"),
+        ("c.py", "def twice(): pass\n"),
+        ("tests/t.py", "def helper(): pass\n"),
+        ("d.py", None),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    found = symbols.source_symbols(df, "path", "text")
+    got = {(r.path, r.function, r.line, r.lines) for r in code_graph.dead_functions(df, found, "path", "text").collect()}
+    assert got == {("a.py", "dead", 2, 1), ("a.py", "_own", 4, 1), ("a.py", "own2", 10, 1)}
+    assert {r.function for r in code_graph.dead_functions(df, found, "path", "text", private_too=False).collect()} == {"dead", "own2"}
