@@ -91,7 +91,10 @@ def _documents(texts: pa.Array, spec: str, end: int) -> Iterator[np.ndarray]:
 
 def trained_dictionary(docs: DataFrame, spec: str, width: int, end: int = END, sample: int = SAMPLE, size: int = DICTIONARY) -> bytes:
     """A dictionary from the serialized ids of `sample` documents, those of the least hashes; empty where there is too little to learn."""
-    chosen = docs.where("text IS NOT NULL").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample).select("text")
+    # a share that leaves about twice the sample, whatever the number of documents, so that few rows meet in the task that picks the least
+    share = int(min(1.0, 2 * sample / max(1, docs.count())) * (1 << 40))
+    hashed = docs.where("text IS NOT NULL").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "text").alias("h"))
+    chosen = hashed.where(F.pmod("h", F.lit(1 << 40)) < share).orderBy("h").limit(sample).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
