@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, Words, _written, blocks, digests, drop_path, forget, keyed, materialize, shared_dir, table, text_pieces, trimmed
 
-WINDOW, GRAM, BATCHES, FANOUT = 50, 16, 4, 2
+WINDOW, GRAM, BATCHES, FANOUT = 50, 16, 4, 3
 
 #: A block's fingerprint and the digest of its words.
 KEY = ("fp", "c1", "c2")
