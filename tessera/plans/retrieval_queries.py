@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators import grams
 from ..operators import retrieval as r
-from ..operators import vectors
+from ..operators import search_index, vectors
 from .registry import Tables, query
 from .text_queries import words_sql
 
@@ -24,15 +24,26 @@ def asked(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(1, w) for w in TERMS], "query_id int, term string")
 
 
+def indexed(t: Tables) -> search_index.SearchIndex:
+    """The words of all documents, indexed once for each state of the table's files."""
+    return search_index.index_of(t.documents, "doc_id", "text", f"{t.sf_dir}/documents")
+
+
 @query("t3_bm25", f"WITH {_BM} SELECT doc_id, round(score, 6) AS score FROM b")
 def bm25(t: Tables) -> DataFrame:
+    return indexed(t).search({1: list(TERMS)}).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("t3_bm25_scan", f"WITH {_BM} SELECT doc_id, round(score, 6) AS score FROM b")
+def bm25_scan(t: Tables) -> DataFrame:
+    """The same without an index, from the texts."""
     return r.bm25(t.documents, "doc_id", "text", asked(t)).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("l13_bm25_topk", f"WITH {_BM} SELECT doc_id, round(score / (SELECT max(score) FROM b), 6) AS score FROM b WHERE score > 0 ORDER BY b.score DESC, doc_id LIMIT 15")
 def bm25_topk(t: Tables) -> DataFrame:
-    best = r.top(r.bm25(t.documents, "doc_id", "text", asked(t)).where("score > 0"), "query_id", 15, F.desc("score"), F.col("doc_id"))
-    return best.select("doc_id", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))
+    best = r.top(indexed(t).search({1: list(TERMS)}).where("score > 0"), "query_id", 15, F.desc("score"), F.col("key"))
+    return best.select(F.col("key").alias("doc_id"), F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6).alias("score"))
 
 
 _KW = f"k AS (SELECT doc_id, len(list_intersect(list_distinct(w), ['tionnd', 'rely', 'thble', 'license'])) / 4 AS o FROM (SELECT doc_id, {words_sql('text')} AS w FROM documents))"
@@ -46,10 +57,12 @@ def keyword_topk(t: Tables) -> DataFrame:
 
 @query("w1_rank_rrf", f"WITH {_BM}, {_KW}, a AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b QUALIFY rank <= 15), c AS (SELECT doc_id, row_number() OVER (ORDER BY o DESC, doc_id) AS rank FROM k WHERE o > 0 QUALIFY rank <= 15) SELECT doc_id, round(sum(1 / (60 + rank)), 9) AS rrf FROM (SELECT * FROM a UNION ALL SELECT * FROM c) GROUP BY doc_id")
 def rank_rrf(t: Tables) -> DataFrame:
-    first = r.top(r.bm25(t.documents, "doc_id", "text", asked(t)), "query_id", 15, F.round("score", 9).desc(), F.col("doc_id"))
-    o = F.size(F.array_intersect(x.words(F.col("text")), x.literal(list(TERMS)))) / 4
-    second = r.top(t.documents.select(F.lit(1).alias("query_id"), "doc_id", o.alias("o")).where("o > 0"), "query_id", 15, F.desc("o"), F.col("doc_id"))
-    return r.fuse([first, second], "query_id", "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
+    found = indexed(t).search({1: list(TERMS)})
+    by_score, by_hits = (Window.partitionBy("query_id").orderBy(o, "key") for o in (F.round("score", 9).desc(), F.desc("hits")))
+    # both rankings of one search; a document that either has among its first counts
+    ranked = found.select("query_id", "key", F.row_number().over(by_score).alias("a"), F.row_number().over(by_hits).alias("b")).where("a <= 15 OR b <= 15")
+    part = lambda c: F.when(F.col(c) <= 15, 1 / (r.RRF_K + F.col(c))).otherwise(0.0)
+    return ranked.select(F.col("key").alias("doc_id"), F.round(part("a") + part("b"), 9).alias("rrf"))
 
 
 @query("t4_rerank_boosts", "SELECT p_partkey, round(1 / (60 + p_size) * 61 + CASE WHEN contains(p_name, 'red') THEN 0.25 ELSE 0 END + CASE WHEN p_type = 'ECONOMY' THEN 0.2 ELSE 0 END + least(0.15, 0.05 * (contains(p_name, 'ring')::INT + contains(p_name, 'bolt')::INT)) - CASE WHEN p_brand = 'Brand#4' THEN 0.3 ELSE 0 END, 6) AS score FROM part")
