@@ -7,10 +7,10 @@ does not hold those before it; depths are bounded by parameters.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import settled
+from .store import numbered, settled
 
 
 def distances(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
@@ -28,16 +28,27 @@ def distances(edges: DataFrame, starts: DataFrame, depth: int, reverse: bool = F
 
 
 def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int) -> DataFrame:
-    """The first shortest simple path (start, end, path) from each start to each end it reaches within `hops`."""
-    e = edges.select(F.col("src").alias("last"), F.col("dst").alias("next")).distinct()
-    frontier = starts.select(F.col("node").alias("start"), F.col("node").alias("last"), F.array("node").alias("path"))
-    found = None
-    for _ in range(hops):
-        step = frontier.join(e, "last").where(~F.array_contains("path", F.col("next")))
-        step = step.select("start", F.col("next").alias("last"), F.concat("path", F.array("next")).alias("path"))
-        # one path to a vertex is enough: the least of the shortest
-        frontier = settled(step.groupBy("start", "last").agg(F.min("path").alias("path")))
-        found = frontier if found is None else found.unionByName(frontier)
-    hit = found.join(ends.select(F.col("node").alias("last")).distinct(), "last")
-    by = Window.partitionBy("start", "last").orderBy(F.size("path"), "path")
-    return hit.withColumn("n", F.row_number().over(by)).where("n = 1").select("start", F.col("last").alias("end"), "path")
+    """The first shortest simple path (start, end, path) from each start to each end it reaches within `hops`; of several, the least.
+
+    A vertex that a start has reached keeps the vertex before it, and its number
+    in the order of the paths to that depth; the numbers come from one sort of
+    each frontier.  What was reached leaves the next frontier, and only the paths
+    to ends are put together, backwards, once all depths are known.
+    """
+    e = settled(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct())
+    reached = settled(starts.select(F.col("node").alias("start"), F.col("node").alias("at")).distinct().select("start", "at", F.lit(0).alias("depth"), F.lit(None).cast(starts.schema["node"].dataType).alias("before")))
+    frontier = reached.select("start", "at", F.lit(0).cast("long").alias("place"))
+    for depth in range(1, hops + 1):
+        step = frontier.join(e, "at").select("start", F.col("next").alias("at"), F.struct("place", F.col("at").alias("before")).alias("via"))
+        step = step.join(reached.select("start", "at"), ["start", "at"], "left_anti").groupBy("start", "at").agg(F.min("via").alias("via"))
+        frontier = settled(numbered(step.select("start", "at", "via.*").withColumnRenamed("place", "_via"), [F.col("start"), F.col("_via"), F.col("at")], "place").drop("_via"))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier.select("start", "at", F.lit(depth).alias("depth"), "before"))
+        frontier = frontier.select("start", "at", "place")
+    hit = reached.where("depth > 0").join(ends.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+    built = hit.select("start", F.col("at").alias("end"), "depth", F.col("before").alias("at"), F.array("before", "at").alias("path"))
+    back = reached.where("depth > 0").select("start", "at", "before")
+    for _ in range(hops - 1):
+        built = built.join(back, ["start", "at"], "left").select("start", "end", "depth", F.col("before").alias("at"), F.when(F.col("before").isNotNull(), F.concat(F.array("before"), "path")).otherwise(F.col("path")).alias("path"))
+    return built.select("start", "end", "path")
