@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +70,41 @@ def stale(chunks: DataFrame, dims: int, signature: str) -> DataFrame:
     python = F.col("language") == "python"
     unsigned = (F.count(F.when(python, 1)) > 0) & (F.count(F.when(python & F.contains("text", F.lit(signature)), 1)) == 0)
     return chunks.agg((other | unsigned).alias("stale"))
+
+
+#: Key words and snippets by language.  Fixed values.
+KEYWORDS = {
+    "python": ("def ", "class ", "if ", "elif ", "else:", "for ", "while ", "try:", "except ", "finally:", "with ", "as ", "import ", "from ", "return ", "yield ", "raise ", "pass", "break", "continue", "lambda ", "async ", "await ", "assert ", "global ", "nonlocal "),
+    "js": ("function ", "const ", "let ", "var ", "if ", "else ", "for ", "while ", "return ", "import ", "export ", "class ", "async ", "await ", "try ", "catch ", "switch ", "case ", "default:", "throw ", "new "),
+    "go": ("func ", "type ", "struct ", "interface ", "var ", "const ", "if ", "else ", "for ", "range ", "return ", "switch ", "case ", "default:", "defer ", "go ", "select ", "chan ", "map[", "make("),
+}
+BUILTINS = ("print(", "len(", "range(", "str(", "int(", "float(", "list(", "dict(", "set(", "tuple(", "type(", "isinstance(", "hasattr(", "getattr(", "setattr(", "enumerate(", "zip(", "map(", "filter(", "sorted(", "reversed(", "any(", "all(", "min(", "max(", "sum(", "abs(", "round(", "open(", "input(", "super(", "property(", "classmethod(", "staticmethod(", "dataclass(")
+SNIPPETS = {
+    "def": "def ${1:name}(${2:args}):\n    ${3:pass}",
+    "class": "class ${1:Name}:\n    def __init__(self${2:}):\n        ${3:pass}",
+    "if": "if ${1:condition}:\n    ${2:pass}",
+    "for": "for ${1:item} in ${2:items}:\n    ${3:pass}",
+    "with": "with ${1:context} as ${2:var}:\n    ${3:pass}",
+    "try": "try:\n    ${1:pass}\nexcept ${2:Exception} as e:\n    ${3:pass}",
+    "main": 'if __name__ == "__main__":\n    ${1:main()}',
+    "init": "def __init__(self${1:}):\n    ${2:pass}",
+    "test": "def test_${1:name}(${2:}):\n    assert ${3:True}",
+    "async": "async def ${1:name}(${2:args}):\n    ${3:pass}",
+    "dataclass": "@dataclass\nclass ${1:Name}:\n    ${2:field}: ${3:str}",
+}
+
+
+def completion_rows() -> list[tuple[str, str, str, str, str]]:
+    """(language, text, kind, label, inserted) of what can be completed; `*` is any language, and unknown ones have the key words of Python without its built-in names."""
+    words = {"python": KEYWORDS["python"] + BUILTINS, "js": KEYWORDS["js"], "go": KEYWORDS["go"], "other": KEYWORDS["python"]}
+    out = [(language, w.strip(), "keyword", w.strip(), w) for language, known in words.items() for w in known]
+    return out + [("*", trigger, "snippet", "⚡ " + re.sub(r"\$\{[123]:|\}", "", text.split("\n")[0]), text) for trigger, text in SNIPPETS.items()]
+
+
+def complete(typed: DataFrame, key: str, prefix: str, language: str) -> DataFrame:
+    """key, text, kind, label and inserted of every completion of what is typed, but for itself."""
+    known = F.when(F.col(language).isin("python", "go"), F.col(language)).when(F.col(language).isin("javascript", "typescript", "js", "ts"), "js").otherwise("other")
+    table = typed.sparkSession.createDataFrame(completion_rows(), "_language string, text string, kind string, label string, inserted string")
+    begins = F.startswith(F.lower("text"), F.lower(F.col(prefix))) & (F.lower("text") != F.lower(F.col(prefix)))
+    met = typed.withColumn("_known", F.explode(F.array(known, F.lit("*")))).join(F.broadcast(table), (F.col("_known") == F.col("_language")) & begins)  # a fixed table of some hundred rows
+    return met.select(key, "text", "kind", "label", "inserted")

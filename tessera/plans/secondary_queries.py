@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as x
 from ..operators.store import upsert
 from ..sources import readers
-from ..operators import report
+from ..operators import assist, report
 from .registry import Tables, query
 
 
@@ -18,9 +18,21 @@ def scan_diff(t: Tables) -> DataFrame:
     return readers.diff_hunks(t.part.select("p_partkey", diff.alias("diff")), "p_partkey", "diff")
 
 
-@query("s11_generate_pairs")
+_NUMBERS = "p AS (SELECT p_partkey, (p_partkey * 7 + p_size) % 998 + 2 AS x, (p_partkey * 13) % 998 + 2 AS y, p_partkey % 8 AS k, p_partkey % 49 + 2 AS w, p_size % 49 + 2 AS h, p_size % 20 + 1 AS r FROM part)"
+_PROBLEM = "CASE k WHEN 0 THEN 'What is ' || x || ' + ' || y || '?' WHEN 1 THEN 'What is ' || x || ' - ' || y || '?' WHEN 2 THEN 'What is ' || x || ' * ' || y || '?' WHEN 3 THEN 'What is ' || w || '% of ' || y || '?' WHEN 4 THEN 'What is the area of a rectangle with width ' || w || ' and height ' || h || '?' WHEN 5 THEN 'What is the area of a circle with radius ' || r || '?' WHEN 6 THEN 'What is the area of a triangle with base ' || w || ' and height ' || h || '?' ELSE 'Is ' || x || ' a prime number?' END"
+_SOLUTION = "CASE k WHEN 0 THEN 'The answer is ' || (x + y) || '.' || n || n || 'Step by step:' || n || x || ' + ' || y || ' = ' || (x + y) WHEN 1 THEN 'The answer is ' || (x - y) || '.' || n || n || 'Step by step:' || n || x || ' - ' || y || ' = ' || (x - y) WHEN 2 THEN 'The answer is ' || (x * y) || '.' || n || n || 'Step by step:' || n || x || ' * ' || y || ' = ' || (x * y) WHEN 3 THEN 'The answer is ' || (y * w / 100.0::DOUBLE) || '.' || n || n || w || '% of ' || y || ' = (' || w || '/100) × ' || y || ' = ' || (y * w / 100.0::DOUBLE) WHEN 4 THEN 'Area = width × height = ' || w || ' × ' || h || ' = ' || (w * h) || ' square units.' WHEN 5 THEN 'Area = π × r² = π × ' || r || '² = π × ' || (r * r) || ' ≈ ' || round(pi() * r * r, 4) || ' square units.' WHEN 6 THEN 'Area = (base × height) / 2 = (' || w || ' × ' || h || ') / 2 = ' || (w * h) || ' / 2 = ' || (w * h / 2.0::DOUBLE) || ' square units.' ELSE x || CASE WHEN len(list_filter(range(2, x), lambda d: x % d = 0)) = 0 THEN ' is prime.' ELSE ' is not prime.' END END"
+
+
+@query("s11_generate_pairs", f"WITH {_NUMBERS}, q AS (SELECT *, chr(10) AS n, {_PROBLEM} AS problem FROM p) SELECT p_partkey, ['add', 'subtract', 'multiply', 'percentage', 'rectangle', 'circle', 'triangle', 'prime'][k + 1] AS domain, problem, {_SOLUTION} AS solution, CASE WHEN k < 3 THEN least(1.0, greatest(x, y) / 1000.0) WHEN k = 3 THEN 0.3 ELSE 0.4 END::DOUBLE AS difficulty, substring(md5(problem), 1, 12) AS id FROM q")
 def generate_pairs(t: Tables) -> DataFrame:
-    return readers.generated_pairs(t.spark, 1000)
+    """A problem of one of eight domains for every part, with numbers from its key and size."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    n = k % len(readers.DOMAINS)
+    a = F.when(n.isin(0, 1, 2, 7), (k * 7 + size) % 998 + 2).when(n == 5, size % 20 + 1).otherwise(k % 49 + 2)
+    b = F.when(n < 4, (k * 13) % 998 + 2).otherwise(size % 49 + 2)
+    domain = F.element_at(x.literal(list(readers.DOMAINS)), (n + 1).cast("int"))
+    rows = t.part.select("p_partkey", domain.alias("domain"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    return readers.generated_pairs(rows, "p_partkey", "domain", F.col("a"), F.col("b"))
 
 
 @query("s13_git_status", "SELECT CASE p_partkey % 3 WHEN 0 THEN 'untracked' WHEN 1 THEN 'staged' ELSE 'modified' END AS state, count(*) AS n FROM part GROUP BY 1")
@@ -35,9 +47,15 @@ def symbol_history(t: Tables) -> DataFrame:
     return t.orders.join(hit, "o_orderkey", "left_semi").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(5).select("o_orderkey")
 
 
-@query("t54_edge_cases", r"""SELECT * FROM (VALUES ('number', '0'), ('number', '-1'), ('number', '1'), ('number', 'float(''nan'')'), ('number', 'float(''inf'')'), ('number', '2**63'), ('string', ''''''), ('string', ''' '''), ('string', '''\x00'''), ('string', '''é'''), ('string', '''a'' * 10000'), ('list', '[]'), ('list', '[None]'), ('list', '[[]]'), ('dict', '{}'), ('dict', '{'''': None}')) AS v(kind, value)""")
+def _rows_sql(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in rows)
+
+
+@query("t54_edge_cases", f"SELECT 'f' || p_partkey AS name, ['numeric', 'string', 'list', 'dict', 'other'][p_partkey % 5 + 1] AS kind, value, category, 'f' || p_partkey || '(' || value || ')' AS call FROM part JOIN (VALUES {_rows_sql([(k, *r) for k, rows in readers.EDGES.items() for r in rows])}) v(k, value, category) ON k = ['numeric', 'string', 'list', 'dict', 'numeric'][p_partkey % 5 + 1]")
 def edge_cases(t: Tables) -> DataFrame:
-    return readers.edge_cases(t.spark)
+    """A call with every odd value for a function of each part, by the kind of its parameter."""
+    kind = F.element_at(x.literal(["numeric", "string", "list", "dict", "other"]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return readers.edge_calls(t.part.select(F.concat(F.lit("f"), "p_partkey").alias("name"), kind.alias("kind")), "name", "kind")
 
 
 @query("f12_describe_file", "SELECT p_brand AS file, p_brand || ': ' || count(*) || ' functions, ' || sum(p_size) || ' lines' AS about FROM part GROUP BY p_brand")
@@ -80,10 +98,12 @@ def vector_upsert(t: Tables) -> DataFrame:
     return upsert(old, new, ["vec_id"])
 
 
-@query("m14_complete_keywords", "SELECT word FROM (VALUES ('def'), ('del'), ('class'), ('default')) v(word) WHERE starts_with(word, 'de') AND word <> 'de'")
+@query("m14_complete_keywords", f"WITH k AS (SELECT * FROM (VALUES {_rows_sql(assist.completion_rows())}) v(language, text, kind, label, inserted)), p AS (SELECT p_partkey, substring(p_name, 1, 1 + p_size % 2) AS prefix, ['python', 'js', 'go', 'other'][p_partkey % 4 + 1] AS language FROM part) SELECT p_partkey, text, k.kind, label, inserted FROM p JOIN k ON (k.language = p.language OR k.language = '*') AND starts_with(lower(text), prefix) AND lower(text) <> prefix")
 def complete_keywords(t: Tables) -> DataFrame:
-    words = t.spark.createDataFrame([(w,) for w in ("def", "del", "class", "default")], "word string")
-    return words.where(F.col("word").startswith("de") & (F.col("word") != "de"))
+    """Key words of a language, and snippets, for what is typed: the first one or two letters of each part's name."""
+    language = F.element_at(x.literal(["python", "js", "go", "other"]), (F.col("p_partkey") % 4 + 1).cast("int"))
+    typed = t.part.select("p_partkey", F.expr("substring(p_name, 1, 1 + p_size % 2)").alias("prefix"), language.alias("language"))
+    return assist.complete(typed, "p_partkey", "prefix", "language")
 
 
 @query("m9_update_signature", "SELECT p_partkey, regexp_replace(p_name, '\\bring\\b', 'ring(x)') AS name FROM part")

@@ -76,34 +76,42 @@ def save_state(t: Tables) -> DataFrame:
     return sinks.load_snapshot(t.spark, at)
 
 
-_TEXTS = ("findings where severity >= high and file ~ 'a b' limit 5", "symbols", "events where since = 7d and kind = error")
-
-
-@query("f1_dsl_tokenize", "SELECT * FROM (VALUES (1, 0, 'word', 'symbols'), (0, 0, 'word', 'findings'), (0, 1, 'word', 'where'), (0, 2, 'word', 'severity'), (0, 3, 'op', '>='), (0, 4, 'word', 'high'), (0, 5, 'word', 'and'), (0, 6, 'word', 'file'), (0, 7, 'op', '~'), (0, 8, 'quoted', 'a b'), (0, 9, 'word', 'limit'), (0, 10, 'number', '5'), (2, 0, 'word', 'events'), (2, 1, 'word', 'where'), (2, 2, 'word', 'since'), (2, 3, 'op', '='), (2, 4, 'span', '7d'), (2, 5, 'word', 'and'), (2, 6, 'word', 'kind'), (2, 7, 'op', '='), (2, 8, 'word', 'error')) AS v(query, place, kind, value)")
+def asked(t: Tables) -> DataFrame:
+    """(p_partkey, text): a query for every part, some of them broken, with what the part says in it."""
+    k, size, name = F.col("p_partkey"), F.col("p_size"), F.col("p_name")
+    texts = (
+        F.concat(F.lit("findings where severity >= high and file ~ '"), name, F.lit("' limit "), size),
+        F.concat(F.lit("Symbols where complexity > -"), size, F.lit('.5 and Name = "'), name, F.lit('"')),
+        F.concat(F.lit("events where since = "), size, F.lit("d and kind != error or 2024-01-05 limit 3")),
+        F.concat(F.lit("nothing where x = "), k),
+        F.concat(F.lit("symbols where name "), k),
+    )
+    return t.part.select("p_partkey", F.element_at(F.array(*texts), (k % 5 + 1).cast("int")).alias("text"))
+
+
+@query("f1_dsl_tokenize", "WITH v AS (SELECT * FROM (VALUES (0, 0, 'word', 'findings'), (0, 1, 'word', 'where'), (0, 2, 'word', 'severity'), (0, 3, 'op', '>='), (0, 4, 'word', 'high'), (0, 5, 'word', 'and'), (0, 6, 'word', 'file'), (0, 7, 'op', '~'), (0, 8, 'quoted', '@'), (0, 9, 'word', 'limit'), (0, 10, 'number', '#'), (1, 0, 'word', 'Symbols'), (1, 1, 'word', 'where'), (1, 2, 'word', 'complexity'), (1, 3, 'op', '>'), (1, 4, 'number', '-#.5'), (1, 5, 'word', 'and'), (1, 6, 'word', 'Name'), (1, 7, 'op', '='), (1, 8, 'quoted', '@'), (2, 0, 'word', 'events'), (2, 1, 'word', 'where'), (2, 2, 'word', 'since'), (2, 3, 'op', '='), (2, 4, 'span', '#d'), (2, 5, 'word', 'and'), (2, 6, 'word', 'kind'), (2, 7, 'op', '!='), (2, 8, 'word', 'error'), (2, 9, 'word', 'or'), (2, 10, 'date', '2024-01-05'), (2, 11, 'word', 'limit'), (2, 12, 'number', '3'), (3, 0, 'word', 'nothing'), (3, 1, 'word', 'where'), (3, 2, 'word', 'x'), (3, 3, 'op', '='), (3, 4, 'number', '%'), (4, 0, 'word', 'symbols'), (4, 1, 'word', 'where'), (4, 2, 'word', 'name'), (4, 3, 'number', '%')) AS v(q, place, kind, value)) SELECT p_partkey, place::INT AS place, kind, replace(replace(replace(value, '@', p_name), '#', p_size::VARCHAR), '%', p_partkey::VARCHAR) AS value FROM part JOIN v ON p_partkey % 5 = q")
 def dsl_tokenize(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame([(i, k, *token) for i, text in enumerate(_TEXTS) for k, token in enumerate(dsl.tokenize(text))], "query int, place int, kind string, value string")
+    return dsl.tokens(asked(t), "p_partkey", "text")
 
 
-@query("f2_dsl_parse", "SELECT * FROM (VALUES (0, 'findings', 'severity >= high, file ~ a b', 5), (1, 'symbols', '', 100), (2, 'events', 'since = 7d, kind = error', 100)) AS v(query, entity, predicates, most)")
+@query("f2_dsl_parse", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'findings' WHEN 1 THEN 'symbols' WHEN 2 THEN 'events' END AS entity, CASE p_partkey % 5 WHEN 0 THEN 'severity >= high, file ~ ' || p_name WHEN 1 THEN 'complexity > -' || p_size || '.5, name = ' || p_name WHEN 2 THEN 'since = ' || p_size || 'd, kind != error' ELSE '' END AS predicates, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 1 THEN 100 WHEN 2 THEN 3 END::INT AS most, CASE p_partkey % 5 WHEN 3 THEN 'unknown entity' WHEN 4 THEN 'an operator is missing' END AS error FROM part")
 def dsl_parse(t: Tables) -> DataFrame:
-    rows = [(i, p.entity, ", ".join(f"{x.name} {x.op} {x.value}" for x in p.predicates), p.limit) for i, p in enumerate(map(dsl.parse, _TEXTS))]
-    return t.spark.createDataFrame(rows, "query int, entity string, predicates string, most int")
-
-
-_ROUTED = ("symbols limit 3", "show complex functions", "show me the findings please")
+    said = F.array_join(F.transform("predicates", lambda p: F.concat_ws(" ", p["name"], p["op"], p["value"])), ", ")
+    return dsl.queries(asked(t), "p_partkey", "text").select("p_partkey", "entity", said.alias("predicates"), "most", F.regexp_extract("error", "^(unknown entity|an operator is missing)", 1).alias("error"))
 
 
-@query("f10_nl_to_dsl_model", "SELECT * FROM (VALUES (0, 'events where kind = error'), (1, NULL)) AS v(question, found)")
+@query("f10_nl_to_dsl_model", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'events where kind = error limit ' || p_size WHEN 1 THEN CASE WHEN contains(p_name, 'new') THEN 'findings where since = 1d limit 50' ELSE 'findings limit 20' END ELSE 'symbols limit ' || p_partkey END AS found FROM part")
 def nl_to_dsl_model(t: Tables) -> DataFrame:
-    """A model's answer counts without its code fence, and only if it parses."""
-    said = ("```sql\nevents where kind = error\n```", "no idea")
-    return t.spark.createDataFrame([(i, dsl.from_model("errors?", lambda _, x=x: x)) for i, x in enumerate(said)], "question int, found string")
+    """A model's answer counts without its code fence, and only if it parses; else the keywords of the question do."""
+    said = F.element_at(F.array(F.concat(F.lit("```sql\nevents where kind = error limit "), "p_size", F.lit("\n```")), F.concat(F.lit("no idea: "), "p_name"), F.concat(F.lit("\n\n symbols limit "), "p_partkey", F.lit("\nsymbols"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return dsl.routed(t.part.select("p_partkey", F.concat(F.lit("show any "), "p_name").alias("question"), said.alias("said")), "p_partkey", "question", "said")
 
 
-@query("f11_query_router", "SELECT * FROM (VALUES (0, 'symbols limit 3'), (1, 'symbols where kind = function and complexity > 10 limit 50'), (2, 'events limit 7')) AS v(question, found)")
+@query("f11_query_router", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'symbols where line > ' || p_size WHEN 1 THEN 'symbols where ' || CASE WHEN contains(p_name, 'new') THEN 'since = 1d and ' ELSE '' END || 'kind = function and complexity > 10 limit 50' WHEN 2 THEN 'findings where severity = HIGH and category = sql_injection and since = ' || CASE WHEN contains(p_name, 'new') THEN '1d' ELSE '7d' END || ' limit 50' WHEN 3 THEN CASE WHEN contains(p_name, 'new') THEN 'findings where since = 1d limit 50' WHEN contains(p_name, 'small') THEN 'findings limit 20' END ELSE 'events where ' || CASE WHEN contains(p_name, 'new') THEN 'since = 1d and ' ELSE '' END || 'source = brain limit 50' END AS found FROM part")
 def query_router(t: Tables) -> DataFrame:
-    model = lambda q: "events limit 7" if "please" in q else ""
-    return t.spark.createDataFrame([(i, dsl.route(q, model)) for i, q in enumerate(_ROUTED)], "question int, found string")
+    """Queries pass, questions are translated by their keywords, the rest gives nothing."""
+    texts = (F.concat(F.lit("symbols where line > "), "p_size"), F.concat(F.lit("Complex functions about "), "p_name"), F.concat(F.lit("high sql problems of this week, "), "p_name"), F.concat(F.lit("zzz "), "p_name"), F.concat(F.lit("the timeline by brain and "), "p_name"))
+    return dsl.routed(t.part.select("p_partkey", F.element_at(F.array(*texts), (F.col("p_partkey") % 5 + 1).cast("int")).alias("text")), "p_partkey", "text")
 
 
 @query("m2_git_context", "WITH q AS (SELECT conv_id, turn, lower(coalesce(text, '')) AS q FROM conversations), s AS (SELECT conv_id, turn, q, list_filter([CASE WHEN regexp_matches(q, 'recent|today|week|yesterday|last') THEN 'recent' END, CASE WHEN regexp_matches(q, 'why|changed|modify|history') AND len(list_filter(regexp_split_to_array(q, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: contains(w, '.') AND NOT starts_with(w, '.'))) > 0 THEN 'file' END, CASE WHEN regexp_matches(q, 'hotspot|frequent|most changed') THEN 'hotspots' END, CASE WHEN regexp_matches(q, 'commit|staged|changes') THEN 'commit' END], lambda x: x IS NOT NULL) AS s FROM q) SELECT conv_id, turn, CASE WHEN len(s) = 0 THEN ['recent'] ELSE s END AS sections, CASE WHEN regexp_matches(q, 'today|yesterday') THEN 1 ELSE 7 END AS days FROM s")

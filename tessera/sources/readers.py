@@ -105,10 +105,10 @@ HUNKS = "array<struct<file:string,old_start:int,old_count:int,new_start:int,new_
 
 def diff_hunks(rows: DataFrame, key: str, text: str) -> DataFrame:
     """A row a hunk of each diff."""
-    return _parsed(rows, key, text, parse_diff, HUNKS)
+    return rows_of(rows, key, text, parse_diff, HUNKS)
 
 
-def _parsed(rows: DataFrame, key: str, text: str, parse: Callable[[str | None], list[tuple]], kind: str) -> DataFrame:
+def rows_of(rows: DataFrame, key: str, text: str, parse: Callable[[str | None], list[tuple]], kind: str) -> DataFrame:
     """The key with a row for each tuple that `parse` finds in the text, over Arrow batches."""
     one = rows.select(key, F.lit(None).cast(kind).alias("h")).select(key, F.inline("h")).schema
     arrow = to_arrow_schema(one)
@@ -161,21 +161,49 @@ def function_ranges(files: DataFrame, path: str, text: str, name: str) -> DataFr
     return files.select(F.col(names[0]).cast("string"), names[1], names[2]).mapInArrow(run, "path string, name string, first int, last int")
 
 
-def generated_pairs(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """Problems with solutions that can be checked again: arithmetic, percentages, areas and means."""
-    a = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(90)) + 10
-    b = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(90)) + 10
-    rows = spark.range(n).select("id", a.alias("a"), b.alias("b"), (F.col("id") % 4).alias("k"))
-    domain = F.element_at(F.array(*[F.lit(x) for x in ("arithmetic", "percentage", "geometry", "stats")]), (F.col("k") + 1).cast("int"))
-    question = F.when(F.col("k") == 0, F.concat(F.lit("What is "), "a", F.lit(" * "), "b", F.lit("?"))).when(F.col("k") == 1, F.concat(F.lit("What is "), "a", F.lit("% of "), "b", F.lit("?"))).when(F.col("k") == 2, F.concat(F.lit("What is the area of a rectangle of "), "a", F.lit(" by "), "b", F.lit("?"))).otherwise(F.concat(F.lit("What is the mean of "), "a", F.lit(" and "), "b", F.lit("?")))
-    answer = F.when(F.col("k").isin(0, 2), F.col("a") * F.col("b")).when(F.col("k") == 1, F.col("a") * F.col("b") / 100).otherwise((F.col("a") + F.col("b")) / 2)
-    return rows.select("id", "a", "b", domain.alias("domain"), question.alias("instruction"), answer.alias("answer"))
-
-
-def edge_cases(spark: SparkSession) -> DataFrame:
-    """Values that break functions, by type, as literals of Python."""
-    rows = [("number", v) for v in ("0", "-1", "1", "float('nan')", "float('inf')", "2**63")] + [("string", v) for v in ("''", "' '", "'\\x00'", "'é'", "'a' * 10000")] + [("list", v) for v in ("[]", "[None]", "[[]]")] + [("dict", v) for v in ("{}", "{'': None}")]
-    return spark.createDataFrame(rows, "kind string, value string")
+#: Domains of generated problems.
+DOMAINS = ("add", "subtract", "multiply", "percentage", "rectangle", "circle", "triangle", "prime")
+
+
+def generated_pairs(rows: DataFrame, key: str, domain: str, a: Column, b: Column) -> DataFrame:
+    """key, id, domain, problem, solution and difficulty: a problem with its worked solution for each row's domain and numbers, all of it checkable again."""
+    said = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    signs = {"add": ("+", a + b), "subtract": ("-", a - b), "multiply": ("*", a * b)}
+    problem, solution = F.lit(None).cast("string"), F.lit(None).cast("string")
+    whole = {}
+    for name, (sign, value) in signs.items():
+        whole[name] = (said("What is ", a, f" {sign} ", b, "?"), said("The answer is ", value, ".\n\nStep by step:\n", a, f" {sign} ", b, " = ", value))
+    share, disc = b * a / F.lit(100.0), F.round(F.lit(3.141592653589793) * a * a, 4)
+    whole["percentage"] = (said("What is ", a, "% of ", b, "?"), said("The answer is ", share, ".\n\n", a, "% of ", b, " = (", a, "/100) × ", b, " = ", share))
+    whole["rectangle"] = (said("What is the area of a rectangle with width ", a, " and height ", b, "?"), said("Area = width × height = ", a, " × ", b, " = ", a * b, " square units."))
+    whole["circle"] = (said("What is the area of a circle with radius ", a, "?"), said("Area = π × r² = π × ", a, "² = π × ", a * a, " ≈ ", disc, " square units."))
+    whole["triangle"] = (said("What is the area of a triangle with base ", a, " and height ", b, "?"), said("Area = (base × height) / 2 = (", a, " × ", b, ") / 2 = ", a * b, " / 2 = ", a * b / F.lit(2.0), " square units."))
+    prime = (a >= 2) & ~F.exists(F.when(a >= 4, F.sequence(F.lit(2), F.floor(F.sqrt(a)).cast("int"))).otherwise(F.array().cast("array<int>")), lambda d: a % d == 0)
+    whole["prime"] = (said("Is ", a, " a prime number?"), said(a, F.when(prime, " is prime.").otherwise(" is not prime.")))
+    hard = F.when(F.col(domain).isin(*signs), F.least(F.lit(1.0), F.greatest(a, b) / F.lit(1000.0))).when(F.col(domain) == "percentage", 0.3).otherwise(0.4)
+    for name, (p, q) in whole.items():
+        problem, solution = F.when(F.col(domain) == name, p).otherwise(problem), F.when(F.col(domain) == name, q).otherwise(solution)
+    out = rows.select(key, domain, problem.alias("problem"), solution.alias("solution"), hard.alias("difficulty")).where("problem IS NOT NULL")
+    return out.withColumn("id", F.substring(F.md5(F.col("problem").cast("binary")), 1, 12))
+
+
+#: Values that break functions, with what is odd about them, by kind of parameter.  Fixed values.
+EDGES = {
+    "numeric": (("0", "boundary"), ("-1", "negative"), ("1", "boundary"), ("-999999", "overflow"), ("999999", "overflow"), ("0.0", "float"), ("-0.0", "negative_zero"), ("float('inf')", "infinity"), ("float('-inf')", "negative_infinity"), ("float('nan')", "nan"), ("0.1 + 0.2", "float_precision")),
+    "string": (('""', "empty"), ('" "', "whitespace"), ('"a"', "single_char"), ('"a" * 10000', "very_long"), ("None", "null"), ('"\\n\\t\\r"', "special_chars"), ('"hello\\x00world"', "null_byte"), ('"<script>alert(1)</script>"', "xss"), ('"DROP TABLE users;--"', "sql_injection"), ('"é"', "unicode")),
+    "list": (("[]", "empty"), ("[1]", "single"), ("[1, 2, 3]", "normal"), ("list(range(10000))", "very_large"), ("None", "null"), ("[None]", "contains_null"), ("[1, None, 3]", "mixed_null"), ("[1, 'a', 2.0]", "mixed_types"), ("[[1, 2], [3, 4]]", "nested"), ("[1, 1, 1, 1]", "all_same"), ("[5, 4, 3, 2, 1]", "reverse_sorted"), ("[float('nan'), 1, 2]", "contains_nan")),
+    "dict": (("{}", "empty"), ("None", "null"), ('{"a": 1}', "single"), ('{"a": None}', "null_value"), ('{1: "a", 2: "b"}', "int_keys")),
+}
+
+
+def edge_calls(functions: DataFrame, name: str, kind: str) -> DataFrame:
+    """name, kind, value, category and call: a call of each function with every value that may break a parameter of its kind; unknown kinds count as numeric."""
+    cases = {k: F.array(*[F.struct(F.lit(v).alias("value"), F.lit(c).alias("category")) for v, c in rows]) for k, rows in EDGES.items()}
+    of = cases["numeric"]
+    for k, rows in cases.items():
+        of = F.when(F.col(kind) == k, rows).otherwise(of)
+    out = functions.select(name, kind, F.explode(of).alias("c")).select(name, kind, "c.*")
+    return out.withColumn("call", F.concat(F.col(name), F.lit("("), "value", F.lit(")")))
 
 
 def batches(rows: Iterator, size: int = 100) -> Iterator[list]:
