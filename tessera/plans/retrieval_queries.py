@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
-from ..operators import grams
+from ..operators import fuzzy, grams
 from ..operators import retrieval as r
 from ..operators import search_index, vectors
 from .registry import Tables, query
@@ -114,17 +114,15 @@ def completions(t: Tables) -> DataFrame:
     return t.part.where(F.contains("p_name", F.lit("re"))).select(F.col("p_name").alias("text"), F.when(F.col("p_name").startswith("re"), 0).otherwise(1).alias("place")).distinct().orderBy("place", "text").limit(10)
 
 
-@query("l16_fuzzy_match")
-def fuzzy_match(t: Tables) -> DataFrame:
-    """The nearest known name of each misspelt one: candidates by length in Catalyst, the ratio in a pandas UDF."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(a, b, strict=True)])
+_TYPED = "n AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT name, CASE v WHEN 0 THEN substring(name, 2) WHEN 1 THEN 'q' || name WHEN 2 THEN name || right(name, 1) ELSE upper(name) END AS typed FROM n, range(4) r(v))"
 
+
+@query("l16_fuzzy_match", f"WITH {_TYPED} SELECT typed, min(name) AS match FROM t WHERE typed NOT IN (SELECT name FROM n) GROUP BY typed")
+def fuzzy_match(t: Tables) -> DataFrame:
+    """The nearest known name of each that lacks or has a letter too much, at either end, or is in capitals."""
     names = t.part.select(F.col("p_name").alias("name")).distinct()
-    wrong = names.select(F.col("name").alias("known"), F.concat(F.substring("name", 1, 3), F.lit("x"), F.expr("substring(name, 5)")).alias("typed"))
-    near = wrong.select("typed").join(names, F.substring("typed", 1, 1) == F.substring("name", 1, 1)).where(F.expr("length(name) / length(typed) BETWEEN 0.7 AND 1.4")).withColumn("r", ratio("typed", "name")).where("r >= 0.85")
-    return near.groupBy("typed").agg(F.max_by("name", F.struct("r", "name")).alias("match"), F.max("r").alias("ratio"))
+    typed = names.select(F.explode(F.array(F.expr("substring(name, 2)"), F.concat(F.lit("q"), "name"), F.concat("name", F.expr("right(name, 1)")), F.upper("name"))).alias("name"))
+    return fuzzy.closest(typed, names).select(F.col("name").alias("typed"), "match")
 
 
 @query("t6_hash_embedding")

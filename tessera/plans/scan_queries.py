@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import scan
-from ..operators.store import first_of
-from ..operators import report
+from ..operators import fuzzy, report, scan
 from .registry import Tables, query
 
 #: Source lines that stand for files, one a row of part.
@@ -119,10 +117,14 @@ def claim_verifiers(t: Tables) -> DataFrame:
     return report.verdicts(t.lineitem.where("l_linenumber = 1"), "l_partkey", t.part.where("p_partkey % 2 = 0"), "p_partkey", F.col("p_size") > 25)
 
 
-@query("m15_identifier_correction", "WITH k AS (SELECT DISTINCT p_name AS name FROM part), t AS (SELECT replace(name, 'r', 'rr') AS typed FROM k), d AS (SELECT typed, name, levenshtein(typed, name) AS d FROM t JOIN k ON substring(typed, 1, 2) = substring(name, 1, 2)) SELECT typed, arg_min(name, (d, name)) AS name FROM d WHERE d BETWEEN 1 AND 2 GROUP BY typed")
+@query("m15_identifier_correction", "WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part), p AS (SELECT p_partkey, replace(p_name, ' ', '_') AS name, p_partkey % 4 AS v FROM part), t AS (SELECT *, CASE v WHEN 0 THEN substring(name, 2) WHEN 1 THEN 'q' || name WHEN 2 THEN name || right(name, 1) ELSE name END AS typed FROM p) SELECT p_partkey, '# ' || typed || '(1)' || chr(10) || 'print(' || CASE WHEN typed IN (SELECT name FROM n) OR starts_with(typed, 'new_') THEN typed ELSE name END || '(x), new_' || typed || '(x))' || chr(10) || 'w = Widget' || CASE v WHEN 1 THEN 's.' ELSE 'Box.' END || typed || '(y)' AS code FROM t")
 def identifier_correction(t: Tables) -> DataFrame:
-    """Names that miss a known one by a letter, with the known one."""
-    known = first_of(t.part.select(F.col("p_name").alias("name"), "p_partkey"), ["name"], [F.col("p_partkey")]).select("name")
-    typed = known.select(F.regexp_replace("name", "r", "rr").alias("typed"))
-    near = typed.join(known, F.substring("typed", 1, 2) == F.substring("name", 1, 2)).withColumn("d", F.levenshtein("typed", "name")).where("d BETWEEN 1 AND 2")
-    return near.groupBy("typed").agg(F.min_by("name", F.struct("d", "name")).alias("name"))
+    """Code of every part, with a misspelt function called and a misspelt class named: the first place of each is set right."""
+    name = F.replace("p_name", F.lit(" "), F.lit("_"))
+    p = t.part.select("p_partkey", name.alias("name"), (F.col("p_partkey") % 4).alias("v"))
+    typed = F.when(F.col("v") == 0, F.expr("substring(name, 2)")).when(F.col("v") == 1, F.concat(F.lit("q"), "name")).when(F.col("v") == 2, F.concat("name", F.expr("right(name, 1)"))).otherwise(F.col("name"))
+    of_class = F.when(F.col("v") == 0, "WidgetBx.").when(F.col("v") == 1, "Widgets.").when(F.col("v") == 2, "WidgetBOX.").otherwise("WidgetBox.")
+    p = p.withColumn("typed", typed)
+    code = F.concat(F.lit("# "), "typed", F.lit("(1)\nprint("), "typed", F.lit("(x), new_"), "typed", F.lit("(x))\nw = "), of_class, "typed", F.lit("(y)"))
+    classes = t.spark.createDataFrame([("WidgetBox",), ("Widgets",)], "name string")
+    return fuzzy.corrected(p.select("p_partkey", code.alias("code")), "p_partkey", "code", p.select("name").distinct(), classes).select("p_partkey", "code")
