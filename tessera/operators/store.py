@@ -80,13 +80,19 @@ def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _settled.append((df.sparkSession, path))
+    dropped_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _settled: list[tuple[SparkSession, str]] = []
 
 
+def dropped_later(spark: SparkSession, path: str) -> str:
+    """A folder that goes when the process ends."""
+    _settled.append((spark, path))
+    return path
+
+
 @atexit.register
 def _drop_settled() -> None:
     for spark, path in _settled:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as s
 from ..functions import text as x
+from ..operators import series
 from .registry import Tables, query
 from .text_queries import array_sql, words_sql
 
@@ -155,18 +156,13 @@ def theme_stage(t: Tables) -> DataFrame:
     return m.withColumn("sign", sign).select("conv_id", "turn", "theme", F.last("sign", ignorenulls=True).over(by).alias("stage"))
 
 
-def _ema(order: str, value: str, start: float):
-    """A moving average e = 0.1 x + 0.9 e over a group's values in order."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x"))))
-    return F.aggregate(ordered, F.lit(start), lambda e, s_: s_["x"] * 0.1 + e * 0.9)
-
-
 _EMA = "list_reduce(list_prepend(0.5::DOUBLE, list(({x})::DOUBLE ORDER BY event_id)), lambda e, v: 0.1 * v + 0.9 * e)"
 
 
 @query("w3_ema", f"SELECT event_type, round({_EMA.format(x='least(value / 50, 1)')}, 9) AS ema FROM events GROUP BY event_type")
 def ema(t: Tables) -> DataFrame:
-    return t.events.withColumn("v", F.least(F.col("value") / 50, F.lit(1.0))).groupBy("event_type").agg(F.round(_ema("event_id", "v", 0.5), 9).alias("ema"))
+    rows = t.events.withColumn("v", F.least(F.col("value") / 50, F.lit(1.0)))
+    return series.ema(rows, ["event_type"], [F.col("event_id")], "v", 0.5).select("event_type", F.round("ema", 9).alias("ema"))
 
 
 _REWARD = "CASE WHEN value > 25 AND event_id % 2 = 0 THEN 1.0 WHEN value > 25 THEN 0.7 WHEN event_id % 2 = 0 THEN 0.3 ELSE 0.1 END"
@@ -176,7 +172,8 @@ _REWARD = "CASE WHEN value > 25 AND event_id % 2 = 0 THEN 1.0 WHEN value > 25 TH
 def feature_bin_ema(t: Tables) -> DataFrame:
     good, fast = F.col("value") > 25, F.col("event_id") % 2 == 0
     r = F.when(good & fast, 1.0).when(good, 0.7).when(fast, 0.3).otherwise(0.1)
-    return t.events.withColumn("r", r).groupBy("event_type", (F.col("user_id") % 5).alias("bin")).agg(F.round(_ema("event_id", "r", 0.5), 9).alias("ema"))
+    rows = t.events.withColumn("r", r).withColumn("bin", F.col("user_id") % 5)
+    return series.ema(rows, ["event_type", "bin"], [F.col("event_id")], "r", 0.5).select("event_type", "bin", F.round("ema", 9).alias("ema"))
 
 
 _LP = "[-value / 10, -value / 10 - 1, -value / 10 - 2.5, -3.0]"

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as x
 from ..operators.store import upsert
 from ..sources import readers
-from ..operators import assist, report
+from ..operators import assist, report, series
 from .registry import Tables, query
 
 
@@ -151,8 +151,8 @@ def code_fixups(t: Tables) -> DataFrame:
 @query("t53_context_assemble", "WITH p AS (SELECT source, doc_id, sum(n_chars // 4) OVER (PARTITION BY source ORDER BY doc_id) AS used FROM documents) SELECT source, count(*) AS parts, max(used)::BIGINT AS used FROM p WHERE used <= 4000 GROUP BY source")
 def context_assemble(t: Tables) -> DataFrame:
     """Parts of a source that fit a budget of tokens, in order."""
-    used = F.sum(F.floor(F.col("n_chars") / 4)).over(Window.partitionBy("source").orderBy("doc_id"))
-    return t.documents.select("source", used.alias("used")).where("used <= 4000").groupBy("source").agg(F.count("*").alias("parts"), F.max("used").alias("used"))
+    fitting = series.budgeted(t.documents.select("source", "doc_id", "n_chars"), ["source"], [F.col("doc_id")], F.floor(F.col("n_chars") / 4), 4000)
+    return fitting.groupBy("source").agg(F.count("*").alias("parts"), F.max("used").alias("used"))
 
 
 @query("m21_memory_context", "SELECT conv_id, list(turn ORDER BY n DESC, turn)[1:3] AS turns FROM (SELECT conv_id, turn, length(text) AS n FROM conversations WHERE length(text) > 20) GROUP BY conv_id")

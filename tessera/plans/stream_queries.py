@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..streaming import watch
+from ..streaming import stateful, watch
 from .registry import Tables, query
+from .surface_queries import scratch
 
 
 def changes(t: Tables) -> DataFrame:
@@ -51,9 +52,37 @@ def incremental_rescan(t: Tables) -> DataFrame:
     return watch.rescan(d.where("doc_id % 7 <> 2"), d.where("doc_id % 7 <> 1"))
 
 
-@query("x10_token_stats", "SELECT user_id, count(*) AS tokens, round(max(value), 6) AS most FROM events GROUP BY user_id")
+_STATS = "WITH e AS (SELECT user_id, event_id, value / 10 AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10 AS last FROM events) SELECT user_id, count(*) AS tokens, round(avg(h), 6) AS mean, round(greatest(0, max(h)), 6) AS most, round(avg(h) FILTER (last), 6) AS smoothed, count(*) FILTER (h > 3.5) AS spikes, bool_or(h > 3.5) AS should_verify, bool_or(h > 4.2) AS should_pause, round(greatest(0.05, 1 - avg(h) / 5), 6) AS confidence FROM e GROUP BY user_id"
+
+
+def _tokens(t: Tables) -> DataFrame:
+    return t.events.select("user_id", F.col("event_id").alias("position"), (F.col("value") / 10).alias("entropy"))
+
+
+def _rounded(stats: DataFrame) -> DataFrame:
+    return stats.select("user_id", "tokens", "spikes", "should_verify", "should_pause", *[F.round(c, 6).alias(c) for c in ("mean", "most", "smoothed", "confidence")])
+
+
+@query("x10_token_stats", _STATS)
 def token_stats(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.count("*").alias("tokens"), F.round(F.max("value"), 6).alias("most"))
+    """Statistics of every user's tokens, as a stream that is stopped half way and goes on from its checkpoint."""
+    at, out, checkpoint = scratch(t, "tokens"), scratch(t, "token-stats"), scratch(t, "checkpoint")
+    rows = _tokens(t)
+    half = rows.agg(F.percentile_approx("position", 0.5)).first()[0]
+    for part in (F.col("position") <= half, F.col("position") > half):
+        rows.where(part).write.mode("append").parquet(at)
+        stream = stateful.token_stream(t.spark.readStream.schema(rows.schema).parquet(at), "user_id")
+        with stateful.state_store(t.spark):
+            stream.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
+    seen = t.spark.read.parquet(out)
+    last = seen.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in seen.columns if c not in ("user_id", "batch")]), "batch").alias("s"))
+    return _rounded(last.select("user_id", "s.*"))
+
+
+@query("x10_token_stats_table", _STATS)
+def token_stats_table(t: Tables) -> DataFrame:
+    """The same of the whole table at once."""
+    return _rounded(stateful.token_stats(_tokens(t), "user_id"))
 
 
 @query("x3_tumbling_activity", "SELECT date_trunc('day', ts) AS start, event_type AS kind, count(*) AS n FROM events GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assist
-from ..operators.store import shared_folder
+from ..operators.store import dropped_later, shared_folder
 from ..sources import readers, sinks
 from ..streaming import state, watch
 from . import dsl
@@ -16,7 +16,8 @@ from .registry import Tables, query
 
 
 def scratch(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which goes when the process ends."""
+    return dropped_later(t.spark, f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}")
 
 
 @query("s2_scan_json_files", "SELECT n_nationkey, n_name FROM nation")
@@ -198,6 +199,6 @@ def router_state(t: Tables) -> DataFrame:
     rows = t.customer.join(tiers, F.col("c_nationkey") == F.col("n_nationkey")).select("tier", F.col("c_custkey").alias("seq"), (F.lit(0.5) + F.col("c_custkey") % 50 / 100).alias("confidence"), F.abs("c_acctbal").alias("latency"))
     rows.coalesce(1).write.parquet(at)
     stream = state.router_state(t.spark.readStream.schema(rows.schema).parquet(at))
-    stream.writeStream.outputMode("update").option("checkpointLocation", scratch(t, "checkpoint")).foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").option("checkpointLocation", scratch(t, "checkpoint")).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).trigger(availableNow=True).start().awaitTermination()
     last = t.spark.read.parquet(out).groupBy("tier").agg(F.max_by(F.struct("queries", "confidence", "latency"), "batch").alias("s"))
     return last.select("tier", "s.queries", F.round("s.confidence", 6).alias("confidence"), F.round("s.latency", 4).alias("latency"))
