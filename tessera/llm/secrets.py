@@ -195,16 +195,16 @@ def examples(count: int = 1500, seed: int = 8) -> list[tuple[str, list[tuple[int
         secrets: list[str] = []
         if kind < 5:
             s = pick([lambda: rand(mixed, int(rng.integers(16, 44))), lambda: rand(hexed, pick([32, 40, 64])), lambda: "AKIA" + rand(upper, 16), lambda: pick(["ghp_", "sk-", "xoxb-", "AIza", "glpat-"]) + rand(mixed, 30), lambda: "eyJ" + rand(mixed, 30) + "." + rand(mixed, 40), lambda: rand(mixed + "+/", 40)])()
-            form = pick(['{k} = "{s}"', "{k}: {s}", "export {k}={s}", "Authorization: Bearer {s}", "{k} is {s}", "'{k}': '{s}'", "{k} {s}", "{s}"])
-            if form == "{s}" and len(s) < 30:
+            form = pick(['{k} = "{s}"', "{k}: {s}", "export {k}={s}", "Authorization: Bearer {s}", "{k} is {s}", "'{k}': '{s}'", "{k} {s}", "{s}", "{p}://{p}:{s}@{p}.{p}/{p}", '"{p}": "{s}"', "{p}: {s}\n{p}"])
+            if form == "{s}" and len(s) < 20 or "{k}" not in form and len(s) < 16:
                 form = "{k}={s}"
-            middle, secrets = form.format(k=pick(["password", "client_secret", "API_KEY", "auth_token", "private_key", "access key", "pwd", "credential"]), s=s), [s]
+            middle, secrets = form.format(p=plain(), k=pick(["password", "client_secret", "API_KEY", "auth_token", "private_key", "access key", "pwd", "credential"]), s=s), [s]
         elif kind == 5:
             lines = [rand(mixed + "+/", 64) for _ in range(int(rng.integers(2, 5)))]
             middle, secrets = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(lines) + "\n-----END PRIVATE KEY-----", lines
         else:
             n = int(rng.integers(1, 10000))
-            middle = pick([f"{plain()}{n}@{plain()}{n % 9}.example.com", f"https://{plain()}.com/{plain()}/{n}/{plain()}{n % 99}.html", f"order-{plain()}-{2000 + n % 30}-{n:06d}", f"IMG_20{n:06d}_{plain()}.jpg", f"2024-0{1 + n % 9}-1{n % 9}T10:00:00Z", f"{plain()}_{plain()}_{plain()}{n}", f"v{n % 9}.{n % 7}.{n % 5}-{plain()}.{n}", "-".join([rand(hexed, 8), rand(hexed, 4), rand(hexed, 4), rand(hexed, 4), rand(hexed, 12)]), f"commit {rand(hexed, 40)}", f"{plain()}{plain()}{n}", f"{plain().upper()}-{plain()}-{n}-{plain()}", f"{rand(string.digits, 16)}", ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), f"{plain()}.{plain()}{n}@{plain()}.example.org", f"the {pick(['key', 'token', 'password', 'secret', 'access'])} {plain()} is {plain()}", f"+{n}-{rand(string.digits, 3)}-{rand(string.digits, 7)}", f"${n}.{n % 100}", plain() * 5])
+            middle = pick([f"{plain()}{n}@{plain()}{n % 9}.example.com", f"https://{plain()}.com/{plain()}/{n}/{plain()}{n % 99}.html", f"https://{plain()}.{plain()}/{plain()}/{plain()}-{plain()}-{n}?{plain()}={plain()}{n % 99}&{plain()}={n}", f"order-{plain()}-{2000 + n % 30}-{n:06d}", f"IMG_20{n:06d}_{plain()}.jpg", f"2024-0{1 + n % 9}-1{n % 9}T10:00:00Z", f"{plain()}_{plain()}_{plain()}{n}", f"v{n % 9}.{n % 7}.{n % 5}-{plain()}.{n}", "-".join([rand(hexed, 8), rand(hexed, 4), rand(hexed, 4), rand(hexed, 4), rand(hexed, 12)]), f"commit {rand(hexed, 40)}", f"{plain()}{plain()}{n}", f"{plain().upper()}-{plain()}-{n}-{plain()}", f"{rand(string.digits, 16)}", ".".join(str(int(x)) for x in rng.integers(0, 256, 4)), f"{plain()}.{plain()}{n}@{plain()}.example.org", f"the {pick(['key', 'token', 'password', 'secret', 'access'])} {plain()} is {plain()}", f"+{n}-{rand(string.digits, 3)}-{rand(string.digits, 7)}", f"${n}.{n % 100}", plain() * 5])
         text = f"{lead} {middle} {tail}"
         at, spans = 0, []
         for s in secrets:
