@@ -20,18 +20,19 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, _mix, keyed, range_hashes, table, text_pieces, trimmed
+from .common import Words, _mix, keyed, materialize, range_hashes, table, text_pieces, trimmed
 
 CELLS, GROW, WORDS = 24, 4, 8
-#: Bytes of text in a range of ids, about.
-RANGE = 128 << 20
+#: Bytes of text in a range of ids, about, and rows that the borders of ranges are taken from, at least.
+RANGE, SAMPLE = 128 << 20, 20_000
 _SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -153,6 +154,30 @@ def _take(keys: np.ndarray, first: np.ndarray, pick: np.ndarray) -> tuple[np.nda
     return keys[np.repeat(first[pick], size) + np.arange(int(size.sum())) - np.repeat(ends - size, size)], np.concatenate([[0], ends])
 
 
+def _range_of(docs: DataFrame, parts: int) -> Callable[[Column, Column], Column]:
+    """The number of a row's range of (_id, _key), of `parts` at most.
+
+    The borders are taken from a sample of some rows a range, picked by their
+    hashes; a hot id is cut by the hashes of its texts.  Tasks look borders up
+    in a sorted array of 16 bytes a range.
+    """
+    wanted = max(SAMPLE, 4 * parts)
+    share = int(min(1.0, wanted / max(1, docs.count())) * (1 << 40))
+    seen = docs.select("_id", "_key").where(F.pmod(F.xxhash64(F.lit(5), "_id", "_key"), F.lit(1 << 40)) < share).toArrow()
+    pairs = np.empty(seen.num_rows, [("i", "<i8"), ("k", "<i8")])
+    pairs["i"], pairs["k"] = (seen.column(c).to_numpy() for c in ("_id", "_key"))
+    pairs.sort(order=["i", "k"])
+    cuts = docs.sparkSession.sparkContext.broadcast(np.unique(pairs[[len(pairs) * i // parts for i in range(1, parts)]]) if len(pairs) else pairs)
+
+    @F.pandas_udf("int")
+    def number(ids: pd.Series, keys: pd.Series) -> pd.Series:
+        asked = np.empty(len(ids), cuts.value.dtype)
+        asked["i"], asked["k"] = ids.to_numpy(), keys.to_numpy()
+        return pd.Series(np.searchsorted(cuts.value, asked, "left").astype(np.int32))
+
+    return number
+
+
 def following(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Rows of `common.keyed` dealt to ranges of ids, each range sorted and closed by a copy (`tail`) of the row after it.
 
@@ -162,22 +187,12 @@ def following(docs: DataFrame, parts: int | None = None) -> DataFrame:
     if parts is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
-    cuts = docs.agg(F.percentile_approx("_id", [i / parts for i in range(1, parts)] or [1.0], max(10_000, 20 * parts))).first()[0] or []
-    cuts = sorted(set(cuts))
-    # two searches in short lists instead of one in a long list
-    width = max(1, int(len(cuts) ** 0.5))
-    rough, fine = cuts[width - 1 :: width], [cuts[i : i + width] for i in range(0, len(cuts), width)] + [[]]
-    if cuts:
-        lists = F.array(*[F.array(*[F.lit(x) for x in part]) if part else F.expr("cast(array() as array<bigint>)") for part in fine])
-        at = F.size(F.filter(F.array(*[F.lit(x) for x in rough]), lambda x: x < F.col("_id"))) if rough else F.lit(0)
-        bucket = at * width + F.size(F.filter(F.element_at(lists, at + 1), lambda x: x < F.col("_id")))
-    else:
-        bucket = F.lit(0)
-    rows = docs.withColumn("_bucket", bucket.cast("int"))
-    firsts = sorted((r[0], r[1][0], r[1][1]) for r in rows.groupBy("_bucket").agg(F.min(F.struct("_id", "_key"))).collect())  # a row a range
-    before = [(firsts[i - 1][0], x[1], x[2]) for i, x in enumerate(firsts)]
-    heads = spark.createDataFrame(before, "_to int, _id long, _key long")
-    rows = rows.join(F.broadcast(heads), ["_id", "_key"], "left")
+    rows = docs.withColumn("_bucket", _range_of(docs, parts)(F.col("_id"), F.col("_key")))
+    firsts = rows.groupBy("_bucket").agg(F.min(F.struct("_id", "_key")).alias("head"))  # a row a range
+    around = Window.orderBy("_bucket")
+    before = F.coalesce(F.lag("_bucket").over(around), F.last("_bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    heads = materialize(firsts.select(before.alias("_to"), "head._id", "head._key"), "heads")
+    rows = rows.join(F.broadcast(heads), ["_id", "_key"], "left")  # 24 bytes for `RANGE` bytes of text
     own = F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("tail"))
     rows = rows.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("to"), F.lit(1).alias("tail"))))))
     return rows.select("doc_id", "_id", "_key", F.coalesce("text", F.lit("")).alias("text"), F.col("_at.to").alias("_bucket"), F.col("_at.tail").alias("tail")).repartition(parts, "_bucket").sortWithinPartitions("_bucket", "tail", "_id", "_key")

@@ -515,3 +515,15 @@ def test_op4_likeness(spark):
         for other, got in ((text[: len(text) - half] + after[:half], r.near_edited), (after, r.near_next)):
             a, b = plain_paragraphs(text), plain_paragraphs(other)
             assert got == pytest.approx(1 - sum(((a - b) + (b - a)).values()) / (a.total() + b.total()))
+
+
+def test_op4_ranges_cut_a_hot_id(spark, monkeypatch):
+    """Rows without an id are dealt to many ranges, and every row finds the next one across their borders."""
+    monkeypatch.setattr(fingerprint, "SAMPLE", 500)
+    rows = [(None if i % 3 else i, f"text {i % 700} of many. and {i % 500} more\n") for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = fingerprint.following(fingerprint.keyed(docs), 16).collect()
+    assert len({r["_bucket"] for r in dealt}) >= 12
+    assert max(Counter(r["_bucket"] for r in dealt).values()) < len(rows) / 5
+    out = fingerprint.fingerprint_versions(docs).collect()
+    assert len(out) == len(rows) and Counter(r.doc_id for r in out) == Counter(i for i, _ in rows)
