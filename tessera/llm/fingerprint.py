@@ -195,7 +195,7 @@ def following(docs: DataFrame, parts: int | None = None) -> DataFrame:
     rows = rows.join(F.broadcast(heads), ["_id", "_key"], "left")  # 24 bytes for `RANGE` bytes of text
     own = F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("tail"))
     rows = rows.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("_to").alias("to"), F.lit(1).alias("tail"))))))
-    return rows.select("doc_id", "_id", "_key", F.coalesce("text", F.lit("")).alias("text"), F.col("_at.to").alias("_bucket"), F.col("_at.tail").alias("tail")).repartition(parts, "_bucket").sortWithinPartitions("_bucket", "tail", "_id", "_key")
+    return rows.select("doc_id", "_id", "_key", F.coalesce("text", F.lit("")).alias("text"), F.col("_at.to").alias("_bucket"), F.col("_at.tail").alias("tail")).repartitionById(parts, F.col("_bucket")).sortWithinPartitions("_bucket", "tail", "_id", "_key")
 
 
 def fingerprint_versions(docs: DataFrame, group: int = 256) -> DataFrame:
