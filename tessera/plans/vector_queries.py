@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import nearest
 from ..operators import vectors as v
 from .registry import Tables, query
 
@@ -101,3 +102,11 @@ def federated_round(t: Tables) -> DataFrame:
     enough = t.embeddings.groupBy("label").count().where("count >= 3").select("label")
     u = t.embeddings.join(enough, "label", "left_semi")
     return v.long_form(u, ["label", "vec_id"], "embedding").groupBy("label").agg(F.count_distinct("vec_id").alias("peers"), F.round(F.avg("x"), 6).alias("mean"))
+
+
+@query("t47_semantic_draft", f"WITH s AS (SELECT a.vec_id AS asked, b.vec_id AS kept, {_DOT} / ({_NORM.format('a')} * {_NORM.format('b')}) AS c FROM embeddings a JOIN embeddings b ON a.vec_id % 3 = 0 AND b.vec_id % 3 <> 0), r AS (SELECT asked, arg_min(kept, (-round(c, 12), kept)) AS kept, max(c) AS c FROM s GROUP BY asked) SELECT asked, kept, round(c, 6) AS cosine FROM r WHERE c >= 0.3 AND c < 0.95")
+def semantic_draft(t: Tables) -> DataFrame:
+    """Every third vector asks the others: an answer to start from if the nearest is alike, but not the same."""
+    asks = F.col("vec_id") % 3 == 0
+    found = nearest.drafts(t.embeddings.where(asks), t.embeddings.where(~asks), "vec_id", "embedding", 0.3, 0.95)
+    return found.select("asked", "kept", F.round("cosine", 6).alias("cosine"))
