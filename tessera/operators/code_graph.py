@@ -10,7 +10,7 @@ number, and every call is joined with at most one row of each.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefixes
@@ -156,3 +156,20 @@ def dead_functions(files: DataFrame, symbols: DataFrame, path: str, text: str, m
     met = f.join(tokens.withColumn("_own", F.lit(1)), ["path", "short"], "left").join(counts, "short", "left")
     alone = F.coalesce("_files", F.lit(0)) - F.coalesce("_own", F.lit(0)) == 0
     return met.where(alone).select("path", "function", "line", "complexity", F.greatest(F.lit(1), F.col("last") - F.col("line") + 1).alias("lines"))
+
+
+def contexts(symbols: DataFrame, path: str, most: int = 8, hops: int = MOST) -> DataFrame:
+    """(id, path, callers, callees) of every function: the first `most` functions that call it and that it calls, by id.
+
+    Ranks are taken before lists are made, so a function that everything calls has a short list too.
+    """
+    functions = _functions(symbols, path).select("id", "path")
+    edges = resolved_calls(symbols, path, hops).select("source", "target").distinct().where("source <> target").join(functions.select(F.col("id").alias("target")), "target", "left_semi")
+
+    def first(own: str, other: str, name: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(own).orderBy(other))
+        return edges.withColumn("n", rank).where(F.col("n") <= most).groupBy(F.col(own).alias("id")).agg(F.array_sort(F.collect_list(other)).alias(name))
+
+    none = F.array().cast("array<string>")
+    met = functions.join(first("target", "source", "callers"), "id", "left").join(first("source", "target", "callees"), "id", "left")
+    return met.select("id", "path", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import code_graph, graph, scan
+from ..operators import claims, code_graph, graph, scan
 from ..sources import symbols
 from .registry import Tables, query
 
@@ -168,3 +168,36 @@ def graded_findings(t: Tables) -> DataFrame:
     path = F.concat(_picked([F.lit("src/g")] * 5 + [F.lit("tests/g")]), "p_partkey", F.lit(".py"))
     files = t.part.select(path.alias("path"), F.concat(head, _picked([F.lit(body) for body, _ in GRADED])).alias("text"))
     return scan.graded(files, "path", "text", symbols.source_symbols(files, "path", "text")).drop("snippet")
+
+
+def answers(t: Tables) -> DataFrame:
+    """(p_partkey, text): what is said of every part's file."""
+    k = F.col("p_partkey").cast("string")
+    texts = (
+        F.concat(F.lit("The `F"), k, F.lit("()` function is called.")),
+        F.concat(F.lit("see class K"), k, F.lit(" and the k"), k, F.lit(" class")),
+        F.concat(F.lit("f"), k, F.lit(" takes 2 parameters")),
+        F.concat(F.lit("`f"), k, F.lit("()` takes 3 arguments")),
+        F.concat(F.lit("It is in m"), k, F.lit(".py and from none"), k, F.lit(".py")),
+        F.concat(F.lit("`load()` returns a "), F.when(F.col("p_partkey") % 4 == 1, "dict").otherwise("string")),
+    )
+    return t.part.where("p_partkey >= 10").select("p_partkey", F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
+
+
+@query("t34_code_claims", "WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey >= 10) SELECT k AS p_partkey, 0::INT AS place, 'function' AS kind, 'F' || k AS name, '' AS detail FROM p WHERE k % 6 = 0 UNION ALL SELECT k, 0, 'class', 'K' || k, '' FROM p WHERE k % 6 = 1 UNION ALL SELECT k, 0, 'parameter_count', 'f' || k, '2' FROM p WHERE k % 6 = 2 UNION ALL SELECT k, 0, 'function', 'f' || k, '' FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 1, 'parameter_count', 'f' || k, '3' FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 0, 'file', 'm' || k || '.py', '' FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 1, 'file', 'none' || k || '.py', '' FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 0, 'function', 'load', '' FROM p WHERE k % 6 = 5 UNION ALL SELECT k, 1, 'return_type', 'load', CASE WHEN k % 4 = 1 THEN 'dict' ELSE 'string' END FROM p WHERE k % 6 = 5")
+def code_claims(t: Tables) -> DataFrame:
+    """Claims of five kinds."""
+    return claims.extracted(answers(t), "p_partkey", "text")
+
+
+@query("m16_code_claims", f"WITH {_PROJECT}, {_FUNCTIONS}, l AS (SELECT min(path) AS path FROM f WHERE name = 'load'), c AS (SELECT k, 'function' AS kind, 'F' || k AS name, 'corrected' AS status, 'f' || k AS known FROM p WHERE k % 6 = 0 UNION ALL SELECT k, 'class', 'K' || k, 'verified', path FROM p WHERE k % 6 = 1 UNION ALL SELECT k, 'parameter_count', 'f' || k, 'verified', '2' FROM p WHERE k % 6 = 2 UNION ALL SELECT k, 'function', 'f' || k, 'verified', path FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 'parameter_count', 'f' || k, 'corrected', '2' FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 'file', 'm' || k || '.py', 'verified', path FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 'file', 'none' || k || '.py', NULL, NULL FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 'function', 'load', 'verified', l.path FROM p, l WHERE k % 6 = 5 UNION ALL SELECT k, 'return_type', 'load', CASE WHEN k % 4 = 1 THEN 'verified' ELSE 'corrected' END, 'dict[str, int]' FROM p WHERE k % 6 = 5) SELECT k AS p_partkey, kind, name, status, known FROM c WHERE k >= 10")
+def verified_claims(t: Tables) -> DataFrame:
+    """The claims held against the project: names in the wrong case, numbers of arguments, results, files."""
+    found = symbols.source_symbols(project(t), "path", "text")
+    return claims.verified(claims.extracted(answers(t), "p_partkey", "text"), found, project(t), "path").select("p_partkey", "kind", "name", "status", "known")
+
+
+@query("m17_code_context", f"{_MEANT}, e AS (SELECT DISTINCT source, target FROM r JOIN f ON f.id = target WHERE source <> target), a AS (SELECT source AS id, list(target ORDER BY target)[1:8] AS callees FROM e GROUP BY 1), b AS (SELECT target AS id, list(source ORDER BY source)[1:8] AS callers FROM e GROUP BY 1) SELECT f.id, f.path, coalesce(callers, []) AS callers, coalesce(callees, []) AS callees FROM f LEFT JOIN a USING (id) LEFT JOIN b USING (id)")
+def code_context(t: Tables) -> DataFrame:
+    """Every function of the project with the first of those that call it and that it calls."""
+    return code_graph.contexts(symbols.source_symbols(project(t), "path", "text"), "path", 8).select("id", "path", "callers", "callees")
