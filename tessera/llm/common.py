@@ -43,6 +43,8 @@ def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at and not spark.sparkContext.master.split("[")[0] == "local":
         at = spark.conf.get("spark.sql.warehouse.dir")
+        if at.startswith("file:") or "://" not in at:
+            raise RuntimeError(f"spark.checkpoint.dir is unset, and the warehouse {at} is a folder of one machine: set spark.checkpoint.dir to a folder that all executors share")
     if not at:
         app = spark.sparkContext.applicationId
         at = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tessera-"))
