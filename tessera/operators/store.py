@@ -104,10 +104,14 @@ def _drop_settled() -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset the warehouse, and in local mode a temporary folder."""
+    """The folder in spark.checkpoint.dir; where that is unset, in local mode a temporary folder, else the warehouse, which must then lie where all executors see it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and spark.sparkContext.master.split("[")[0] == "local":
+        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}" if spark.sparkContext.master.split("[")[0] == "local" else spark.conf.get("spark.sql.warehouse.dir")
+        at = spark.conf.get("spark.sql.warehouse.dir")
+        if at.startswith("file:") or "://" not in at:
+            raise RuntimeError(f"spark.checkpoint.dir is unset, and the warehouse {at} is a folder of one machine: set spark.checkpoint.dir to a folder that all executors share")
     return f"{at.rstrip('/')}/tessera"
 
 
