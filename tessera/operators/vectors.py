@@ -95,6 +95,8 @@ def hamming(a: Column, b: Column) -> Column:
 
 #: Bits of a hypervector, and the seed of its codebook.
 DIMENSIONS, CODEBOOK = 10_000, 42
+#: Vectors of words that a task remembers (each of two bytes a bit).
+REMEMBER = 2000
 
 
 def hypervectors(rows: DataFrame, keys: list[str], text: str, dim: int = DIMENSIONS, seed: int = CODEBOOK) -> DataFrame:
@@ -102,7 +104,7 @@ def hypervectors(rows: DataFrame, keys: list[str], text: str, dim: int = DIMENSI
 
     Letters come from a seeded codebook and are rotated by their place in the
     word; words are rotated by their place in the text; the majority of the
-    words sets a bit.  A batch builds the vector of each different word once.
+    words sets a bit.  The vectors of some words are remembered, the others built anew.
     """
     book = np.random.RandomState(seed).randint(0, 2, (256, dim)).astype(np.uint8)
     schema = rows.select(*keys, F.lit(b"").alias("bits")).schema
@@ -116,6 +118,8 @@ def hypervectors(rows: DataFrame, keys: list[str], text: str, dim: int = DIMENSI
                 total, words = np.zeros(dim, np.int32), (value or "").lower().split()
                 for i, word in enumerate(words):
                     if word not in known:
+                        if len(known) >= REMEMBER:
+                            known.clear()
                         v = np.zeros(dim, np.uint8)
                         for j, c in enumerate(word.encode()):
                             v ^= twice[c, dim - j % dim : 2 * dim - j % dim]

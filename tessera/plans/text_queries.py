@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as x
+from ..operators import repetition
 from .registry import Tables, query
 
 
@@ -183,6 +184,16 @@ def repetition_truncate(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.length(x.truncate_repetition(F.col("text"))).alias("kept"), "n_chars")
 
 
+@query("f19_repetition_patterns", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN repeat('say ' || p_name || ' and then ', 6) || 'stop' WHEN 1 THEN repeat('word' || p_size || ' of it, ', 8) || p_name || chr(10) || chr(10) || '*[Response truncated — repetition detected]*' WHEN 2 THEN repeat('a long way ' || p_size || ' ', 12) || '@' || chr(10) || chr(10) || '*[Response truncated — repetition detected]*' ELSE p_name END AS kept, p_partkey % 4 IN (1, 2) AS cut FROM part")
+def repetition_patterns(t: Tables) -> DataFrame:
+    """Words that follow themselves, and patterns that the end repeats; plain and short answers stay."""
+    many = F.concat(F.repeat(F.concat(F.lit("say "), "p_name", F.lit(" and then ")), 6), F.lit("stop"))
+    run = F.concat(F.repeat(F.concat(F.lit("word"), "p_size", F.lit(" of it, ")), 8), "p_name", F.lit(" no no no no no more"))
+    pattern = F.concat(F.repeat(F.concat(F.lit("a long way "), "p_size", F.lit(" ")), 12), F.repeat(F.lit("@#=+!"), 100), F.lit("."))
+    texts = F.element_at(F.array(many, run, pattern, F.col("p_name")), (F.col("p_partkey") % 4 + 1).cast("int"))
+    return repetition.truncated(t.part.select("p_partkey", texts.alias("text")), "p_partkey", "text")
+
+
 @query("f20_safe_code_filter", "SELECT doc_id FROM documents WHERE NOT regexp_matches(text, 'rm -rf|DROP TABLE|shutdown') AND regexp_matches(text, '[a-z]+')")
 def safe_code_filter(t: Tables) -> DataFrame:
     return t.documents.where(~F.col("text").rlike("rm -rf|DROP TABLE|shutdown") & F.col("text").rlike("[a-z]+")).select("doc_id")
