@@ -68,3 +68,35 @@ def narrative(rows: DataFrame, column: str, words: dict[str, str], other: str, n
     """(column, narrative): a phrase for each value and how often it stands."""
     word = F.coalesce(lookup(words, F.col(column)), F.lit(other))
     return rows.groupBy(column).agg(F.count("*").alias("n")).select(column, F.concat(word, F.lit(f" {noun}: "), F.col("n").cast("string")).alias("narrative"))
+
+
+def read_verdict(reply: Column) -> Column:
+    """verdict, confidence, reasoning and fix of a model's reply, each empty (or null) where it does not say so."""
+    text = F.trim(F.coalesce(reply, F.lit("")))
+    low = F.lower(text)
+    said = F.regexp_extract(low, r"verdict\s*[:\-]\s*([a-z_ ]+)", 1)
+    marked = low.rlike(r"verdict\s*[:\-]\s*[a-z_ ]+")
+    word = F.when(marked, F.trim(said)).otherwise(F.substring(low, 1, 20))
+    first = F.get(F.filter(F.split(word, r"\s+"), lambda w: w != ""), F.lit(0))
+    verdict = F.when(F.contains(word, F.lit("not")) | first.isin("no", "safe", "false"), "not_exploitable").when(first.isin("exploitable", "yes", "vulnerable", "real"), "exploitable")
+    verdict = F.coalesce(verdict, F.when(word.startswith("uncert") | first.isin("maybe", "unclear") | marked, "uncertain"), F.lit(""))
+    number = F.regexp_extract(low, r"confidence\s*[:\-]\s*([0-9]*\.?[0-9]+)", 1).try_cast("double")
+    part = lambda pattern: F.substring(F.trim(F.regexp_extract(text, pattern, 1)), 1, 600)
+    reasoning, fix = part(r"(?is)reasoning\s*[:\-]\s*(.+?)(?=\n\s*fix\s*[:\-]|\z)"), part(r"(?is)fix\s*[:\-]\s*(.+)")
+    return F.struct(verdict.alias("verdict"), F.when(number > 1, number / 100).otherwise(number).alias("confidence"), reasoning.alias("reasoning"), fix.alias("fix"))
+
+
+def reasoned(findings: DataFrame, reply: str, confidence: str, deep: str | None = None) -> DataFrame:
+    """findings with a model's verdict, reasoning and fix, and the confidence that follows; what is cleared for certain goes.
+
+    A deeper model's reply (column `deep`) counts where the first one is uncertain
+    or says nothing, if it says something; `escalated` tells so.
+    """
+    first = read_verdict(F.col(reply))
+    rows = findings.withColumn("_v", first).withColumn("_d", read_verdict(F.col(deep)) if deep else F.lit(None).cast("struct<verdict:string,confidence:double,reasoning:string,fix:string>"))
+    rows = rows.withColumn("escalated", F.col("_v.verdict").isin("", "uncertain") & (F.coalesce("_d.verdict", F.lit("")) != "")).withColumn("_v", F.when(F.col("escalated"), F.col("_d")).otherwise(F.col("_v")))
+    surer = F.least(F.lit(1.0), F.greatest(F.col(confidence), F.coalesce("_v.confidence", F.lit(0.9))))
+    doubtful = F.least(F.col(confidence), F.coalesce("_v.confidence", F.lit(0.25)), F.lit(0.25))
+    now = F.when(F.col("_v.verdict") == "exploitable", surer).when(F.col("_v.verdict") == "not_exploitable", doubtful).otherwise(F.col(confidence))
+    out = rows.withColumns({confidence: now, "verdict": F.col("_v.verdict"), "reasoning": F.col("_v.reasoning"), "fix": F.col("_v.fix")}).drop("_v", "_d")
+    return out.where((F.col("verdict") != "not_exploitable") | (F.col(confidence) >= 0.4))

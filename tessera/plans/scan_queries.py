@@ -89,6 +89,24 @@ def reasoning_gate(t: Tables) -> DataFrame:
     return report.worst_first(t.orders, F.lit(5) - F.substring("o_orderpriority", 1, 1).cast("int"), 3, "o_orderkey", 30).select("o_orderkey")
 
 
+@query("m11_reasoned_findings", "WITH p AS (SELECT p_partkey, p_name, p_size, p_partkey % 7 AS v, 0.3 + (p_size % 5) / 10 AS c FROM part) SELECT p_partkey, CASE WHEN v IN (0, 4, 6) THEN 'exploitable' WHEN v = 3 THEN 'uncertain' ELSE '' END AS verdict, round(CASE v WHEN 0 THEN 0.9 WHEN 4 THEN greatest(c, 0.75) WHEN 6 THEN 0.9 ELSE c END, 6)::DOUBLE AS confidence, CASE v WHEN 0 THEN 'from ' || p_name || chr(10) || 'and more' ELSE '' END AS reasoning, CASE v WHEN 0 THEN 'use ' || p_size WHEN 3 THEN 'none' ELSE '' END AS fix, v = 6 AS escalated FROM p WHERE v NOT IN (1, 2)")
+def reasoned_findings(t: Tables) -> DataFrame:
+    """What a model says of findings, read from its replies: certain ones rise, cleared ones go, a deeper model decides the uncertain."""
+    replies = F.array(
+        F.concat(F.lit("VERDICT: exploitable\nCONFIDENCE: 90\nREASONING: from "), "p_name", F.lit("\nand more\n FIX: use "), "p_size"),
+        F.lit("Verdict - NOT_exploitable at all\nConfidence: 0.1\nreasoning: constant"),
+        F.lit("no this is safe"),
+        F.lit("verdict: maybe so\nfix: none"),
+        F.lit("yes it is, confidence: .75"),
+        F.lit(None).cast("string"),
+        F.lit("verdict: unclear"),
+    )
+    v = F.col("p_partkey") % 7
+    rows = t.part.select("p_partkey", (F.lit(0.3) + F.col("p_size") % 5 / 10).alias("confidence"), F.element_at(replies, (v + 1).cast("int")).alias("reply"), F.when(v == 6, "VERDICT: real, from the network").alias("deep"))
+    out = report.reasoned(rows, "reply", "confidence", "deep")
+    return out.select("p_partkey", "verdict", F.round("confidence", 6).alias("confidence"), "reasoning", "fix", "escalated")
+
+
 @query("m12_chain_narrative", "SELECT o_orderkey, array_to_string(list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey), ' -> ') AS narrative FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def chain_narrative(t: Tables) -> DataFrame:
     steps = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
