@@ -10,6 +10,8 @@ number, and every call is joined with at most one row of each.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +175,51 @@ def contexts(symbols: DataFrame, path: str, most: int = 8, hops: int = MOST) ->
     none = F.array().cast("array<string>")
     met = functions.join(first("target", "source", "callers"), "id", "left").join(first("source", "target", "callees"), "id", "left")
     return met.select("id", "path", F.coalesce("callers", none).alias("callers"), F.coalesce("callees", none).alias("callees"))
+
+
+#: Scores of what a question's names mean: the function, a name within it, the class, its methods, the file, and neighbours.  Fixed values.
+SCORES = (1.0, 0.9, 0.85, 0.75, 0.65, 0.5)
+
+
+def retrieved(files: DataFrame, symbols: DataFrame, path: str, entities: list[str], hops: int = MOST) -> DataFrame:
+    """(id, kind, name, path, score) of the nodes that names in a question lead to, each with its best score.
+
+    A function counts if its name is an entity, ends with one behind a dot or
+    begins with one; a class or a file if its name holds one.  Then come names
+    that stand behind a dot in a function's name, methods of a class, what is in
+    a file, and what calls a function or is called by it.  Entities are few, in
+    lower case; all else is joined by names, one row each.
+    """
+    asked = F.array(*[F.lit(e) for e in entities]).cast("array<string>")
+    any_of = lambda test: F.exists(asked, test)
+    all_ = nodes(files, symbols, path)
+    low = F.lower("name")
+    direct = all_.where((F.col("kind") == "function") & any_of(lambda e: (low == e) | F.endswith(low, F.concat(F.lit("."), e)) | F.startswith(low, e))).select("id", "name")
+    classes = all_.where((F.col("kind") == "class") & any_of(lambda e: F.contains(low, e))).select("name").distinct()
+    stem = F.lower(F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", ""))
+    in_files = all_.where((F.col("kind") == "file") & any_of(lambda e: F.contains(stem, e))).select("path").distinct()
+    short = F.element_at(F.split("name", r"\."), -1)
+    parts = direct.where(F.contains("name", F.lit("."))).select(short.alias("part")).distinct()
+    parts = parts.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substring(F.col("part"), F.lit(1), i))).alias("name")).distinct()
+
+    calls = resolved_calls(symbols, path, hops).select("source", "target").distinct()
+    named = all_.where("kind = 'function'").select("id", "name")
+    calls = calls.join(named.select(F.col("id").alias("source"), F.col("name").alias("caller")), "source").join(named.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").select("caller", "callee").distinct()
+    names = direct.select("name").distinct()
+    shorts = names.select("name").union(names.select(short)).distinct()
+    callee_short = F.element_at(F.split("callee", r"\."), -1)
+    callers = calls.join(shorts.select(F.col("name").alias("callee")), "callee", "left_semi").select("caller").union(calls.where(callee_short != F.col("callee")).withColumn("s", callee_short).join(shorts.select(F.col("name").alias("s")), "s", "left_semi").select("caller"))
+    callees = calls.join(names.select(F.col("name").alias("caller")), "caller", "left_semi").select("callee")
+    near = callers.union(callees).toDF("name").distinct()
+
+    def scored(df: DataFrame, score: float) -> DataFrame:
+        return df.select("id", "kind", "name", "path", F.lit(score).alias("score"))
+
+    exact, within, of_class, method, of_file, neighbour = SCORES
+    owner = F.substring_index("name", ".", 1)
+    found = [
+        scored(all_.join(names, "name", "left_semi"), exact), scored(all_.join(parts, "name", "left_semi"), within), scored(all_.join(classes, "name", "left_semi"), of_class),
+        scored(all_.where(F.contains("name", F.lit("."))).withColumn("_o", owner).join(classes.select(F.col("name").alias("_o")), "_o", "left_semi"), method),
+        scored(all_.join(in_files, "path", "left_semi"), of_file), scored(all_.join(near, "name", "left_semi"), neighbour),
+    ]
+    return reduce(DataFrame.unionByName, found).groupBy("id", "kind", "name", "path").agg(F.max("score").alias("score"))

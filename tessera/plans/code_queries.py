@@ -201,3 +201,12 @@ def verified_claims(t: Tables) -> DataFrame:
 def code_context(t: Tables) -> DataFrame:
     """Every function of the project with the first of those that call it and that it calls."""
     return code_graph.contexts(symbols.source_symbols(project(t), "path", "text"), "path", 8).select("id", "path", "callers", "callees")
+
+
+_ENTITIES = ("f12", "rare7", "k77", "m33", "step")
+
+
+@query("j17_code_retriever", f"{_MEANT}, n AS (SELECT path AS id, 'file' AS kind, 'm' || k || '.py' AS name, path FROM p UNION ALL SELECT path || ':K' || k, 'class', 'K' || k, path FROM p UNION ALL SELECT id, 'function', CASE WHEN owner IS NULL THEN name ELSE owner || '.' || name END, path FROM f), e AS (SELECT unnest([{', '.join(repr(x) for x in _ENTITIES)}]) AS e), d AS (SELECT DISTINCT name FROM n, e WHERE kind = 'function' AND (lower(name) = e OR ends_with(lower(name), '.' || e) OR starts_with(lower(name), e))), cl AS (SELECT DISTINCT name FROM n, e WHERE kind = 'class' AND contains(lower(name), e)), fl AS (SELECT DISTINCT path FROM n, e WHERE kind = 'file' AND contains(replace(name, '.py', ''), e)), q AS (SELECT DISTINCT a.name AS caller, b.name AS callee FROM r JOIN n a ON a.id = r.source JOIN n b ON b.id = r.target), s AS (SELECT name FROM d UNION SELECT split_part(name, '.', -1) FROM d), w AS (SELECT caller AS name FROM q WHERE callee IN (SELECT name FROM s) OR split_part(callee, '.', -1) IN (SELECT name FROM s) UNION SELECT callee FROM q WHERE caller IN (SELECT name FROM d)), pt AS (SELECT DISTINCT substring(split_part(name, '.', -1), 1, i) AS name FROM d, range(1, 9) g(i) WHERE contains(name, '.')) SELECT id, kind, name, path, (CASE WHEN name IN (SELECT name FROM d) THEN 1.0 WHEN name IN (SELECT name FROM pt) THEN 0.9 WHEN name IN (SELECT name FROM cl) THEN 0.85 WHEN contains(name, '.') AND split_part(name, '.', 1) IN (SELECT name FROM cl) THEN 0.75 WHEN path IN (SELECT path FROM fl) THEN 0.65 ELSE 0.5 END)::DOUBLE AS score FROM n WHERE name IN (SELECT name FROM d) OR name IN (SELECT name FROM pt) OR name IN (SELECT name FROM cl) OR contains(name, '.') AND split_part(name, '.', 1) IN (SELECT name FROM cl) OR path IN (SELECT path FROM fl) OR name IN (SELECT name FROM w)")
+def code_retriever(t: Tables) -> DataFrame:
+    """What the names of a question lead to in the project's graph."""
+    return code_graph.retrieved(project(t), symbols.source_symbols(project(t), "path", "text"), "path", list(_ENTITIES))
