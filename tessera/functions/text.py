@@ -113,6 +113,18 @@ def url_normalize(url: Column, suffix: str = "") -> Column:
     return F.when(u.endswith(suffix), u).otherwise(F.concat(u, F.lit(suffix))) if suffix else u
 
 
+#: Where a service is taken to run if nothing else is said.  Fixed values.
+PORT, VERSION = 11434, "/v1"
+
+
+def base_url(raw: Column) -> Column:
+    """What a user types for a service as its base URL: a bare host gets a scheme and the default port, a URL without a version gets one, nothing is the local service."""
+    s = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), "/+$", "")
+    whole = F.when(F.contains(s, F.lit("://")), s).otherwise(F.concat(F.lit("http://"), s, F.when(F.contains(s, F.lit(":")), "").otherwise(f":{PORT}")))
+    tail = F.regexp_extract(whole, r"(?s)^.*?://(.*)$", 1)
+    return F.when(s == "", f"http://localhost:{PORT}{VERSION}").when(F.contains(tail, F.lit(VERSION)), whole).otherwise(F.concat(whole, F.lit(VERSION)))
+
+
 def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]+)", 1)
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.readers import rows_of
+
 #: Where untrusted data enters.  Fixed values.
 SOURCES = {
     "http_input": (r"\brequest\.(?:args|form|json|values|data|files|cookies|headers|body|params|query_params|path_params)\b", r"\brequest\.(?:GET|POST|FILES|META|COOKIES)\b", r"\bawait\s+request\.(?:json|form|body)\(\)", r"\bbody\s*[:=]\s*await", r"\.get_json\s*\(", r"\bself\.get_(?:query_|body_)?argument\s*\("),
@@ -222,6 +224,24 @@ def graded(files: DataFrame, path: str, text: str, symbols: DataFrame) -> DataFr
     return of_functions.unionByName(of_file).unionByName(routes)
 
 
+def syntax_error(code: str | None) -> str:
+    """What keeps Python code from being compiled; empty if nothing does.  Nothing is run."""
+    if not code or not code.strip():
+        return "empty code"
+    try:
+        compile(code, "<code>", "exec", dont_inherit=True)
+    except SyntaxError as error:
+        return f"SyntaxError: {error.msg} (line {error.lineno})"
+    except (ValueError, RecursionError, MemoryError, OverflowError) as error:
+        return f"{type(error).__name__}: {error}"
+    return ""
+
+
+def checked(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, sound and error of Python code."""
+    return rows_of(files, key, text, lambda x: [((e := syntax_error(x)) == "", e)], "array<struct<sound:boolean,error:string>>")
+
+
 def sarif(rows: DataFrame, path: str) -> DataFrame:
     """A SARIF-shaped document of rules and results for each path, so that no task holds all findings."""
     level = F.when(F.col("severity").isin("CRITICAL", "HIGH"), "error").when(F.col("severity") == "MEDIUM", "warning").otherwise("note")

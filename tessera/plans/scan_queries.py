@@ -124,6 +124,13 @@ def claims_dedup(t: Tables) -> DataFrame:
     return c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("claim"))).where("n <= 10").drop("n")
 
 
+@query("m36_syntax_check", "SELECT p_partkey, p_partkey % 4 = 0 AS sound, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'SyntaxError: invalid syntax (line ' || (p_size % 3 + 2) || ')' WHEN 2 THEN 'empty code' ELSE 'SyntaxError: expected '':'' (line 1)' END AS error FROM part")
+def syntax_check(t: Tables) -> DataFrame:
+    """Code that can be compiled, that breaks off on some line, and none at all."""
+    codes = F.array(F.concat(F.lit("f = lambda x: x\nprint(f("), "p_size", F.lit("))\n")), F.concat(F.repeat(F.lit("x = 1\n"), (F.col("p_size") % 3 + 1).cast("int")), F.lit("y = = 2\n")), F.lit(" \n"), F.lit("def f()\n    pass\n"))
+    return scan.checked(t.part.select("p_partkey", F.element_at(codes, (F.col("p_partkey") % 4 + 1).cast("int")).alias("code")), "p_partkey", "code")
+
+
 @query("m36_lint", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n AS line FROM l WHERE length(line) > 1500 OR regexp_matches(line, '[ ]+$')")
 def lint(t: Tables) -> DataFrame:
     lines = t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "s"))

@@ -131,6 +131,14 @@ def path_prefixes(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.size(x.prefixes(x.host(F.col("url")))).alias("n"))
 
 
+@query("m26_base_url", "WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_replace(url, '/+$', '') AS url FROM pages) SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'http://' || host || ':11434/v1' WHEN 1 THEN 'http://' || host || ':8080/v1' WHEN 2 THEN 'http://localhost:11434/v1' WHEN 3 THEN 'https://' || host || '/v1/models' ELSE url || CASE WHEN contains(split_part(url, '://', 2), '/v1') THEN '' ELSE '/v1' END END AS base FROM h")
+def base_url(t: Tables) -> DataFrame:
+    """Bare hosts, hosts with a port, nothing, URLs with a version and without."""
+    host = x.host(F.col("url"))
+    raw = F.element_at(F.array(F.concat(F.lit(" "), host, F.lit("/ ")), F.concat(host, F.lit(":8080")), F.lit("  "), F.concat(F.lit("https://"), host, F.lit("/v1/models//")), F.col("url")), (F.col("page_id") % 5 + 1).cast("int"))
+    return t.pages.select("page_id", x.base_url(raw).alias("base"))
+
+
 @query("m26_url_normalize", "SELECT page_id, CASE WHEN ends_with(regexp_replace(trim(url), '/+$', ''), '/v1') THEN regexp_replace(trim(url), '/+$', '') ELSE regexp_replace(trim(url), '/+$', '') || '/v1' END AS url FROM pages")
 def url_normalize(t: Tables) -> DataFrame:
     return t.pages.select("page_id", x.url_normalize(F.col("url"), "/v1").alias("url"))
