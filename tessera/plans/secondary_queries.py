@@ -9,6 +9,7 @@ from ..functions import text as x
 from ..operators.store import upsert
 from ..sources import readers
 from ..operators import assist, report, series
+from ..operators import registry as versions
 from .registry import Tables, query
 
 
@@ -138,6 +139,14 @@ def adapter_registry(t: Tables) -> DataFrame:
     return report.active(t.supplier, "s_nationkey", "s_suppkey", "s_acctbal", F.col("s_acctbal") > 0)
 
 
+@query("m38_registry_state", "WITH e AS (SELECT user_id % 40 AS registry, 'a' || (event_id % 4) AS name, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'register' WHEN 'click' THEN 'activate' WHEN 'error' THEN 'delete' ELSE 'deactivate' END AS op, value AS score FROM events), w AS (SELECT *, coalesce(last_value(CASE WHEN op IN ('create', 'register', 'delete') THEN op END IGNORE NULLS) OVER (PARTITION BY registry, name ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'delete') <> 'delete' AS there FROM e), l AS (SELECT registry, name, max(seq) FILTER (op = 'delete') AS gone, max(seq) FILTER (op = 'create' OR op = 'register' AND NOT there) AS begun FROM w GROUP BY ALL), k AS (SELECT * FROM l WHERE begun IS NOT NULL AND (gone IS NULL OR gone < begun)), s AS (SELECT k.registry, k.name, count(*) AS n, arg_max(score, seq) AS score FROM w JOIN k ON k.registry = w.registry AND k.name = w.name AND seq >= begun WHERE op = 'register' GROUP BY ALL), a AS (SELECT registry, max(seq) AS at_, arg_max(CASE WHEN op = 'activate' THEN name ELSE '' END, seq) AS active FROM w WHERE op = 'activate' AND there OR op = 'deactivate' GROUP BY ALL) SELECT k.registry, k.name, 1 + coalesce(n, 0) AS version, coalesce(score, 0.0) AS score, coalesce(active = k.name AND (gone IS NULL OR gone < at_), FALSE) AS active FROM k LEFT JOIN s ON s.registry = k.registry AND s.name = k.name LEFT JOIN a ON a.registry = k.registry")
+def registry_state(t: Tables) -> DataFrame:
+    """What forty registries hold and have active after all that was done to them."""
+    op = F.when(F.col("event_type") == "signup", "create").when(F.col("event_type") == "purchase", "register").when(F.col("event_type") == "click", "activate").when(F.col("event_type") == "error", "delete").otherwise("deactivate")
+    e = t.events.select((F.col("user_id") % 40).alias("registry"), F.concat(F.lit("a"), F.col("event_id") % 4).alias("name"), F.col("event_id").alias("seq"), op.alias("op"), F.col("value").alias("score"))
+    return versions.state(e, "registry", "name", "seq", "op", "score")
+
+
 @query("m43_few_shot_pick", "SELECT p_partkey, contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT AS hits FROM part WHERE contains(p_name, 'red')::INT + contains(p_name, 'ring')::INT >= 2 ORDER BY 2 DESC, 1 LIMIT 1")
 def few_shot_pick(t: Tables) -> DataFrame:
     return report.best_named(t.part, "p_partkey", "p_name", ["red", "ring"], 2)
