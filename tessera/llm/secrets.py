@@ -46,6 +46,8 @@ _MAYBE = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=])|AKIA[A-Z
 _HEX = re.compile(r"[0-9a-f]{32,}")
 
 OUT, BEGIN, INSIDE = 0, 1, 2
+#: Bytes of text whose features are computed at once; a text is never cut.
+PIECE = 1 << 18
 #: Words (or the parts of names) that announce a secret.
 KEYWORDS = ("access", "apikey", "auth", "authorization", "bearer", "credential", "credentials", "key", "pass", "passphrase", "passwd", "password", "private", "pwd", "secret", "signature", "token")
 #: First letters of tokens that some services issue.
@@ -255,7 +257,7 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
             texts = batch.column(len(fields))
             maybe = pc.match_substring_regex(texts, _MAYBE).fill_null(False).to_numpy(zero_copy_only=False)
             spans: list[list[dict]] = [[] for _ in range(len(texts))]
-            for lo, hi, data, offsets in text_pieces(texts):
+            for lo, hi, data, offsets in text_pieces(texts, PIECE):
                 of, starts, ends = chain_runs(chain, data, offsets)
                 for d in np.union1d(np.flatnonzero(maybe[lo:hi]), of).tolist():
                     own = data[offsets[d] : offsets[d + 1]]

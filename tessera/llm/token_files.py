@@ -6,7 +6,7 @@ them, are serialized (little-endian, two bytes an id where the vocabulary
 allows) and compressed as a frame of their own, so that a short document can be
 read without its neighbours and still profits from what documents share.
 
-A folder holds `dictionary` and pairs of files, one pair a shard, in ascending
+A folder (in any store that Arrow's file systems reach from every task) holds `dictionary` and pairs of files, one pair a shard, in ascending
 doc_id order:
 
 * `NAME.ids`: the frames, one after another;
