@@ -13,7 +13,7 @@ the same ones each time; it sees no row of the input.
 
 Defined cases: null is an empty text, without spans; offsets count code
 points, ends are exclusive; of an assign match the span is the secret itself
-(group 2); rows that share an id are scanned each; a chain span that meets a
+(group 2), or the whole match where that is asked for, as the query does; rows that share an id are scanned each; a chain span that meets a
 base span is not reported again; extra columns are ignored.  A kernel holds one
 text at a time, at about 150 bytes a byte.
 """
@@ -236,19 +236,18 @@ def model() -> Model:
     return train(np.concatenate(x).astype(float), np.concatenate(first), np.array(y), 3, rounds=160)
 
 
-def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind number, end) of the base patterns, sorted."""
+def base_spans(text: str, whole: bool = False) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the base patterns, sorted; whole: of the whole matches, with what announces the secret."""
     found = []
     for k, (_, pattern, group, least) in enumerate(BASE):
         for m in (_HEX if k == 2 else pattern).finditer(text):  # runs of hex digits are maximal either way
-            a, b = m.span(group)
-            if b - a >= least:
-                found.append((a, k, b))
+            if m.end(group) - m.start(group) >= least:
+                found.append((m.start(0 if whole else group), k, m.end(group)))
     return sorted(found)
 
 
-def scan(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs' `keep` columns with spans: array of (kind, start, end), by start and kind."""
+def scan(docs: DataFrame, *keep: str, whole: bool = False) -> DataFrame:
+    """docs' `keep` columns with spans: array of (kind, start, end), by start and kind; whole as in `base_spans`."""
     chain = model()
     fields = docs.select(*keep).schema.names
 
@@ -261,7 +260,7 @@ def scan(docs: DataFrame, *keep: str) -> DataFrame:
                 of, starts, ends = chain_runs(chain, data, offsets)
                 for d in np.union1d(np.flatnonzero(maybe[lo:hi]), of).tolist():
                     own = data[offsets[d] : offsets[d + 1]]
-                    found = base_spans(own.tobytes().decode("utf-8", "replace")) if maybe[lo + d] else []
+                    found = base_spans(own.tobytes().decode("utf-8", "replace"), whole) if maybe[lo + d] else []
                     mine = slice(np.searchsorted(of, d), np.searchsorted(of, d, "right"))
                     if mine.start < mine.stop:
                         chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
@@ -312,6 +311,6 @@ def mask(docs: DataFrame, sign: str = "[SECRET]") -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = scan(table(spark, sf_dir, "documents"), "doc_id")
+    out = scan(table(spark, sf_dir, "documents"), "doc_id", whole=True)
     count = lambda k: F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as bigint)").alias(f"n_{k}")
     return out.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(F.encode(joined("s.kind <> 'chain'"), "UTF-8"), 256).alias("base_sha256"), joined().alias("spans"))

@@ -1,5 +1,6 @@
 """The two chains: document scores and cut decoding against brute force, and secrets of shapes that no example has."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -144,3 +145,15 @@ def test_op8_cut_decoding_is_whole_decoding():
                 last = state[i]
         got = [list(x) for x in zip(*secrets.chain_runs(chain, data, offsets), strict=True)]
         assert got == want and len(got) > 50
+
+
+def test_op8_query_gives_whole_matches(spark, tmp_path):
+    """Of an assign match the query's span begins at the keyword; where two kinds begin is what sorts them."""
+    kinds = (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+"))
+    texts = [None, "", "é😀 PassWord' : \"abc.defgh\" token=short1", "token=" + "0f" * 16 + " AKIA" + "B" * 12, "secret: AKIA" + "C" * 12, "passwd=secret:token=abcdefgh", "x password\n=abcdefgh1 api_key=" + "a" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in secrets.op8_secrets(spark, str(tmp_path)).collect():
+        found = [[m.span() for m in p.finditer(texts[r.doc_id] or "") if len(m[2 * (k == 0)]) >= (8, 16, 32)[k]] for k, p in enumerate(kinds)]
+        want = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted((a, k, b) for k, spans in enumerate(found) for a, b in spans))
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*map(len, found), hashlib.sha256(want.encode()).hexdigest())
+        assert set(want.split(",")) - {""} <= set(r.spans.split(","))
