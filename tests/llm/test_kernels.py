@@ -13,6 +13,7 @@ from tessera.llm.common import Words, blocks, byte_values, sliding_min, text_pie
 from tessera.llm.embedding_dedup import block_links, spherical_kmeans
 from tessera.llm.jaccard_join import join_sets
 from tessera.llm.suffix_array import permuted_prefixes, suffix_array
+from tessera.llm.suffix_dedup import partnered
 
 TEXTS = st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab é\n\t\x0b\xa0ß"), max_size=30)), max_size=8)
 
@@ -63,6 +64,37 @@ def test_suffix_array(s):
         assert p[b] == n
 
 
+def partners(texts, length, gram, single=None):
+    """The blocks of the texts, and those that `partnered` keeps."""
+    raw = "".join(texts).encode()
+    b = blocks(byte_values(np.frombuffer(raw, np.uint8)), np.cumsum([0, *(len(t.encode()) for t in texts)]), length, gram)
+    bodies = [raw[a : a + n + length - 1] for a, n in zip(b["at"], b["n"], strict=True)]
+    single = np.ones(len(bodies), bool) if single is None else np.array([single(k) for k in range(len(bodies))], bool)
+    kept = partnered(np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]), b["n"], b["fp"], single, length, gram)
+    return bodies, single, set(kept.tolist())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("abc", max_size=60), min_size=1, max_size=6), st.sampled_from([(6, 3), (17, 4), (20, 1), (40, 5)]), st.integers(1, 3))
+def test_bodies_with_a_shared_window_are_kept(texts, sizes, every):
+    bodies, single, kept = partners(texts, *sizes, lambda k: k % every == 0)
+    windows = [{b[i : i + sizes[0]] for i in range(len(b) - sizes[0] + 1)} for b in bodies]
+    for i, a in enumerate(windows):
+        for j, b in enumerate(windows):
+            if i != j and a & b and (single[i] or single[j]):
+                assert {i, j} <= kept
+
+
+def test_bodies_that_share_too_little_are_not_sorted():
+    """A passage of 300 bytes in each text is no string of 400 bytes: no block of it has a partner; one of 500 bytes has."""
+    rng = np.random.default_rng(2)
+    some = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    for size in (300, 500):
+        passage = some(size)
+        bodies, _, kept = partners([some(700) + passage + some(700) for _ in range(20)], 400, 32)
+        assert len(bodies) > 100 and len(kept) == 0 if size == 300 else 20 <= len(kept) < len(bodies) / 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 40), min_size=1), min_size=1, max_size=14))
 def test_join_sets_finds_the_components(sets):
