@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import claims, code_graph, graph, scan
+from ..operators.store import settled
 from ..sources import symbols
 from .registry import Tables, query
 
@@ -69,6 +70,15 @@ def scan_source_regex(t: Tables) -> DataFrame:
     return symbols.source_symbols(files, "path", "text").select("path", "kind", "name", "owner", "line", "last", "args", "returns", "bases")
 
 
+#: Files that a task parses: rows of parts are short, so few of the tasks that read them would have all the files.
+TASK = 4096
+
+
+def _dealt(parts: DataFrame) -> DataFrame:
+    """The columns that files are made of, dealt to tasks of about `TASK` files."""
+    return parts.select("p_partkey", "p_name", "p_size").repartition(max(1, -(-parts.count() // TASK)), "p_partkey")
+
+
 _PYTHON = """import json
 from util import helper as h, other
 LIMIT = 3
@@ -95,7 +105,12 @@ def project(t: Tables) -> DataFrame:
     head = F.repeat(F.concat(F.lit("# "), "p_name", F.lit("\f def f():\n")), (F.col("p_size") % 4).cast("int"))
     path = F.concat(F.lit("pkg"), F.col("p_size") % 5, F.lit("/d"), key % 40, F.lit("/m"), key, F.lit(".py"))
     text = F.concat(head, fill(_PYTHON), F.when(key % 3 == 0, _LOAD).otherwise(""), F.when(key < 200, fill(_RARE)).otherwise(""))
-    return t.part.select(path.alias("path"), text.alias("text"))
+    return _dealt(t.part).select(path.alias("path"), text.alias("text"))
+
+
+def _found(t: Tables) -> DataFrame:
+    """The symbols of the project, written once: they are read several times, and a file is parsed by Python."""
+    return settled(symbols.source_symbols(project(t), "path", "text"))
 
 
 _PROJECT = "p AS (SELECT p_partkey AS k, p_size % 4 AS n, 'pkg' || (p_size % 5) AS top, 'pkg' || (p_size % 5) || '/d' || (p_partkey % 40) AS dir, 'pkg' || (p_size % 5) || '/d' || (p_partkey % 40) || '/m' || p_partkey || '.py' AS path FROM part)"
