@@ -4,8 +4,8 @@ Symbols come from `sources.symbols.source_symbols`.  Ids are `path` of files and
 `path:name` of functions and classes, with the class before a method's name.
 
 A name that many functions have is never joined with them all: functions are
-first reduced to one row a name and file, folder or top package, with their
-number, and every call is joined with at most one row of each.
+first reduced to one row a name and folder or top package, with their number,
+and every name that a folder's files call is joined with at most one row of each.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prefixes
+from .store import settled
 
 #: Names that are taken to be external without an import.  Fixed values.
 EXTERNAL = (
@@ -69,11 +70,32 @@ def imported_names(symbols: DataFrame, path: str) -> DataFrame:
     return symbols.where("kind = 'import'").select(F.col(path).alias("path"), F.explode(names).alias("name")).distinct()
 
 
-def _calls(symbols: DataFrame, path: str) -> DataFrame:
-    """(source, path, owner, receiver, name, sites) of the different calls of each function."""
+def _calls(symbols: DataFrame, path: str, external: tuple[str, ...]) -> DataFrame:
+    """(source, dir, top, receiver, name, here, sites) of the different calls of each function; here: what it means by its file alone, or null.
+
+    What a file imports and defines is one row, and meets the file's functions before their calls are dealt out.
+    """
     whole = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
-    c = symbols.where("kind = 'function'").select(_id(path, whole).alias("source"), F.col(path).alias("path"), "owner", F.explode("calls").alias("c"))
-    return c.groupBy("source", "path", "owner", F.col("c.receiver").alias("receiver"), F.col("c.name").alias("name")).agg(F.count("*").alias("sites"))
+    f = symbols.where("kind = 'function'").select(F.col(path).alias("path"), _id(path, whole).alias("source"), "owner", "name", "place", "calls")
+    names = f.where("name IS NOT NULL").repartition("path").groupBy("path", "name").agg(F.min(F.struct("place", "source"))["source"].alias("id"), F.collect_set(F.when(F.col("owner").isNotNull(), F.struct("owner", "name"))).alias("methods"))
+    defined = names.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("in_file"), F.flatten(F.collect_list("methods")).alias("methods"))
+    imports = imported_names(symbols, path).groupBy("path").agg(F.collect_set("name").alias("imports"))
+    none = F.array().cast("array<string>")
+    files = defined.join(imports, "path", "left").select("path", folder(F.col("path")).alias("dir"), top_package(F.col("path")).alias("top"), "in_file", "methods", F.coalesce("imports", none).alias("imports"))
+
+    def meant(c: Column) -> Column:
+        receiver, name = c["receiver"], c["name"]
+        own = receiver.isin("self", "cls")
+        look = F.when(receiver == "", name).when(~own, F.substring_index(receiver, ".", 1))
+        is_external = look.isNotNull() & (F.array_contains("imports", look) | look.isin(*external))
+        outside = F.concat(F.lit("__external__:"), F.when(receiver != "", F.concat(receiver, F.lit("."))).otherwise(""), name)
+        in_file = F.try_element_at("in_file", name)
+        in_class = F.when(F.array_contains("methods", F.struct(F.col("owner").alias("owner"), name.alias("name"))), F.concat("path", F.lit(":"), "owner", F.lit("."), name))
+        return F.when(is_external, outside).when(own, F.coalesce(in_class, in_file, F.concat(F.lit("__unresolved__:"), name))).otherwise(in_file)
+
+    calls = F.transform("calls", lambda c: F.struct(c["receiver"].alias("receiver"), c["name"].alias("name"), meant(c).alias("here")))
+    met = f.join(files, "path").select("path", "source", "dir", "top", F.explode(calls).alias("c")).select("path", "source", "dir", "top", "c.*")
+    return met.groupBy("path", "source", "dir", "top", "receiver", "name", "here").agg(F.count("*").alias("sites")).drop("path")
 
 
 def resolved_calls(symbols: DataFrame, path: str, most: int = MOST, external: tuple[str, ...] = EXTERNAL) -> DataFrame:
@@ -84,29 +106,24 @@ def resolved_calls(symbols: DataFrame, path: str, most: int = MOST, external: tu
     mean the only function of the name, else the first of the file, else of the
     folder; else, of at most `most`, the only one of the top package, or the first
     if all are of the caller's.
+
+    Most calls mean what their file says.  The others, written once, are asked
+    for a name and folder at a time, not a call at a time.
     """
-    calls, functions = _calls(symbols, path), _functions(symbols, path)
+    calls, functions = settled(_calls(symbols, path, external)), _functions(symbols, path)
     functions = functions.withColumns({"dir": folder(F.col("path")), "top": top_package(F.col("path")), "first": F.struct("path", "place", "id")})
-    own = F.col("receiver").isin("self", "cls")
-    look = F.when(F.col("receiver") == "", F.col("name")).when(~own, F.substring_index("receiver", ".", 1))
-    calls = calls.withColumns({"look": look, "dir": folder(F.col("path")), "top": top_package(F.col("path"))})
-
-    imports = imported_names(symbols, path).select("path", F.col("name").alias("look"), F.lit(True).alias("imported"))
-    in_class = functions.where("owner IS NOT NULL").groupBy("path", "owner", "name").agg(F.min("first")["id"].alias("in_class"))
-    in_file = functions.groupBy("path", "name").agg(F.min("first")["id"].alias("in_file"))
     in_dir = functions.groupBy("dir", "name").agg(F.min("first")["id"].alias("in_dir"))
     in_top = functions.groupBy("top", "name").agg(F.min("first").alias("top_first"), F.count("*").alias("top_n"))
     in_all = in_top.groupBy("name").agg(F.min("top_first")["id"].alias("first"), F.sum("top_n").alias("n"), F.count("*").alias("tops"))
-    met = calls.join(imports, ["path", "look"], "left").join(in_class, ["path", "owner", "name"], "left").join(in_file, ["path", "name"], "left").join(in_dir, ["dir", "name"], "left")
+    met = calls.where("here IS NULL").select("dir", "top", "name").distinct().join(in_dir, ["dir", "name"], "left")
     met = met.join(in_top.select("top", "name", F.col("top_first.id").alias("in_top"), "top_n"), ["top", "name"], "left").join(in_all, "name", "left")
 
-    is_external = F.col("look").isNotNull() & (F.coalesce("imported", F.lit(False)) | F.col("look").isin(*external))
     elsewhere = F.when(F.col("n") > most, None).when((F.col("top") != "") & ((F.col("tops") > 1) | F.col("top_n").isNull()), F.when(F.col("top_n") == 1, F.col("in_top"))).otherwise(F.col("first"))
-    scoped = F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("in_file", "in_dir", elsewhere))
-    meant = F.when(own, F.coalesce("in_class", "in_file")).otherwise(scoped)
-    outside = F.concat(F.lit("__external__:"), F.when(F.col("receiver") != "", F.concat("receiver", F.lit("."))).otherwise(""), "name")
-    target = F.when(is_external, outside).otherwise(F.coalesce(meant, F.concat(F.lit("__unresolved__:"), "name")))
-    return met.select("source", target.alias("target"), "receiver", "name", "sites")
+    scoped = F.when(F.col("n") == 1, F.col("first")).otherwise(F.coalesce("in_dir", elsewhere))
+    met = met.select("dir", "top", "name", scoped.alias("meant")).where("meant IS NOT NULL")
+    asked = calls.where("here IS NULL").join(met, ["dir", "top", "name"], "left")
+    asked = asked.select("source", F.coalesce("meant", F.concat(F.lit("__unresolved__:"), "name")).alias("target"), "receiver", "name", "sites")
+    return calls.where("here IS NOT NULL").select("source", F.col("here").alias("target"), "receiver", "name", "sites").unionByName(asked)
 
 
 def edges(symbols: DataFrame, path: str, most: int = MOST, external: tuple[str, ...] = EXTERNAL) -> DataFrame:
