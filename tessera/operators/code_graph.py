@@ -157,9 +157,10 @@ def dead_functions(files: DataFrame, symbols: DataFrame, path: str, text: str, m
 
     Left out are names between double underscores, entry points, tests and what a
     decorator registers; without `private_too`, names with one underscore.  A
-    name's files are counted once for all functions that have it, so a name that
-    stands in every file is one row: the function's own file is taken off the
-    count, and what is left says whether another file has it.
+    name's files are counted once for all functions that have it, before any are
+    joined, so a name that stands in every file is one row a task: the function's
+    own file is taken off the count, and what is left says whether another file
+    has it.
     """
     whole = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
     f = symbols.where("kind = 'function'").select(_id(path, whole).alias("id"), F.col(path).alias("path"), whole.alias("function"), F.element_at(F.split("name", r"\."), -1).alias("short"), "line", "last", "complexity", "decorators", "place")
@@ -169,10 +170,12 @@ def dead_functions(files: DataFrame, symbols: DataFrame, path: str, text: str, m
     if not private_too:
         f = f.where(~F.col("short").startswith("_") | F.col("short").startswith("__"))
     called = resolved_calls(symbols, path, most, external).select(F.col("target").alias("id")).distinct()
-    f = f.join(called, "id", "left_anti")
-    tokens = files.select(F.col(path).alias("path"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0)))).alias("short")).join(f.select("short").distinct(), "short", "left_semi")
-    counts = tokens.groupBy("short").agg(F.count("*").alias("_files"))
-    met = f.join(tokens.withColumn("_own", F.lit(1)), ["path", "short"], "left").join(counts, "short", "left")
+    f = settled(f.join(called, "id", "left_anti"))
+    words = lambda text: F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0))
+    counts = files.select(F.explode(F.array_distinct(words(text))).alias("short")).groupBy("short").agg(F.count("*").alias("_files"))
+    own = files.select(F.col(path).alias("path"), F.col(text).alias("_text")).join(f.groupBy("path").agg(F.collect_set("short").alias("_shorts")), "path")
+    own = own.select("path", F.explode(F.array_intersect("_shorts", words("_text"))).alias("short"), F.lit(1).alias("_own"))
+    met = f.join(own, ["path", "short"], "left").join(counts, "short", "left")
     alone = F.coalesce("_files", F.lit(0)) - F.coalesce("_own", F.lit(0)) == 0
     return met.where(alone).select("path", "function", "line", "complexity", F.greatest(F.lit(1), F.col("last") - F.col("line") + 1).alias("lines"))
 
@@ -183,7 +186,7 @@ def contexts(symbols: DataFrame, path: str, most: int = 8, hops: int = MOST) ->
     Ranks are taken before lists are made, so a function that everything calls has a short list too.
     """
     functions = _functions(symbols, path).select("id", "path")
-    edges = resolved_calls(symbols, path, hops).select("source", "target").distinct().where("source <> target").join(functions.select(F.col("id").alias("target")), "target", "left_semi")
+    edges = settled(resolved_calls(symbols, path, hops).select("source", "target").distinct().where("source <> target").join(functions.select(F.col("id").alias("target")), "target", "left_semi"))
 
     def first(own: str, other: str, name: str) -> DataFrame:
         rank = F.row_number().over(Window.partitionBy(own).orderBy(other))
@@ -209,7 +212,7 @@ def retrieved(files: DataFrame, symbols: DataFrame, path: str, entities: list[st
     """
     asked = F.array(*[F.lit(e) for e in entities]).cast("array<string>")
     any_of = lambda test: F.exists(asked, test)
-    all_ = nodes(files, symbols, path)
+    all_ = settled(nodes(files, symbols, path))
     low = F.lower("name")
     direct = all_.where((F.col("kind") == "function") & any_of(lambda e: (low == e) | F.endswith(low, F.concat(F.lit("."), e)) | F.startswith(low, e))).select("id", "name")
     classes = all_.where((F.col("kind") == "class") & any_of(lambda e: F.contains(low, e))).select("name").distinct()
@@ -221,7 +224,8 @@ def retrieved(files: DataFrame, symbols: DataFrame, path: str, entities: list[st
 
     calls = resolved_calls(symbols, path, hops).select("source", "target").distinct()
     named = all_.where("kind = 'function'").select("id", "name")
-    calls = calls.join(named.select(F.col("id").alias("source"), F.col("name").alias("caller")), "source").join(named.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").select("caller", "callee").distinct()
+    calls = calls.join(named.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").join(named.select(F.col("id").alias("source"), F.col("name").alias("caller")), "source").select("caller", "callee")
+    calls = settled(calls.distinct())
     names = direct.select("name").distinct()
     shorts = names.select("name").union(names.select(short)).distinct()
     callee_short = F.element_at(F.split("callee", r"\."), -1)

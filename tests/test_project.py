@@ -66,3 +66,15 @@ def test_columns(spark):
         n = s.name[1:]
         assert [tuple(c) for c in s.calls] == ([("", f"g{n}"), ("x", f"y{n}")] if s.path != "a.go" else [])
         assert s.place == (int(n) if s.path != "a.go" else 0)
+
+
+@pytest.mark.parametrize("name", ["j6_resolve_references", "j7_graph_ingest", "j9_code_impact", "j17_code_retriever", "j20_dead_functions", "m17_code_context"])
+def test_parsed_once(tables, name):
+    """What a query reads is the written symbols: its plan parses no file again."""
+    plan = registry.load()[name].run(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "Relation" in plan
+
+
+def test_claims_parsed_once(tables):
+    plan = registry.load()["m16_code_claims"].run(tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert "place#" in plan and plan.count("MapInArrow") <= 1  # the answers' claims
