@@ -27,6 +27,8 @@ LIMIT = 64 << 20
 QUERY_LIMIT = 16 << 10
 #: Bits of each of the two hashes, and bits that a round adds.
 WIDTH, STEP = 60, 3
+#: Buckets at most that are broadcast.
+FEW = 1 << 14
 
 
 def _bits(hexed: Column) -> Column:
@@ -34,19 +36,27 @@ def _bits(hexed: Column) -> Column:
     return F.conv(F.substring(hexed, 1, WIDTH // 4), 16, 10).cast("long")
 
 
-def _split(cells: DataFrame, bits: int, depth: int, step: int, limit: int) -> DataFrame:
-    """cells (path, cell of `bits` bits, bytes, docs) of oversized buckets of `depth` bits, each with `at`: its bucket after up to `step` more bits, or null."""
-    levels = cells.withColumn("more", F.explode(F.sequence(F.lit(depth + (1 if depth else 0)), F.lit(min(bits, depth + step))))).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - more)"))
-    fits = levels.groupBy("path", "more", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")).where(f"shard_bytes <= {limit} OR shard_docs = 1")
-    found = levels.select("path", "cell", "more", "prefix").join(fits, ["path", "more", "prefix"]).groupBy("path", "cell").agg(F.min(F.struct("more", "prefix", "shard_bytes")).alias("at"))
-    return cells.join(found, ["path", "cell"], "left")
+def _split(cells: DataFrame, paths: int, bits: int, depth: int, step: int, limit: int) -> DataFrame:
+    """cells (path, cell of `bits` bits, bytes, docs) of oversized buckets of `depth` bits, each with `at`: its bucket after up to `step` more bits, or null.
+
+    The buckets that fit are broadcast while their number has a small bound.
+    Otherwise, and in the other joins, rows are merged: Spark would judge a table
+    by its compressed files, and the driver would hold rows many times as large.
+    """
+    deepest = min(bits, depth + step)
+    levels = cells.withColumn("more", F.explode(F.sequence(F.lit(depth + (1 if depth else 0)), F.lit(deepest)))).withColumn("prefix", F.expr(f"shiftright(cell, {bits} - more)"))
+    fits = levels.groupBy("path", "more", "prefix").agg(F.sum("bytes").alias("shard_bytes"), F.sum("docs").alias("shard_docs")).where(f"shard_bytes <= {limit} OR shard_docs = 1").drop("shard_docs")
+    met = levels.join(fits.hint("broadcast" if 2 * paths << deepest <= FEW else "merge"), ["path", "more", "prefix"], "left")
+    at = F.min(F.when(F.col("shard_bytes").isNotNull(), F.struct("more", "prefix", "shard_bytes"))).alias("at")
+    return met.groupBy("path", "cell").agg(F.first("bytes").alias("bytes"), F.first("docs").alias("docs"), at)
 
 
 def _directory(cells: DataFrame, bits: int, step: int, limit: int) -> DataFrame:
     """path, cell and `at` (more, prefix, shard_bytes) of every cell; `at` is null where all bits leave its bucket too large."""
     done, depth = None, 0
+    paths = cells.select("path").distinct().count()
     while True:
-        met = materialize(_split(cells, bits, depth, step, limit), "round")
+        met = materialize(_split(cells, paths, bits, depth, step, limit), "round")
         final = met.where("at IS NOT NULL").select("path", "cell", "at")
         done = final if done is None else done.unionByName(final)
         depth = min(bits, depth + step)
@@ -81,7 +91,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, width: int | None = None, step: i
             cells = materialize(here.groupBy("path", "cell").agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("docs")), "cells")
             found = materialize(_directory(cells, bits, step, limit), "directory")
             forget(cells)
-            met = here.join(found, ["path", "cell"])
+            met = here.join(found.hint("merge"), ["path", "cell"])
             depth = F.lit(number * WIDTH + used) + F.col("at.more")
             prefix = F.expr(f"shiftright({value}, {WIDTH - used} - at.more)").cast("string")
             name = F.concat(F.lit("") if number == 0 else F.col("path"), depth.cast("string"), F.lit(":"), prefix)
@@ -94,7 +104,7 @@ def shard(docs: DataFrame, limit: int = LIMIT, width: int | None = None, step: i
     paged = left.withColumn("part", F.spark_partition_id())
     paged = paged.withColumn("page", F.floor((F.row_number().over(own) - 1) / F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.lit(1), "n_bytes")))))
     pages = paged.groupBy("path", "part", "page").agg(F.sum("n_bytes").alias("shard_bytes"))
-    done.append(paged.join(pages, ["path", "part", "page"]).select("doc_id", "n_bytes", F.concat("path", F.lit("page:"), F.col("part").cast("string"), F.lit("."), F.col("page").cast("string")).alias("shard"), F.lit(2 * WIDTH).cast("int").alias("depth"), "shard_bytes"))
+    done.append(paged.join(pages.hint("merge"), ["path", "part", "page"]).select("doc_id", "n_bytes", F.concat("path", F.lit("page:"), F.col("part").cast("string"), F.lit("."), F.col("page").cast("string")).alias("shard"), F.lit(2 * WIDTH).cast("int").alias("depth"), "shard_bytes"))
     return _all(done)
 
 
