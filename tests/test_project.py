@@ -78,3 +78,9 @@ def test_parsed_once(tables, name):
 def test_claims_parsed_once(tables):
     plan = registry.load()["m16_code_claims"].run(tables)._jdf.queryExecution().optimizedPlan().toString()
     assert "place#" in plan and plan.count("MapInArrow") <= 1  # the answers' claims
+
+
+def test_graded_is_merged(tables):
+    """Neither the functions nor the matches are broadcast, though the table that files are made of is small; each is read once."""
+    plan = registry.load()["t39_graded_findings"].run(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "MapInArrow" not in plan
