@@ -4,7 +4,9 @@ A centroid is a kept vector; each kept vector belongs to the cell of the nearest
 one, and a cell's radius is the angle of the furthest of them.  An asked vector
 goes to every cell that can hold a vector within the angle that still counts, so
 nothing is missed.  Cells are cut into blocks of kept and of asked vectors, and a
-task multiplies one block by another.
+task multiplies one block by another, some rows at a time.  Vectors are sent as
+they came and brought to length one where they are multiplied; a vector that
+every cell can hold one for is sent once for each block of kept ones.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from pyspark.sql import functions as F
 from .store import settled
 
 #: Centroids at most, bytes of them at most, and vectors of a block.
-CELLS, BYTES, BLOCK = 1024, 16 << 20, 4096
+CELLS, BYTES, BLOCK = 1024, 16 << 20, 16384
+#: Vectors that Python takes or gives back at once, and bytes of a product.
+ROWS, PRODUCT = 2048, 32 << 20
 #: What rounding may take from an angle.
 _SLACK = 1e-6
 
@@ -47,6 +51,13 @@ def _fit(x: np.ndarray, dim: int) -> np.ndarray:
     return x if x.shape[1] == dim else np.zeros((len(x), dim))
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to so many rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _angles(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centroids.T, -1, 1))
 
@@ -55,12 +66,14 @@ def nearest(asked: DataFrame, kept: DataFrame, key: str, vector: str, low: float
     """(asked, kept, cosine): of each asked row the kept row of the largest cosine, the least key of equals, if that is `low` or more."""
     spark = kept.sparkSession
     first = kept.where(f"`{vector}` IS NOT NULL").select(vector).first()
-    kind = kept.schema[key].dataType.simpleString()
+    kind, shape = (kept.schema[c].dataType.simpleString() for c in (key, vector))
     schema = f"asked {asked.schema[key].dataType.simpleString()}, kept {kind}, cosine double"
     if first is None:
         return spark.createDataFrame([], schema)
     dim = len(first[0])
-    wanted = max(1, min(cells, BYTES // (8 * dim), int(kept.count() ** 0.5)))
+    # a vector is sent to each cell at most, so there are no more of them than blocks of kept vectors
+    many = kept.count()
+    wanted = max(1, min(cells, BYTES // (8 * dim), int(many**0.5), -(-many // block)))
     # the rows of least hashes, at most `CELLS` of them and `BYTES` together
     sample = kept.where(f"`{vector}` IS NOT NULL").select(vector, F.xxhash64(key).alias("h")).orderBy("h").limit(wanted).toArrow()
     centroids = _fit(unit(sample.column(0)), dim)
@@ -70,14 +83,15 @@ def nearest(asked: DataFrame, kept: DataFrame, key: str, vector: str, low: float
     held = spark.sparkContext.broadcast(centroids)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             x = _fit(unit(batch.column(1)), dim)
             live = np.flatnonzero(np.abs(x).sum(axis=1) > 0)
             angle = _angles(x[live], held.value)
             cell = angle.argmin(axis=1) if len(live) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(live)), pa.array(list(x[live]), pa.list_(pa.float64())), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(live)), cell])], names=["kept", "x", "cell", "angle"])
+            took = batch.take(pa.array(live))
+            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(cell.astype(np.int32)), pa.array(angle[np.arange(len(live)), cell])], names=["kept", "x", "cell", "angle"])
 
-    inside = settled(kept.select(F.col(key).alias("kept"), vector).mapInArrow(placed, f"kept {kind}, x array<double>, cell int, angle double"))
+    inside = settled(kept.select(F.col(key).alias("kept"), vector).mapInArrow(placed, f"kept {kind}, x {shape}, cell int, angle double"))
     sizes = inside.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     radius = np.full(len(centroids), -np.inf)
     for r in sizes.collect():  # a row a cell
@@ -85,27 +99,32 @@ def nearest(asked: DataFrame, kept: DataFrame, key: str, vector: str, low: float
     reach = float(np.arccos(low)) + _SLACK
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, ROWS):
             x = _fit(unit(batch.column(1)), dim)
             near = (_angles(x, held.value) <= radius[None] + reach) & (np.abs(x).sum(axis=1) > 0)[:, None]
             row, cell = np.nonzero(near)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(list(x[row]), pa.list_(pa.float64())), pa.array(cell.astype(np.int32))], names=["asked", "q", "cell"])
+            for at in range(0, len(row), ROWS):
+                took = batch.take(pa.array(row[at : at + ROWS]))
+                yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), pa.array(cell[at : at + ROWS].astype(np.int32))], names=["asked", "q", "cell"])
 
-    ask_kind = asked.schema[key].dataType.simpleString()
-    visits = settled(asked.select(F.col(key).alias("asked"), vector).mapInArrow(sent, f"asked {ask_kind}, q array<double>, cell int"))
+    ask_kind, ask_shape = (asked.schema[c].dataType.simpleString() for c in (key, vector))
+    visits = settled(asked.select(F.col(key).alias("asked"), vector).mapInArrow(sent, f"asked {ask_kind}, q {ask_shape}, cell int"))
     groups = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("askers"))
     plan = F.broadcast(sizes.join(groups, "cell").select("cell", "blocks", "askers"))  # a row a cell
     left = visits.join(plan, "cell").withColumn("a", F.pmod(F.xxhash64("asked"), F.col("askers")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = inside.join(plan, "cell").withColumn("b", F.pmod(F.xxhash64("kept"), F.col("blocks")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("askers") - 1)))
 
     def product(asks: pa.Table, keeps: pa.Table) -> pa.Table:
-        q, x = (t.column(c).combine_chunks().flatten().to_numpy().reshape(-1, dim) for t, c in ((asks, "q"), (keeps, "x")))
+        q, x = unit(asks.column("q")), unit(keeps.column("x"))
         if not len(q) or not len(x):
             return pa.table({"asked": asks.column("asked").slice(0, 0), "kept": keeps.column("kept").slice(0, 0), "cosine": pa.array([], pa.float64())})
         order = np.argsort(keeps.column("kept").to_numpy(zero_copy_only=False), kind="stable")  # the least key of equals comes first
-        cosine = q @ x[order].T
-        best = cosine.argmax(axis=1)
-        top = cosine[np.arange(len(q)), best]
+        x = x[order].T
+        best, top = np.zeros(len(q), np.int64), np.full(len(q), -np.inf)
+        for at in range(0, len(q), rows := max(1, PRODUCT // (8 * x.shape[1]))):
+            cosine = q[at : at + rows] @ x
+            top[at : at + rows] = cosine.max(axis=1)
+            best[at : at + rows] = np.round(cosine, 12, out=cosine).argmax(axis=1)
         hit = np.flatnonzero(top >= low)
         return pa.table({"asked": asks.column("asked").take(pa.array(hit)), "kept": keeps.column("kept").take(pa.array(order[best[hit]])), "cosine": pa.array(top[hit])})
 
