@@ -54,7 +54,8 @@ def verified(claims: DataFrame, symbols: DataFrame, files: DataFrame, path: str)
 
     A name counts as it stands, else in any case (which corrects it); of several
     functions of a name the first one's arguments and result count.  A file is one
-    whose name ends as claimed.  Names meet one row each, however often they stand.
+    whose name ends as claimed.  Names meet one row each, however often they stand,
+    and are merged: Spark would judge the ends of names by the files' table.
     """
     whole = F.when(F.col("owner").isNotNull(), F.concat("owner", F.lit("."), "name")).otherwise(F.col("name"))
     functions = symbols.where("kind = 'function'").select(F.explode(F.array_distinct(F.array("name", whole))).alias("known"), F.lit("function").alias("of"), F.struct(F.col(path).alias("path"), "place", F.size("args").alias("args"), F.coalesce("returns", F.lit("")).alias("returns")).alias("first"))
@@ -65,7 +66,7 @@ def verified(claims: DataFrame, symbols: DataFrame, files: DataFrame, path: str)
     suffixes = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(ends))), lambda i: F.substring(ends, i, F.lit(1 << 30)))).alias("known"), F.col(path).alias("file")).groupBy("known").agg(F.min("file").alias("file"))
 
     rows = claims.withColumn("of", F.when(F.col("kind").isin("function", "parameter_count", "return_type"), "function").when(F.col("kind") == "class", "class")).withColumn("low", F.lower("name"))
-    met = rows.join(facts.select("of", F.col("known").alias("name"), F.col("first").alias("exact")), ["of", "name"], "left").join(low, ["of", "low"], "left").join(suffixes.withColumnRenamed("known", "name"), "name", "left")
+    met = rows.join(facts.select("of", F.col("known").alias("name"), F.col("first").alias("exact")).hint("merge"), ["of", "name"], "left").join(low.hint("merge"), ["of", "low"], "left").join(suffixes.withColumnRenamed("known", "name").hint("merge"), "name", "left")
     fact = F.coalesce("exact", "any.first")
     named = F.when(F.col("exact").isNotNull(), F.struct(F.lit("verified").alias("status"), F.col("exact.path").alias("known"))).when(F.col("any").isNotNull(), F.struct(F.lit("corrected").alias("status"), F.col("any.known").alias("known")))
     counted = F.when(fact.isNotNull() & (fact["args"] > 0), F.struct(F.when(fact["args"] == F.col("detail").try_cast("int"), "verified").otherwise("corrected").alias("status"), fact["args"].cast("string").alias("known")))

@@ -94,7 +94,7 @@ def _calls(symbols: DataFrame, path: str, external: tuple[str, ...]) -> DataFram
         return F.when(is_external, outside).when(own, F.coalesce(in_class, in_file, F.concat(F.lit("__unresolved__:"), name))).otherwise(in_file)
 
     calls = F.transform("calls", lambda c: F.struct(c["receiver"].alias("receiver"), c["name"].alias("name"), meant(c).alias("here")))
-    met = f.join(files, "path").select("path", "source", "dir", "top", F.explode(calls).alias("c")).select("path", "source", "dir", "top", "c.*")
+    met = f.join(files.hint("merge"), "path").select("path", "source", "dir", "top", F.explode(calls).alias("c")).select("path", "source", "dir", "top", "c.*")
     return met.groupBy("path", "source", "dir", "top", "receiver", "name", "here").agg(F.count("*").alias("sites")).drop("path")
 
 
@@ -173,9 +173,9 @@ def dead_functions(files: DataFrame, symbols: DataFrame, path: str, text: str, m
     f = settled(f.join(called, "id", "left_anti"))
     words = lambda text: F.regexp_extract_all(text, F.lit(r"\b[A-Za-z_][A-Za-z0-9_]*\b"), F.lit(0))
     counts = files.select(F.explode(F.array_distinct(words(text))).alias("short")).groupBy("short").agg(F.count("*").alias("_files"))
-    own = files.select(F.col(path).alias("path"), F.col(text).alias("_text")).join(f.groupBy("path").agg(F.collect_set("short").alias("_shorts")), "path")
+    own = files.select(F.col(path).alias("path"), F.col(text).alias("_text")).join(f.groupBy("path").agg(F.collect_set("short").alias("_shorts")).hint("merge"), "path")
     own = own.select("path", F.explode(F.array_intersect("_shorts", words("_text"))).alias("short"), F.lit(1).alias("_own"))
-    met = f.join(own, ["path", "short"], "left").join(counts, "short", "left")
+    met = f.join(own.hint("merge"), ["path", "short"], "left").join(counts.hint("merge"), "short", "left")
     alone = F.coalesce("_files", F.lit(0)) - F.coalesce("_own", F.lit(0)) == 0
     return met.where(alone).select("path", "function", "line", "complexity", F.greatest(F.lit(1), F.col("last") - F.col("line") + 1).alias("lines"))
 

@@ -197,7 +197,7 @@ def answers(t: Tables) -> DataFrame:
         F.concat(F.lit("It is in m"), k, F.lit(".py and from none"), k, F.lit(".py")),
         F.concat(F.lit("`load()` returns a "), F.when(F.col("p_partkey") % 4 == 1, "dict").otherwise("string")),
     )
-    return t.part.where("p_partkey >= 10").select("p_partkey", F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
+    return _dealt(t.part).where("p_partkey >= 10").select("p_partkey", F.element_at(F.array(*texts), (F.col("p_partkey") % 6 + 1).cast("int")).alias("text"))
 
 
 @query("t34_code_claims", "WITH p AS (SELECT p_partkey AS k FROM part WHERE p_partkey >= 10) SELECT k AS p_partkey, 0::INT AS place, 'function' AS kind, 'F' || k AS name, '' AS detail FROM p WHERE k % 6 = 0 UNION ALL SELECT k, 0, 'class', 'K' || k, '' FROM p WHERE k % 6 = 1 UNION ALL SELECT k, 0, 'parameter_count', 'f' || k, '2' FROM p WHERE k % 6 = 2 UNION ALL SELECT k, 0, 'function', 'f' || k, '' FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 1, 'parameter_count', 'f' || k, '3' FROM p WHERE k % 6 = 3 UNION ALL SELECT k, 0, 'file', 'm' || k || '.py', '' FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 1, 'file', 'none' || k || '.py', '' FROM p WHERE k % 6 = 4 UNION ALL SELECT k, 0, 'function', 'load', '' FROM p WHERE k % 6 = 5 UNION ALL SELECT k, 1, 'return_type', 'load', CASE WHEN k % 4 = 1 THEN 'dict' ELSE 'string' END FROM p WHERE k % 6 = 5")

@@ -84,3 +84,9 @@ def test_graded_is_merged(tables):
     """Neither the functions nor the matches are broadcast, though the table that files are made of is small; each is read once."""
     plan = registry.load()["t39_graded_findings"].run(tables)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan and "MapInArrow" not in plan
+
+
+def test_claims_are_merged(tables):
+    """The ends of all files' names are not broadcast, though the table that they are made of is small."""
+    plan = registry.load()["m16_code_claims"].run(tables)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") == 3
